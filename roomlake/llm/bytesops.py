@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 U64 = np.uint64
 _MULT = 0xD1342543DE82EF95  # an odd 64-bit multiplier: powers of it are invertible
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -141,15 +141,19 @@ def shingle_hashes(words: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> t
     return h, r
 
 
-def row_shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
-    """Of each row the sorted distinct hashes of its k-word shingles (ASCII lower case)."""
+def row_shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, cuts): of row i the sorted distinct hashes of its k-word shingles lie at cuts[i]:cuts[i + 1]."""
     low = LOWER[buf]
     start, end, row = word_spans(low, offsets)
     words = spans_hash(prefix(low), start, end)
     n = len(offsets) - 1
     h, r = shingle_hashes(words, row, n, k)
     cut = np.searchsorted(r, np.arange(n + 1))
-    return [np.unique(h[cut[i] : cut[i + 1]]) for i in range(n)]
+    for i in range(n):
+        h[cut[i] : cut[i + 1]].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(new)])[cut]
 
 
 def text_rows(batch: pa.RecordBatch, name: str = "text", limit: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -11,8 +11,9 @@ BANDS bands of ROWS bins: a pair at similarity s shares a band with probability
 
 Equal sets are one class from the start.  Classes that share a band are compared on their full sets:
 first every class with the smallest of each of its bands (a star: no bucket emits its pairs), then,
-for buckets that still hold several components, the pairs between components.  Pairs inside one
-component cannot change it and are not compared.
+for buckets that still hold several components, the pairs between components, found by an exact
+prefix filter and cut by exact bounds.  Pairs inside one component cannot change it and are not
+compared.
 
 Null and empty texts have no words: their set is empty and they link with nothing.  Ties and
 repeated rows: ids are taken to identify rows; equal texts get one class.  Other columns are left
@@ -34,92 +35,101 @@ from .store import Store
 
 ROWS, BANDS = 4, 32
 BINS = ROWS * BANDS
+WORDS = 8  # 64-bit words of a parity bitmap
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be broadcast; more are joined by shuffle
 _SALT = mix(np.arange(1, 2 * BINS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
-def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """The fast similarity sketch of a set of 64-bit hashes; ``bins`` a power of two."""
-    full = np.full(bins, np.iinfo(U64).max, U64)
-    if not len(items):
-        return full
-    left, i, low = bins, 0, U64(bins - 1)
-    step = max(1, min(bins, 2048 // len(items)))
-    while left and i < bins:
-        rounds = np.arange(i, min(i + step, bins))
-        h = mix(items[None, :] ^ _SALT[rounds, None])
-        bin_ = (h & low).astype(np.int64).ravel()
-        # the round in the top bits: an earlier one wins
-        value = ((rounds.astype(U64)[:, None] << U64(55)) | (h >> U64(9))).ravel()
-        np.minimum.at(full, bin_, value)
-        left = int(np.count_nonzero(full == np.iinfo(U64).max))
-        i = int(rounds[-1]) + 1
-    for j in np.flatnonzero(full == np.iinfo(U64).max):
-        full[j] = (U64(bins) << U64(55)) | (mix(items ^ _SALT[bins + j]) >> U64(9)).min()
-    return full
-
-
-def bands(sk: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band of a sketch."""
-    parts = sk.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F)
+_EMPTY = np.iinfo(U64).max
+
+
+def sketches(items: np.ndarray, cuts: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Fast similarity sketches, one row of ``bins`` (a power of two) for each set of 64-bit hashes.
+
+    The round stands in the top bits of a value, so an earlier one wins.  An empty set fills nothing.
+    """
+    n = len(cuts) - 1
+    size = np.diff(cuts)
+    full = np.full(n * bins, _EMPTY, U64)
+    owner = np.repeat(np.arange(n), size)
+    for i in range(bins):
+        h = mix(items ^ _SALT[i])
+        np.minimum.at(full, owner * bins + (h & U64(bins - 1)).astype(np.int64), (U64(i) << U64(55)) | (h >> U64(9)))
+        left = (full.reshape(n, bins) == _EMPTY).any(axis=1)
+        keep = left[owner]
+        if not keep.any():
+            break
+        items, owner = items[keep], owner[keep]
+    grid = full.reshape(n, bins)
+    for row in np.flatnonzero((grid == _EMPTY).any(axis=1) & (size > 0)):
+        own = items[owner == row]
+        for j in np.flatnonzero(grid[row] == _EMPTY):
+            grid[row, j] = (U64(bins) << U64(55)) | (mix(own ^ _SALT[bins + j]) >> U64(9)).min()
+    return grid
+
+
+def band_keys(grid: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of each sketch."""
+    parts = grid.reshape(len(grid), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F), parts.shape[:2])
     for r in range(ROWS):
-        key = mix(key ^ parts[:, r]) + U64(r)
+        key = mix(key ^ parts[:, :, r]) + U64(r)
     return key
 
 
+def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(values, dtype=U64)])
+    return (total[cuts[1:]] - total[cuts[:-1]]).view(np.int64)
+
+
 _SKETCHED = "id long, n_shingles long, sig1 long, sig2 long, bands array<long>"
 
 
+def _ragged(flat: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
 def _sketch_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sig1, sig2, keys = [], [], [], []
-            for _, _, offsets, raw in text_rows(batch):
-                for items in row_shingles(raw, offsets, k):
-                    n.append(len(items))
-                    sig1.append(mix(items).sum(dtype=U64) if len(items) else 0)
-                    sig2.append(mix(items ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) if len(items) else 0)
-                    keys.append(bands(sketch(items)) if len(items) else np.zeros(0, U64))
-            lengths = np.array([len(x) for x in keys], np.int64)
-            flat = np.concatenate(keys) if keys else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array(n, pa.int64()),
-                    pa.array(np.array(sig1, U64).view(np.int64), pa.int64()),
-                    pa.array(np.array(sig2, U64).view(np.int64), pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat.view(np.int64))),
-                ],
-                names=["id", "n_shingles", "sig1", "sig2", "bands"],
-            )
+            for i, j, offsets, raw in text_rows(batch):
+                items, cuts = row_shingles(raw, offsets, k)
+                size = np.diff(cuts)
+                keys = band_keys(sketches(items, cuts))[size > 0].ravel()
+                columns = [
+                    batch.column(0).slice(i, j - i).cast(pa.int64()),
+                    pa.array(size.astype(np.int64)),
+                    pa.array(_sums(mix(items), cuts)),
+                    pa.array(_sums(mix(items ^ U64(0x5851F42D4C957F2D)), cuts)),
+                    _ragged(keys, np.concatenate([[0], np.cumsum((size > 0) * BANDS)])),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n_shingles", "sig1", "sig2", "bands"])
 
     return run
 
 
+def _parity(items: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Of each set WORDS longs of which bit h is the parity of its items that hash to h."""
+    n = len(cuts) - 1
+    owner = np.repeat(np.arange(n), np.diff(cuts))
+    h = mix(items ^ U64(0x2545F4914F6CDD1D)) & U64(64 * WORDS - 1)
+    out = np.zeros(n * WORDS, U64)
+    np.bitwise_xor.at(out, owner * WORDS + (h >> U64(6)).astype(np.int64), U64(1) << (h & U64(63)))
+    return out
+
+
 def _set_batches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, offsets, raw in text_rows(batch):
-                sets = row_shingles(raw, offsets, k)
-                cut = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))], names=["id", "items"])
+                items, cuts = row_shingles(raw, offsets, k)
+                bits = _ragged(_parity(items, cuts), np.arange(len(cuts)) * WORDS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).cast(pa.int64()), _ragged(items, cuts), bits], names=["id", "items", "bits"])
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each (a, b, one set, other set) the size of the intersection of the sorted sets."""
-    for batch in batches:
-        (ox, x), (oy, y) = (_lists(batch.column(i)) for i in (2, 3))
-        size = [np.intersect1d(x[ox[i] : ox[i + 1]], y[oy[i] : oy[i + 1]], assume_unique=True).size for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64())], names=["a", "b", "shared"])
-
-
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    off = column.offsets.to_numpy()
-    return off - off[0], column.values.to_numpy()[off[0] : off[-1]]
+_SETS = "id long, items array<long>, bits array<long>"
 
 
 def semi_by_id(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -128,24 +138,58 @@ def semi_by_id(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_semi")
 
 
-class _Verifier:
-    """Confirms candidate pairs on the full shingle sets of the classes they name."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among ``pairs`` (a, b), confirmed on the whole sets (id, items)."""
+    one = sets.select(F.col("id").alias("a"), F.col("items").alias("sa"))
+    two = sets.select(F.col("id").alias("b"), F.col("items").alias("sb"))
+    shared = pairs.join(two, "b").join(one, "a").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return shared.filter(F.col("shared") * 100 >= (F.size("sa") + F.size("sb") - F.col("shared")) * percent).select("a", "b")
 
-    def __init__(self, docs: DataFrame, store: Store, k: int, percent: int):
-        self.docs, self.store, self.k, self.percent = docs, store, k, percent
 
-    def __call__(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Links (a, b) among ``pairs`` (a, b, na, nb)."""
-        pairs = self.store.put(pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent), f"{name}_pairs")
-        ids = self.store.put(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), f"{name}_ids")
-        sets = self.store.put(semi_by_id(self.docs, ids).mapInArrow(_set_batches(self.k), "id long, items array<long>"), f"{name}_sets")
-        one = sets.select(F.col("id").alias("a"), F.col("items").alias("sa"))
-        two = sets.select(F.col("id").alias("b"), F.col("items").alias("sb"))
-        shared = pairs.join(two, "b").join(one, "a").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-        links = shared.filter(F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * self.percent).select("a", "b")
-        links = self.store.put(links, f"{name}_links")
-        self.store.drop(f"{name}_pairs", f"{name}_ids", f"{name}_sets")
-        return links
+def _ordered(sets: DataFrame) -> DataFrame:
+    """(id, comp, n, m, bits, order): the m shingles of a set that another component holds too, rarest first."""
+    tokens = sets.select("id", "comp", F.explode("items").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("f"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token", "f")
+    ranked = tokens.select("id", "token").join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("order"))
+    return sets.select("id", "comp", F.size("items").alias("n"), "bits").join(ranked, "id").withColumn("m", F.size("order"))
+
+
+def _may_link(percent: int):
+    """What sets a and b of two components must meet to link; all of it follows from the law.
+
+    They share at most the smaller of n and m, and differ in at least as many shingles as their
+    parity bitmaps differ in bits.
+    """
+    most = F.least("ma", "mb", "na", "nb")
+    differ = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in range(WORDS)), F.lit(0))
+    size = F.col("na") + F.col("nb")
+    return (F.col("ca") != F.col("cb")) & (most * 100 >= (size - most) * percent) & (differ * (100 + percent) <= size * (100 - percent))
+
+
+def _side(rows: DataFrame, x: str, *keys: str) -> DataFrame:
+    return rows.select(*keys, F.col("id").alias(x), *(F.col(c).alias(c[0] + x) for c in ("comp", "n", "m")), *(F.get("bits", F.lit(w)).alias(f"{x}{w}") for w in range(WORDS)))
+
+
+def _prefix_pairs(ordered: DataFrame, store: Store, percent: int) -> DataFrame:
+    """Every pair (a, b) of sets in different components that may link; exact.
+
+    A shingle that only one component holds matches nothing outside it.  With those first and the
+    others after them, rarest first, linked sets of two components share one of their first
+    n - ceil(percent n / 100) + 1 shingles.
+    """
+    length = F.col("m") - F.ceil(F.col("n") * percent / 100) + 1
+    heads = ordered.withColumn("length", length.cast("int")).filter("length > 0").select("id", "comp", "n", "m", "bits", F.explode(F.slice("order", 1, F.col("length"))).alias("head"))
+    heads = store.put(heads.select(F.col("head.token").alias("token"), "id", "comp", "n", "m", "bits"), "heads")
+    mixed = heads.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    one, two = _side(heads.join(mixed, "token", "left_semi"), "a", "token"), _side(heads, "b", "token")
+    return one.join(two, (one.token == two.token) & (one.a < two.b) & _may_link(percent)).select("a", "b").distinct()
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, comp) of the buckets that still hold several components."""
+    placed = with_component(members.select("key", "rep"), found, "rep").select("key", F.col("rep").alias("id"), F.col("component_id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    return placed.join(mixed, "key", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -153,31 +197,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links have 100 * |A & B| >= percent * |A | B| on whole texts' shingle sets.
     """
-    spark = docs.sparkSession
-    store = Store(spark, "minhash")
+    store = Store(docs.sparkSession, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = store.put(texts.mapInArrow(_sketch_batches(shingle), _SKETCHED), "sketched")
-    classes = store.put(
-        sketched.filter("n_shingles > 0").groupBy("n_shingles", "sig1", "sig2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes"
-    )
+    one_class = sketched.filter("n_shingles > 0").groupBy("n_shingles", "sig1", "sig2")
+    classes = store.put(one_class.agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
     banded = classes.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("first")).filter("c > 1")
-    members = store.put(banded.join(buckets, "key").select("key", "rep", "n", "c", F.col("first.rep").alias("pivot"), F.col("first.n").alias("pn")), "members")
-    verify = _Verifier(texts, store, shingle, percent)
-    stars = members.filter("rep <> pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.first("pn").alias("na"), F.first("n").alias("nb"))
-    links = verify(stars, "stars")
-    found = store.put(components(links, store, "cc1"), "found1")
-    placed = with_component(members, found.withColumnRenamed("node", "node"), "rep")
-    mixed = placed.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).filter("lo < hi").select("key")
-    rest = store.put(placed.join(mixed, "key", "left_semi").filter("true").select("key", "rep", "n", "pivot", F.col("component_id").alias("comp")), "rest")
-    # what the star has compared already (a pair with the pivot) is left out
-    one = rest.filter("rep <> pivot").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    two = rest.filter("rep <> pivot").select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    cross = one.join(two, "key").filter("ca < cb").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    cross = cross.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
-    more = verify(cross, "cross")
-    found = store.put(components(links.union(more), store, "cc2"), "found2")
-    store.drop("members", "rest", "found1")
+    members = store.put(banded.join(buckets, "key").select("key", "rep", "n", F.col("first.rep").alias("pivot"), F.col("first.n").alias("pn")), "members")
+    ids = store.put(members.select(F.col("rep").alias("id")).distinct(), "ids")
+    sets = store.put(semi_by_id(texts, ids).mapInArrow(_set_batches(shingle), _SETS), "sets")
+
+    # a star on the smallest id of each bucket
+    fits = (F.col("rep") != F.col("pivot")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
+    stars = members.filter(fits).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    links = store.put(_verified(stars, sets, percent), "links1")
+    found = components(links, store, "cc1")
+
+    # what is left: the pairs between components of one bucket that may link
+    rest = _mixed(members, found).select("id", "comp").distinct()
+    ordered = store.put(_ordered(sets.join(rest, "id")), "ordered")
+    pairs = store.put(_prefix_pairs(ordered, store, percent), "pairs")
+    links = store.put(links.union(_verified(pairs, sets, percent)), "links2")
+    found = components(links, store, "cc2")
+    store.drop("members", "ids", "sets", "ordered", "heads", "pairs", "links1", "links2")
+
     reps = with_component(classes.select("n_shingles", "sig1", "sig2", "rep"), found, "rep").drop("rep")
     out = sketched.select("id", "n_shingles", "sig1", "sig2").join(reps, ["n_shingles", "sig1", "sig2"], "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
