@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .store import table
 
@@ -13,5 +14,20 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op8_minhash_near_dedup,)}
+def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kdshard import shards
+
+    out = shards(table(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op5_kd_tree_sharding, op8_minhash_near_dedup, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
