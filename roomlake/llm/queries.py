@@ -14,6 +14,23 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op3_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    filters = fit(docs.filter(~held_out & F.col("lang").isNotNull()))
+    return predict(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, severity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return severity(docs, model).withColumn("rejected", F.col("p_toxic") >= 0.5)
+
+
 def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kdshard import shards
 
@@ -29,5 +46,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op5_kd_tree_sharding, op8_minhash_near_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op8_minhash_near_dedup, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
