@@ -14,6 +14,18 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op2_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .covertree import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op7_impact_ordered_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .impact import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), 5, every=50)
+
+
 def op3_language_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, predict
 
@@ -46,5 +58,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op8_minhash_near_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_cover_tree_near_dedup, op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op7_impact_ordered_top_k, op8_minhash_near_dedup, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
