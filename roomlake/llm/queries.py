@@ -50,6 +50,13 @@ def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_bwt_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import digest, repeated_spans
+
+    out = digest(repeated_spans(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,5 +65,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_cover_tree_near_dedup, op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op7_impact_ordered_top_k, op8_minhash_near_dedup, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_cover_tree_near_dedup, op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op7_impact_ordered_top_k, op8_minhash_near_dedup, op9_bwt_repeated_passages, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
