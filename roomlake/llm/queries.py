@@ -14,6 +14,18 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed, sized
+
+    return packed(sized(table(spark, sf_dir, "documents")))
+
+
+def op6_minimum_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mincut import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_cover_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .covertree import near_duplicates
 
@@ -65,5 +77,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_cover_tree_near_dedup, op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op7_impact_ordered_top_k, op8_minhash_near_dedup, op9_bwt_repeated_passages, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_cover_tree_near_dedup, op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op6_minimum_cut_extraction, op7_impact_ordered_top_k, op8_minhash_near_dedup, op9_bwt_repeated_passages, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}

@@ -27,6 +27,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -311,6 +312,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return cut.withColumnRenamed("id", id_col)
 
 
+def _whole_characters(text: str | None, spans: list[int] | None) -> str | None:
+    """The text without the characters that lie wholly inside the spans of bytes."""
+    if not text or not spans:
+        return text
+    raw = text.encode("utf-8")
+    keep, at = [], 0
+    for start, end in zip(spans[::2], spans[1::2]):
+        while start < end and raw[start] & 0xC0 == 0x80:
+            start += 1
+        while end > start and end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end -= 1
+        keep.append(raw[at:start])
+        at = end
+    keep.append(raw[at:])
+    return b"".join(keep).decode("utf-8")
+
+
+def without_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with texts cut by the spans of ``found`` (a result of ``repeated_spans``).
+
+    Rows without spans keep their texts as they are.
+    """
+    cut = docs.join(found.filter("size(spans) > 0").select(F.col(id_col), F.col("spans").alias("_spans")), id_col, "left")
+    trim = F.pandas_udf(lambda t, s: pd.Series([_whole_characters(a, None if b is None else list(b)) for a, b in zip(t, s)], dtype=object), "string")
+    return cut.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(trim(text_col, "_spans"))).drop("_spans")
+
+
 def digest(rows: DataFrame) -> DataFrame:
     """n_removed, n_spans and kept_sha256 of the rows of ``repeated_spans``."""
     return rows.select("*", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
