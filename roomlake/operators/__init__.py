@@ -1,3 +1,3 @@
 """Operators: relations over scenes, views, masks and points."""
 
-from . import areas, cameras, clouds, masks, pairs, placement, poses, questions, rays, scans  # noqa: F401
+from . import areas, cameras, clouds, extras, masks, pairs, placement, poses, questions, rays, scans  # noqa: F401

@@ -20,7 +20,8 @@ NAMES = (
     "size_qualitative comparative_grounding ordinal_grounding csr_referring csr_multi_step imagination_oc imagination_oo route_planning identify_areas camera_region object_region region_region "
     "camera_relative_position camera_facing_direction camera_motion viewpoint_change object_matching_mv object_object_mv surfaces objects_on_surface placement_feasible object_placement free_space spatial_compatibility "
     "mask_counts mask_visible mask_bbox mask_centroid best_camera ground_truth_points point_projection majority_vote instances percentile_boxes view_support median_offset voxels voxel_neighbours spatial_merge "
-    "physics_stability equilibrium_window event_props letter_mcq template_pick dedup_cap"
+    "physics_stability equilibrium_window event_props letter_mcq template_pick dedup_cap "
+    "view_cameras orbit_cameras room_corner_cameras floor_boxes wall_boxes axes_flipped palette rotation_angles merged_names integral_image eroded_cells small_masks merge_roots best_view interleaved direction_choices"
 ).split()
 
 
