@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytesops import U64, mix, prefix, spans_hash, text_rows
+from .bytesops import U64, buffers, mix, prefix, spans_hash, text_rows
 from .minhash import BROADCAST_IDS
 from .store import Store
 
@@ -90,7 +90,7 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _contexts(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table) -> pa.Table:
     """Of a group's documents every anchor in ``shared``, with its context."""
     known = np.sort(shared.column("h").to_numpy().view(U64))
-    out: dict[str, list] = {k: [] for k in ("h", "k1", "k2", "id", "pos")}
+    out: dict[str, list] = {k: [] for k in ("h", "k1", "k2", "id", "pos", "left")}
     text: list[bytes] = []
     for batch in docs.combine_chunks().to_batches() if len(known) else ():
         ids = batch.column(0).to_numpy()
@@ -105,23 +105,23 @@ def _contexts(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table) -> p
             k2 = mix(k1 ^ mix(spans_hash(prefix(raw[::-1]), len(raw) - hi, len(raw) - lo)) + (at - lo).astype(U64))
             data = raw.tobytes()
             text += [data[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
-            for k, v in zip(out, (h.view(np.int64), k1.view(np.int64), k2.view(np.int64), ids[i:j][row], lo - offsets[row])):
+            for k, v in zip(out, (h.view(np.int64), k1.view(np.int64), k2.view(np.int64), ids[i:j][row], lo - offsets[row], at - lo)):
                 out[k].append(v)
     flat = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
     return pa.table({**{k: pa.array(v.astype(np.int64)) for k, v in flat.items()}, "text": pa.array(text, pa.binary())})
 
 
-_OCCURRENCES = "h long, k1 long, k2 long, id long, pos long, text binary"
+_OCCURRENCES = "h long, k1 long, k2 long, id long, pos long, left long, text binary"
 
 
 def suffix_order(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) of the suffixes by their first 64 bytes; ties by place."""
+    """(order, rank) of the suffixes by their first 64 bytes; ties in any order."""
     n = len(data)
     padded = np.concatenate([data, np.full(8, END, np.uint8)])
     key = np.zeros(n, U64)
     for i in range(8):
         key = key << U64(8) | padded[i : n + i].astype(U64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     span = 8
     while True:
         new = np.ones(n, bool)
@@ -133,7 +133,7 @@ def suffix_order(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         after = np.full(n, n, np.int64)
         after[: n - span] = rank[span:]
         key = (rank.astype(U64) << U64(32)) | after.astype(U64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         span *= 2
     rank[order] = np.arange(n)
     return order, rank
@@ -168,7 +168,7 @@ def runs_of_repeats(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
         owner, at, byte = owner[keep], at[keep], byte[keep]
         if not len(at):
             break
-        by = np.argsort(owner * 256 + byte, kind="stable")
+        by = np.argsort(owner * 256 + byte)
         label = (owner * 256 + byte)[by]
         new = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
         low = np.minimum.reduceat(back[at[by]], new)
@@ -198,9 +198,42 @@ def first_documents(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     return [per[b : b + s - LENGTH + 1] for b, s in zip(begin.tolist(), sizes.tolist())]
 
 
+def _longest_match(groups: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """For each row of padded bytes the longest prefix that another row of its group has too."""
+    width = sides.shape[1]
+    order = np.lexsort((np.ascontiguousarray(sides).view(f"S{width}").ravel(), groups))
+    rows, own = sides[order], groups[order]
+    same = (rows[1:] == rows[:-1]) & (rows[1:] != END)
+    run = np.where(same.all(axis=1), width, same.argmin(axis=1)) * (own[1:] == own[:-1])
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(np.append(run, 0), np.concatenate([[0], run]))
+    return out
+
+
+def shareable(h: np.ndarray, left: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to): the part of each context that another one of its anchor may share.
+
+    It ends where the longest matches to the left and to the right of the anchor do.
+    """
+    side = LENGTH - GRAM
+    ahead = np.frombuffer(b"".join(t[i + GRAM :].ljust(side, bytes([END])) for t, i in zip(texts, left.tolist())), np.uint8).reshape(-1, side)
+    behind = np.frombuffer(b"".join(t[:i][::-1].ljust(side, bytes([END])) for t, i in zip(texts, left.tolist())), np.uint8).reshape(-1, side)
+    return left - _longest_match(h, behind), left + GRAM + _longest_match(h, ahead)
+
+
 def _block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    found = first_documents(table.column("text").to_pylist(), table.column("lo").to_numpy())
-    return pa.table({"k1": table.column("k1"), "k2": table.column("k2"), "first": pa.array([f.tobytes() for f in found], pa.binary())})
+    """First documents of the windows of contexts; contexts that share no window give no row."""
+    texts, lo = table.column("text").to_pylist(), table.column("lo").to_numpy()
+    a, b = shareable(table.column("h").to_numpy(), table.column("left").to_numpy(), texts)
+    may = np.flatnonzero(b - a >= LENGTH)
+    parts = first_documents([texts[i][a[i] : b[i]] for i in may.tolist()], lo[may]) if len(may) else []
+    out = []
+    for i, part in zip(may.tolist(), parts):
+        first = np.full(len(texts[i]) - LENGTH + 1, lo[i])
+        first[a[i] : a[i] + len(part)] = part
+        out.append(first.tobytes())
+    take = pa.array(may)
+    return pa.table({"k1": table.column("k1").take(take), "k2": table.column("k2").take(take), "first": pa.array(out, pa.binary())})
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,39 +268,49 @@ def _by_windows(contexts: DataFrame) -> DataFrame:
     return seen.select("k1", "k2", F.col("f.least").alias("f")).mapInArrow(pack, "k1 long, k2 long, first binary")
 
 
-def _removed(n: int, doc: int, rows: list[tuple]) -> np.ndarray:
-    """Mask of the bytes that go, from a document's contexts (pos, size, lo, first)."""
-    step = np.zeros(n + 1, np.int32)
-    for pos, size, lo, first in rows:
-        if first is None:
-            if lo < doc:
-                step[pos] += 1
-                step[pos + size] -= 1
-        else:
-            at = pos + np.flatnonzero(np.frombuffer(first, np.int64) < doc)
-            np.add.at(step, at, 1)
-            np.add.at(step, at + LENGTH, -1)
-    return np.cumsum(step[:-1]) > 0
-
-
 def _spans_of(mask: np.ndarray) -> np.ndarray:
     edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
     return edge.reshape(-1, 2)
 
 
+def _covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n bytes the intervals cover."""
+    return np.cumsum(np.bincount(start, minlength=n + 1)[: n + 1] - np.bincount(end, minlength=n + 1)[: n + 1])[:n] > 0
+
+
 def _cut(key: tuple[pa.Scalar, ...], docs: pa.Table, found: pa.Table) -> pa.Table:
     """Per document of a group: its bytes, what stays of them, and the removed spans."""
-    rows: dict[int, list] = {}
-    for r in zip(*(found.column(c).to_pylist() for c in ("id", "pos", "size", "lo", "first"))):
-        rows.setdefault(r[0], []).append(r[1:])
-    out = []
-    for doc, text, copy in zip(*(docs.column(c).to_pylist() for c in ("id", "text", "copy"))):
-        raw = (text or "").encode("utf-8")
-        mask = np.full(len(raw), len(raw) >= LENGTH) if copy else _removed(len(raw), doc, rows.get(doc, []))
-        kept = np.frombuffer(raw, np.uint8)[~mask].tobytes()
-        out.append((doc, len(raw), kept, _spans_of(mask).ravel().tolist()))
-    ids, n, kept, spans = zip(*out) if out else ((), (), (), ())
-    return pa.table({"id": pa.array(ids, pa.int64()), "n_bytes": pa.array(n, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.int64()))})
+    offsets, raw = buffers(docs.column("text"))
+    ids = docs.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    hit, pos, size, lo = (found.column(c).to_numpy() for c in ("id", "pos", "size", "lo"))
+    # every row of a document gets its occurrences
+    at, to = (np.searchsorted(ids[order], hit, side=s) for s in ("left", "right"))
+    which = np.repeat(np.arange(len(hit)), to - at)
+    row = order[np.arange(len(which)) - np.repeat(np.cumsum(to - at) - (to - at), to - at) + at[which]] if len(which) else which
+    base = offsets[:-1][row] + pos[which]
+    firsts = found.column("first").combine_chunks()
+    plain = firsts.is_null().to_numpy(zero_copy_only=False)[which]
+    use = plain & (lo[which] < ids[row])
+    start, end = [base[use]], [base[use] + size[which][use]]
+    some = np.flatnonzero(~plain)
+    if len(some):
+        values = np.frombuffer(b"".join(firsts.take(pa.array(which[some])).to_pylist()), np.int64)
+        count = size[which[some]] - LENGTH + 1
+        owner = np.repeat(some, count)
+        off = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        goes = values < ids[row[owner]]
+        start.append((base[owner] + off)[goes])
+        end.append((base[owner] + off)[goes] + LENGTH)
+    mask = _covered(np.concatenate(start), np.concatenate(end), len(raw))
+    kept, spans = [], []
+    for i, copy in enumerate(docs.column("copy").to_pylist()):
+        own, gone = raw[offsets[i] : offsets[i + 1]], mask[offsets[i] : offsets[i + 1]]
+        if copy and len(own) >= LENGTH:
+            gone = np.ones(len(own), bool)
+        kept.append(own[~gone].tobytes())
+        spans.append(_spans_of(gone).ravel().tolist())
+    return pa.table({"id": docs.column("id"), "n_bytes": pa.array(np.diff(offsets)), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.int64()))})
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +320,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keys = store.put(texts.select("id", F.md5(F.col("text").cast("binary")).alias("md5"), F.xxhash64("text").alias("x")).filter("md5 is not null"), "keys")
     firsts = keys.groupBy("md5", "x").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    copies = store.put(keys.join(firsts, ["md5", "x"]).filter("id <> least").select("id"), "copies")
+    copies = store.put(keys.join(firsts, ["md5", "x"]).filter("id <> least").select("id").distinct(), "copies")
     small = copies.count() <= BROADCAST_IDS
     marked = texts.join((F.broadcast(copies) if small else copies).withColumn("copy", F.lit(True)), "id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     own = marked.filter("not copy").select("id", "text")
@@ -290,14 +333,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grouped = own.withColumn("g", group).select("id", "text", "g")
     occurrences = store.put(grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_contexts, _OCCURRENCES), "occurrences")
 
-    contexts = occurrences.filter(F.octet_length("text") >= LENGTH).groupBy("h", "k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("text").alias("text"))
+    contexts = occurrences.filter(F.octet_length("text") >= LENGTH).groupBy("h", "k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("left").alias("left"), F.first("text").alias("text"))
     contexts = store.put(contexts, "contexts")
     number = contexts.groupBy("h").agg(F.count("*").alias("contexts"), F.min("lo").alias("l"), F.max("hi").alias("m")).filter("contexts > 1 and l < m").select("h", "contexts")
     several = store.put(contexts.join(number, "h"), "several")
     some = several.filter(F.col("contexts") <= MANY)
     size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    dealt = some.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")).select("block", "k1", "k2", "lo", "text")
+    dealt = some.withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int")).select("block", "h", "k1", "k2", "lo", "left", "text")
     settled = dealt.groupBy("block").applyInArrow(_block, "k1 long, k2 long, first binary")
     if several.filter(F.col("contexts") > MANY).limit(1).count():
         settled = settled.union(_by_windows(several.filter(F.col("contexts") > MANY)))
