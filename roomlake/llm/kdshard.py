@@ -12,7 +12,7 @@ Keys are made distinct by a hash of the id in their low bits, so that many rows
 (a hot source, groups of copies) can still be divided.
 
 Dimensions: id, log of the size, CRC-32 of the text, CRC-32 of the source.  Null texts weigh the
-fixed 16 bytes; null sources count as an empty source.  An empty table gives no rows.
+fixed 16 bytes; null sources count as an empty source, null ids as 0.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def _dimensions(docs: DataFrame, id_col: str, text_col: str, source_col: str) ->
     )
     tie = F.pmod(F.xxhash64("id"), F.lit(1 << TIE_BITS))
     value = {
-        "d_id": F.pmod(F.col("id"), F.lit(1 << VALUE_BITS)),
+        "d_id": F.pmod(F.coalesce("id", F.lit(0)), F.lit(1 << VALUE_BITS)),
         "d_size": F.round(F.log2(F.col("size")) * (1 << 32)).cast("long"),
         "d_text": F.col("text_crc32") * (1 << (VALUE_BITS - 32)),
         "d_source": F.col("source") * (1 << (VALUE_BITS - 32)),

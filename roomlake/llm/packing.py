@@ -15,7 +15,7 @@ work of a task is bounded and a hot source or cluster is spread evenly.  Only si
 moved, never texts.
 
 Null and empty texts take no room but are placed (size 0).  Null sources and null clusters conflict
-with nothing.  Repeated rows are packed like any others.  An empty table gives no rows.
+with nothing; null ids are kept.  Repeated rows are packed like any others.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -146,22 +146,23 @@ def packed(rows: DataFrame, *, capacity: int = CAPACITY, part_bytes: int = PART_
 
     ``rows`` has long ids, sizes in bytes, and source and cluster labels.
     """
-    slim = rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster"))
+    key = F.col(id_col).cast("long")
+    slim = rows.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("no_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster"))
     total = slim.agg((F.sum("size") + 256 * F.count("*")).alias("b")).first()["b"] or 0
     parts = max(1, -(-total // part_bytes))
     dealt = slim.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(parts)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "size", "source", "cluster"])
+        pdf = pdf.sort_values(["id", "no_id", "size", "source", "cluster"])
         source, cluster = (pdf[c].where(pdf[c].notna(), None) for c in ("source", "cluster"))
         items = list(zip(pdf["id"].tolist(), pdf["size"].tolist(), source.tolist(), cluster.tolist()))
         found = pack(items, capacity)
         k = [f[0] for f in found]
-        out = pd.DataFrame({"bin_id": [(int(pdf["part"].iloc[0]) << 32) | f[1] for f in found], "slot": [f[2] for f in found], "id": [items[i][0] for i in k], "start": [f[3] for f in found], "length": [f[4] for f in found], "source": [items[i][2] for i in k]})
+        out = pd.DataFrame({"bin_id": [(int(pdf["part"].iloc[0]) << 32) | f[1] for f in found], "slot": [f[2] for f in found], "id": [items[i][0] for i in k], "no_id": pdf["no_id"].to_numpy()[k], "start": [f[3] for f in found], "length": [f[4] for f in found], "source": [items[i][2] for i in k]})
         return out.astype({"slot": "int32"})
 
-    out = dealt.groupBy("part").applyInPandas(run, "bin_id long, slot int, id long, start long, length long, source string")
-    return out.withColumnRenamed("id", id_col)
+    out = dealt.groupBy("part").applyInPandas(run, "bin_id long, slot int, id long, no_id boolean, start long, length long, source string")
+    return out.select("bin_id", "slot", F.when(~F.col("no_id"), F.col("id")).alias(id_col), "start", "length", "source")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

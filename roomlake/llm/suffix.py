@@ -18,7 +18,8 @@ smaller id.  Only strings that two documents share matter, and they are found in
 
 Texts that are copies of a smaller document's go as a whole (if they have LENGTH bytes at least) and
 take no part in the search.  Null and empty texts have no bytes.  Texts are whole; matches never
-cross documents.  Ids are taken to be distinct.
+cross documents.  Rows without an id lose nothing and take nothing from others; rows that share an
+id are one document's.
 """
 
 from __future__ import annotations
@@ -317,7 +318,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, kept binary, spans array<long>) per row: spans is start, end, start, end, ..."""
     spark = docs.sparkSession
     store = Store(spark, "suffix")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = every.filter("id is not null")
     keys = store.put(texts.select("id", F.md5(F.col("text").cast("binary")).alias("md5"), F.xxhash64("text").alias("x")).filter("md5 is not null"), "keys")
     firsts = keys.groupBy("md5", "x").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
     copies = store.put(keys.join(firsts, ["md5", "x"]).filter("id <> least").select("id").distinct(), "copies")
@@ -352,7 +354,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = store.put(hits.select("id", group.alias("g"), "pos", "size", "lo", "first"), "hits")
     store.drop("shared", "occurrences", "contexts", "several", "settled")
     cut = marked.withColumn("g", group).groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_cut, "id long, n_bytes long, kept binary, spans array<long>")
-    return cut.withColumnRenamed("id", id_col)
+    lone = every.filter("id is null").select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"), F.array().cast("array<long>").alias("spans"))
+    return cut.union(lone).withColumnRenamed("id", id_col)
 
 
 def _whole_characters(text: str | None, spans: list[int] | None) -> str | None:

@@ -89,3 +89,12 @@ def test_pages_and_tokens(spark, docs):
     ids = bpe.encoded(docs, path, tokenizers.PATTERN)
     back = {r.doc_id: bytes(r.bytes) for r in bpe.decoded(ids, path, tokenizers.PATTERN).collect()}
     assert back == {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+
+
+def test_null_ids(spark, docs):
+    lone = docs.selectExpr("cast(null as bigint) as doc_id", "text", "cast(null as string) as source").filter("text is not null")
+    mixed = docs.select("doc_id", "text", "source").union(lone)
+    assert mixed.count() == 23
+    assert suffix.repeated_spans(mixed).count() == 23 and suffix.repeated_spans(mixed).filter("doc_id is null and size(spans) > 0").count() == 0
+    assert packing.packed(packing.sized(mixed)).filter("doc_id is null").count() == 11
+    assert kdshard.shards(lone, 3).count() == 11 and minhash.near_duplicates(mixed).count() == 23
