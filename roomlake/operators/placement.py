@@ -75,14 +75,14 @@ def compatibility_probes(d: Spark) -> str:
     """Places beside an object, on the camera's left or right, for another to move to."""
     return f"""select t.*, v.side, v.extra, t.bx + v.s * t.rx * (t.half_b + t.aw / 2 + 0.05 + abs(v.extra)) + v.extra * t.dx2 as nx, t.by_ + v.s * t.ry * (t.half_b + t.aw / 2 + 0.05 + abs(v.extra)) + v.extra * t.dy2 as ny from (
         select a.scene_id, a.cam, a.id as moved, b.id as target, b.cx as bx, b.cy as by_, a.rx, a.ry, a.dx2, a.dy2, greatest(b.width, b.length) / 2 as half_b, greatest(a.width, a.length) as aw, a.u as ua, b.u as ub,
-        {g.dot(('(a.cx - b.cx)', '(a.cy - b.cy)'), ('a.rx', 'a.ry'))} as along from few a join few b on a.scene_id = b.scene_id and a.cam = b.cam and a.id <> b.id where a.pick <= 6 and b.pick <= 6) t
+        {g.dot(('(a.cx - b.cx)', '(a.cy - b.cy)'), ('a.rx', 'a.ry'))} as along from visible a join visible b on a.scene_id = b.scene_id and a.cam = b.cam and a.id <> b.id) t
         cross join (values ('left of', -1, 0.0), ('left of', -1, 0.3), ('left of', -1, -0.3), ('left of', -1, 0.6), ('left of', -1, -0.6), ('right of', 1, 0.0), ('right of', 1, 0.3), ('right of', 1, -0.3), ('right of', 1, 0.6), ('right of', 1, -0.6)) as v(side, s, extra)
         where not (v.s * t.along > 1.5) and not (v.s * (t.ua - t.ub) > 0.03)"""
 
 
 @relation
 def spatial_compatibility(d: Spark) -> str:
-    """Whether an object can move to one side of another inside the room without touching a third."""
+    """Whether an object can move to one side of another inside the room without touching a third: all ordered pairs of a view."""
     return f"""select scene_id, cam, moved, target, side, case when max(case when inside and touched = 0 then 1 else 0 end) = 1 then 'Yes' else 'No' end as answer from (
         select p.scene_id, p.cam, p.moved, p.target, p.side, p.extra, p.nx - p.aw / 2 >= r.x_min and p.nx + p.aw / 2 <= r.x_max and p.ny - p.aw / 2 >= r.y_min and p.ny + p.aw / 2 <= r.y_max as inside,
         sum(case when o.id is null then 0 else 1 end) as touched from compatibility_probes p join rooms r on p.scene_id = r.scene_id

@@ -66,6 +66,22 @@ def test_empty_scene(spark, tiny):
         assert evaluate(spark, name, **empty).count() == 0
 
 
+def in_view(labels, **of):
+    """Rows of visible: one view, one object for each label, all of the same place unless ``of`` gives columns by place in line."""
+    at = lambda c, i, default: of[c][i] if c in of else default
+    fixed = {"width": 0.2, "length": 0.2, "pz": 1.5, "u": 0.5, "v": 0.5, "rx": 0.0, "ry": -1.0, "dx2": 1.0, "dy2": 0.0, "cx": 0.0, "cy": 0.0, "cz": 1.0, "depth": 1.0}
+    return [{"scene_id": "s", "cam": "cam0", "id": at("id", i, f"o{i}"), "label": x} | {c: float(at(c, i, v)) for c, v in fixed.items()} for i, x in enumerate(labels)]
+
+
+def test_compatibility_of_all_ordered_pairs(spark, tiny):
+    seen = in_view(["x"] * 9, cx=[i / 10 for i in range(9)])
+    visible = spark.createDataFrame(seen)
+    solid = visible.select("scene_id", "id", "cx", "cy", "width", "length")
+    got = evaluate(spark, "spatial_compatibility", visible=visible, solid=solid, rooms=tiny["rooms"]).collect()
+    pairs = {(a["id"], b["id"], side) for a in seen for b in seen if a["id"] != b["id"] for side in ("left of", "right of")}
+    assert len(got) == len(pairs) == 144 and {(r.moved, r.target, r.side) for r in got} == pairs
+
+
 @pytest.mark.parametrize("name", ["scan_objects", "stepped_cameras", "camera_motion", "viewpoint_change", "placement_feasible", "majority_vote", "percentile_boxes", "mask_centroid", "spatial_merge", "equilibrium_window", "point_projection"])
 def test_against_oracle(spark, name):
     con = duckdb.connect()
