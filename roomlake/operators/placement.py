@@ -45,10 +45,11 @@ def probes(d: Spark) -> str:
 
 @relation
 def feasible(d: Spark) -> str:
-    """Places where a small object fits on a surface beside what stands there."""
-    return """select m.scene_id, m.id, p.surface, p.place, p.x, p.y, p.usable from (select * from (select s.*, row_number() over (partition by scene_id order by md5(id), id) as nth from solid s
-        where is_solid and id not in (select id from surface_boxes) and width <= 0.4 and length <= 0.4) a where nth <= 3) m
-        join probes p on m.scene_id = p.scene_id and abs(p.x - p.sx) + m.width / 2 <= p.sw / 2 and abs(p.y - p.sy) + m.length / 2 <= p.sl / 2
+    """Places where an object that is no surface fits on a surface beside what stands there; only pairs that fit at the centre are tried."""
+    return """select m.scene_id, m.id, p.surface, p.place, p.x, p.y, p.usable from (select o.*, s.id as surface from solid o
+        join surface_boxes s on o.scene_id = s.scene_id and o.width <= s.width and o.length <= s.length
+        where o.is_solid and not exists (select 1 from surface_boxes b where b.scene_id = o.scene_id and b.id = o.id)) m
+        join probes p on m.scene_id = p.scene_id and m.surface = p.surface and abs(p.x - p.sx) + m.width / 2 <= p.sw / 2 and abs(p.y - p.sy) + m.length / 2 <= p.sl / 2
         where not exists (select 1 from on_surface o where o.scene_id = p.scene_id and o.surface = p.surface and o.occupant <> m.id and abs(o.x - p.x) < (o.width + m.width) / 2 and abs(o.y - p.y) < (o.length + m.length) / 2)"""
 
 

@@ -82,6 +82,16 @@ def test_compatibility_of_all_ordered_pairs(spark, tiny):
     assert len(got) == len(pairs) == 144 and {(r.moved, r.target, r.side) for r in got} == pairs
 
 
+def test_placement_of_every_movable_object(spark, tiny):
+    """Five objects, one of them half a metre wide, and one whose id a surface of another scene has."""
+    small = [("s", f"m{i}", i, "vase", float(i), 3.0, 0.0, 0.5 if i == 0 else 0.1, 0.1, 0.1, 0.0) for i in range(5)]
+    tables = [("s", "T", 5, "table_1", 5.0, -2.0, 0.0, 1.0, 1.0, 1.0, 0.0), ("t", "m4", 0, "table_2", 5.0, -2.0, 0.0, 1.0, 1.0, 1.0, 0.0)]
+    objects = spark.createDataFrame(small + tables, tiny["objects"].schema)
+    # nothing stands on the table: a side w fits at those of nine places with distance + w / 2 <= 0.5
+    assert rows(evaluate(spark, "placement_feasible", objects=objects), "scene_id", "id", "surface", "places") == [("s", "m0", "T", 5 * 9), *(("s", f"m{i}", "T", 81) for i in range(1, 5))]
+    assert rows(evaluate(spark, "object_placement", objects=objects), "id") == [(f"m{i}",) for i in range(5)]
+
+
 @pytest.mark.parametrize("name", ["scan_objects", "stepped_cameras", "camera_motion", "viewpoint_change", "placement_feasible", "majority_vote", "percentile_boxes", "mask_centroid", "spatial_merge", "equilibrium_window", "point_projection"])
 def test_against_oracle(spark, name):
     con = duckdb.connect()
