@@ -12,13 +12,17 @@ from ..functions import geometry as g
 from ..plans.catalog import relation
 from ..plans.dialect import Spark
 
-SAMPLE = 12  # objects of a view, by hash, that enter joins of three and more
-
 
 def one_per_view(columns: str, source: str, key: str) -> str:
     return f"select scene_id, cam, {', '.join(re.findall(r' as ([a-z_]+)(?:,|$)', columns))} from (select {columns}, row_number() over (partition by a.scene_id, a.cam order by md5({key}), {key}) as rn {source}) t where rn = 1"
 
 
+def least_per_view(columns: tuple[str, ...], key: str, source: str) -> str:
+    """The row of a view with the smallest MD5 of ``key``, by an aggregate: candidates are never sorted."""
+    picked = ", ".join(f"min_by({c}, h) as {c}" for c in columns)
+    return f"select scene_id, cam, {picked} from (select scene_id, cam, {', '.join(columns)}, concat(md5({key}), {key}) as h from ({source}) p) q group by scene_id, cam"
+
+
 PAIR = "from dotted a join dotted b on a.scene_id = b.scene_id and a.cam = b.cam and a.id <> b.id"
 KEY = "concat(a.scene_id, a.cam, a.id, '|', b.id)"
 
@@ -61,19 +65,18 @@ def camera_object_position(d: Spark) -> str:
 
 
 @relation
-def few(d: Spark) -> str:
-    """The objects of a view that joins of three and more may use: the first by hash."""
-    return f"""select * from (select v.*, row_number() over (partition by scene_id, cam order by md5(concat(scene_id, cam, id)), id) as pick from visible v) a where pick <= {SAMPLE}"""
+def spread(d: Spark) -> str:
+    """Visible objects dealt out by view, so that joins of three and four of few rows get many tasks; a comment to the oracle."""
+    return "select /*+ repartition(64, scene_id, cam) */ * from visible"
 
 
 @relation
 def depth_ordering(d: Spark) -> str:
     """Three objects with distinct depths: a metre apart in all or by a factor of 1.3."""
     low, high = "least(a.depth, b.depth, c.depth)", "greatest(a.depth, b.depth, c.depth)"
-    key = "concat(a.scene_id, a.cam, a.id, '|', b.id, '|', c.id)"
-    return f"""select scene_id, cam, first, second, third from (select a.scene_id, a.cam, a.id as first, b.id as second, c.id as third, row_number() over (partition by a.scene_id, a.cam order by md5({key}), {key}) as rn
-        from few a join few b on a.scene_id = b.scene_id and a.cam = b.cam and a.depth < b.depth join few c on a.scene_id = c.scene_id and a.cam = c.cam and b.depth < c.depth
-        where {low} > 0 and not ({high} - {low} < 1.0 and {high} / {low} < 1.3)) t where rn = 1"""
+    return least_per_view(("first", "second", "third"), "concat(scene_id, cam, first, '|', second, '|', third)", f"""select a.scene_id, a.cam, a.id as first, b.id as second, c.id as third
+        from spread a join visible b on a.scene_id = b.scene_id and a.cam = b.cam and a.depth < b.depth join visible c on a.scene_id = c.scene_id and a.cam = c.cam and b.depth < c.depth
+        where {low} > 0 and not ({high} - {low} < 1.0 and {high} / {low} < 1.3)""")
 
 
 @relation
@@ -82,9 +85,8 @@ def route_planning(d: Spark) -> str:
     one, two = ("(b.cx - a.cx)", "(b.cy - a.cy)"), ("(c.cx - a.cx)", "(c.cy - a.cy)")
     angle = f"degrees(atan2(({one[0]}) * ({two[1]}) - ({one[1]}) * ({two[0]}), {g.dot(one, two)}))"
     apart = " and ".join(f"{g.norm(f'{p}.cx - {q}.cx', f'{p}.cy - {q}.cy')} >= 1.0" for p, q in (("a", "b"), ("a", "c"), ("b", "c")))
-    key = "concat(scene_id, cam, start, '|', facing, '|', goal)"
-    return f"""select scene_id, cam, start, facing, goal, answer from (select *, row_number() over (partition by scene_id, cam order by md5({key}), {key}) as rn from (
+    return least_per_view(("start", "facing", "goal", "answer"), "concat(scene_id, cam, start, '|', facing, '|', goal)", f"""select * from (
         select scene_id, cam, start, facing, goal, case when angle between -120 and -60 then 'Turn Right' when angle between 60 and 120 then 'Turn Left' when abs(angle) > 150 then 'Turn Back' end as answer from (
         select a.scene_id, a.cam, a.id as start, b.id as facing, c.id as goal, round({angle}, 9) as angle
-        from few a join few b on a.scene_id = b.scene_id and a.cam = b.cam and a.label <> b.label join few c on a.scene_id = c.scene_id and a.cam = c.cam and c.label <> a.label and c.label <> b.label
-        where {apart}) p) q where answer is not null) r where rn = 1"""
+        from spread a join visible b on a.scene_id = b.scene_id and a.cam = b.cam and a.label <> b.label join visible c on a.scene_id = c.scene_id and a.cam = c.cam and c.label <> a.label and c.label <> b.label
+        where {apart}) t) u where answer is not null""")

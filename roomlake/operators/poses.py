@@ -6,6 +6,7 @@ from ..functions import geometry as g
 from ..functions import text
 from ..plans.catalog import relation
 from ..plans.dialect import Spark
+from .pairs import least_per_view
 
 
 @relation
@@ -55,7 +56,7 @@ def imagined(d: Spark) -> str:
     n = g.norm(x, y, z)
     return f"""select *, wy / nullif(flat, 0) as sx, -wx / nullif(flat, 0) as sy from (select *, {g.norm('wx', 'wy')} as flat from (
         select a.scene_id, a.cam, a.id as stand, b.id as face, a.label as stand_label, b.label as face_label, a.cx as qx, a.cy as qy, a.pz as qz, {x} / {n} as wx, {y} / {n} as wy, {z} / {n} as wz
-        from few a join few b on a.scene_id = b.scene_id and a.cam = b.cam and a.label <> b.label where {n} >= 1e-6) p where abs(wz) <= 0.866) q where flat >= 1e-6"""
+        from spread a join visible b on a.scene_id = b.scene_id and a.cam = b.cam and a.label <> b.label where {n} >= 1e-6) p where abs(wz) <= 0.866) q where flat >= 1e-6"""
 
 
 @relation
@@ -64,35 +65,66 @@ def imagined_relations(d: Spark) -> str:
     to = ("(c.cx - i.qx)", "(c.cy - i.qy)", "(c.cz - i.qz)")
     right, ahead, up = g.dot(to[:2], ("i.sx", "i.sy")), g.dot(to, ("i.wx", "i.wy", "i.wz")), to[2]
     return f"""select i.scene_id, i.cam, i.stand, i.face, c.id, c.label, c.u, c.v, {right} as right_, {ahead} as ahead, {up} as up, {g.norm(*to)} as far from imagined i
-        join few c on i.scene_id = c.scene_id and i.cam = c.cam and c.label <> i.stand_label and c.label <> i.face_label"""
+        join visible c on i.scene_id = c.scene_id and i.cam = c.cam and c.label <> i.stand_label and c.label <> i.face_label"""
 
 
 @relation
 def imagination_oc(d: Spark) -> str:
     words = f"concat({g.side('right_', 'right', 'left', 0.3)}, ', ', {g.side('up', 'above', 'below', 0.3)}, ', ', {g.side('ahead', 'front', 'behind', 0.3)})"
-    key = "concat(scene_id, cam, stand, '|', face, '|', id)"
-    return f"""select scene_id, cam, stand, face, id, answer from (select scene_id, cam, stand, face, id, {words} as answer, row_number() over (partition by scene_id, cam order by md5({key}), {key}) as rn
-        from imagined_relations where abs(right_) > 0.3 and abs(up) > 0.3 and abs(ahead) > 0.3) a where rn = 1"""
+    return least_per_view(("stand", "face", "id", "answer"), "concat(scene_id, cam, stand, '|', face, '|', id)", f"""select scene_id, cam, stand, face, id, {words} as answer
+        from imagined_relations where abs(right_) > 0.3 and abs(up) > 0.3 and abs(ahead) > 0.3""")
+
+
+FIRST = 8  # standpoints of a view that imagination_oo tries before all others
+
+
+@relation
+def imagined_order(d: Spark) -> str:
+    """Standpoints of a view by hash."""
+    key = "concat(scene_id, cam, stand, '|', face)"
+    return f"select *, row_number() over (partition by scene_id, cam order by md5({key}), {key}) as nth from imagined"
+
+
+def _imagined_pairs(standpoints: str) -> str:
+    """For each view the first standpoint in line with a valid pair of objects and, of its pairs, the one with the smallest MD5."""
+    to = lambda o: (f"({o}.cx - i.qx)", f"({o}.cy - i.qy)", f"({o}.cz - i.qz)")
+    side = lambda o: g.dot(to(o)[:2], ("i.sx", "i.sy"))
+    right, up, near = f"({side('a')} - {side('b')})", f"({to('a')[2]} - {to('b')[2]})", f"({g.norm(*to('b'))} - {g.norm(*to('a'))})"
+    words = f"concat({g.side('right_', 'right', 'left', 0.3)}, ', ', {g.side('up', 'above', 'below', 0.3)}, ', ', {g.side('near', 'closer', 'farther', 0.3)})"
+    other = lambda o: f"{o}.scene_id = i.scene_id and {o}.cam = i.cam and {o}.label <> i.stand_label and {o}.label <> i.face_label"
+    key = "concat(scene_id, cam, stand, '|', face, '|', id_a, '|', id_b)"
+    valid = f"""select i.scene_id, i.cam, i.nth, i.stand, i.face, a.id as id_a, b.id as id_b, {right} as right_, {up} as up, {near} as near
+        from {standpoints} i join visible a on {other('a')} join visible b on {other('b')} and a.label <> b.label where abs({right}) > 0.3 and abs({up}) > 0.3 and abs({near}) > 0.3"""
+    columns = ("stand", "face", "id_a", "id_b", "answer")
+    best = f"""select scene_id, cam, nth, {', '.join(f'min_by({c}, h) as {c}' for c in columns)} from (
+        select scene_id, cam, nth, stand, face, id_a, id_b, {words} as answer, concat(md5({key}), {key}) as h from ({valid}) p) q group by scene_id, cam, nth"""
+    return f"select scene_id, cam, {', '.join(f'min_by({c}, nth) as {c}' for c in columns)} from ({best}) r group by scene_id, cam"
+
+
+@relation
+def imagined_first(d: Spark) -> str:
+    return _imagined_pairs(f"(select * from imagined_order where nth <= {FIRST})")
+
+
+@relation
+def imagined_rest(d: Spark) -> str:
+    """Views where none of the first standpoints has a valid pair: all their others."""
+    return _imagined_pairs(f"(select o.* from imagined_order o where nth > {FIRST} and not exists (select 1 from imagined_first f where f.scene_id = o.scene_id and f.cam = o.cam))")
 
 
 @relation
 def imagination_oo(d: Spark) -> str:
-    """One object relative to another from an imagined standpoint: side, height, nearness."""
-    right, up, near = "(a.right_ - b.right_)", "(a.up - b.up)", "(b.far - a.far)"
-    words = f"concat({g.side(right, 'right', 'left', 0.3)}, ', ', {g.side(up, 'above', 'below', 0.3)}, ', ', {g.side(near, 'closer', 'farther', 0.3)})"
-    key = "concat(a.scene_id, a.cam, a.stand, '|', a.face, '|', a.id, '|', b.id)"
-    return f"""select scene_id, cam, stand, face, id_a, id_b, answer from (select a.scene_id, a.cam, a.stand, a.face, a.id as id_a, b.id as id_b, {words} as answer, row_number() over (partition by a.scene_id, a.cam order by md5({key}), {key}) as rn
-        from imagined_relations a join imagined_relations b on a.scene_id = b.scene_id and a.cam = b.cam and a.stand = b.stand and a.face = b.face and a.label <> b.label
-        where abs({right}) > 0.3 and abs({up}) > 0.3 and abs({near}) > 0.3) t where rn = 1"""
+    """One object relative to another from an imagined standpoint: side, height, nearness.
+
+    The standpoint is the first by hash with any valid pair; trying a few first only saves work."""
+    return "select * from imagined_first union all select * from imagined_rest"
 
 
 @relation
 def csr_multi_step(d: Spark) -> str:
     """The diagonal in which a third object lies for an imagined observer."""
-    key = "concat(scene_id, cam, stand, '|', face, '|', id)"
-    return f"""select scene_id, cam, stand, face, id, answer from (select scene_id, cam, stand, face, id, concat(case when ahead > 0 then 'front' else 'back' end, '-', case when right_ > 0 then 'right' else 'left' end) as answer,
-        row_number() over (partition by scene_id, cam order by md5({key}), {key}) as rn from imagined_relations
-        where abs(right_) > 0.3 and abs(ahead) > 0.3 and u between 0.02 and 0.98 and v between 0.02 and 0.98) a where rn = 1"""
+    return least_per_view(("stand", "face", "id", "answer"), "concat(scene_id, cam, stand, '|', face, '|', id)", """select scene_id, cam, stand, face, id, concat(case when ahead > 0 then 'front' else 'back' end, '-', case when right_ > 0 then 'right' else 'left' end) as answer
+        from imagined_relations where abs(right_) > 0.3 and abs(ahead) > 0.3 and u between 0.02 and 0.98 and v between 0.02 and 0.98""")
 
 
 @relation

@@ -1,5 +1,7 @@
 """The tiny scene with results worked out by hand, readers, and results against the oracle SQL."""
 
+import hashlib
+import itertools
 import json
 
 import duckdb
@@ -92,6 +94,25 @@ def test_placement_of_every_movable_object(spark, tiny):
     assert rows(evaluate(spark, "object_placement", objects=objects), "id") == [(f"m{i}",) for i in range(5)]
 
 
+@pytest.mark.parametrize("name", ["depth_ordering", "route_planning", "csr_multi_step", "imagination_oc", "imagination_oo"])
+def test_objects_late_by_hash_are_found(spark, name):
+    """Fourteen objects alike, and three, last by hash, that every valid choice needs."""
+    ids = sorted((f"o{i}" for i in range(17)), key=lambda i: hashlib.md5(f"scam0{i}".encode()).hexdigest())
+    place = lambda alike, *others: [alike] * 14 + list(others)
+    seen = in_view(place("x", "p", "q", "r"), id=ids, depth=place(1, 3, 5, 7), cx=place(0, 3, -1, 2), cy=place(0, 0.5, 3, -3), cz=place(1, 1, 2.2, 3.4))
+    got = evaluate(spark, name, visible=spark.createDataFrame(seen)).collect()
+    assert len(got) == 1 and len(set(ids[14:]) & set(got[0])) >= 2
+
+
+def test_depth_ordering_is_the_smallest_hash_of_all(spark):
+    depth = [1 + i * 7 % 20 / 4 for i in range(20)]
+    near = [i for _, i in sorted(zip(depth, range(20)))]
+    valid = [[f"o{i}" for i in t] for t in itertools.combinations(near, 3) if depth[t[2]] - depth[t[0]] >= 1 or depth[t[2]] / depth[t[0]] >= 1.3]
+    want = min(valid, key=lambda t: hashlib.md5(f"scam0{t[0]}|{t[1]}|{t[2]}".encode()).hexdigest())
+    got = evaluate(spark, "depth_ordering", visible=spark.createDataFrame(in_view(["x"] * 20, depth=depth)))
+    assert rows(got, "first", "second", "third") == [tuple(want)]
+
+
 @pytest.mark.parametrize("name", ["scan_objects", "stepped_cameras", "camera_motion", "viewpoint_change", "placement_feasible", "majority_vote", "percentile_boxes", "mask_centroid", "spatial_merge", "equilibrium_window", "point_projection"])
 def test_against_oracle(spark, name):
     con = duckdb.connect()
