@@ -39,9 +39,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group linked by five-word shingles at 0.8."""
-    kept = minhash.near_duplicates(docs, shingle=5, percent=80).filter("kept").select("doc_id")
-    return _like(docs, docs.join(kept, "doc_id", "left_semi"))
+    """One row, the one of the smallest id, of each group linked by five-word shingles at 0.8.
+
+    Rows are told apart by a key of this stage, written once: rows without an id and rows that repeat
+    one count like any other.  Rows without an id come last in their group; ties go by a hash of the text.
+    """
+    store = Store(spark, "near_dedup")
+    rows = store.put(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = minhash.near_duplicates(rows, "_row", shingle=5, percent=80).select("_row", "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("h"), "_row")
+    kept = rows.select("_row", rank.alias("rank")).join(groups, "_row").groupBy("component_id").agg(F.min("rank").alias("rank"))
+    return _like(docs, rows.join(kept.select(F.col("rank._row").alias("_row")), "_row", "left_semi"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

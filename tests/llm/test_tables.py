@@ -2,6 +2,7 @@
 
 import pytest
 
+import corpus_pipeline
 from roomlake.llm import bpe, covertree, impact, kdshard, langid, mincut, minhash, packing, suffix, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -98,3 +99,12 @@ def test_null_ids(spark, docs):
     assert suffix.repeated_spans(mixed).count() == 23 and suffix.repeated_spans(mixed).filter("doc_id is null and size(spans) > 0").count() == 0
     assert packing.packed(packing.sized(mixed)).filter("doc_id is null").count() == 11
     assert kdshard.shards(lone, 3).count() == 11 and minhash.near_duplicates(mixed).count() == 23
+
+
+def test_near_duplicate_stage_without_or_with_repeated_ids(spark):
+    """One row of each group stays, whatever the ids: none, or one for several rows."""
+    a, b, c = ("the quick brown fox jumps over the lazy dog again", "many rivers run slowly down to the wide open sea", "seven old ships sail past the harbour wall at dawn")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, c), (2, c), (None, c), (3, "one more text that shares no words with others here"), (3, "a second row of that id and of other words entirely"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(None, a), (None, b), (1, c), rows[7], rows[8], (None, None)], key=repr)
