@@ -9,7 +9,7 @@ all set.  The highest corrected share decides, ties by name; the score is its pa
 
 N-grams are GRAM bytes of the text with ASCII letters in lower case and runs of other ASCII bytes as
 one space.  Null texts and texts without a letter are ``und`` with score 0; a text without a single
-full n-gram is looked up padded with spaces.  At most 64 languages can be learned.
+full n-gram (one ASCII letter) is looked up by that letter as a word, which is fitted like an n-gram.  At most 64 languages can be learned.
 
 The filters are fitted on a bounded sample of labelled rows (``per_language``); n-gram frequencies
 are counted on the executors and only n-grams that SUPPORT of a language's sampled texts contain come
@@ -51,8 +51,11 @@ class Filters:
     false_positive: np.ndarray
 
 
-def gram_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, cuts) of the n-grams of rows: row i has hashes[cuts[i]:cuts[i + 1]]."""
+def gram_hashes(raw: np.ndarray, offsets: np.ndarray, lone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, cuts) of the n-grams of rows: row i has hashes[cuts[i]:cuts[i + 1]].
+
+    Words of one letter count too, as their byte: with ``lone`` in all rows, else in those without a full n-gram.
+    """
     n = len(offsets) - 1
     size = np.diff(offsets)
     # two spaces before and after every row, so that words at its ends count like others
@@ -64,14 +67,20 @@ def gram_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 32) | (out[:-1] != 32) | (row[1:] != row[:-1])
     out, row = out[keep], row[keep]
-    if len(out) < GRAM:
-        return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
-    word = out[: len(out) - GRAM + 1].astype(np.uint32)
+    full = max(len(out) - GRAM + 1, 0)
+    word = out[:full].astype(np.uint32)
     for i in range(1, GRAM):
-        word = word << np.uint32(8) | out[i : len(out) - GRAM + 1 + i]
-    whole = row[: len(word)] == row[GRAM - 1 :]
-    word, row = word[whole], row[: len(whole)][whole]
-    return word, np.searchsorted(row, np.arange(n + 1))
+        word = word << np.uint32(8) | out[i : full + i]
+    whole = row[:full] == row[GRAM - 1 :]
+    word, owner = word[whole], row[:full][whole]
+    at = np.flatnonzero((out[:-2] == 32) & (out[1:-1] != 32) & (out[2:] == 32) & (row[:-2] == row[2:])) + 1
+    if not lone:
+        at = at[np.bincount(owner, minlength=n)[row[at]] == 0]
+    if len(at):
+        word, owner = np.concatenate([word, out[at].astype(np.uint32)]), np.concatenate([owner, row[at]])
+        order = np.argsort(owner, kind="stable")
+        word, owner = word[order], owner[order]
+    return word, np.searchsorted(owner, np.arange(n + 1))
 
 
 def _slots(grams: np.ndarray, size: int) -> list[np.ndarray]:
@@ -126,7 +135,7 @@ def _sampled_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         offsets, raw = buffers(batch.column(1))
         langs = np.array(batch.column(0).to_pylist(), object)
         for i, j in pieces(offsets):
-            grams, cuts = gram_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            grams, cuts = gram_hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lone=True)
             owner = np.repeat(np.arange(i, j), np.diff(cuts))
             once = np.unique(owner.astype(np.uint64) << U64(32) | grams)
             gram, lang = (once & U64(0xFFFFFFFF)).astype(np.int64), langs[(once >> U64(32)).astype(np.int64)]

@@ -131,3 +131,14 @@ def test_filters_tell_languages():
     raw = "THE CAT with the hat".encode()
     share, n = langid.shares(f, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     assert share[0, 0] > 0.7 > share[0, 1] and n[0] > 10
+
+
+def test_every_text_with_a_letter_has_grams():
+    texts = [b"A.", b"", b"  ", b"x", "\u00e9".encode(), b"a  b"]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    got, cuts = langid.gram_hashes(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    want = [[b"a"], [], [], [b"x"], [b" \xc3\xa9 "], [b" a b", b"a b "]]
+    assert [[int(g).to_bytes(4, "big").lstrip(b"\0") for g in got[cuts[i] : cuts[i + 1]]] for i in range(len(texts))] == want
+    one = langid.build({"en": langid.gram_hashes(np.frombuffer(b"this is a cat", np.uint8), np.array([0, 13]), lone=True)[0], "xx": np.zeros(0, np.uint32)})
+    share, n = langid.shares(one, np.frombuffer(b"A.", np.uint8), np.array([0, 2]))
+    assert n[0] == 1 and share[0, 0] == 1 and share[0, 1] == 0
