@@ -25,17 +25,15 @@ def _like(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity model says non-toxic; trained on the labels of ``docs``."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.severity(docs, model, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")) + ("text",))
-    return _like(docs, scored.filter(F.col("p_toxic") < TOXIC))
+    return _like(docs, toxicity.severity(docs, model).filter(F.col("p_toxic") < TOXIC))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; lang is set to the one found."""
     filters = langid.fit(docs)
-    kept = tuple(c for c in docs.columns if c not in ("doc_id", "text", "lang")) + ("text",)
-    found = langid.predict(docs.drop("lang"), filters, keep=kept)
+    found = langid.predict(docs, filters)
     found = found.filter((F.col("lang_pred") != langid.UND) & (F.col("hit_share") >= LEAST_SHARE))
-    return _like(docs, found.withColumnRenamed("lang_pred", "lang"))
+    return _like(docs, found.withColumn("lang", F.col("lang_pred")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +55,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A character goes when all of its bytes do.  Documents of which nothing is left go.
     """
-    found = suffix.repeated_spans(docs)
-    cut = suffix.without_spans(docs, found)
+    cut = suffix.without_repeats(docs)
     return _like(docs, cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).filter("text <> ''"))
 
 

@@ -7,7 +7,10 @@ hold about ten eight-byte arrays, which stays near 100 MB however long the batch
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives its unused memory back; reused workers would keep it."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, U64)
     out[0] = 1
@@ -117,6 +142,32 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) ->
     return start, end, row
 
 
+_LONG = 1024  # bytes of a word; the few longer ones are hashed one by one
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words start..end, by eight bytes at a time.
+
+    Every step is a bijective mix of the state and eight bytes, so words of up to eight bytes never
+    collide and no structure of a longer word (like that of words that collide in any polynomial
+    modulo a power of two) survives.
+    """
+    data = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", data, strides=(1,))
+    size = end - start
+    h = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(1))
+    h = mix(h ^ (eight[start] & _MASK[np.minimum(size, 8)]))
+    rest, at = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(rest):
+        h[rest] = mix(h[rest] ^ (eight[start[rest] + at] & _MASK[np.minimum(size[rest] - at, 8)]))
+        at += 8
+        rest = rest[size[rest] > at]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
 def shingle_hashes(words: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of each row, (hash, row); a shorter row is one shingle."""
     count = np.bincount(row, minlength=n_rows)
@@ -145,7 +196,7 @@ def row_shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarr
     """(hashes, cuts): of row i the sorted distinct hashes of its k-word shingles lie at cuts[i]:cuts[i + 1]."""
     low = LOWER[buf]
     start, end, row = word_spans(low, offsets)
-    words = spans_hash(prefix(low), start, end)
+    words = word_hashes(low, start, end)
     n = len(offsets) - 1
     h, r = shingle_hashes(words, row, n, k)
     cut = np.searchsorted(r, np.arange(n + 1))

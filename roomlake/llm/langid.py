@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import U64, buffers, mix, pieces
+from .bytesops import U64, buffers, give_back, lean, mix, pieces
 from .store import Store
 
 GRAM = 4
@@ -160,7 +160,7 @@ def fit(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str =
     sample = store.put(taken.select("lang", "text"), "sample")
     sampled = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     least = F.create_map(*[x for k, n in sorted(sampled.items()) for x in (F.lit(k), F.lit(max(1.0, SUPPORT * n)))]) if sampled else F.create_map()
-    grams = sample.mapInArrow(_sampled_grams, "lang string, gram long, texts long").groupBy("lang", "gram").agg(F.sum("texts").alias("texts"))
+    grams = sample.mapInArrow(lean(_sampled_grams), "lang string, gram long, texts long").groupBy("lang", "gram").agg(F.sum("texts").alias("texts"))
     kept = grams.filter(F.col("texts") >= least[F.col("lang")]).select("lang", "gram").toPandas() if sampled else None
     store.drop("sample")
     if kept is None:
@@ -168,31 +168,35 @@ def fit(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str =
     return build({name: part["gram"].to_numpy().astype(np.uint32) for name, part in kept.groupby("lang")})
 
 
-def predict(docs: DataFrame, filters: Filters, *, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, hit_share, columns of ``keep``): the language of every whole text.
+def _languages(spread):
+    """Texts to (lang_pred, score, hit_share)."""
 
-    score is the best language's part of the corrected shares, hit_share its corrected share.
-    """
-    columns = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"), *keep)
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "lang_pred string, score double, hit_share double"
-    spread = docs.sparkSession.sparkContext.broadcast(filters)  # of a size that build() bounds
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         filters = spread.value
-        for batch in batches:
-            offsets, raw = buffers(batch.column(1))
-            for i, j in pieces(offsets):
-                part = batch.slice(i, j - i)
+        for texts in columns:
+            offsets, raw = buffers(texts)
+            pred, score, top = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            for i, j in pieces(offsets) if filters.names else ():
                 off, own = offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]]
                 share, n = shares(filters, own, off)
-                known = _letters(part.column(1), own, off) & (n > 0)
-                if not filters.names:
-                    pred, score, top = [UND] * (j - i), np.zeros(j - i), np.zeros(j - i)
-                else:
-                    best = share.argmax(axis=1)
-                    top = np.where(known, share[np.arange(j - i), best], 0.0)
-                    score = np.where(known, top / np.maximum(share.sum(axis=1), 1e-12), 0.0)
-                    pred = [filters.names[b] if k else UND for b, k in zip(best.tolist(), known.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(pred, pa.string()), pa.array(score), pa.array(top)], names=[id_col, *keep, "lang_pred", "score", "hit_share"])
-
-    return columns.mapInArrow(run, schema)
+                known = _letters(texts.slice(i, j - i), own, off) & (n > 0)
+                best = share.argmax(axis=1)
+                top[i:j] = np.where(known, share[np.arange(j - i), best], 0.0)
+                score[i:j] = top[i:j] / np.maximum(share.sum(axis=1), 1e-12)
+                pred[i:j] = [filters.names[b] if k else UND for b, k in zip(best.tolist(), known.tolist())]
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score), pa.array(top)], names=["lang_pred", "score", "hit_share"])
+        give_back()
+
+    return run
+
+
+def predict(docs: DataFrame, filters: Filters, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred, score and hit_share of every whole text (columns of these names are replaced).
+
+    score is the best language's part of the corrected shares, hit_share its corrected share.  Only the
+    texts go to Python; repeated rows and rows without an id count like others.
+    """
+    spread = docs.sparkSession.sparkContext.broadcast(filters)  # of a size that build() bounds
+    found = F.arrow_udf(_languages(spread), "lang_pred string, score double, hit_share double").asNondeterministic()
+    rows = docs.drop("lang_pred", "score", "hit_share", "_found").withColumn("_found", found(F.col(text_col)))
+    return rows.select(*(c for c in rows.columns if c != "_found"), "_found.lang_pred", "_found.score", "_found.hit_share")

@@ -9,11 +9,13 @@ concentration of independent MinHash.
 BANDS bands of ROWS bins: a pair at similarity s shares a band with probability
 1 - (1 - s^ROWS)^BANDS; at 0.8 it is missed with probability 5e-8.
 
-Equal sets are one class from the start.  Classes that share a band are compared on their full sets:
-first every class with the smallest of each of its bands (a star: no bucket emits its pairs), then,
-for buckets that still hold several components, the pairs between components, found by an exact
-prefix filter and cut by exact bounds.  Pairs inside one component cannot change it and are not
-compared.
+Equal sets are one class from the start (two 64-bit sums over 64-bit hashes of their shingles, and
+their size).  Classes that share a band are compared on their full sets: first every class with the
+smallest of each of its bands (a star: no bucket emits its pairs), then, in buckets that still hold
+several components, the pairs between components that exact bounds allow.  Buckets of up to PAIRED
+such members are joined by the band; members of larger ones by the tokens of an exact prefix filter,
+so that what many documents share (a passage, a frequent line) brings no two of them together.
+Pairs inside one component cannot change it and are not compared.
 
 Null and empty texts have no words: their set is empty and they link with nothing.  Ties and
 repeated rows: ids are taken to identify rows; equal texts get one class.  Other columns are left
@@ -29,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import U64, mix, row_shingles, text_rows
+from .bytesops import U64, lean, mix, row_shingles, text_rows
 from .components import components, with_component
 from .store import Store
 
 ROWS, BANDS = 4, 32
 BINS = ROWS * BANDS
-WORDS = 8  # 64-bit words of a parity bitmap
+WORDS = 32  # 64-bit words of a parity bitmap
+PAIRED = 256  # members of a bucket whose pairs between components are joined by the band
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be broadcast; more are joined by shuffle
 _SALT = mix(np.arange(1, 2 * BINS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
@@ -166,8 +169,15 @@ def _may_link(percent: int):
     return (F.col("ca") != F.col("cb")) & (most * 100 >= (size - most) * percent) & (differ * (100 + percent) <= size * (100 - percent))
 
 
-def _side(rows: DataFrame, x: str, *keys: str) -> DataFrame:
-    return rows.select(*keys, F.col("id").alias(x), *(F.col(c).alias(c[0] + x) for c in ("comp", "n", "m")), *(F.get("bits", F.lit(w)).alias(f"{x}{w}") for w in range(WORDS)))
+def _side(rows: DataFrame, x: str, key: str) -> DataFrame:
+    return rows.select(key, F.col("id").alias(x), *(F.col(c).alias(c[0] + x) for c in ("comp", "n", "m")), *(F.get("bits", F.lit(w)).alias(f"{x}{w}") for w in range(WORDS)))
+
+
+def _pairs_by(key: str, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of rows (key, id, comp, n, m, bits) of one key and two components that may link."""
+    mixed = rows.groupBy(key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(key)
+    one, two = _side(rows.join(mixed, key, "left_semi"), "a", key), _side(rows, "b", key)
+    return one.join(two, (one[key] == two[key]) & (one.a < two.b) & _may_link(percent)).select("a", "b").distinct()
 
 
 def _prefix_pairs(ordered: DataFrame, store: Store, percent: int) -> DataFrame:
@@ -180,9 +190,7 @@ def _prefix_pairs(ordered: DataFrame, store: Store, percent: int) -> DataFrame:
     length = F.col("m") - F.ceil(F.col("n") * percent / 100) + 1
     heads = ordered.withColumn("length", length.cast("int")).filter("length > 0").select("id", "comp", "n", "m", "bits", F.explode(F.slice("order", 1, F.col("length"))).alias("head"))
     heads = store.put(heads.select(F.col("head.token").alias("token"), "id", "comp", "n", "m", "bits"), "heads")
-    mixed = heads.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    one, two = _side(heads.join(mixed, "token", "left_semi"), "a", "token"), _side(heads, "b", "token")
-    return one.join(two, (one.token == two.token) & (one.a < two.b) & _may_link(percent)).select("a", "b").distinct()
+    return _pairs_by("token", heads, percent)
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -199,14 +207,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     store = Store(docs.sparkSession, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = store.put(texts.mapInArrow(_sketch_batches(shingle), _SKETCHED), "sketched")
+    sketched = store.put(texts.mapInArrow(lean(_sketch_batches(shingle)), _SKETCHED), "sketched")
     one_class = sketched.filter("n_shingles > 0").groupBy("n_shingles", "sig1", "sig2")
     classes = store.put(one_class.agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
     banded = classes.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("first")).filter("c > 1")
     members = store.put(banded.join(buckets, "key").select("key", "rep", "n", F.col("first.rep").alias("pivot"), F.col("first.n").alias("pn")), "members")
     ids = store.put(members.select(F.col("rep").alias("id")).distinct(), "ids")
-    sets = store.put(semi_by_id(texts, ids).mapInArrow(_set_batches(shingle), _SETS), "sets")
+    sets = store.put(semi_by_id(texts, ids).mapInArrow(lean(_set_batches(shingle)), _SETS), "sets")
 
     # a star on the smallest id of each bucket
     fits = (F.col("rep") != F.col("pivot")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
@@ -215,12 +223,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(links, store, "cc1")
 
     # what is left: the pairs between components of one bucket that may link
-    rest = _mixed(members, found).select("id", "comp").distinct()
-    ordered = store.put(_ordered(sets.join(rest, "id")), "ordered")
-    pairs = store.put(_prefix_pairs(ordered, store, percent), "pairs")
+    rest = store.put(_mixed(members, found), "rest")
+    sizes = rest.groupBy("key").agg(F.count("*").alias("c"))
+    narrow = rest.join(sizes.filter(F.col("c") <= PAIRED).select("key"), "key", "left_semi")
+    facts = sets.select("id", F.size("items").alias("n"), F.size("items").alias("m"), "bits")
+    pairs = _pairs_by("key", narrow.join(facts, "id"), percent)
+    if sizes.filter(F.col("c") > PAIRED).limit(1).count():
+        wide = rest.join(sizes.filter(F.col("c") > PAIRED).select("key"), "key", "left_semi").select("id", "comp").distinct()
+        ordered = store.put(_ordered(sets.join(wide, "id")), "ordered")
+        pairs = pairs.union(_prefix_pairs(ordered, store, percent)).distinct()
+    pairs = store.put(pairs, "pairs")
     links = store.put(links.union(_verified(pairs, sets, percent)), "links2")
     found = components(links, store, "cc2")
-    store.drop("members", "ids", "sets", "ordered", "heads", "pairs", "links1", "links2")
+    store.drop("members", "ids", "sets", "rest", "ordered", "heads", "pairs", "links1", "links2")
 
     reps = with_component(classes.select("n_shingles", "sig1", "sig2", "rep"), found, "rep").drop("rep")
     out = sketched.select("id", "n_shingles", "sig1", "sig2").join(reps, ["n_shingles", "sig1", "sig2"], "left")

@@ -52,7 +52,7 @@ def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return severity(docs, model).withColumn("rejected", F.col("p_toxic") >= 0.5)
+    return severity(docs, model).select("doc_id", "severity", "p_toxic", "grade", (F.col("p_toxic") >= 0.5).alias("rejected"))
 
 
 def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ smaller id.  Only strings that two documents share matter, and they are found in
 
 1. Anchors.  Every LENGTH-byte window holds LENGTH - GRAM + 1 GRAM-byte strings; the one of the
    smallest hash is its anchor.  Equal windows have equal anchors at equal places, so windows whose
-   anchor only one document has cannot repeat.  About one byte in sixteen is an anchor.
+   anchor only one document has cannot repeat.  About one byte in sixteen is an anchor.  Anchors that
+   two documents of a small sample hold are shared for certain: at most HOT of them, the most frequent,
+   are broadcast, and so never meet in one task.
 2. Contexts.  Around each anchor that two documents share, the bytes of all windows that hold it.
    Equal contexts are one from here on, with their smallest document.  An anchor with one context is
    settled: all its windows start first in that document.
@@ -17,9 +19,11 @@ smaller id.  Only strings that two documents share matter, and they are found in
    smallest document of each such run is where the string starts first.
 
 Texts that are copies of a smaller document's go as a whole (if they have LENGTH bytes at least) and
-take no part in the search.  Null and empty texts have no bytes.  Texts are whole; matches never
-cross documents.  Rows without an id lose nothing and take nothing from others; rows that share an
-id are one document's.
+take no part in the search.  Null and empty texts have no bytes.  Texts are whole, of any length;
+matches never cross documents.  Rows without an id lose nothing and take nothing from others; rows that
+share an id are one document's and each keeps its own result.  An empty table gives no rows.  Columns
+to carry along may have any names.  Python workers get rows in Arrow batches and work on pieces of
+bounded size of them; the only groups that meet in one task are blocks.
 """
 
 from __future__ import annotations
@@ -28,20 +32,21 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytesops import U64, buffers, mix, prefix, spans_hash, text_rows
+from .bytesops import U64, give_back, lean, mix, prefix, spans_hash, text_rows
 from .minhash import BROADCAST_IDS
 from .store import Store
 
 LENGTH = 50
 GRAM = 20
 WINDOW = LENGTH - GRAM + 1  # anchors of a window
-GROUP = 128  # documents (by id) that are read together
-BLOCK_BYTES = 2 << 20  # of contexts in a block, about
+HOT = 50_000  # anchors that are broadcast, at most
+HOT_DOCS = 20_000  # documents that are looked at for them, about
+BLOCK_BYTES = 1 << 20  # of contexts in a block, about
 MANY = 8192  # contexts of one anchor; more are dealt by whole windows
 END = 255  # a byte that no UTF-8 text holds
 
@@ -71,45 +76,69 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, h[at]
 
 
-def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct anchors of each group of documents in a piece, with their first and last document."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, j, offsets, raw in text_rows(batch):
-            at, h = anchors(raw, offsets)
-            doc = ids[i:j][np.searchsorted(offsets, at, side="right") - 1]
-            order = np.lexsort((doc, h, doc // GROUP))
-            h, doc = h[order], doc[order]
-            g = doc // GROUP
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(h))[: len(first)] - 1
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(g[first]), pa.array(doc[first]), pa.array(doc[last])], names=["h", "g", "lo", "hi"])
-
-
-def _contexts(key: tuple[pa.Scalar, ...], docs: pa.Table, shared: pa.Table) -> pa.Table:
-    """Of a group's documents every anchor in ``shared``, with its context."""
-    known = np.sort(shared.column("h").to_numpy().view(U64))
-    out: dict[str, list] = {k: [] for k in ("h", "k1", "k2", "id", "pos", "left")}
-    text: list[bytes] = []
-    for batch in docs.combine_chunks().to_batches() if len(known) else ():
-        ids = batch.column(0).to_numpy()
-        for i, j, offsets, raw in text_rows(batch):
-            at, h = anchors(raw, offsets)
-            keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-            at, h = at[keep], h[keep]
-            row = np.searchsorted(offsets, at, side="right") - 1
-            lo = np.maximum(offsets[row], at - (LENGTH - GRAM))
-            hi = np.minimum(offsets[row + 1], at + LENGTH)
-            k1 = spans_hash(prefix(raw), lo, hi)
-            k2 = mix(k1 ^ mix(spans_hash(prefix(raw[::-1]), len(raw) - hi, len(raw) - lo)) + (at - lo).astype(U64))
-            data = raw.tobytes()
-            text += [data[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
-            for k, v in zip(out, (h.view(np.int64), k1.view(np.int64), k2.view(np.int64), ids[i:j][row], lo - offsets[row], at - lo)):
-                out[k].append(v)
-    flat = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in out.items()}
-    return pa.table({**{k: pa.array(v.astype(np.int64)) for k, v in flat.items()}, "text": pa.array(text, pa.binary())})
+def _known(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are in the sorted array ``known``."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+def _anchor_rows(hot):
+    """The distinct anchors of each document, but those that are known to be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skip = hot.value if hot is not None else np.zeros(0, U64)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j, offsets, raw in text_rows(batch):
+                at, h = anchors(raw, offsets)
+                row = np.searchsorted(offsets, at, side="right") - 1
+                if len(skip):
+                    new = ~_known(h, skip)
+                    h, row = h[new], row[new]
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(ids[i:j][row[new]])], names=["h", "id"])
+
+    return lean(run)
+
+
+def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie one after another in ``flat`` and end at ``ends``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _slices(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    size = hi - lo
+    ends = np.cumsum(size)
+    return _binary(raw[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(lo - (ends - size), size)], ends)
+
+
+def _contexts(hot):
+    """Every shared anchor of (id, text, its document's shared anchors), with its context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for i, j, offsets, raw in text_rows(batch):
+                # an anchor that any document shares is shared in every document that holds it
+                own = batch.column(2).slice(i, j - i).flatten().to_numpy().view(U64)
+                known = np.unique(np.concatenate([own, hot.value])) if hot is not None else np.unique(own)
+                at, h = anchors(raw, offsets)
+                keep = _known(h, known)
+                at, h = at[keep], h[keep]
+                if not len(at):
+                    continue
+                row = np.searchsorted(offsets, at, side="right") - 1
+                lo = np.maximum(offsets[row], at - (LENGTH - GRAM))
+                hi = np.minimum(offsets[row + 1], at + LENGTH)
+                k1 = spans_hash(prefix(raw), lo, hi)
+                k2 = mix(k1 ^ mix(spans_hash(prefix(raw[::-1]), len(raw) - hi, len(raw) - lo)) + (at - lo).astype(U64))
+                flat = (h.view(np.int64), k1.view(np.int64), k2.view(np.int64), ids[i:j][row], lo - offsets[row], at - lo)
+                yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int64)) for v in flat), _slices(raw, lo, hi)], names=["h", "k1", "k2", "id", "pos", "left", "text"])
+
+    return lean(run)
 
 
 _OCCURRENCES = "h long, k1 long, k2 long, id long, pos long, left long, text binary"
@@ -234,6 +263,7 @@ def _block(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         first[a[i] : a[i] + len(part)] = part
         out.append(first.tobytes())
     take = pa.array(may)
+    give_back()
     return pa.table({"k1": table.column("k1").take(take), "k2": table.column("k2").take(take), "first": pa.array(out, pa.binary())})
 
 
@@ -258,7 +288,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_windows(contexts: DataFrame) -> DataFrame:
     """(k1, k2, first) of contexts of anchors with very many contexts, without collecting them."""
-    w = contexts.select("k1", "k2", "lo", "text").mapInArrow(_windows, "k1 long, k2 long, lo long, off int, w1 long, w2 long")
+    w = contexts.select("k1", "k2", "lo", "text").mapInArrow(lean(_windows), "k1 long, k2 long, lo long, off int, w1 long, w2 long")
     least = w.groupBy("w1", "w2").agg(F.min("lo").alias("least"))
     seen = w.join(least, ["w1", "w2"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("off", "least"))).alias("f"))
 
@@ -266,7 +296,7 @@ def _by_windows(contexts: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.asarray(x, np.int64).tobytes() for x in b.column(2).to_pylist()], pa.binary())], names=["k1", "k2", "first"])
 
-    return seen.select("k1", "k2", F.col("f.least").alias("f")).mapInArrow(pack, "k1 long, k2 long, first binary")
+    return seen.select("k1", "k2", F.col("f.least").alias("f")).mapInArrow(lean(pack), "k1 long, k2 long, first binary")
 
 
 def _spans_of(mask: np.ndarray) -> np.ndarray:
@@ -279,61 +309,102 @@ def _covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(np.bincount(start, minlength=n + 1)[: n + 1] - np.bincount(end, minlength=n + 1)[: n + 1])[:n] > 0
 
 
-def _cut(key: tuple[pa.Scalar, ...], docs: pa.Table, found: pa.Table) -> pa.Table:
-    """Per document of a group: its bytes, what stays of them, and the removed spans."""
-    offsets, raw = buffers(docs.column("text"))
-    ids = docs.column("id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    hit, pos, size, lo = (found.column(c).to_numpy() for c in ("id", "pos", "size", "lo"))
-    # every row of a document gets its occurrences
-    at, to = (np.searchsorted(ids[order], hit, side=s) for s in ("left", "right"))
-    which = np.repeat(np.arange(len(hit)), to - at)
-    row = order[np.arange(len(which)) - np.repeat(np.cumsum(to - at) - (to - at), to - at) + at[which]] if len(which) else which
-    base = offsets[:-1][row] + pos[which]
-    firsts = found.column("first").combine_chunks()
-    plain = firsts.is_null().to_numpy(zero_copy_only=False)[which]
-    use = plain & (lo[which] < ids[row])
-    start, end = [base[use]], [base[use] + size[which][use]]
+def _mask(ids: np.ndarray, offsets: np.ndarray, copy: np.ndarray, hits: pa.ListArray) -> np.ndarray:
+    """Which bytes of the rows go, by their copies' marks and their occurrences."""
+    n = int(offsets[-1])
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(hits), 0).to_numpy())
+    found = hits.flatten()
+    pos, length, lo = (found.field(c).to_numpy() for c in ("pos", "size", "lo"))
+    base = offsets[:-1][row] + pos
+    firsts = found.field("first")
+    plain = firsts.is_null().to_numpy(zero_copy_only=False)
+    use = plain & (lo < ids[row])
+    start, end = [base[use], offsets[:-1][copy & (size >= LENGTH)]], [base[use] + length[use], offsets[1:][copy & (size >= LENGTH)]]
     some = np.flatnonzero(~plain)
     if len(some):
-        values = np.frombuffer(b"".join(firsts.take(pa.array(which[some])).to_pylist()), np.int64)
-        count = size[which[some]] - LENGTH + 1
+        values = np.frombuffer(b"".join(firsts.drop_null().to_pylist()), np.int64)
+        count = length[some] - LENGTH + 1
         owner = np.repeat(some, count)
         off = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         goes = values < ids[row[owner]]
         start.append((base[owner] + off)[goes])
         end.append((base[owner] + off)[goes] + LENGTH)
-    mask = _covered(np.concatenate(start), np.concatenate(end), len(raw))
-    kept, spans = [], []
-    for i, copy in enumerate(docs.column("copy").to_pylist()):
-        own, gone = raw[offsets[i] : offsets[i + 1]], mask[offsets[i] : offsets[i + 1]]
-        if copy and len(own) >= LENGTH:
-            gone = np.ones(len(own), bool)
-        kept.append(own[~gone].tobytes())
-        spans.append(_spans_of(gone).ravel().tolist())
-    return pa.table({"id": docs.column("id"), "n_bytes": pa.array(np.diff(offsets)), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.int64()))})
+    return _covered(np.concatenate(start), np.concatenate(end), n)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, kept binary, spans array<long>) per row: spans is start, end, start, end, ..."""
+def _whole_characters(raw: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The mask of the characters all of whose bytes are masked."""
+    if not len(raw):
+        return mask
+    first = (raw & 0xC0) != 0x80
+    first[0] = True
+    return np.logical_and.reduceat(mask, np.flatnonzero(first))[np.cumsum(first) - 1]
+
+
+def _row_spans(mask: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    """Of each row its masked runs: start, end, start, end, ..."""
+    edge = np.zeros(len(mask) + 1, bool)
+    edge[offsets] = True
+    before = np.concatenate([[False], mask[:-1]]) if len(mask) else mask
+    after = np.concatenate([mask[1:], [False]]) if len(mask) else mask
+    start = np.flatnonzero(mask & (~before | edge[: len(mask)]))
+    end = np.flatnonzero(mask & (~after | edge[1:])) + 1
+    row = np.searchsorted(offsets, start, side="right") - 1
+    flat = np.stack([start - offsets[row], end - offsets[row]], axis=1).ravel()
+    cuts = 2 * np.searchsorted(row, np.arange(len(offsets)))
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.astype(np.int64)))
+
+
+def _cut(names: list[str], characters: bool):
+    """(_id, text, _copy, _hits, carried columns) as the carried columns and what is left of the text.
+
+    That is bytes, their former number and the removed spans, or with ``characters`` the text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, offsets, raw in text_rows(batch):
+                part = batch.slice(i, j - i)
+                ids = part.column(0).fill_null(0).to_numpy()
+                mask = _mask(ids, offsets, part.column(2).to_numpy(zero_copy_only=False), part.column(3))
+                if characters:
+                    mask = _whole_characters(raw, mask)
+                kept = _binary(raw[~mask], np.concatenate([[0], np.cumsum(~mask)])[offsets[1:]])
+                if characters:
+                    text = pc.if_else(part.column(1).is_null(), pa.scalar(None, pa.string()), kept.cast(pa.string()))
+                    out = [text]
+                else:
+                    out = [pa.array(np.diff(offsets)), kept, _row_spans(mask, offsets)]
+                yield pa.RecordBatch.from_arrays([*part.columns[4:], *out], names=names)
+
+    return lean(run)
+
+
+def _anchored(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """(_id, text, _copy, _hits, _carried0, ...) per row: what decides which bytes of it go."""
     spark = docs.sparkSession
     store = Store(spark, "suffix")
-    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = every.filter("id is not null")
-    keys = store.put(texts.select("id", F.md5(F.col("text").cast("binary")).alias("md5"), F.xxhash64("text").alias("x")).filter("md5 is not null"), "keys")
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"_carried{i}") for i, c in enumerate(carry)))
+    texts = every.filter("id is not null and text is not null").select("id", "text")
+    keys = store.put(texts.select("id", F.md5(F.col("text").cast("binary")).alias("md5"), F.xxhash64("text").alias("x")), "keys")
+    n = keys.count()
     firsts = keys.groupBy("md5", "x").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    copies = store.put(keys.join(firsts, ["md5", "x"]).filter("id <> least").select("id").distinct(), "copies")
+    # a copy is known by its id and text: another text of the same id is none
+    copies = store.put(keys.join(firsts, ["md5", "x"]).filter("id <> least").select("id", "x").distinct(), "copies")
     small = copies.count() <= BROADCAST_IDS
-    marked = texts.join((F.broadcast(copies) if small else copies).withColumn("copy", F.lit(True)), "id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    own = marked.filter("not copy").select("id", "text")
+    copies = F.broadcast(copies) if small else copies
+    own = texts.withColumn("x", F.xxhash64("text")).join(copies, ["id", "x"], "left_anti").select("id", "text")
 
+    found = "h long, id long"
+    looked = own.filter(F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, HOT_DOCS / max(n, 1)))))
+    often = looked.mapInArrow(_anchor_rows(None), found).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
+    hot = spark.sparkContext.broadcast(np.sort(often.orderBy(F.desc("n"), "h").limit(HOT).select("h").toPandas()["h"].to_numpy(np.int64).view(U64)))
     by_anchor = Window.partitionBy("h")
-    found = own.mapInArrow(_anchor_batches, "h long, g long, lo long, hi long")
-    shared = found.withColumn("least", F.min("lo").over(by_anchor)).withColumn("most", F.max("hi").over(by_anchor)).filter("least < most").select("h", "g")
-    shared = store.put(shared, "shared")
-    group = F.floor(F.col("id") / GROUP).cast("long")
-    grouped = own.withColumn("g", group).select("id", "text", "g")
-    occurrences = store.put(grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_contexts, _OCCURRENCES), "occurrences")
+    met = own.mapInArrow(_anchor_rows(hot), found).withColumn("least", F.min("id").over(by_anchor)).withColumn("most", F.max("id").over(by_anchor))
+    shared = store.put(met.filter("least < most").select("h", "id"), "shared").groupBy("id").agg(F.collect_list("h").alias("known"))
+    read = own.join(shared, "id", "left").select("id", "text", F.coalesce("known", F.array().cast("array<long>")).alias("known"))
+    occurrences = store.put(read.mapInArrow(_contexts(hot), _OCCURRENCES), "occurrences")
 
     contexts = occurrences.filter(F.octet_length("text") >= LENGTH).groupBy("h", "k1", "k2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("left").alias("left"), F.first("text").alias("text"))
     contexts = store.put(contexts, "contexts")
@@ -351,38 +422,37 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # an occurrence matters unless its context is settled and first in its own document
     known = contexts.select("k1", "k2", "lo").join(settled, ["k1", "k2"], "left")
     hits = occurrences.select("id", "pos", "k1", "k2", F.octet_length("text").alias("size")).join(known, ["k1", "k2"]).filter("first is not null or lo < id")
-    hits = store.put(hits.select("id", group.alias("g"), "pos", "size", "lo", "first"), "hits")
-    store.drop("shared", "occurrences", "contexts", "several", "settled")
-    cut = marked.withColumn("g", group).groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_cut, "id long, n_bytes long, kept binary, spans array<long>")
-    lone = every.filter("id is null").select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("kept"), F.array().cast("array<long>").alias("spans"))
-    return cut.union(lone).withColumnRenamed("id", id_col)
-
-
-def _whole_characters(text: str | None, spans: list[int] | None) -> str | None:
-    """The text without the characters that lie wholly inside the spans of bytes."""
-    if not text or not spans:
-        return text
-    raw = text.encode("utf-8")
-    keep, at = [], 0
-    for start, end in zip(spans[::2], spans[1::2]):
-        while start < end and raw[start] & 0xC0 == 0x80:
-            start += 1
-        while end > start and end < len(raw) and raw[end] & 0xC0 == 0x80:
-            end -= 1
-        keep.append(raw[at:start])
-        at = end
-    keep.append(raw[at:])
-    return b"".join(keep).decode("utf-8")
-
-
-def without_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with texts cut by the spans of ``found`` (a result of ``repeated_spans``).
-
-    Rows without spans keep their texts as they are.
+    hits = store.put(hits.select("id", "pos", "size", "lo", "first"), "hits")
+    store.drop("keys", "shared", "occurrences", "contexts", "several", "settled")
+    hits = hits.groupBy("id").agg(F.collect_list(F.struct("pos", F.col("size").cast("long").alias("size"), "lo", "first")).alias("_hits"))
+    copies = copies.withColumn("_copy", F.lit(True))
+    marked = every.withColumn("x", F.xxhash64("text")).join(copies, ["id", "x"], "left").drop("x").join(hits, "id", "left")
+    return marked.select(F.col("id").alias("_id"), "text", F.coalesce("_copy", F.lit(False)).alias("_copy"), "_hits", *(f"_carried{i}" for i in range(len(carry))))
+
+
+def _schema(docs: DataFrame, carry: tuple[str, ...], more: str) -> tuple[list[str], str]:
+    fields = [f"_carried{i}" for i in range(len(carry))]
+    kinds = ", ".join(f"{f} {docs.schema[c].dataType.simpleString()}" for f, c in zip(fields, carry))
+    return fields, f"{kinds}, {more}" if carry else more
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, kept binary, spans array<long>) per row: spans is start, end, start, end, ..."""
+    fields, schema = _schema(docs, (id_col,), "n_bytes long, kept binary, spans array<long>")
+    rows = _anchored(docs, id_col, text_col, (id_col,)).mapInArrow(_cut([*fields, "n_bytes", "kept", "spans"], False), schema)
+    return rows.select(F.col(fields[0]).cast("long").alias(id_col), "n_bytes", "kept", "spans")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all of its rows and columns, with what is left of the texts.
+
+    A character goes when all of its bytes do.  Null texts stay null.
     """
-    cut = docs.join(found.filter("size(spans) > 0").select(F.col(id_col), F.col("spans").alias("_spans")), id_col, "left")
-    trim = F.pandas_udf(lambda t, s: pd.Series([_whole_characters(a, None if b is None else list(b)) for a, b in zip(t, s)], dtype=object), "string")
-    return cut.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(trim(text_col, "_spans"))).drop("_spans")
+    carry = tuple(c for c in docs.columns if c != text_col)
+    fields, schema = _schema(docs, carry, "_left string")
+    rows = _anchored(docs, id_col, text_col, carry).mapInArrow(_cut([*fields, "_left"], True), schema)
+    name = dict(zip(carry, fields)) | {text_col: "_left"}
+    return rows.select(*(F.col(name[c]).alias(c) for c in docs.columns))
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import LOWER, U64, buffers, mix, pieces, prefix, spans_hash, word_spans
+from .bytesops import LOWER, U64, buffers, give_back, lean, mix, pieces, prefix, spans_hash, word_spans
 from .store import Store
 
 GRADES = 4
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = PER_LABEL, id_co
     chosen = store.put(ordered[0].union(ordered[1]), "chosen")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     sample = texts.join(F.broadcast(chosen), "id").select("id", "toxic", "text")  # at most 2 per_label rows
-    bags = store.put(sample.mapInArrow(_counts, "id long, toxic int, feature long, n long"), "bags")
+    bags = store.put(sample.mapInArrow(lean(_counts), "id long, toxic int, feature long, n long"), "bags")
     sizes = {r["toxic"]: r["n"] for r in bags.groupBy("toxic").agg(F.countDistinct("id").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return empty
@@ -135,32 +135,37 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = PER_LABEL, id_co
     return Model(names, weights, thresholds)
 
 
-def severity(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, columns of ``keep``, severity, p_toxic, grade) of every whole text.
-
-    severity is the expected grade, p_toxic P(y >= 1), grade the median grade.
+def _scores(model: Model):
+    """Texts to (severity, p_toxic, grade)."""
+    top = len(model.features)
+    bits = np.zeros(1 << 16, bool)
+    bits[(model.features >> U64(48)).astype(np.int64)] = True
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            offsets, raw = buffers(texts)
+            score = np.zeros(len(texts))
+            for i, j in pieces(offsets) if top else ():
+                h, row = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                may = bits[(h >> U64(48)).astype(np.int64)]
+                h, row = h[may], row[may]
+                at = np.minimum(np.searchsorted(model.features, h), top - 1)
+                hit = model.features[at] == h
+                once = np.unique(row[hit] * top + at[hit])
+                score[i:j] = np.bincount(once // top, model.weights[once % top], j - i)
+            p = 1 / (1 + np.exp(-np.clip(score[:, None] - model.thresholds[None, :], -30, 30)))
+            yield pa.StructArray.from_arrays([pa.array(p.sum(axis=1)), pa.array(p[:, 0].copy()), pa.array((p >= 0.5).sum(axis=1).astype(np.int32))], names=["severity", "p_toxic", "grade"])
+        give_back()
+
+    return run
+
+
+def severity(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """``docs`` with severity, p_toxic and grade of every whole text (columns of these names are replaced).
+
+    severity is the expected grade, p_toxic P(y >= 1), grade the median grade.  Only the texts go to
+    Python; rows are neither moved nor joined, so repeated rows and rows without an id count like others.
     """
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_text"), *keep)
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "severity double, p_toxic double, grade int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = len(model.features)
-        bits = np.zeros(1 << 16, bool)
-        bits[(model.features >> U64(48)).astype(np.int64)] = True
-        for batch in batches:
-            offsets, raw = buffers(batch.column(1))
-            for i, j in pieces(offsets):
-                score = np.zeros(j - i)
-                if top:
-                    h, row = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    may = bits[(h >> U64(48)).astype(np.int64)]
-                    h, row = h[may], row[may]
-                    at = np.minimum(np.searchsorted(model.features, h), top - 1)
-                    hit = model.features[at] == h
-                    once = np.unique(row[hit] * top + at[hit])
-                    score = np.bincount(once // top, model.weights[once % top], j - i)
-                p = 1 / (1 + np.exp(-np.clip(score[:, None] - model.thresholds[None, :], -30, 30)))
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(p.sum(axis=1)), pa.array(p[:, 0].copy()), pa.array((p >= 0.5).sum(axis=1).astype(np.int32))], names=[id_col, *keep, "severity", "p_toxic", "grade"])
-
-    return rows.mapInArrow(run, schema)
+    score = F.arrow_udf(_scores(model), "severity double, p_toxic double, grade int").asNondeterministic()
+    rows = docs.drop("severity", "p_toxic", "grade", "_score").withColumn("_score", score(F.col(text_col)))
+    return rows.select(*(c for c in rows.columns if c != "_score"), "_score.severity", "_score.p_toxic", "_score.grade")

@@ -31,7 +31,7 @@ def test_repeats(spark, docs):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digest(suffix.repeated_spans(docs)).collect()}
     assert got == want
     assert suffix.repeated_spans(docs.limit(0)).count() == 0
-    cut = {r.doc_id: r.text for r in suffix.without_spans(docs, suffix.repeated_spans(docs)).collect()}
+    cut = {r.doc_id: r.text for r in suffix.without_repeats(docs).collect()}
     assert cut[1] == text(3, 60) and cut[2] == "" and cut[5] is None
 
 
