@@ -69,35 +69,35 @@ def cam_obj(d: Spark) -> str:
         select o.*, c.name as cam, c.ord as cam_ord, c.kind, c.px, c.py, c.pz, c.tan_h, c.fx, c.fy, c.fz, c.dx2, c.dy2, c.rx, c.ry, c.ux, c.uy, c.uz,
         {g.norm('cx - px', 'cy - py', 'cz - pz')} as distance, {g.dot(('cx - px', 'cy - py', 'cz - pz'), ('fx', 'fy', 'fz'))} as depth,
         {g.dot(('cx - px', 'cy - py'), ('rx', 'ry'))} as across, {g.dot(('cx - px', 'cy - py', 'cz - pz'), ('ux', 'uy', 'uz'))} as upward
-        from solid o join cam_frame c on o.scene_id = c.scene_id where c.kind <> 'step' or c.step_direction = 'forward') a"""
+        from solid o join cam_frame c on o.scene_id = c.scene_id) a"""
 
 
 @relation
 def enrich(d: Spark) -> str:
-    return "select scene_id, cam, id, round(distance, 6) as distance from cam_obj where kind = 'corner'"
+    return "select scene_id, cam, id, round(distance, 6) as distance from cam_obj"
 
 
 @relation
 def depth(d: Spark) -> str:
-    return "select scene_id, cam, id, round(coalesce(depth, 0), 6) as depth from cam_obj where kind = 'corner'"
+    return "select scene_id, cam, id, round(coalesce(depth, 0), 6) as depth from cam_obj"
 
 
 @relation
 def project_fraction(d: Spark) -> str:
-    return "select scene_id, cam, id, round(u, 6) as u, round(v, 6) as v from cam_obj where kind = 'corner'"
+    return "select scene_id, cam, id, round(u, 6) as u, round(v, 6) as v from cam_obj"
 
 
 @relation
 def project_pixel(d: Spark) -> str:
-    """Pixels of a 1920 x 1080 image, clamped to it."""
-    return f"""select scene_id, cam, id, cast(greatest(0, least(1919, {d.rint('u * 1920')})) as int) as x_px, cast(greatest(0, least(1079, {d.rint('v * 1080')})) as int) as y_px
-        from cam_obj where kind = 'corner' and u is not null and abs(u) < 1000 and abs(v) < 1000"""
+    """Pixels of a 1920 x 1080 image, clamped to it; none for what is behind the camera."""
+    return f"""select scene_id, cam, id, cast(greatest(0, least(1919, {d.rint('greatest(-9, least(9, u)) * 1920')})) as int) as x_px, cast(greatest(0, least(1079, {d.rint('greatest(-9, least(9, v)) * 1080')})) as int) as y_px
+        from cam_obj where u is not null"""
 
 
 @relation
 def frustum(d: Spark) -> str:
-    """Solid objects between 0.3 and 15 m away with their centre in the frame."""
-    return "select * from cam_obj where is_solid and distance between 0.3 and 15 and u between 0 and 1 and v between 0 and 1"
+    """Solid objects between 0.3 and 15 m away with their centre in the frame of a camera that is no step."""
+    return "select * from cam_obj where kind <> 'step' and is_solid and distance between 0.3 and 15 and u between 0 and 1 and v between 0 and 1"
 
 
 @relation
@@ -127,4 +127,4 @@ def bbox2d_raw(d: Spark) -> str:
 
 @relation
 def bbox2d(d: Spark) -> str:
-    return "select scene_id, cam, id, x1, y1, x2, y2 from bbox2d_raw where kind = 'corner'"
+    return "select scene_id, cam, id, x1, y1, x2, y2 from bbox2d_raw"

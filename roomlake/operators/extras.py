@@ -110,14 +110,14 @@ def merge_roots(d: Spark) -> str:
 @relation
 def best_view(d: Spark) -> str:
     """The camera that looks most straight at each object; the first wins ties."""
-    return "select scene_id, id, cam, round(depth / distance, 6) as cosine from (select *, row_number() over (partition by scene_id, id order by round(depth / distance, 9) desc, cam_ord) as rn from cam_obj where kind = 'corner' and distance > 0.3) a where rn = 1"
+    return "select scene_id, id, cam, round(depth / distance, 6) as cosine from (select *, row_number() over (partition by scene_id, id order by round(depth / distance, 9) desc, cam_ord) as rn from cam_obj where kind <> 'step' and distance > 0.3) a where rn = 1"
 
 
 @relation
 def interleaved(d: Spark) -> str:
     """Camera pairs in turn from each kind of pair."""
     return """select scene_id, cam_a, cam_b, row_number() over (partition by scene_id order by turn, kind_a, kind_b) as place from (
-        select *, row_number() over (partition by scene_id, kind_a, kind_b order by md5(concat(cam_a, cam_b)), cam_a, cam_b) as turn from camera_pairs where kind_a <> 'step' and kind_b <> 'step') a where turn <= 5"""
+        select *, row_number() over (partition by scene_id, kind_a, kind_b order by md5(concat(cam_a, cam_b)), cam_a, cam_b) as turn from camera_pairs where kind_a <> 'step' and kind_b <> 'step') a"""
 
 
 @relation

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import over_tables
+from ..plans.shared import shared_dir, written
 
 LEAST_POINTS = 10
 
 
-def _written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
 def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b).
 
@@ -25,18 +20,20 @@ def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     chains halve; a round is a written table in the folder of spark.checkpoint.dir.
     """
     spark = nodes.sparkSession
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/components-{uuid.uuid4().hex}"
-    both = _written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), folder, "edges")
-    labels = _written(nodes.select(F.col("node"), F.col("node").alias("label")), folder, "labels0")
+    folder = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{folder}/edges")
+    labels = written(nodes.select(F.col("node"), F.col("node").alias("label")), f"{folder}/labels0")
     for i in range(1, 200):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
         jump = lower.select(F.col("node").alias("k"), F.col("next").alias("jump"))
         after = lower.join(jump, lower.next == jump.k, "left").select("node", F.least("next", F.coalesce("jump", "next")).alias("new"), "label")
-        after = _written(after, folder, f"round{i}")
+        after = written(after, f"{folder}/round{i}")
         labels = after.select("node", F.col("new").alias("label"))
         if not after.filter("new <> label").limit(1).count():
             break
+    else:
+        raise RuntimeError("components did not settle")
     return labels.select("node", F.col("label").alias("component"))
 
 

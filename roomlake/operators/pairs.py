@@ -6,54 +6,57 @@ valid choices, in any order of rows and partitions.
 
 from __future__ import annotations
 
-import re
-
 from ..functions import geometry as g
 from ..plans.catalog import relation
 from ..plans.dialect import Spark
 
 
-def one_per_view(columns: str, source: str, key: str) -> str:
-    return f"select scene_id, cam, {', '.join(re.findall(r' as ([a-z_]+)(?:,|$)', columns))} from (select {columns}, row_number() over (partition by a.scene_id, a.cam order by md5({key}), {key}) as rn {source}) t where rn = 1"
-
+def least_per_view(columns: tuple[str, ...], key: str, source: str, first: str = "") -> str:
+    """The row of a view with the smallest MD5 of ``key``, by an aggregate: candidates are never sorted.
 
-def least_per_view(columns: tuple[str, ...], key: str, source: str) -> str:
-    """The row of a view with the smallest MD5 of ``key``, by an aggregate: candidates are never sorted."""
+    A number ``first`` comes before the hash.
+    """
     picked = ", ".join(f"min_by({c}, h) as {c}" for c in columns)
-    return f"select scene_id, cam, {picked} from (select scene_id, cam, {', '.join(columns)}, concat(md5({key}), {key}) as h from ({source}) p) q group by scene_id, cam"
+    before = f"cast({first} as string), " if first else ""
+    return f"select scene_id, cam, {picked} from (select scene_id, cam, {', '.join(columns)}, concat({before}md5({key}), {key}) as h from ({source}) p) q group by scene_id, cam"
+
 
+PAIR = "from spread_dotted a join dotted b on a.scene_id = b.scene_id and a.cam = b.cam and a.id <> b.id"
+KEY = "concat(scene_id, cam, id_a, '|', id_b)"
 
-PAIR = "from dotted a join dotted b on a.scene_id = b.scene_id and a.cam = b.cam and a.id <> b.id"
-KEY = "concat(a.scene_id, a.cam, a.id, '|', b.id)"
+
+@relation
+def spread_dotted(d: Spark) -> str:
+    """Objects that may carry a dot, dealt out by view; a comment to the oracle."""
+    return "select /*+ repartition(64, scene_id, cam) */ * from dotted"
 
 
 @relation
 def closest_object(d: Spark) -> str:
-    return one_per_view("a.scene_id, a.cam, a.id as id_a, b.id as id_b, case when a.distance <= b.distance then a.label else b.label end as answer, round(abs(a.distance - b.distance), 6) as gap",
-                        f"{PAIR} where a.label <> b.label and abs(a.distance - b.distance) >= 0.5", KEY)
+    return least_per_view(("id_a", "id_b", "answer", "gap"), KEY, f"""select a.scene_id, a.cam, a.id as id_a, b.id as id_b, case when a.distance <= b.distance then a.label else b.label end as answer, round(abs(a.distance - b.distance), 6) as gap
+        {PAIR} where a.label <> b.label and abs(a.distance - b.distance) >= 0.5""")
 
 
 @relation
 def object_distance(d: Spark) -> str:
     far = g.norm("a.cx - b.cx", "a.cy - b.cy", "a.cz - b.cz")
-    return one_per_view(f"a.scene_id, a.cam, a.id as id_a, b.id as id_b, round({far}, 2) as answer", f"{PAIR} where {far} >= 0.5", KEY)
+    return least_per_view(("id_a", "id_b", "answer"), KEY, f"select a.scene_id, a.cam, a.id as id_a, b.id as id_b, round({far}, 2) as answer {PAIR} where {far} >= 0.5")
 
 
 @relation
 def depth_difference(d: Spark) -> str:
     """Objects half a metre apart in depth; of different types where a view has such."""
-    return f"""select scene_id, cam, id_a, id_b, answer from (select a.scene_id, a.cam, a.id as id_a, b.id as id_b, round(abs(a.depth - b.depth), 2) as answer,
-        row_number() over (partition by a.scene_id, a.cam order by case when a.base_type = b.base_type then 1 else 0 end, md5({KEY}), {KEY}) as rn {PAIR} where abs(a.depth - b.depth) >= 0.5) t where rn = 1"""
+    return least_per_view(("id_a", "id_b", "answer"), f"{KEY}", f"""select a.scene_id, a.cam, a.id as id_a, b.id as id_b, round(abs(a.depth - b.depth), 2) as answer,
+        case when a.base_type = b.base_type then 1 else 0 end as later {PAIR} where abs(a.depth - b.depth) >= 0.5""", first="later")
 
 
 @relation
 def relative_direction(d: Spark) -> str:
     right, ahead = g.dot(("(a.cx - b.cx)", "(a.cy - b.cy)"), ("a.rx", "a.ry")), g.dot(("(a.cx - b.cx)", "(a.cy - b.cy)"), ("a.dx2", "a.dy2"))
     up = "(a.cz - b.cz)"
-    words = f"concat({g.side(right, 'right', 'left', 0.1)}, '/', {g.side(up, 'above', 'below', 0.1)}, '/', {g.side(ahead, 'farther', 'closer', 0.1)})"
-    columns = f"a.scene_id, a.cam, a.id as id_a, b.id as id_b, {words} as answer"
-    source = f"from visible a join visible b on a.scene_id = b.scene_id and a.cam = b.cam and a.id <> b.id where abs({right}) > 0.1 or abs({up}) > 0.1 or abs({ahead}) > 0.1"
-    return f"select scene_id, cam, id_a, id_b, replace(answer, '/', ', ') as answer from (select {columns}, row_number() over (partition by a.scene_id, a.cam order by md5({KEY}), {KEY}) as rn {source}) t where rn = 1"
+    words = f"concat({g.side(right, 'right', 'left', 0.1)}, ', ', {g.side(up, 'above', 'below', 0.1)}, ', ', {g.side(ahead, 'farther', 'closer', 0.1)})"
+    return least_per_view(("id_a", "id_b", "answer"), KEY, f"""select a.scene_id, a.cam, a.id as id_a, b.id as id_b, {words} as answer
+        from spread a join visible b on a.scene_id = b.scene_id and a.cam = b.cam and a.id <> b.id where abs({right}) > 0.1 or abs({up}) > 0.1 or abs({ahead}) > 0.1""")
 
 
 @relation

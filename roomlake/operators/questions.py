@@ -31,7 +31,7 @@ def distance_estimation(d: Spark) -> str:
 
 @relation
 def object_size(d: Spark) -> str:
-    return _diverse("scene_id, cam, id, round(round(longest, 2) * 100, 1) as answer", "seen", "fraction >= 0.6 and centre_clear and width > 0 and length > 0 and height > 0")
+    return _diverse("scene_id, cam, id, round(round(longest, 2) * 100, 1) as answer", "seen", "kind <> 'edge' and fraction >= :size_visible and centre_clear and width > 0 and length > 0 and height > 0")
 
 
 @relation

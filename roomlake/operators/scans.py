@@ -6,6 +6,9 @@ from ..functions import text
 from ..plans.catalog import relation
 from ..plans.dialect import Spark
 
+# Fixed value: the type that is nothing physical.
+NON_SOLID = "lighting"
+
 
 @relation
 def scan_objects(d: Spark) -> str:
@@ -29,15 +32,15 @@ def object_label(d: Spark) -> str:
 
 @relation
 def solid(d: Spark) -> str:
-    """Objects with a centre, a label and a longest side."""
+    """Objects with a centre, a label and a longest side; solid ones are physical and nowhere thinner than :min_thickness."""
     return f"""select scene_id, id, ord, type, {text.normalized_type(d, 'type')} as base_type, {text.object_label(d, index='ord')} as label, x, y, z, width, length, height,
         x as cx, y as cy, z + coalesce(height, 0) / 2 as cz, greatest(coalesce(width, 0), coalesce(length, 0), coalesce(height, 0)) as longest,
-        coalesce(width, 0) > 0 and coalesce(length, 0) > 0 and coalesce(height, 0) > 0 and lower(type) not like '%lighting%' as is_solid from objects"""
+        coalesce(least(width, length, height) > 0 and width is not null and length is not null and height is not null and least(width, length, height) >= :min_thickness and lower(coalesce(type, '')) <> '{NON_SOLID}', false) as is_solid from objects"""
 
 
 @relation
 def solid_filter(d: Spark) -> str:
-    return "select scene_id, id, round(longest, 6) as longest from solid where is_solid and least(width, length, height) >= 0.01"
+    return "select scene_id, id, round(longest, 6) as longest from solid where is_solid"
 
 
 @relation
@@ -92,7 +95,7 @@ def hash_seed(d: Spark) -> str:
 @relation
 def view_verdicts(d: Spark) -> str:
     """Objects without those an external judge calls bad; without a verdict they stay."""
-    return "select o.scene_id, o.id, coalesce(v.poor_lighting, false) as poor_lighting from objects o left join verdicts v on v.entity = o.id where coalesce(v.quality, 'GOOD') <> 'BAD'"
+    return "select o.scene_id, o.id, coalesce(v.poor_lighting, false) as poor_lighting from objects o left join verdicts v on v.scene_id = o.scene_id and v.entity = o.id where coalesce(v.quality, 'GOOD') <> 'BAD'"
 
 
 @relation

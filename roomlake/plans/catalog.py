@@ -9,17 +9,25 @@ DataFrame: that is how scenes read from files take the place of those derived fr
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .dialect import SPARK, Spark
+from .shared import once
 
 Body = Callable[[Spark], str]
 RELATIONS: dict[str, Body] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# Written once a session and source, if a query needs them.
+SHARED = ("seen",)
+# Settings that relations name as :name; an evaluation may give others.
+PARAMETERS: dict[str, object] = {"min_thickness": 0.08, "min_visible": 0.5, "dot_visible": 0.9, "size_visible": 0.6, "shrink": 0.85, "voxel": 0.1, "still": 0.001}
+
+
 def relation(body: Body) -> Body:
     """Register a relation under the function's name."""
     if body.__name__ in RELATIONS or body.__name__ in TABLES:
@@ -28,9 +36,15 @@ def relation(body: Body) -> Body:
     return body
 
 
-def composed(name: str, dialect: Spark, given: Mapping[str, str] | None = None) -> str:
-    """The SQL of a relation with all it needs; ``given`` maps names to what stands for them."""
+def composed(name: str, dialect: Spark, given: Mapping[str, str] | None = None, parameters: Mapping[str, object] | None = None) -> str:
+    """The SQL of a relation with all it needs; ``given`` maps names to what stands for them.
+
+    ``parameters`` replace the defaults of PARAMETERS.
+    """
     given = given or {}
+    settings = PARAMETERS | dict(parameters or {})
+    if unknown := set(settings) - set(PARAMETERS):
+        raise ValueError(f"no such parameters: {', '.join(sorted(unknown))}")
     order: list[str] = []
     texts: dict[str, str] = {}
 
@@ -39,7 +53,7 @@ def composed(name: str, dialect: Spark, given: Mapping[str, str] | None = None)
             return
         if n in path:
             raise ValueError(f"relations in a circle: {' > '.join((*path, n))}")
-        texts[n] = RELATIONS[n](dialect).strip()
+        texts[n] = re.sub(r"(?<![:\w]):([a-z_]+)\b", lambda m: f"cast({settings[m[1]]!r} as double)" if m[1] in settings else m[0], RELATIONS[n](dialect).strip())
         for m in dict.fromkeys(re.findall(r"\b(?:from|join)\s+([a-z_][a-z_0-9]*)\b", texts[n], re.I)):
             if m in RELATIONS and m != n:
                 visit(m, (*path, n))
@@ -50,15 +64,50 @@ def composed(name: str, dialect: Spark, given: Mapping[str, str] | None = None)
     return "with " + ",\n".join(heads + [f"{n} as ({texts[n]})" for n in order]) + f"\nselect * from {name}"
 
 
-def evaluate(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
+def _tasks(spark: SparkSession, text: str) -> str:
+    """Hints of 64 partitions raised to the session's number of shuffle partitions."""
+    return text.replace("repartition(64,", f"repartition({max(64, int(spark.conf.get('spark.sql.shuffle.partitions')))},")
+
+
+def planner(spark: SparkSession) -> SparkSession:
+    """A copy of the session that plans without constraint propagation.
+
+    The relations' filters stand where they are needed; inferring more of them from chains of geometry
+    takes the optimizer minutes.  The session itself keeps its settings.
+    """
+    copy = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    copy.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    return copy
+
+
+def evaluate(spark: SparkSession, name: str, parameters: Mapping[str, object] | None = None, **frames: DataFrame) -> DataFrame:
     """The relation over DataFrames given by name (objects=..., cameras=..., ...)."""
-    return spark.sql(composed(name, SPARK, {n: "{" + n + "}" for n in frames}), **frames)
+    views = {n: f"roomlake_{n}_{uuid.uuid4().hex}" for n in frames}
+    try:
+        for n, view in views.items():
+            frames[n].createTempView(view)
+        return planner(spark).sql(_tasks(spark, composed(name, SPARK, views, parameters)))
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+
+
+def used_tables(text: str) -> list[str]:
+    return [t for t in TABLES if re.search(rf"\b(?:from|join)\s+{t}\b", text, re.I)]
 
 
-def over_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The relation over the parquet tables of a folder."""
+def over_tables(spark: SparkSession, sf_dir: str, name: str, share: bool = True) -> DataFrame:
+    """The relation over the parquet tables of a folder; relations of SHARED are written once."""
+    spark = planner(spark) if share else spark
     text = composed(name, SPARK)
-    used = [t for t in TABLES if re.search(rf"\b(?:from|join)\s+{t}\b", text, re.I)]
+    given: dict[str, DataFrame] = {}
+    for n in SHARED if share else ():
+        if n != name and re.search(rf"^(?:with )?{n} as \(", text, re.M):
+            paths = [f"{sf_dir}/{t}.parquet" for t in used_tables(composed(n, SPARK))]
+            given[n] = once(spark, n, paths, lambda n=n: over_tables(spark, sf_dir, n, False))
+    if given:
+        text = composed(name, SPARK, {n: "{" + n + "}" for n in given})
+    used = used_tables(text)
     for t in used:
         text = re.sub(rf"\b(from|join)\s+{t}\b", rf"\1 {{{t}}}", text, flags=re.I)
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(_tasks(spark, text), **given, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})

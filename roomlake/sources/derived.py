@@ -63,4 +63,4 @@ def trace(d: Spark) -> str:
 @relation
 def verdicts(d: Spark) -> str:
     """Good or bad, as an external judge says."""
-    return """select concat('obj_', cast(doc_id as string)) as entity, case when quality = 1 then 'GOOD' else 'BAD' end as quality, toxic = 1 as poor_lighting from labels"""
+    return """select o.scene_id, concat('obj_', cast(doc_id as string)) as entity, case when quality = 1 then 'GOOD' else 'BAD' end as quality, toxic = 1 as poor_lighting from labels l join objects o on o.ord = l.doc_id"""
