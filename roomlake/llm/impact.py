@@ -1,19 +1,26 @@
 """Exact top-k by an impact-ordered, score-at-a-time index.
 
-Vectors are integers, floor(256 x).  For every dimension the index keeps the rows ordered by their
-component, cut into segments of equal quantised component (a multiple of STEP).  For a query q the
-impact of a segment is the most that it adds above the least its dimension can add.  Segments are
-processed by descending impact, over all dimensions together, in rounds; a row's accumulator bounds
-its score from below and, with the impact level reached times the number of its dimensions still
-open, from above.  Processing stops only on proof: when the rows whose upper bound reaches the k-th
-best lower bound are few.  They are all the possible members, and they are rescored exactly.
+Vectors are integers, floor(256 x).  For every dimension the index keeps the rows ordered by the size of
+their component, cut into segments of equal quantised size (STEP levels up to the dimension's largest).
+For a query q the impact of a segment is the most that it can change a score, |q_d| times its level's
+size.  Segments are processed by descending impact over all dimensions together, in rounds; a posting
+adds its exact product to its row's accumulator.  What a row still lacks is bounded by Cauchy and Schwarz:
+the lengths of what is left of the row and of the query in the row's open dimensions.  That gives each
+row a lower and an upper bound.  Processing stops only on proof: when the rows whose upper bound reaches
+the k-th best lower bound are few.  They are all the possible members, and they are rescored exactly.
 
 Rows are dealt in blocks of about BLOCK by a hash of their id, each block with its own index, and
-queries in batches of QUERIES, broadcast one after another, so both sides of the work are bounded.
-The best k of a query over blocks are the best of the blocks' best.  Ties go to the smaller id.
+queries in parts of PART.  A block and the parts it must answer are rows of one table, sorted so that a
+task meets the block first and then streams the parts: nothing is broadcast, nothing is looped over on
+the driver, and memory holds one block and one part.  The best k of a query over blocks are the best of
+the blocks' best.  Ties go to the smaller id.
 
 Vectors that are null, empty or hold null or non-finite components take no part; neither do vectors
-of another length than the query's.  With fewer than k candidates all are returned.
+of another length than the query's, nor rows without an id.  With fewer than k candidates all are
+returned.  Of rows that share an id and a vector one counts; different vectors of one id are rows of their own,
+and none of them is a candidate of the others.  Components of any size are exact: where products do not fit in a double the scores are
+computed in integers without a limit and, beyond the range of long, given as its end.  Other columns are
+left out, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,132 +32,186 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytesops import give_back, lean
 from .store import Store
-from .vectors import in_blocks, usable
+from .vectors import matrix, usable
 
-STEP = 16  # quantised impacts: components to a segment
-BLOCK = 16_384
-QUERIES = 2048
-ROUNDS = (0.3, 0.15, 0.08, 0.0)  # impact levels, as parts of the highest
-FEW = 0.04  # of a block's rows may be left to rescore
+LEVELS = 64  # quantised sizes of a dimension's components
+BLOCK = 16_384  # rows of a block, about
+PART = 256  # queries of a part, about
+TASKS = 32  # least tasks that blocks and parts are dealt to, if there are as many pairs
+READ = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 1.0)  # rounds end when this share of the postings is read, about
+FEW = 0.02  # of a block's rows may be left to rescore
+MOST = 100_000  # tasks, at most; more pairs of blocks and shares are queued in them
+EXACT = float(1 << 53)
 
 
 class Index:
-    """The impact-ordered segments of one block of integer vectors (ids ascending)."""
+    """The impact-ordered segments of one block of integer vectors (as doubles; ids ascending)."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
-        self.level = np.floor_divide(values, STEP)
-        self.order = np.argsort(self.level, axis=0, kind="stable").T.copy()
-        low = self.level.min(axis=0)
-        self.low, self.starts = low, []
-        for d in range(values.shape[1]):
-            counts = np.bincount(self.level[:, d] - low[d])
-            self.starts.append(np.concatenate([[0], np.cumsum(counts)]))
-
-    def top(self, query: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows but the row ``skip``."""
+        n, dims = values.shape
+        size = np.abs(values)
+        self.unit = np.maximum(size.max(axis=0) / LEVELS, 1e-300) if n else np.ones(dims)
+        level = np.minimum(size / self.unit[None, :], LEVELS - 1).astype(np.int8)
+        order = np.argsort(-level, axis=0, kind="stable").T
+        self.order = order.astype(np.int32)
+        self.sorted = np.take_along_axis(values.T, order, axis=1)
+        # upto[d, l]: postings of dimension d in segments of level l and more
+        counts = np.stack([np.bincount(level[:, d], minlength=LEVELS) for d in range(dims)]) if n else np.zeros((dims, LEVELS), int)
+        self.upto = np.concatenate([np.cumsum(counts[:, ::-1], axis=1)[:, ::-1], np.zeros((dims, 1), int)], axis=1)
+        self.length2 = (values * values).sum(axis=1)
+        self.read = 0  # postings read so far, over all queries
+
+    def _ends(self, query: np.ndarray, limit: float) -> np.ndarray:
+        """How many postings of each dimension have an impact of ``limit`` or more."""
+        with np.errstate(divide="ignore", over="ignore"):
+            level = np.ceil(np.minimum(LEVELS, limit / (np.abs(query) * self.unit)))
+        return self.upto[np.arange(len(query)), np.nan_to_num(level, nan=LEVELS).astype(np.int64)]
+
+    def _limits(self, query: np.ndarray) -> list[float]:
+        """Impact levels at which the rounds end."""
+        impact = np.sort((np.abs(query) * self.unit)[:, None] * np.arange(LEVELS)[None, :], axis=None)[::-1]
+        total = self.upto[:, 0].sum()
+        out = []
+        for share in READ[:-1]:
+            lo, hi = 0, len(impact) - 1
+            while lo < hi:
+                mid = (lo + hi) // 2
+                if self._ends(query, impact[mid]).sum() < share * total:
+                    lo = mid + 1
+                else:
+                    hi = mid
+            out.append(float(impact[lo]))
+        return [*out, 0.0]
+
+    def top(self, query: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, list[int]]:
+        """(ids, scores) of the k best rows but those of the id ``skip``."""
         n, dims = self.values.shape
-        # of each dimension the segments' lower and upper contributions above the dimension's least
-        gains, tops = [], np.zeros(dims)
-        for d in range(dims):
-            level = self.low[d] + np.arange(len(self.starts[d]) - 1)
-            ends = query[d] * np.stack([level * STEP, level * STEP + STEP - 1])
-            floor = ends.min()
-            gains.append(ends.max(axis=0) - floor)
-            tops[d] = gains[d].max()
-        # a segment adds at most its impact, and at least its impact less (STEP - 1) |q|
-        slack = float(np.abs(query).sum() * (STEP - 1))
-        upper, seen = np.zeros(n), np.zeros(n)
-        done = [0] * dims  # segments processed, from the end with the high impacts
-        highest = tops.max()
-        candidates = None
-        for part in ROUNDS:
-            limit = part * highest
-            ids, gain = [], []
-            for d in range(dims):
-                m = len(gains[d])
-                up = query[d] >= 0
-                g = gains[d][::-1] if up else gains[d]
-                upto = m if part == 0 else int(np.searchsorted(-g, -limit, side="right"))
-                if upto <= done[d]:
-                    continue
-                a, b = (m - upto, m - done[d]) if up else (done[d], upto)
-                s = self.starts[d]
-                ids.append(self.order[d, s[a] : s[b]])
-                gain.append(np.repeat(gains[d][a:b], np.diff(s[a : b + 1])))
-                done[d] = upto
-            if ids:
-                at = np.concatenate(ids)
-                upper += np.bincount(at, np.concatenate(gain), n)
-                seen += np.bincount(at, minlength=n)
-            left = max((float((gains[d][::-1] if query[d] >= 0 else gains[d])[done[d]]) for d in range(dims) if done[d] < len(gains[d])), default=0.0)
-            own = np.searchsorted(self.ids, skip)
-            out = np.arange(n) != own if own < n and self.ids[own] == skip else np.ones(n, bool)
-            if out.sum() <= k:
-                candidates = np.flatnonzero(out)
-                break
-            bar = np.partition(upper[out], -k)[-k] - slack
-            possible = out & (upper + left * (dims - seen) >= bar)
-            if part == 0 or possible.sum() <= max(FEW * n, 4 * k):
-                candidates = np.flatnonzero(possible)
+        out = self.ids != skip
+        if int(out.sum()) <= k:
+            return self._scored(np.flatnonzero(out), query, k)
+        score, x2, q2 = np.zeros(n), np.zeros(n), np.zeros(n)
+        done = np.zeros(dims, np.int64)
+        whole2, length2 = float(query @ query), self.length2
+        slack = 1e-9 * (np.sqrt(whole2 * length2.max()) + 1)
+        for limit in self._limits(query):
+            ends = self._ends(query, limit) if limit > 0 else self.upto[:, 0]
+            some = np.flatnonzero(ends > done)
+            if len(some):
+                ids = np.concatenate([self.order[d, done[d] : ends[d]] for d in some])
+                x = np.concatenate([self.sorted[d, done[d] : ends[d]] for d in some])
+                q = np.repeat(query[some], (ends - done)[some])
+                self.read += len(ids)
+                score += np.bincount(ids, x * q, n)
+                x2 += np.bincount(ids, x * x, n)
+                q2 += np.bincount(ids, q * q, n)
+                done = np.maximum(done, ends)
+            lacks = np.sqrt(np.maximum(0, length2 - x2) * np.maximum(0, whole2 - q2)) if limit > 0 else 0.0
+            bar = np.partition((score - lacks)[out], -k)[-k]
+            possible = np.flatnonzero(out & (score + lacks >= bar - slack))
+            if len(possible) <= max(FEW * n, 4 * k):
                 break
-        score = self.values[candidates] @ query
-        best = np.lexsort((self.ids[candidates], -score))[:k]
-        return self.ids[candidates][best], score[best]
-
+        return self._scored(possible, query, k)
+
+    def _scored(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        """The best k of rows by exact scores, ties to the smaller id."""
+        values = self.values[rows]
+        if len(rows) and float(np.abs(values).max(initial=0)) * float(np.abs(query).max(initial=0)) * len(query) >= EXACT:
+            own = [int(v) for v in query.tolist()]
+            score = [sum(int(a) * b for a, b in zip(row, own)) for row in values.tolist()]
+        else:
+            score = [int(v) for v in (values @ query).tolist()]
+        ids = self.ids[rows]
+        best = sorted(range(len(rows)), key=lambda i: (-score[i], int(ids[i])))[:k]
+        return ids[best], [max(-(1 << 63), min((1 << 63) - 1, score[i])) for i in best]
+
+
+def _floored(scale: int):
+    """(id, dims, vector) as the vector's integers, doubles one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for size in np.unique(sizes):
+                part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                whole = np.floor(matrix(part.column(1)) * scale)
+                whole = np.clip(whole, -1e300, 1e300)
+                raw = pa.py_buffer(whole.tobytes())
+                ends = pa.py_buffer((np.arange(part.num_rows + 1) * 8 * int(size)).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([int(size)] * part.num_rows, pa.int32()), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, ends, raw])], names=["id", "dims", "vec"])
+
+    return lean(run)
+
+
+def _packed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """The rows of a group as one: ids in order and their vectors."""
+    rows = rows.sort_by([("id", "ascending"), ("vec", "ascending")])
+    first = rows.slice(0, 1).drop_columns(["id", "vec"])
+    first = first.append_column("ids", pa.array([rows.column("id").to_numpy().astype(np.int64).tobytes()], pa.binary()))
+    return first.append_column("vecs", pa.array([b"".join(rows.column("vec").to_pylist())], pa.binary()))
+
+
+def _answers(k: int):
+    """Tasks' rows (task, ord, dims, ids, vecs): a block at ord -1, then the parts that it answers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                order, dims, ids, vecs = (batch.column(c)[i] for c in ("ord", "dims", "ids", "vecs"))
+                ids = np.frombuffer(ids.as_buffer(), np.int64)
+                vecs = np.frombuffer(vecs.as_buffer(), np.float64).reshape(len(ids), dims.as_py())
+                if order.as_py() < 0:
+                    index = None  # the former block goes before the next is built
+                    index = Index(ids, vecs)
+                    continue
+                found = [(q, *index.top(v, k, q)) for q, v in zip(ids.tolist(), vecs)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat([q for q, _, _ in found], [len(s) for _, _, s in found]).astype(np.int64)),
+                        pa.array(np.concatenate([i for _, i, _ in found]).astype(np.int64)),
+                        pa.array([x for _, _, s in found for x in s], pa.int64()),
+                    ],
+                    names=["query_id", "id", "score"],
+                )
+                give_back()
 
-def _packed(ids: list[int], rows: np.ndarray) -> tuple[bytes, bytes]:
-    order = np.argsort(ids, kind="stable")
-    return np.asarray(ids, np.int64)[order].tobytes(), rows[order].astype(np.int32).tobytes()
+    return lean(run)
 
 
 def top_k(vectors: DataFrame, k: int = 5, *, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each row whose id is divisible by ``every`` its k best rows."""
     spark = vectors.sparkSession
     store = Store(spark, "impact")
-    x = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * scale).cast("int"))
-    rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), x.alias("v"))
-    rows = store.put(in_blocks(store.put(rows, "rows"), "id", BLOCK), "blocked")
-    lengths = F.size("v")
-    queries = rows.filter(F.pmod("id", F.lit(every)) == 0)
-
-    def pack(pdf):
-        ids, values = _packed(pdf["id"].tolist(), np.stack(pdf["v"].to_numpy()))
-        return pdf.head(1).assign(n=len(pdf), ids=ids, vals=values)[["block", "dims", "n", "ids", "vals"]]
-
-    # one row for each block and vector length: its rows in the order of the index
-    blocks = rows.withColumn("dims", lengths).groupBy("block", "dims").applyInPandas(pack, "block int, dims int, n int, ids binary, vals binary")
-    blocks = store.put(blocks, "blocks")
-    parts = max(1, -(-queries.count() // QUERIES))
-    queries = store.put(queries.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int")), "queries")
-    results = []
-    for part in range(parts):
-        # about QUERIES rows by the choice of parts
-        own = queries.filter(F.col("part") == part).select("id", "v").toPandas()
-        batch = spark.sparkContext.broadcast([(int(i), np.asarray(v, np.int64)) for i, v in zip(own["id"], own["v"])])
-
-        def search(batches: Iterator[pa.RecordBatch], batch=batch) -> Iterator[pa.RecordBatch]:
-            for record in batches:
-                for row in record.to_pylist():
-                    ids = np.frombuffer(row["ids"], np.int64)
-                    index = Index(ids, np.frombuffer(row["vals"], np.int32).reshape(row["n"], row["dims"]).astype(np.int64))
-                    out = [(q, *index.top(v, k, q)) for q, v in batch.value if len(v) == row["dims"]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]).astype(np.int64)),
-                            pa.array(np.concatenate([i for _, i, _ in out] or [np.zeros(0, np.int64)])),
-                            pa.array(np.concatenate([s for _, _, s in out] or [np.zeros(0, np.int64)]).astype(np.int64)),
-                        ],
-                        names=["query_id", "id", "score"],
-                    )
-
-        found = blocks.repartition(max(1, min(blocks.count(), 4096)), "block").mapInArrow(search, "query_id long, id long, score long")
-        results.append(store.put(found, f"found{part}"))
-    found = results[0]
-    for more in results[1:]:
-        found = found.union(more)
+    rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda v: v.cast("double")).alias("v"))
+    rows = store.put(rows.mapInArrow(_floored(scale), "id long, dims int, vec binary").distinct(), "rows")
+    # a few numbers for each vector length: its rows and queries
+    query = F.pmod("id", F.lit(every)) == 0
+    sizes = {r["dims"]: (r["n"], r["q"]) for r in rows.groupBy("dims").agg(F.count("*").alias("n"), F.count(F.when(query, 1)).alias("q")).collect() if r["q"]}
+    tables, base = [], 0
+    for dims, (n, q) in sorted(sizes.items()):
+        blocks, parts = -(-n // BLOCK), -(-q // PART)
+        # each block is given to so many tasks, each with its share of the parts
+        shares = min(parts, max(1, -(-TASKS // blocks)))
+        own = rows.filter(F.col("dims") == dims)
+        packed = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(_packed, "dims int, block int, ids binary, vecs binary")
+        asked = own.filter(query).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(_packed, "dims int, part int, ids binary, vecs binary")
+        share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
+        tables.append(packed.withColumn("s", share).select((base + F.col("block").cast("long") * shares + F.col("s")).alias("task"), F.lit(-1).alias("ord"), "dims", "ids", "vecs"))
+        block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        tables.append(asked.withColumn("b", block).select((base + F.col("b").cast("long") * shares + F.col("part") % shares).alias("task"), F.col("part").alias("ord"), "dims", "ids", "vecs"))
+        base += blocks * shares
+    if not tables:
+        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
+    both = tables[0]
+    for t in tables[1:]:
+        both = both.union(t)
+    tasks = min(base, MOST)
+    dealt = both.repartitionById(tasks, F.pmod(F.col("task"), F.lit(tasks)).cast("int")).sortWithinPartitions("task", "ord")
+    found = store.put(dealt.mapInArrow(_answers(k), "query_id long, id long, score long"), "found")
+    store.drop("rows")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k)
-    store.drop("rows", "blocked", "blocks", "queries")
     return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
