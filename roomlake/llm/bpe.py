@@ -10,7 +10,9 @@ outside the window provably stays.  Matches are joined by plain concatenation, a
 matches are encoded separately.  Decoding concatenates bytes up the same kind of tree.
 
 Null and empty texts have no tokens; decoding them gives empty bytes.  Texts are whole, whatever
-their length; a single match of any length costs O(length log length).
+their length; a single match of any length costs O(length log length).  Every row gives one row: repeated
+rows repeat, rows without an id keep none, an empty table gives none, and other columns are left out
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 32  # bytes that are merged directly
+from .bytesops import lean
+
+LEAF = 12  # bytes that are merged directly
+RUN = 256  # matches of a text that a leaf of its tree holds
 MEMO = 400_000  # remembered matches, pieces and pairs each; a full memory starts afresh
 NONE = np.iinfo(np.int32).max
 CHUNK = 4096  # ids that decoding joins at a leaf
@@ -142,7 +147,7 @@ class Codec:
         """``merge`` of many short pieces at once: each round merges one pair in every piece."""
         out: list[tuple[int, ...]] = [()] * len(pieces)
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        for low, high in ((0, 8), (8, 16), (16, LEAF)):
+        for low, high in ((0, 8), (8, LEAF)):
             rows = np.flatnonzero((sizes > low) & (sizes <= high))
             for part in np.array_split(rows, max(1, len(rows) // 20_000)):
                 if len(part):
@@ -219,7 +224,11 @@ class Codec:
         found = [self.find(t) if t else [] for t in texts]
         self.learn(chain.from_iterable(found))
         for words in found:
-            yield list(chain.from_iterable(map(self.words.__getitem__, words)))
+            # matches are encoded separately, so neighbours of a text's tree are joined as they are
+            level = [list(chain.from_iterable(map(self.words.__getitem__, words[i : i + RUN]))) for i in range(0, len(words), RUN)] or [[]]
+            while len(level) > 1:
+                level = [a + b for a, b in zip(level[::2], level[1::2])] + level[len(level) // 2 * 2 :]
+            yield level[0]
 
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_many([text]))
@@ -253,7 +262,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
                 ids = list(c.encode_many(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(lean(run), f"{id_col} long, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -266,7 +275,7 @@ def decoded(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", id
                 part = batch.slice(i, 64)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([c.decode(x or []) for x in part.column(1).to_pylist()], pa.binary())], names=[id_col, "bytes"])
 
-    return rows.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).alias("ids")).mapInArrow(run, f"{id_col} long, bytes binary")
+    return rows.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).alias("ids")).mapInArrow(lean(run), f"{id_col} long, bytes binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,4 +292,4 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
                 n, a, b = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(lean(run), f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,17 +1,24 @@
 """Embedding near-dedup: cosine threshold pairs by dual traversal of cover trees.
 
 Unit vectors have cosine >= c just when their distance is at most sqrt(2 - 2 c).  Equal directions
-are one point with a count.  Points are dealt to blocks: the nearest of PIVOTS sampled points decides,
-cells larger than BLOCK rows are divided by a hash.  Every block gets a cover tree: nested levels of
-centres whose radii halve, each node with its covering radius and its number of points.  Two nodes are
-pruned when their centres are further apart than the threshold and both covering radii; when every
-pair within them must link they are counted as a whole and joined at their centres; leaves are
-compared by exact cosines in double precision.  Pairs of blocks are pruned by the same bound first.
+are one point with a count.  Points are dealt to blocks by the top of the tree: each goes to the nearest
+of PIVOTS sampled centres, and a cell larger than BLOCK is divided again by centres of its own, until all
+fit.  Every block gets a cover tree below that: nested nets of centres, each net's radius half that of the
+one above, at any width, each node with its covering radius and its number of points.
+
+Two nodes are pruned when their centres are further apart than the threshold and both covering radii;
+when every pair within them must link they are counted as a whole and joined at their centres; otherwise
+the wider one gives way to its children, all of whose distances are found at once.  Leaves are compared
+by exact cosines in double precision.  Pairs of blocks are pruned by the same bound first.
 
 What leaves a task is, for each point, its number of links, and a spanning forest of the links, never
 the links themselves; so groups of copies of any size cost no quadratic output.
 
-Vectors that are null, empty, zero or hold null or non-finite components link with nothing.
+Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
+vectors of different lengths.  Rows that share an id are one vector: that of the smallest usable one, and one
+row comes out; the others of the id are no partners.  Rows without an id come out one by one, link with nothing and
+are kept.  Ties cannot arise: links are counted and components named by their smallest id.  Other
+columns are left out, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,60 +27,115 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytesops import give_back, lean
 from .components import components, with_component
 from .store import Store
 from .vectors import matrix, usable
 
-PIVOTS = 64  # sampled centres of cells; a bound on what the driver holds
-BLOCK = 4096  # rows of a block, about
-LEAF = 256  # points that are compared directly
-SLACK = 1e-9  # of distance bounds, for rounding
+PIVOTS = 64  # sampled centres of a cell; a bound on what the driver holds for each
+BLOCK = 4096  # rows of a block, at most, where centres can divide them
+ROUNDS = 12  # of division; cells that are larger then are divided by their order
+LEAF = 16  # points that are compared directly
+TASKS = 32  # least tasks that pairs of blocks are dealt to, if there are as many pairs
+MOST = 100_000  # tasks, at most
+SLACK = 1e-7  # of distance bounds, for rounding
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ y)))
+
+
+def net(x: np.ndarray, radius: float) -> np.ndarray:
+    """For each row the row that is its centre: centres are further than ``radius`` apart and cover all within it.
+
+    Rows come in order; one that no centre covers becomes a centre.  Distances are found in runs.
+    """
+    own = np.full(len(x), -1)
+    near = 1 - radius * radius / 2  # as a cosine
+    centres = np.zeros(0, np.int64)
+    for s in range(0, len(x), 512):
+        run = x[s : s + 512]
+        if len(centres):
+            cos = run @ x[centres].T
+            best = cos.argmax(axis=1)
+            hit = cos[np.arange(len(run)), best] >= near
+            own[s : s + 512][hit] = centres[best[hit]]
+        left = np.flatnonzero(own[s : s + 512] < 0)
+        among = run[left] @ run[left].T >= near
+        np.fill_diagonal(among, True)
+        free = np.ones(len(left), bool)
+        own[s + left] = s + left
+        # only rows near another of the run need an order
+        for i in np.flatnonzero(among.sum(axis=1) > 1):
+            if free[i]:
+                covers = among[i] & free
+                own[s + left[covers]] = s + left[i]
+                free[covers] = False
+        centres = np.concatenate([centres, s + left[own[s + left] == s + left]])
+    return own
 
 
 class Node:
-    """A node of a cover tree: centre, covering radius, the points below, children."""
+    """Points start..end of a tree, their centre first, within ``radius`` of it; children once it is divided."""
 
-    __slots__ = ("centre", "radius", "points", "children")
+    __slots__ = ("start", "end", "radius", "scale", "starts", "radii", "below")
 
-    def __init__(self, centre: np.ndarray, radius: float, points: np.ndarray, children: list):
-        self.centre, self.radius, self.points, self.children = centre, radius, points, children
+    def __init__(self, start: int, end: int, radius: float, scale: float):
+        self.start, self.end, self.radius, self.scale = start, end, radius, scale
+        self.starts: np.ndarray | None = None
+        self.radii = np.zeros(0)
+        self.below: dict[int, Node] = {}
 
+    def child(self, k: int) -> Node:
+        if k not in self.below:
+            end = self.starts[k + 1] if k + 1 < len(self.starts) else self.end
+            self.below[k] = Node(int(self.starts[k]), int(end), float(self.radii[k]), self.scale)
+        return self.below[k]
 
-def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ y)))
 
+class Tree:
+    """A cover tree of unit vectors, divided where a traversal goes.
 
-def build(x: np.ndarray, points: np.ndarray | None = None, scale: float = 2.0) -> Node:
-    """The cover tree of unit vectors ``x[points]``: children's centres are ``scale`` / 2 apart."""
-    if points is None:
-        points = np.arange(len(x))
-    centre = x[points[0]]
-    far = _distance(x[points], centre)
-    radius = float(far.max())
-    if len(points) <= LEAF or radius < 1e-6:
-        return Node(centre, radius, points, [])
-    scale = min(scale, radius)
-    children: list = []
-    while not children:
-        # greedily chosen centres, further than half the scale from each other, cover all points
-        near = scale / 2
-        rest, own, groups = points, far, []
-        while len(rest) and len(groups) <= 32:
-            at = rest[0]
-            d = own if at == points[0] else _distance(x[rest], x[at])
-            groups.append(rest[d <= near])
-            rest, own = rest[d > near], own[d > near]
-        if len(rest) or len(groups) > 32:
-            # no covering by few smaller nodes at this dimension: the points stay a leaf
-            return Node(centre, radius, points, [])
-        if len(groups) == 1:
-            scale = near
-            continue
-        children = [build(x, g, near) for g in groups]
-    return Node(centre, radius, points, children)
+    ``perm`` has the places that the points had at first: dividing a node reorders its points.
+    """
+
+    def __init__(self, x: np.ndarray, starts: np.ndarray | None = None, radii: np.ndarray | None = None, scale: float = 2.0):
+        self.x, self.perm = np.array(x), np.arange(len(x))
+        radius = float(_distance(self.x, self.x[0]).max()) if len(x) > 1 else 0.0
+        self.root = Node(0, len(x), radius, min(scale, max(radius, 1e-9)) if starts is None else scale)
+        if starts is not None and len(starts) > 1:
+            self.root.starts, self.root.radii = starts, radii
+        self.single = self.x.astype(np.float32)
+
+    def leaf(self, node: Node) -> bool:
+        """Whether a node's points are compared directly; a node that is not is divided."""
+        if node.starts is not None:
+            return False
+        if node.end - node.start <= LEAF or node.radius < 1e-6:
+            return True
+        own = self.x[node.start : node.end]
+        scale = node.scale
+        while scale > 1e-7:
+            scale /= 2
+            centre = net(own, scale)
+            if (centre != centre[0]).any():
+                break
+        else:
+            node.radius = min(node.radius, 1e-6)
+            return True
+        n = len(own)
+        order = np.lexsort((np.arange(n), centre != np.arange(n), centre))
+        far = np.sqrt(np.maximum(0.0, 2 - 2 * (own * own[centre]).sum(axis=1)))[order]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(centre[order]) != 0]))
+        self.x[node.start : node.end] = own[order]
+        self.single[node.start : node.end] = self.x[node.start : node.end].astype(np.float32)
+        self.perm[node.start : node.end] = self.perm[node.start : node.end][order]
+        far[starts] = 0.0
+        node.starts, node.radii, node.scale = starts + node.start, np.maximum.reduceat(far, starts), scale
+        return False
 
 
 class Links:
@@ -96,46 +158,95 @@ class Links:
             self.edges.append((i, j))
 
 
-def dual(x: np.ndarray, wx: np.ndarray, a: Node, y: np.ndarray, wy: np.ndarray, b: Node, cosine: float, same: bool, at: int) -> tuple[np.ndarray, np.ndarray, Links]:
-    """Numbers of links of x's and y's points (weighted by counts), and their forest.
+class Work:
+    """What a traversal did: node pairs looked at, pruned, counted as a whole, and pairs of points compared."""
+
+    def __init__(self) -> None:
+        self.looked = self.pruned = self.whole = self.compared = 0
+
+
+ROUGH = 1e-5  # of cosines in single precision
+
+
+def _survivors(x: np.ndarray, rx: np.ndarray, y: np.ndarray, ry: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes (centres in single precision, covering radii) that the bound does not prune."""
+    out_i, out_j = [], []
+    points_x, points_y = rx == 0, ry == 0
+    for rows in (points_x, ~points_x):
+        for columns in (points_y, ~points_y):
+            i, j = np.flatnonzero(rows), np.flatnonzero(columns)
+            if not len(i) or not len(j):
+                continue
+            reach = limit if rx[i[0]] == 0 and ry[j[0]] == 0 else np.minimum(2.0, limit + rx[i][:, None] + ry[j][None, :])
+            u, v = np.nonzero(x[i] @ y[j].T >= 1 - reach * reach / 2 - ROUGH)
+            out_i.append(i[u]), out_j.append(j[v])
+    return np.concatenate([np.zeros(0, int), *out_i]), np.concatenate([np.zeros(0, int), *out_j])
+
+
+def dual(one: Tree, wx: np.ndarray, two: Tree, wy: np.ndarray, cosine: float, work: Work | None = None) -> tuple[np.ndarray, np.ndarray, Links]:
+    """Numbers of links of the trees' points (weighted by counts), and their forest.
 
-    ``same`` if both are one block: then each pair counts once for either side.  y's points stand
-    at ``at`` + i in the forest.
+    With one tree twice each pair counts once for either side; two's points stand after one's in the forest.
     """
-    limit = float(np.sqrt(2 - 2 * cosine))
-    nx, ny = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-    links = Links(at + len(y))
-    stack = [(a, b)]
+    same = one is two
+    at = 0 if same else len(one.x)
+    limit = float(np.sqrt(2 - 2 * cosine)) + SLACK
+    nx, ny = np.zeros(len(one.x), np.int64), np.zeros(len(two.x), np.int64)
+    links, work = Links(at + len(two.x)), work or Work()
+
+    def linked(i: np.ndarray, j: np.ndarray) -> None:
+        """Count pairs of places that link."""
+        a, b = one.perm[i], two.perm[j]
+        np.add.at(nx, a, wy[b])
+        if not same:
+            np.add.at(ny, b, wx[a])
+        for u, v in zip(a.tolist(), b.tolist()):
+            links.join(u, v + at)
+
+    stack = [(one.root, two.root)]
     while stack:
         p, q = stack.pop()
-        d = float(np.sqrt(max(0.0, 2 - 2 * float(p.centre @ q.centre))))
-        if d - p.radius - q.radius > limit + SLACK:
+        leaf_p, leaf_q = one.leaf(p), two.leaf(q)
+        if leaf_p and leaf_q:
+            work.compared += (p.end - p.start) * (q.end - q.start)
+            for s in range(p.start, p.end, 1024):
+                i, j = np.nonzero(one.x[s : min(p.end, s + 1024)] @ two.x[q.start : q.end].T >= cosine)
+                linked(i + s, j + q.start)
             continue
-        if d + p.radius + q.radius < limit - 1e-6:  # all pairs link
-            nx[p.points] += wy[q.points].sum()
-            if not same:
-                ny[q.points] += wx[p.points].sum()
-            first_p, first_q = int(p.points[0]), int(q.points[0]) + at
-            for i in q.points.tolist():
-                links.join(first_p, i + at)
-            for i in p.points.tolist():
-                links.join(i, first_q)
-        elif p.children and (not q.children or p.radius >= q.radius):
-            stack += [(c, q) for c in p.children]
-        elif q.children:
-            stack += [(p, c) for c in q.children]
-        else:
-            for s in range(0, len(p.points), 1024):
-                own = p.points[s : s + 1024]
-                hit = x[own] @ y[q.points].T >= cosine
-                some = np.flatnonzero(hit.any(axis=1))
-                nx[own] += hit @ wy[q.points]
-                if not same:
-                    ny[q.points] += wx[own] @ hit
-                for r in some.tolist():
-                    i = int(own[r])
-                    for c in np.flatnonzero(hit[r]).tolist():
-                        links.join(i, int(q.points[c]) + at)
+        # the wider node gives way to its children, or both do
+        down_p, down_q = not leaf_p and (leaf_q or 2 * p.radius >= q.radius), not leaf_q and (leaf_p or 2 * q.radius >= p.radius)
+        a, ra = (p.starts, p.radii) if down_p else (np.array([p.start]), np.array([p.radius]))
+        b, rb = (q.starts, q.radii) if down_q else (np.array([q.start]), np.array([q.radius]))
+        na, nb = np.diff(np.append(a, p.end)), np.diff(np.append(b, q.end))
+        for s in range(0, len(a), 2048):
+            part = slice(s, s + 2048)
+            i, j = _survivors(one.single[a[part]], ra[part], two.single[b], rb, limit)
+            work.looked += len(a[part]) * len(b)
+            work.pruned += len(a[part]) * len(b) - len(i)
+            i = i + s
+            points = (na[i] == 1) & (nb[j] == 1)
+            work.compared += int(points.sum())
+            u, v = a[i[points]], b[j[points]]
+            for c in range(0, len(u), 65_536):
+                hit = (one.x[u[c : c + 65_536]] * two.x[v[c : c + 65_536]]).sum(axis=1) >= cosine
+                linked(u[c : c + 65_536][hit], v[c : c + 65_536][hit])
+            for k, m in zip(i[~points].tolist(), j[~points].tolist()):
+                left, right = p.child(k) if down_p else p, q.child(m) if down_q else q
+                d = float(_distance(one.x[left.start], two.x[right.start]))
+                if d - left.radius - right.radius > limit:
+                    work.pruned += 1
+                elif d + left.radius + right.radius < limit - 1e-5:  # all pairs link
+                    work.whole += 1
+                    x, y = one.perm[left.start : left.end], two.perm[right.start : right.end]
+                    nx[x] += wy[y].sum()
+                    if not same:
+                        ny[y] += wx[x].sum()
+                    for u in y.tolist():
+                        links.join(int(x[0]), u + at)
+                    for u in x.tolist():
+                        links.join(u, int(y[0]) + at)
+                else:
+                    stack.append((left, right))
     return nx, ny, links
 
 
@@ -153,102 +264,152 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), pa.array([int(size)] * len(m), pa.int32()), pa.array([r.tobytes() for r in m], pa.binary())], names=["id", "dims", "unit"])
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Per row: id, n_links (other rows with cosine >= ``cosine``), component_id, kept."""
-    spark = vectors.sparkSession
-    store = Store(spark, "covertree")
-    every = vectors.select(F.col(id_col).cast("long").alias("id"))
-    rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    units = store.put(rows.mapInArrow(_unit, "id long, dims int, unit binary"), "units")
-    points = store.put(units.groupBy("dims", "unit").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "points")
-    pivots = points.orderBy(F.xxhash64("rep"), "rep").limit(PIVOTS).select("dims", "unit").toPandas()
-    spread = spark.sparkContext.broadcast({d: np.stack([np.frombuffer(u, np.float64) for u in g["unit"]]) for d, g in pivots.groupby("dims")})
+def _cells(points: DataFrame, store: Store) -> DataFrame:
+    """``points`` with ``cell``: a block's number; cells are divided by sampled centres until they hold at most BLOCK rows.
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    What the driver holds is PIVOTS centres for each cell that is divided, at most one for each BLOCK / PIVOTS rows.
+    """
+    spark = points.sparkSession
+    placed = store.put(points.withColumn("cell", F.col("dims").cast("long")), "cells0")
+    following = 1 << 32  # numbers of cells above all vector lengths
+    for i in range(1, ROUNDS + 1):
+        large = [r["cell"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("cell").collect()]
+        if not large:
+            break
+        inside = placed.filter(F.col("cell").isin(large)) if len(large) <= 1000 else placed.join(F.broadcast(spark.createDataFrame([(c,) for c in large], "cell long")), "cell", "left_semi")
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy("h", "rep"))  # a group limit comes before the shuffle
+        sample = inside.withColumn("h", F.xxhash64("rep", F.lit(i))).withColumn("rank", rank).filter(F.col("rank") <= PIVOTS).select("cell", "unit").toArrow()
+        centres: dict[int, np.ndarray] = {}
+        cells = sample.column("cell").to_numpy()
+        units = sample.column("unit").to_pylist()
+        for c in large:
+            centres[c] = np.stack([np.frombuffer(units[k], np.float64) for k in np.flatnonzero(cells == c).tolist()])
+        base = {c: following + k * PIVOTS for k, c in enumerate(large)}
+        following += len(large) * PIVOTS
+        spread = spark.sparkContext.broadcast((centres, base))
+
+        def place(batches: Iterator[pa.RecordBatch], spread=spread) -> Iterator[pa.RecordBatch]:
+            centres, base = spread.value
+            for batch in batches:
+                cell = batch.column("cell").to_numpy().copy()
+                for c in np.unique(cell).tolist():
+                    if c in base:
+                        at = np.flatnonzero(cell == c)
+                        rows = np.stack([np.frombuffer(u.as_buffer(), np.float64) for u in batch.column("unit").take(pa.array(at))])
+                        cell[at] = base[c] + (rows @ centres[c].T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cell)], names=batch.schema.names)
+
+        placed = store.put(placed.mapInArrow(lean(place), "dims int, unit binary, rep long, copies long, cell long"), f"cells{i}")
+        store.drop(f"cells{i - 1}")
+    return placed
+
+
+def _block(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """A cell's points as one row, in the order of their tree, with its first net, a centre and the covering radius."""
+    rows = rows.sort_by("rep")
+    x = np.frombuffer(b"".join(rows.column("unit").to_pylist()), np.float64).reshape(rows.num_rows, -1)
+    order = np.roll(np.arange(len(x)), -int((x @ x.mean(axis=0)).argmax()))
+    tree = Tree(x[order])
+    whole = tree.leaf(tree.root)
+    order = order[tree.perm]
+    starts = np.zeros(1, np.int64) if whole else tree.root.starts
+    radii = np.array([tree.root.radius]) if whole else tree.root.radii
+    ints = lambda c: pa.array([rows.column(c).to_numpy()[order].astype(np.int64).tobytes()], pa.binary())
+    first = rows.slice(0, 1).select(["cell", "part", "dims"])
+    more = {"centre": pa.array([tree.x[0].tobytes()], pa.binary()), "radius": pa.array([tree.root.radius]), "scale": pa.array([tree.root.scale]), "reps": ints("rep"), "w": ints("copies"), "units": pa.array([tree.x.tobytes()], pa.binary()), "starts": pa.array([starts.astype(np.int64).tobytes()], pa.binary()), "radii": pa.array([radii.tobytes()], pa.binary())}
+    for name, values in more.items():
+        first = first.append_column(name, values)
+    give_back()
+    return first
+
+
+def _tree(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, Tree]:
+    """(ids, counts, tree) of a row."""
+    r, w, starts = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("reps", "w", "starts"))
+    x, radii = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64) for c in ("units", "radii"))
+    return r, w, Tree(x.reshape(len(r), -1), starts, radii, batch.column("scale")[i].as_py())
+
+
+def _met(cosine: float):
+    """Tasks' rows (ord, block): a block at ord -1, then those it is compared with (at ord 0 itself)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r1 = w1 = one = None
         for batch in batches:
-            cell, far = [], []
-            for dims, unit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                centres = spread.value.get(dims)
-                if centres is None:
-                    cell.append(-1), far.append(2.0)
+            for i in range(batch.num_rows):
+                order = batch.column("ord")[i].as_py()
+                if order < 0:
+                    r1, w1, one = _tree(batch, i)
                     continue
-                c = centres @ np.frombuffer(unit, np.float64)
-                cell.append(int(c.argmax())), far.append(float(np.sqrt(max(0.0, 2 - 2 * c.max()))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(far)], names=["dims", "unit", "rep", "copies", "cell", "far"])
-
-    placed = store.put(points.mapInArrow(place, "dims int, unit binary, rep long, copies long, cell int, far double"), "placed")
-    # cells with their radii and parts: at most PIVOTS (and one more for each other length) rows
-    cells = placed.groupBy("dims", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("rows")).toPandas()
-    merged: dict[tuple[int, int], tuple[int, int]] = {}
-    info: dict[int, tuple[int, list, int]] = {}
-    group = 0
-    for dims, g in cells.groupby("dims"):
-        # small cells share a block, so that blocks are neither many nor tiny
-        pending, size = [], 0
-        for cell, radius, n in g.sort_values("cell")[["cell", "radius", "rows"]].itertuples(index=False):
-            pending.append((int(cell), float(radius)))
-            size += int(n)
-            if size >= BLOCK:
-                info[group] = (int(dims), pending, -(-size // BLOCK))
-                group, pending, size = group + 1, [], 0
-        if pending:
-            info[group] = (int(dims), pending, max(1, -(-size // BLOCK)))
-            group += 1
-    for gid, (dims, members, parts) in info.items():
-        for cell, _ in members:
-            merged[dims, cell] = (gid, parts)
-    if not merged:
-        return every.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    groups = spark.createDataFrame([(d, c, g, p) for (d, c), (g, p) in merged.items()], "dims int, cell int, grp int, parts int")
-    dealt = placed.join(F.broadcast(groups), ["dims", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-
-    def pack(pdf):
-        pdf = pdf.sort_values("rep")
-        return pdf.head(1).assign(reps=pdf["rep"].to_numpy(np.int64).tobytes(), w=pdf["copies"].to_numpy(np.int64).tobytes(), units=b"".join(pdf["unit"]))[["grp", "part", "dims", "reps", "w", "units"]]
-
-    blocks = store.put(dealt.groupBy("grp", "part").applyInPandas(pack, "grp int, part int, dims int, reps binary, w binary, units binary"), "blocks")
-    limit = float(np.sqrt(2 - 2 * cosine)) + SLACK
-    centre = spread.value
+                r2, w2, two = (r1, w1, one) if order == 0 else _tree(batch, i)
+                n1, n2, links = dual(one, w1, two, w2, cosine)
+                ids = r1 if order == 0 else np.concatenate([r1, r2])
+                n = n1 if order == 0 else np.concatenate([n1, n2])
+                at = np.flatnonzero(n)
+                e = np.array(links.edges, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[at], ids[e[:, 0]]])), pa.array(np.concatenate([np.full(len(at), -1), ids[e[:, 1]]])), pa.array(np.concatenate([n[at], np.zeros(len(e), np.int64)]))], names=["a", "b", "n"])
 
-    def apart(g: int, h: int) -> bool:
-        """Whether the covering radii of two groups' cells prove that nothing in them links."""
-        (d, one, _), (e, two, _) = info[g], info[h]
-        if d != e:
-            return True
-        return all(c >= 0 and k >= 0 and np.sqrt(max(0.0, 2 - 2 * float(centre[d][c] @ centre[d][k]))) - r - s > limit for c, r in one for k, s in two)
+    return lean(run)
 
-    pairs = [(g, h) for g in info for h in info if g <= h and (g == h or not apart(g, h))]
-    pairs_df = spark.createDataFrame(pairs, "g int, h int")
-    keys = blocks.select("grp", "part")
-    todo = pairs_df.join(F.broadcast(keys.select(F.col("grp").alias("g"), F.col("part").alias("gp"))), "g").join(F.broadcast(keys.select(F.col("grp").alias("h"), F.col("part").alias("hp"))), "h")
-    todo = todo.filter("g < h or gp <= hp")
-    one = blocks.select(F.col("grp").alias("g"), F.col("part").alias("gp"), F.col("reps").alias("r1"), F.col("w").alias("w1"), F.col("units").alias("u1"))
-    two = blocks.select(F.col("grp").alias("h"), F.col("part").alias("hp"), F.col("reps").alias("r2"), F.col("w").alias("w2"), F.col("units").alias("u2"))
 
-    def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_blocks(limit: float):
+    """Which pairs (radius, centre, other radius, other centre) of blocks may hold a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                same = row["g"] == row["h"] and row["gp"] == row["hp"]
-                r1, r2 = (np.frombuffer(row[k], np.int64) for k in ("r1", "r2"))
-                w1, w2 = (np.frombuffer(row[k], np.int64) for k in ("w1", "w2"))
-                x, y = (np.frombuffer(row[k], np.float64).reshape(len(r), -1) for k, r in (("u1", r1), ("u2", r2)))
-                a = build(x)
-                n1, n2, links = dual(x, w1, a, y, w2, a if same else build(y), cosine, same, 0 if same else len(x))
-                ids = r1 if same else np.concatenate([r1, r2])
-                n = n1 if same else np.concatenate([n1, n2])
-                at = np.flatnonzero(n)
-                e = np.array(links.edges, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([ids[at], ids[e[:, 0]]])), pa.array(np.concatenate([np.full(len(at), -1), ids[e[:, 1]]])), pa.array(np.concatenate([n[at], np.zeros(len(e), np.int64)]))], names=["a", "b", "n"]
-                )
+            keep = []
+            for r, c, s, d in zip(*(batch.column(k) for k in ("radius", "centre", "radius2", "centre2"))):
+                one, two = np.frombuffer(c.as_buffer(), np.float64), np.frombuffer(d.as_buffer(), np.float64)
+                keep.append(float(_distance(one, two)) - r.as_py() - s.as_py() <= limit)
+            yield pa.RecordBatch.from_arrays([batch.column("g").filter(pa.array(keep)), batch.column("h").filter(pa.array(keep))], names=["g", "h"])
 
-    joined = todo.repartition(max(1, min(todo.count(), 4096)), "g", "gp", "h", "hp").join(one.hint("merge"), ["g", "gp"]).join(two.hint("merge"), ["h", "hp"])
-    met = store.put(joined.select("g", "gp", "h", "hp", "r1", "w1", "u1", "r2", "w2", "u2").mapInArrow(traverse, "a long, b long, n long"), "met")
+    return lean(run)
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Per vector: id, n_links (others with cosine >= ``cosine``), component_id, kept."""
+    spark = vectors.sparkSession
+    store = Store(spark, "covertree")
+    every = vectors.select(F.col(id_col).cast("long").alias("id"))
+    rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    units = store.put(rows.mapInArrow(lean(_unit), "id long, dims int, unit binary").groupBy("id").agg(F.min(F.struct("dims", "unit")).alias("u")).select("id", "u.dims", "u.unit"), "units")
+    points = units.groupBy("dims", "unit").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).select("dims", "unit", "rep", "copies")
+    placed = _cells(points, store)
+    # cells that no centres could divide, and none else, are divided by order
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("rows"))
+    dealt = placed.join(sizes, "cell").withColumn("part", F.when(F.col("rows") > 4 * BLOCK, F.pmod(F.xxhash64("rep"), F.ceil(F.col("rows") / BLOCK))).otherwise(0).cast("int"))
+    blocks = dealt.groupBy("cell", "part").applyInArrow(_block, "cell long, part int, dims int, centre binary, radius double, scale double, reps binary, w binary, units binary, starts binary, radii binary")
+    blocks = store.put(blocks.withColumn("g", F.xxhash64("cell", "part")), "blocks")
+    # a few numbers and one vector for each block: all pairs of blocks, pruned by their covering radii
+    heads = blocks.select("g", "dims", "radius", "centre")
+    others = heads.select(F.col("g").alias("h"), F.col("dims").alias("dims2"), F.col("radius").alias("radius2"), F.col("centre").alias("centre2"))
+    close = heads.join(others, (F.col("dims") == F.col("dims2")) & (F.col("g") < F.col("h"))).select("g", "radius", "centre", "h", "radius2", "centre2")
+    limit = float(np.sqrt(2 - 2 * cosine)) + SLACK
+    pairs = store.put(close.mapInArrow(_near_blocks(limit), "g long, h long"), "pairs")
+    n_blocks, n_pairs = blocks.count(), pairs.count()
+    body = ("scale", "reps", "w", "units", "starts", "radii")
+    own = blocks.select("g", *body)
+    shares = max(1, min(8, -(-TASKS // max(1, n_blocks)), -(-n_pairs // max(1, n_blocks))))
+    # a block meets those it is compared with in so many tasks
+    share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+    first = own.select("g", share, F.lit(-1).alias("ord"), *body)
+    itself = own.select("g", F.lit(0).alias("share"), F.lit(0).alias("ord"), F.lit(0.0).alias("scale"), *(F.lit(b"").alias(c) for c in body[1:]))
+    second = pairs.select("g", "h", F.pmod(F.xxhash64("h"), F.lit(shares)).cast("int").alias("share")).join(own.withColumnRenamed("g", "h"), "h").select("g", "share", F.lit(1).alias("ord"), *body)
+    tasks = min(MOST, max(1, n_blocks * shares))
+    numbered = blocks.select("g").join(F.broadcast(spark.createDataFrame([(int(r["g"]), i) for i, r in enumerate(blocks.select("g").orderBy("g").collect())], "g long, nth int")), "g") if 0 < n_blocks <= MOST else None
+    rows = first.union(itself).union(second)
+    if numbered is not None:
+        rows = rows.join(F.broadcast(numbered), "g").withColumn("task", F.col("nth") * shares + F.col("share"))
+    else:
+        rows = rows.withColumn("task", F.pmod(F.xxhash64("g", "share"), F.lit(tasks)).cast("int"))
+    dealt = rows.repartitionById(tasks, F.pmod("task", F.lit(tasks)).cast("int")).sortWithinPartitions("g", "share", "ord")
+    met = store.put(dealt.select("ord", *body).mapInArrow(_met(cosine), "a long, b long, n long"), "met")
     # a point meets itself (all its copies) once
     counted = met.filter("n > 0").groupBy(F.col("a").alias("rep")).agg((F.sum("n") - 1).alias("n_links"))
     found = components(met.filter("n = 0").select("a", "b"), store)
-    known = with_component(points.select("dims", "unit", "rep").join(counted, "rep"), found, "rep")
+    known = with_component(placed.select("dims", "unit", "rep").join(counted, "rep"), found, "rep")
     out = units.join(known, ["dims", "unit"]).select("id", "n_links", F.col("component_id").alias("comp"))
-    out = every.join(out, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "id").alias("component_id"))
-    store.drop("blocks", "placed")
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    ids = every.filter("id is not null").distinct().union(every.filter("id is null"))
+    out = ids.join(out, "id", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "id").alias("component_id"))
+    store.drop("blocks", "pairs")
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

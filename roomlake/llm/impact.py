@@ -51,6 +51,9 @@ class Index:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
+        # bounds are found in doubles of moderate size, scores from the values themselves
+        self.scale = self._moderate(values)
+        values = values * self.scale
         n, dims = values.shape
         size = np.abs(values)
         self.unit = np.maximum(size.max(axis=0) / LEVELS, 1e-300) if n else np.ones(dims)
@@ -64,6 +67,12 @@ class Index:
         self.length2 = (values * values).sum(axis=1)
         self.read = 0  # postings read so far, over all queries
 
+    @staticmethod
+    def _moderate(x: np.ndarray) -> float:
+        """A power of two that brings large values down to 2^20; 1 for others."""
+        most = float(np.abs(x).max(initial=0))
+        return 1.0 if most < 1 << 26 else 2.0 ** (20 - int(np.log2(most)))
+
     def _ends(self, query: np.ndarray, limit: float) -> np.ndarray:
         """How many postings of each dimension have an impact of ``limit`` or more."""
         with np.errstate(divide="ignore", over="ignore"):
@@ -92,6 +101,7 @@ class Index:
         out = self.ids != skip
         if int(out.sum()) <= k:
             return self._scored(np.flatnonzero(out), query, k)
+        whole, query = query, query * self._moderate(query)
         score, x2, q2 = np.zeros(n), np.zeros(n), np.zeros(n)
         done = np.zeros(dims, np.int64)
         whole2, length2 = float(query @ query), self.length2
@@ -113,7 +123,7 @@ class Index:
             possible = np.flatnonzero(out & (score + lacks >= bar - slack))
             if len(possible) <= max(FEW * n, 4 * k):
                 break
-        return self._scored(possible, query, k)
+        return self._scored(possible, whole, k)
 
     def _scored(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
         """The best k of rows by exact scores, ties to the smaller id."""

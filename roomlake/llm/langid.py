@@ -9,7 +9,9 @@ all set.  The highest corrected share decides, ties by name; the score is its pa
 
 N-grams are GRAM bytes of the text with ASCII letters in lower case and runs of other ASCII bytes as
 one space.  Null texts and texts without a letter are ``und`` with score 0; a text without a single
-full n-gram (one ASCII letter) is looked up by that letter as a word, which is fitted like an n-gram.  At most 64 languages can be learned.
+full n-gram (one ASCII letter) is looked up by that letter as a word, which is
+fitted like an n-gram.  Any number of languages can be learned.  Texts of any length are looked up whole;
+equal texts get one answer.  An empty table gives no rows.
 
 The filters are fitted on a bounded sample of labelled rows (``per_language``); n-gram frequencies
 are counted on the executors and only n-grams that SUPPORT of a language's sampled texts contain come
@@ -85,37 +87,42 @@ def gram_hashes(raw: np.ndarray, offsets: np.ndarray, lone: bool = False) -> tup
 
 def _slots(grams: np.ndarray, size: int) -> list[np.ndarray]:
     h = mix(grams.astype(U64) + U64(0x9E37))
-    return [((h >> U64(20 * i)) & U64(size - 1)).astype(np.int64) for i in range(HASHES)]
+    return [(mix(h + U64(i)) & U64(size - 1)).astype(np.int64) for i in range(HASHES)]
 
 
 def build(grams: dict[str, np.ndarray]) -> Filters:
-    """Filters of the n-grams (distinct uint32) of each language."""
+    """Filters of the n-grams (distinct uint32) of each language.
+
+    A slot has as many 64-bit words as the languages need; filters are as large as the largest language
+    needs for BITS_PER_GRAM bits an n-gram.
+    """
     names = tuple(sorted(grams))
-    if len(names) > 64:
-        raise ValueError("more than 64 languages")
     most = max((len(g) for g in grams.values()), default=1)
-    size = min(1 << 20, 1 << max(10, (most * BITS_PER_GRAM - 1).bit_length()))
-    kind = next(k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(names) <= n)
-    slots = np.zeros(size, kind)
+    size = 1 << max(10, (most * BITS_PER_GRAM - 1).bit_length())
+    kind = next((k for k, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(names) <= n), np.uint64)
+    wide = kind(0).itemsize * 8
+    slots = np.zeros((max(1, -(-len(names) // wide)), size), kind)
     for i, name in enumerate(names):
         for at in _slots(grams[name], size):
-            slots[at] |= kind(1 << i)
-    fill = np.array([np.count_nonzero(slots & kind(1 << i)) / size for i in range(len(names))])
+            slots[i // wide, at] |= kind(1 << i % wide)
+    fill = np.array([np.count_nonzero(slots[i // wide] & kind(1 << i % wide)) / size for i in range(len(names))])
     return Filters(names, slots, fill**HASHES)
 
 
 def shares(filters: Filters, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Corrected shares (rows x languages) and numbers of n-grams of rows."""
     grams, cuts = gram_hashes(raw, offsets)
-    mask = np.full(len(grams), np.iinfo(filters.slots.dtype).max, filters.slots.dtype)
-    for at in _slots(grams, len(filters.slots)):
-        mask &= filters.slots[at]
+    kind, wide = filters.slots.dtype.type, filters.slots.dtype.itemsize * 8
+    found = _slots(grams, filters.slots.shape[1])
     n = np.diff(cuts)
     out = np.zeros((len(n), len(filters.names)))
-    for i in range(len(filters.names)):
-        bit = (mask >> filters.slots.dtype.type(i)) & filters.slots.dtype.type(1)
-        total = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
-        out[:, i] = total[cuts[1:]] - total[cuts[:-1]]
+    for word in range(len(filters.slots)):
+        mask = filters.slots[word][found[0]]
+        for at in found[1:]:
+            mask &= filters.slots[word][at]
+        for i in range(word * wide, min(len(filters.names), (word + 1) * wide)):
+            total = np.concatenate([[0], np.cumsum((mask >> kind(i % wide)) & kind(1), dtype=np.int64)])
+            out[:, i] = total[cuts[1:]] - total[cuts[:-1]]
     f = filters.false_positive[None, :]
     return np.clip((out / np.maximum(n, 1)[:, None] - f) / np.maximum(1 - f, 1e-9), 0, 1), n
 
@@ -161,11 +168,14 @@ def fit(labelled: DataFrame, *, per_language: int = PER_LANGUAGE, id_col: str =
     sampled = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     least = F.create_map(*[x for k, n in sorted(sampled.items()) for x in (F.lit(k), F.lit(max(1.0, SUPPORT * n)))]) if sampled else F.create_map()
     grams = sample.mapInArrow(lean(_sampled_grams), "lang string, gram long, texts long").groupBy("lang", "gram").agg(F.sum("texts").alias("texts"))
-    kept = grams.filter(F.col("texts") >= least[F.col("lang")]).select("lang", "gram").toPandas() if sampled else None
+    kept = grams.filter(F.col("texts") >= least[F.col("lang")]).select("lang", "gram").toArrow() if sampled else None
     store.drop("sample")
     if kept is None:
         return build({})
-    return build({name: part["gram"].to_numpy().astype(np.uint32) for name, part in kept.groupby("lang")})
+    langs, grams = np.array(kept.column("lang").to_pylist(), object), kept.column("gram").to_numpy().astype(np.uint32)
+    found = {name: grams[langs == name] for name in sorted(set(langs.tolist()))}
+    give_back()
+    return build(found)
 
 
 def _languages(spread):

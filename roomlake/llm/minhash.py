@@ -37,7 +37,7 @@ from .store import Store
 
 ROWS, BANDS = 4, 32
 BINS = ROWS * BANDS
-WORDS = 32  # 64-bit words of a parity bitmap
+WORDS = 16  # 64-bit words of a parity bitmap
 PAIRED = 256  # members of a bucket whose pairs between components are joined by the band
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be broadcast; more are joined by shuffle
 _SALT = mix(np.arange(1, 2 * BINS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))

@@ -22,7 +22,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ def pack(items: list[tuple[int, int, object, object]], capacity: int) -> list[tu
         bins.marks[number] |= marks
         out.append((k, number, bins.used[number], start, size))
         bins.used[number] += 1
-        # a full bin is still open to empty texts
+        # a full bin is still open to empty texts; full pieces' bins are closed
         bins.put(room - size, number)
     return out
 
@@ -152,20 +153,19 @@ def packed(rows: DataFrame, *, capacity: int = CAPACITY, part_bytes: int = PART_
     parts = max(1, -(-total // part_bytes))
     dealt = slim.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(parts)).cast("int"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "no_id", "size", "source", "cluster"])
-        source, cluster = (pdf[c].where(pdf[c].notna(), None) for c in ("source", "cluster"))
-        items = list(zip(pdf["id"].tolist(), pdf["size"].tolist(), source.tolist(), cluster.tolist()))
-        found = pack(items, capacity)
-        k = [f[0] for f in found]
-        out = pd.DataFrame({"bin_id": [(int(pdf["part"].iloc[0]) << 32) | f[1] for f in found], "slot": [f[2] for f in found], "id": [items[i][0] for i in k], "no_id": pdf["no_id"].to_numpy()[k], "start": [f[3] for f in found], "length": [f[4] for f in found], "source": [items[i][2] for i in k]})
-        return out.astype({"slot": "int32"})
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("id", "no_id", "size", "source", "cluster")])
+        columns = {c: table.column(c).to_pylist() for c in ("id", "size", "source", "cluster")}
+        found = np.array(pack(list(zip(columns["id"], columns["size"], columns["source"], columns["cluster"])), capacity), np.int64).reshape(-1, 5)
+        rows = table.take(pa.array(found[:, 0]))
+        part = int(table.column("part")[0].as_py()) << 32
+        return pa.table({"bin_id": pa.array(part | found[:, 1]), "slot": pa.array(found[:, 2].astype(np.int32)), "id": rows.column("id"), "no_id": rows.column("no_id"), "start": pa.array(found[:, 3]), "length": pa.array(found[:, 4]), "source": rows.column("source")})
 
-    out = dealt.groupBy("part").applyInPandas(run, "bin_id long, slot int, id long, no_id boolean, start long, length long, source string")
+    out = dealt.groupBy("part").applyInArrow(run, "bin_id long, slot int, id long, no_id boolean, start long, length long, source string")
     return out.select("bin_id", "slot", F.when(~F.col("no_id"), F.col("id")).alias(id_col), "start", "length", "source")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, size, source, cluster): cluster is a hash of the text in lower case with single spaces; null texts have none."""
+    """(id, size, source, cluster): cluster is a hash of the text in lower case with single spaces; null and blank texts have none."""
     plain = F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"\s+", " "))
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source"), F.md5(plain.cast("binary")).alias("cluster"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source"), F.when(plain != "", F.md5(plain.cast("binary"))).alias("cluster"))

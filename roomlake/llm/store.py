@@ -1,28 +1,18 @@
 """Tables that cut lineage: written once to the cluster's shared folder, read back from there.
 
-The folder is the session's ``spark.checkpoint.dir``; only a session of one machine that has none
-uses a folder beside its warehouse, and a cluster without one is refused.  Reading a written table
+The folder is the session's ``spark.checkpoint.dir`` (see plans.shared).  Reading a written table
 survives a lost executor, unlike blocks kept on executors.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+from ..plans.shared import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, or one of our own where none is set and one machine does all."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_roomlake"
-    return folder.rstrip("/")
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Store:

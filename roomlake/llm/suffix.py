@@ -399,7 +399,7 @@ def _anchored(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...
     found = "h long, id long"
     looked = own.filter(F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, HOT_DOCS / max(n, 1)))))
     often = looked.mapInArrow(_anchor_rows(None), found).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    hot = spark.sparkContext.broadcast(np.sort(often.orderBy(F.desc("n"), "h").limit(HOT).select("h").toPandas()["h"].to_numpy(np.int64).view(U64)))
+    hot = spark.sparkContext.broadcast(np.sort(often.orderBy(F.desc("n"), "h").limit(HOT).select("h").toArrow().column("h").to_numpy().view(U64)))
     by_anchor = Window.partitionBy("h")
     met = own.mapInArrow(_anchor_rows(hot), found).withColumn("least", F.min("id").over(by_anchor)).withColumn("most", F.max("id").over(by_anchor))
     shared = store.put(met.filter("least < most").select("h", "id"), "shared").groupBy("id").agg(F.collect_list("h").alias("known"))

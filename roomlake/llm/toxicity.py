@@ -13,8 +13,11 @@ Labels are binary, so grades come from them in two steps: texts labelled clean h
 labelled toxic are cut into thirds by how many occurrences of toxic-leaning features they hold.
 
 Training uses a bounded, documented sample: at most PER_LABEL labelled rows of each label, by hashed
-id.  Prediction reads every whole text.  Null and empty texts have no features; their severity is
-what the thresholds alone say.  With no labelled text of both kinds everything has severity 0.
+id.  Prediction reads every whole text, of any length.  Null and empty texts have no features; their
+severity is what the thresholds alone say.  With no labelled text of both kinds everything has severity
+0.  Rows of one text get one severity; an id with several labels counts as toxic if any says so, rows that
+repeat an id train as one text each.  Letters are those of all scripts but for the marks of General
+Punctuation and Latin-1 (quotes, dashes), which end words.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,6 +58,10 @@ class Model:
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, rows) of the occurrences of words and prefixes."""
     low = LOWER[raw]
+    # quotes, dashes and other signs of Latin-1 (C2 ..) and General Punctuation (E2 80 .., E2 81 ..) end words
+    two = np.flatnonzero(low[:-1] == 0xC2)
+    three = np.flatnonzero((low[:-2] == 0xE2) & ((low[1:-1] == 0x80) | (low[1:-1] == 0x81)))
+    low[np.concatenate([two, two + 1, three, three + 1, three + 2])] = 32
     start, end, row = word_spans(low, offsets, _GAP)
     p = prefix(low)
     word = spans_hash(p, start, end)
@@ -121,17 +128,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_label: int = PER_LABEL, id_co
     weight = F.abs("odds") * F.sqrt(F.col("bad") + F.col("good"))
     table = store.put(table.withColumn("rank", weight).orderBy(F.desc("rank"), "feature").limit(MAX_FEATURES).select("feature", "odds"), "features")
     # at most 2 per_label rows of at most MAX_FEATURES columns; only what occurs
-    found = bags.join(F.broadcast(table), "feature").select("id", "toxic", "feature", "n", "odds").toPandas()
+    found = bags.join(F.broadcast(table), "feature").select("id", "toxic", "feature", (F.col("n") * (F.col("odds") > 2).cast("int")).alias("leaning")).toArrow()
     store.drop("chosen", "bags", "features")
-    if not len(found):
+    if not found.num_rows:
         return empty
-    names, cols = np.unique(found["feature"].to_numpy().view(U64), return_inverse=True)
-    _, first, rows = np.unique(found["id"].to_numpy(), return_index=True, return_inverse=True)
-    toxic = found["toxic"].to_numpy()[first]
-    leaning = np.bincount(rows, np.where(found["odds"].to_numpy() > 2, found["n"].to_numpy(), 0), len(first))
+    names, cols = np.unique(found.column("feature").to_numpy().view(U64), return_inverse=True)
+    _, first, rows = np.unique(found.column("id").to_numpy(), return_index=True, return_inverse=True)
+    toxic = found.column("toxic").to_numpy()[first]
+    leaning = np.bincount(rows, found.column("leaning").to_numpy(), len(first))
+    del found
     marks = np.quantile(leaning[toxic == 1], [1 / 3, 2 / 3]) if (toxic == 1).any() else [0, 0]
     grade = np.where(toxic == 1, 1 + (leaning > marks[0]).astype(int) + (leaning > marks[1]), 0)
     weights, thresholds = _fit_links(rows, cols, grade, len(names))
+    del rows, cols
+    give_back()
     return Model(names, weights, thresholds)
 
 

@@ -6,72 +6,169 @@ from ..functions import geometry as g
 from ..plans.catalog import relation
 from ..plans.dialect import Spark
 
-VOXEL = 0.10
-
-
 @relation
-def point_projection(d: Spark) -> str:
+def projected_points(d: Spark) -> str:
     """Points in four views, by pixel, where they are ahead and inside the image."""
     ang = "(v.i * 90)"
     x, y = f"(p.x - 2.5) * cos(radians({ang})) + (p.y - 2.5) * sin(radians({ang}))", f"-(p.x - 2.5) * sin(radians({ang})) + (p.y - 2.5) * cos(radians({ang}))"
-    return f"""select gid, view, cast(px as int) as px, cast(py as int) as py, round(depth, 6) as depth from (
-        select gid, view, depth, floor(round(648 + 700 * side / depth, 6)) as px, floor(round(484 - 700 * up / depth, 6)) as py from (
-        select p.gid, v.i as view, {x} + 4 as depth, {y} as side, p.z - 0.8 as up from points p cross join {d.sequence(4, 'i')} v) a where depth > 0.01) b where px between 0 and 1295 and py between 0 and 967"""
+    return f"""select scene_id, gid, iid, view, cast(px as int) as px, cast(py as int) as py, depth from (
+        select scene_id, gid, iid, view, depth, floor(round(648 + 700 * side / depth, 6)) as px, floor(round(484 - 700 * up / depth, 6)) as py from (
+        select p.scene_id, p.gid, p.iid, v.i as view, {x} + 4 as depth, {y} as side, p.z - 0.8 as up from points p cross join {d.sequence(4, 'i')} v) a where depth > 0.01) b where px between 0 and 1295 and py between 0 and 967"""
+
+
+@relation
+def point_projection(d: Spark) -> str:
+    return "select scene_id, gid, view, px, py, round(depth, 6) as depth from projected_points"
+
+
+@relation
+def depth_cells(d: Spark) -> str:
+    """The depth of what is nearest in each cell of 16 x 16 pixels of a view: a coarse depth image."""
+    return "select scene_id, view, cast(floor(px / 16) as int) as cx, cast(floor(py / 16) as int) as cy, min(round(depth, 9)) as depth from projected_points group by 1, 2, 3, 4"
+
+
+@relation
+def mask_cells_of_views(d: Spark) -> str:
+    """Runs of instance masks over the cells of a depth image, one run a row of cells; derived from what is nearest there."""
+    return """select scene_id, view, cy, cx as cx0, coalesce(lead(cx) over (partition by scene_id, view, cy order by cx) - 1, 80) as cx1, iid from (
+        select p.scene_id, p.view, d.cy, d.cx, min(p.iid) as iid from projected_points p join depth_cells d on p.scene_id = d.scene_id and p.view = d.view
+        and cast(floor(p.px / 16) as int) = d.cx and cast(floor(p.py / 16) as int) = d.cy and round(p.depth, 9) = d.depth group by p.scene_id, p.view, d.cy, d.cx) a"""
+
+
+@relation
+def point_mask(d: Spark) -> str:
+    """The mask that a view gives a point: that of its pixel, where the point's depth is within 15 % of the depth seen there."""
+    return """select p.scene_id, p.gid, p.view, m.iid from projected_points p
+        join depth_cells d on p.scene_id = d.scene_id and p.view = d.view and cast(floor(p.px / 16) as int) = d.cx and cast(floor(p.py / 16) as int) = d.cy
+        join mask_cells_of_views m on m.scene_id = d.scene_id and m.view = d.view and m.cy = d.cy and d.cx between m.cx0 and m.cx1
+        where abs(p.depth - d.depth) / d.depth < 0.15"""
+
+
+@relation
+def backprojected(d: Spark) -> str:
+    """Cells of masks with their depth as points of the scene; depths in (0.01, 100)."""
+    u, v = "((d.cx * 16 + 8) - 648) / cast(700 as double) * d.depth", "(484 - (d.cy * 16 + 8)) / cast(700 as double) * d.depth"
+    ang = "radians(d.view * 90)"
+    return f"""select scene_id, view, iid, cx, cy, round(2.5 + (depth - 4) * cos(a) - side * sin(a), 6) as x, round(2.5 + (depth - 4) * sin(a) + side * cos(a), 6) as y, round(0.8 + up, 6) as z from (
+        select d.scene_id, d.view, m.iid, d.cx, d.cy, d.depth, {u} as side, {v} as up, {ang} as a from depth_cells d
+        join mask_cells_of_views m on m.scene_id = d.scene_id and m.view = d.view and m.cy = d.cy and d.cx between m.cx0 and m.cx1 where d.depth > 0.01 and d.depth < 100) t"""
 
 
 @relation
 def majority_vote(d: Spark) -> str:
     """The label most views give a point; the first seen wins ties."""
-    return """select gid, label, n from (select *, row_number() over (partition by gid order by n desc, first_view, label) as rn from (
-        select gid, label, count(*) as n, min(view) as first_view from point_votes group by gid, label) a) b where rn = 1"""
+    return """select scene_id, gid, label, n from (select *, row_number() over (partition by scene_id, gid order by n desc, first_view, label) as rn from (
+        select scene_id, gid, label, count(*) as n, min(view) as first_view from point_votes group by scene_id, gid, label) a) b where rn = 1"""
 
 
 @relation
 def instances(d: Spark) -> str:
-    """Categories with a hundred points at least: number, middle, box; numbered by name."""
-    return """select row_number() over (order by category) as iid, category, n, x, y, z, x0, y0, z0, x1, y1, z1 from (
-        select category, count(*) as n, round(avg(x), 6) as x, round(avg(y), 6) as y, round(avg(z), 6) as z, round(min(x), 6) as x0, round(min(y), 6) as y0, round(min(z), 6) as z0, round(max(x), 6) as x1, round(max(y), 6) as y1, round(max(z), 6) as z1
-        from points group by category having count(*) >= 100) a"""
+    """Categories of a scene with a hundred points at least: number, middle, box; numbered by name."""
+    return """select scene_id, row_number() over (partition by scene_id order by category) as iid, category, n, x, y, z, x0, y0, z0, x1, y1, z1 from (
+        select scene_id, category, count(*) as n, round(avg(x), 6) as x, round(avg(y), 6) as y, round(avg(z), 6) as z, round(min(x), 6) as x0, round(min(y), 6) as y0, round(min(z), 6) as z0, round(max(x), 6) as x1, round(max(y), 6) as y1, round(max(z), 6) as z1
+        from points group by scene_id, category having count(*) >= 100) a"""
+
+
+@relation
+def instance_names(d: Spark) -> str:
+    """Instances numbered again from 0 in each category of a scene, by their former numbers."""
+    return """select scene_id, category, iid, concat(category, '_', cast(row_number() over (partition by scene_id, category order by iid) - 1 as string)) as name from (
+        select distinct scene_id, category, iid from points) a"""
 
 
 @relation
 def percentile_boxes(d: Spark) -> str:
     p = lambda c, q: f"round({d.percentile(c, q)}, 6)"
-    return f"""select iid, {p('x', 0.02)} as x0, {p('x', 0.98)} as x1, {p('y', 0.02)} as y0, {p('y', 0.98)} as y1, {p('z', 0.02)} as z0, {p('z', 0.98)} as z1 from points group by iid having count(*) > 20"""
+    return f"""select scene_id, iid, {p('x', 0.02)} as x0, {p('x', 0.98)} as x1, {p('y', 0.02)} as y0, {p('y', 0.98)} as y1, {p('z', 0.02)} as z0, {p('z', 0.98)} as z1 from points group by scene_id, iid having count(*) > 20"""
 
 
 @relation
 def view_support(d: Spark) -> str:
-    return "select label, count(distinct view) as views, count(*) as votes from point_votes group by label"
+    return "select scene_id, label, count(distinct view) as views, count(*) as votes from point_votes group by scene_id, label"
+
+
+@relation
+def weak_labels(d: Spark) -> str:
+    """Labels of a scene that at most two views support and that no caption names; an outside judge's captions name those of three letters or fewer."""
+    return "select scene_id, label from view_support where views <= 2 and length(label) > 1"
 
 
 @relation
 def median_offset(d: Spark) -> str:
-    return f"select iid, round({d.percentile('z', 0.5)}, 6) as z from points group by iid"
+    return f"select scene_id, iid, round({d.percentile('z', 0.5)}, 6) as z from points group by scene_id, iid"
 
 
 @relation
 def voxels(d: Spark) -> str:
-    """The voxels of each instance; keys are three numbers, so that edges do not wrap."""
-    return f"select iid, cast(floor(x / {VOXEL * 10}) as bigint) as vx, cast(floor(y / {VOXEL * 10}) as bigint) as vy, cast(floor(z / {VOXEL * 10}) as bigint) as vz, count(*) as n, min(gid) as first_point from points group by 1, 2, 3, 4"
+    """The voxels of each instance, :voxel wide; keys are three numbers, so that edges do not wrap."""
+    v = lambda c: f"cast(floor(round({c} / :voxel, 9)) as bigint)"
+    return f"select scene_id, iid, {v('x')} as vx, {v('y')} as vy, {v('z')} as vz, count(*) as n, min(gid) as first_point from points group by 1, 2, 3, 4, 5"
 
 
 @relation
 def voxel_neighbours(d: Spark) -> str:
-    """Pairs of neighbouring voxels of an instance, by equality on shifted keys."""
-    return f"""select a.iid, a.first_point as a, b.first_point as b from (select v.*, i.i - 1 as dx, j.j - 1 as dy, k.k - 1 as dz from voxels v cross join {d.sequence(3, 'i')} i cross join {d.sequence(3, 'j')} j cross join {d.sequence(3, 'k')} k) a
-        join voxels b on a.iid = b.iid and a.vx + a.dx = b.vx and a.vy + a.dy = b.vy and a.vz + a.dz = b.vz and a.first_point < b.first_point"""
+    """Pairs of neighbouring voxels of an instance, by equality on shifted keys: thirteen of the twenty-six, each pair once."""
+    return f"""select a.scene_id, a.iid, least(a.first_point, b.first_point) as a, greatest(a.first_point, b.first_point) as b from (
+        select v.*, i.i - 1 as dx, j.j - 1 as dy, k.k - 1 as dz from voxels v cross join {d.sequence(3, 'i')} i cross join {d.sequence(3, 'j')} j cross join {d.sequence(3, 'k')} k where i.i * 9 + j.j * 3 + k.k > 13) a
+        join voxels b on a.scene_id = b.scene_id and a.iid = b.iid and a.vx + a.dx = b.vx and a.vy + a.dy = b.vy and a.vz + a.dz = b.vz"""
+
+
+# Points of an instance that are tried, how near they must be, and their part of all.
+SAMPLED, NEAR, INSIDE = 500, 0.05, 0.7
+
+
+@relation
+def sampled_points(d: Spark) -> str:
+    """At most 500 points of each instance, by hash."""
+    return f"""select scene_id, iid, category, gid, x, y, z from (select *, row_number() over (partition by scene_id, iid, category order by md5(cast(gid as string)), gid) as rn from points) a where rn <= {SAMPLED}"""
+
+
+@relation
+def near_samples(d: Spark) -> str:
+    """Sampled points within 0.05 m of a point of another category: cells of that width, and the 27 around each, meet by equality."""
+    cell = lambda c: f"cast(floor(round({c} / {NEAR}, 9)) as bigint)"
+    return f"""select distinct s.scene_id, s.iid as small, s.category, s.gid, p.iid as large, p.category as other from (
+        select s.*, {cell('x')} + i.i - 1 as kx, {cell('y')} + j.j - 1 as ky, {cell('z')} + k.k - 1 as kz from sampled_points s cross join {d.sequence(3, 'i')} i cross join {d.sequence(3, 'j')} j cross join {d.sequence(3, 'k')} k) s
+        join (select *, {cell('x')} as kx, {cell('y')} as ky, {cell('z')} as kz from points) p on s.scene_id = p.scene_id and s.kx = p.kx and s.ky = p.ky and s.kz = p.kz and s.category <> p.category
+        where (s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y) + (s.z - p.z) * (s.z - p.z) <= {NEAR * NEAR} + 1e-12"""
 
 
 @relation
 def spatial_merge(d: Spark) -> str:
-    """Instances nearly inside larger ones: seven tenths of their voxels next to the other's."""
-    return """select small, large, round(near / cast(n as double), 6) as share from (
-        select a.iid as small, b.iid as large, count(distinct concat(cast(a.vx as string), ' ', cast(a.vy as string), ' ', cast(a.vz as string))) as near, min(sa.n) as n from voxels a
-        join (select iid, count(*) as n from voxels group by iid) sa on sa.iid = a.iid
-        join voxels b on a.vx = b.vx and a.vy = b.vy and a.vz = b.vz and a.iid <> b.iid
-        join (select iid, count(*) as n from voxels group by iid) sb on sb.iid = b.iid
-        where sa.n < sb.n or (sa.n = sb.n and a.iid < b.iid) group by a.iid, b.iid) t where near / cast(n as double) > 0.7"""
+    """Instances nearly inside larger ones of another category: more than seven tenths of their sampled points near the other's."""
+    return f"""select scene_id, small, category, large, other, round(near / cast(n as double), 6) as share from (
+        select m.scene_id, m.small, m.category, m.large, m.other, count(*) as near, min(least(a.n, {SAMPLED})) as n from near_samples m
+        join (select scene_id, iid, category, count(*) as n from points group by scene_id, iid, category) a on a.scene_id = m.scene_id and a.iid = m.small and a.category = m.category
+        join (select scene_id, iid, category, count(*) as n from points group by scene_id, iid, category) b on b.scene_id = m.scene_id and b.iid = m.large and b.category = m.other
+        where a.n < b.n or (a.n = b.n and a.iid < b.iid) group by m.scene_id, m.small, m.category, m.large, m.other) t where near / cast(n as double) > {INSIDE}"""
+
+
+@relation
+def nearby_pairs(d: Spark) -> str:
+    """Pairs of instances of a scene whose middles are less than 1.5 m apart: candidates of a merge."""
+    return f"""select a.scene_id, a.iid as iid_a, b.iid as iid_b, round({g.norm('a.x - b.x', 'a.y - b.y', 'a.z - b.z')}, 6) as apart, {g.norm('a.x - b.x', 'a.y - b.y', 'a.z - b.z')} < 1.0 as close
+        from instances a join instances b on a.scene_id = b.scene_id and a.iid < b.iid where {g.norm('a.x - b.x', 'a.y - b.y', 'a.z - b.z')} < 1.5"""
+
+
+@relation
+def merge_candidates(d: Spark) -> str:
+    """Of each instance the nearest larger one within 1.5 m; what an outside judge would merge."""
+    return """select scene_id, small as node, large as target from (select *, row_number() over (partition by scene_id, small order by apart, large) as rn from (
+        select p.scene_id, p.apart, case when a.n < b.n or (a.n = b.n and a.iid < b.iid) then a.iid else b.iid end as small, case when a.n < b.n or (a.n = b.n and a.iid < b.iid) then b.iid else a.iid end as large
+        from nearby_pairs p join instances a on a.scene_id = p.scene_id and a.iid = p.iid_a join instances b on b.scene_id = p.scene_id and b.iid = p.iid_b) t) u where rn = 1"""
+
+
+@relation
+def merge_votes(d: Spark) -> str:
+    """Merges that views agree on, each once, removals of what a merge has taken left out."""
+    return "select distinct scene_id, node, target from merge_candidates where node <> target"
+
+
+@relation
+def detections(d: Spark) -> str:
+    """Instances by how many views see them, then by their mean weight there."""
+    return """select scene_id, iid, views, score, row_number() over (partition by scene_id order by views desc, score desc, iid) as place from (
+        select scene_id, iid, count(distinct view) as views, round(avg(1 / depth), 6) as score from projected_points group by scene_id, iid) a"""
 
 
 @relation
@@ -83,18 +180,52 @@ def physics_steps(d: Spark) -> str:
         first_value(px) over ({w} rows between 4 preceding and current row) as wx, first_value(py) over ({w} rows between 4 preceding and current row) as wy, first_value(pz) over ({w} rows between 4 preceding and current row) as wz from trace) a"""
 
 
+# How far and how much bodies may move, the least steps of rest and the most of a run.
+OFFSET, TURN, REST, STEPS = 0.2, 8, 5, 2000
+
+
+@relation
+def physics_flags(d: Spark) -> str:
+    """Every step with whether the body is still where it began, and whether it has rested: moved and turned under :still against the oldest of five steps."""
+    w = f"partition by prim order by step rows between {REST - 1} preceding and current row"
+    return f"""select prim, step, offset_, turn, drift, offset_ <= {OFFSET} and turn <= {TURN} as stable, count(*) over ({w}) = {REST} and max(greatest(drift, turned)) over ({w}) < :still as resting from (
+        select *, abs(angle - first_value(angle) over (partition by prim order by step)) as turn, abs(angle - first_value(angle) over ({w})) as turned from physics_steps) a where step <= {STEPS}"""
+
+
+@relation
+def physics_stops(d: Spark) -> str:
+    """The step at which a body is decided: its first that is unstable, or its first at rest, else its last."""
+    return "select prim, coalesce(min(case when not stable or resting then step end), max(step)) as stop, max(step) as steps from physics_flags group by prim"
+
+
 @relation
 def physics_stability(d: Spark) -> str:
-    """Bodies that end within 0.2 m and 8 degrees of where they began."""
-    return """select prim, steps, round(offset_, 6) as final_offset, offset_ <= 0.2 and angle <= 8 as stable from (
-        select *, row_number() over (partition by prim order by step desc) as back, count(*) over (partition by prim) as steps from physics_steps) a where back = 1"""
+    """Bodies at the step that decides them: stable ones are within 0.2 m and 8 degrees of where they began."""
+    return "select f.prim, s.steps, s.stop, round(f.offset_, 6) as final_offset, round(f.turn, 6) as final_turn, f.stable from physics_flags f join physics_stops s on f.prim = s.prim and f.step = s.stop"
+
+
+@relation
+def physics_summary(d: Spark) -> str:
+    """How many bodies are stable, their part of all, and how far bodies moved."""
+    return "select count(*) as bodies, sum(case when stable then 1 else 0 end) as stable_bodies, round(sum(case when stable then 1 else 0 end) / cast(greatest(count(*), 1) as double), 6) as ratio, round(max(final_offset), 6) as furthest, round(avg(final_offset), 6) as mean_offset from physics_stability"
+
+
+@relation
+def unstable_bodies(d: Spark) -> str:
+    """Bodies that have moved by step 120."""
+    return "select prim from physics_flags where step <= 120 group by prim having max(case when stable then 0 else 1 end) = 1"
+
+
+@relation
+def task_success(d: Spark) -> str:
+    """Whether every body of a group passed."""
+    return "select prim % 10 as task, count(*) as parts, min(case when stable then 1 else 0 end) = 1 as success from physics_stability group by prim % 10"
 
 
 @relation
 def equilibrium_window(d: Spark) -> str:
-    """Steps after which a body has hardly moved for five steps, against the oldest of them."""
-    return """select prim, step, round(drift, 6) as drift from (select prim, step, drift, max(drift) over w as worst, count(*) over w as n from physics_steps window w as (partition by prim order by step rows between 4 preceding and current row)) a
-        where n = 5 and worst < 2.0"""
+    """Steps after which a body has rested for five steps, against the oldest of them, in place and turn."""
+    return "select prim, step, round(drift, 6) as drift from physics_flags where resting"
 
 
 @relation

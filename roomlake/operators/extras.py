@@ -40,14 +40,6 @@ def floor_boxes(d: Spark) -> str:
         from rooms cross join (values ('floor'), ('ceiling')) as v(part)"""
 
 
-@relation
-def wall_boxes(d: Spark) -> str:
-    """Boxes of the four walls, half as thick as the wall, moved inwards by a quarter of it."""
-    return """select scene_id, v.wall, round((x_min + x_max) / 2 + v.nx * ((x_max - x_min) / 2 - 0.1 / 4), 6) as cx, round((y_min + y_max) / 2 + v.ny * ((y_max - y_min) / 2 - 0.1 / 4), 6) as cy, z_max / 2 as cz,
-        case when v.ny <> 0 then x_max - x_min else 0.05 + 0 * x_max end as width, case when v.ny <> 0 then 0.05 + 0 * y_max else y_max - y_min end as length, z_max as height
-        from rooms cross join (values ('south', 0, -1), ('east', 1, 0), ('north', 0, 1), ('west', -1, 0)) as v(wall, nx, ny)"""
-
-
 @relation
 def axes_flipped(d: Spark) -> str:
     """Points of Y-down space in Z-up space, and back again."""
@@ -56,7 +48,12 @@ def axes_flipped(d: Spark) -> str:
 
 @relation
 def palette(d: Spark) -> str:
-    return f"select i as k, round(i * 0.618033988749895 - floor(i * 0.618033988749895), 9) as hue from {d.sequence(64, 'i')} n"
+    """Colours a golden ratio of the circle apart, at saturation 0.65 and value 0.95, in bytes."""
+    six = "(hue * 6 - floor(hue * 6))"
+    p, q, t, v = "0.95 * (1 - 0.65)", f"0.95 * (1 - 0.65 * {six})", f"0.95 * (1 - 0.65 * (1 - {six}))", "0.95"
+    part = lambda xs: "cast(floor(round(255 * case cast(floor(hue * 6) as int) " + " ".join(f"when {i} then {x}" for i, x in enumerate(xs)) + " end, 6)) as int)"
+    return f"""select k, hue, {part((v, q, p, p, t, v))} as red, {part((t, v, v, q, p, p))} as green, {part((p, p, t, v, v, q))} as blue from (
+        select i as k, round(i * 0.618033988749895 - floor(i * 0.618033988749895), 9) as hue from {d.sequence(64, 'i')} n) a"""
 
 
 @relation
@@ -75,36 +72,36 @@ def merged_names(d: Spark) -> str:
 @relation
 def mask_cells(d: Spark) -> str:
     """Pixels of each cell of a 20 x 20 grid of a view, empty cells too."""
-    return f"""select c.cam, i.i as cy, j.j as cx, coalesce(m.px, 0) as px from (select distinct cam from mask_runs) c cross join {d.sequence(20, 'i')} i cross join {d.sequence(20, 'j')} j
-        left join (select cam, cast(floor(y / {HEIGHT / 20}) as int) as cy, cast(floor((x0 + x1) / 2 / {WIDTH / 20}) as int) as cx, sum(x1 - x0 + 1) as px from mask_runs where x1 >= x0 group by 1, 2, 3) m on m.cam = c.cam and m.cy = i.i and m.cx = j.j"""
+    return f"""select c.scene_id, c.cam, i.i as cy, j.j as cx, coalesce(m.px, 0) as px from (select distinct scene_id, cam from mask_runs) c cross join {d.sequence(20, 'i')} i cross join {d.sequence(20, 'j')} j
+        left join (select scene_id, cam, cast(floor(y / {HEIGHT / 20}) as int) as cy, cast(floor((x0 + x1) / 2 / {WIDTH / 20}) as int) as cx, sum(x1 - x0 + 1) as px from mask_runs where x1 >= x0 group by 1, 2, 3, 4) m on m.scene_id = c.scene_id and m.cam = c.cam and m.cy = i.i and m.cx = j.j"""
 
 
 @relation
 def integral_image(d: Spark) -> str:
     """Sums of all cells above and to the left."""
-    return """select cam, cy, cx, cast(sum(row_sum) over (partition by cam, cx order by cy) as bigint) as total from (
-        select cam, cy, cx, sum(px) over (partition by cam, cy order by cx) as row_sum from mask_cells) a"""
+    return """select scene_id, cam, cy, cx, cast(sum(row_sum) over (partition by scene_id, cam, cx order by cy) as bigint) as total from (
+        select scene_id, cam, cy, cx, sum(px) over (partition by scene_id, cam, cy order by cx) as row_sum from mask_cells) a"""
 
 
 @relation
 def eroded_cells(d: Spark) -> str:
     """Cells around which three by three cells are nearly empty: where a kernel fits."""
-    return """select cam, cy, cx from (select *, sum(three) over (partition by cam, cx order by cy rows between 1 preceding and 1 following) as nine, count(*) over (partition by cam, cx order by cy rows between 1 preceding and 1 following) as high from (
-        select *, sum(px) over (partition by cam, cy order by cx rows between 1 preceding and 1 following) as three, count(*) over (partition by cam, cy order by cx rows between 1 preceding and 1 following) as wide from mask_cells) a) b where wide = 3 and high = 3 and nine < 40"""
+    return """select scene_id, cam, cy, cx from (select *, sum(three) over (partition by scene_id, cam, cx order by cy rows between 1 preceding and 1 following) as nine, count(*) over (partition by scene_id, cam, cx order by cy rows between 1 preceding and 1 following) as high from (
+        select *, sum(px) over (partition by scene_id, cam, cy order by cx rows between 1 preceding and 1 following) as three, count(*) over (partition by scene_id, cam, cy order by cx rows between 1 preceding and 1 following) as wide from mask_cells) a) b where wide = 3 and high = 3 and nine < 60"""
 
 
 @relation
 def small_masks(d: Spark) -> str:
     """Instances that fill less than 15 % of a view."""
-    return f"select cam, iid, round(px / cast({WIDTH * HEIGHT} as double), 6) as share from mask_sums where px < 0.15 * {WIDTH * HEIGHT}"
+    return f"select scene_id, cam, iid, round(px / cast({WIDTH * HEIGHT} as double), 6) as share from mask_sums where px < 0.15 * {WIDTH * HEIGHT}"
 
 
 @relation
 def merge_roots(d: Spark) -> str:
-    """Where chains of merges end: pointers doubled five times, so chains of up to 32."""
-    step = lambda prev: f"(select a.node, coalesce(b.target, a.target) as target from {prev} a left join {prev} b on a.target = b.node)"
-    first = "(select small as node, max(large) as target from spatial_merge group by small)"
-    return f"with m0 as {first}, m1 as {step('m0')}, m2 as {step('m1')}, m3 as {step('m2')}, m4 as {step('m3')}, m5 as {step('m4')} select node, target as root from m5"
+    """Where chains of merges end, however long: targets are larger, so that chains end."""
+    return """with recursive chase(scene_id, node, target) as (select scene_id, node, target from merge_votes
+        union all select c.scene_id, c.node, m.target from chase c join merge_votes m on c.scene_id = m.scene_id and c.target = m.node)
+        select scene_id, node, target as root from chase c where not exists (select 1 from merge_votes m where m.scene_id = c.scene_id and m.node = c.target)"""
 
 
 @relation

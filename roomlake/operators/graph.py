@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.catalog import over_tables
+from ..plans.catalog import evaluate, over_tables
 from ..plans.shared import shared_dir, written
 
 LEAST_POINTS = 10
@@ -38,9 +38,9 @@ def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components_of(voxels: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """(iid, component, voxels, points) of each instance's connected parts."""
+    """(scene_id, iid, component, voxels, points) of each instance's connected parts."""
     found = label_components(voxels.select(F.col("first_point").alias("node")), neighbours)
-    return voxels.join(found, voxels.first_point == found.node).groupBy("iid", "component").agg(F.count("*").alias("voxels"), F.sum("n").alias("points"))
+    return voxels.join(found, voxels.first_point == found.node).groupBy("scene_id", "iid", "component").agg(F.count("*").alias("voxels"), F.sum("n").alias("points"))
 
 
 def voxel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +50,31 @@ def voxel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of instances of 30 points and more: the largest keeps the instance's number."""
     parts = voxel_components(spark, sf_dir).filter(F.col("points") >= LEAST_POINTS)
-    parts.createOrReplaceTempView("instance_parts")
-    return spark.sql("""select iid, component, points, case when rn = 1 then iid else 1000 * (iid + 1) + rn end as new_iid from (
-        select *, row_number() over (partition by iid order by points desc, component) as rn, sum(points) over (partition by iid) as total from instance_parts) a where total >= 30""")
+    of = Window.partitionBy("scene_id", "iid")
+    ranked = parts.withColumn("rn", F.row_number().over(of.orderBy(F.desc("points"), "component"))).withColumn("total", F.sum("points").over(of)).filter("total >= 30")
+    return ranked.selectExpr("scene_id", "iid", "component", "points", "case when rn = 1 then iid else 1000 * (iid + 1) + rn end as new_iid")
+
+
+def _merged(spark: SparkSession, points: DataFrame) -> DataFrame:
+    """(scene_id, gid, iid): points with the instance that theirs is merged into, chains followed to their ends."""
+    near = evaluate(spark, "spatial_merge", points=points)
+    key = lambda s, i, c: F.concat_ws("/", s, F.col(i).cast("string"), c)
+    pick = Window.partitionBy("scene_id", "small", "category").orderBy(F.desc("share"), "large", "other")
+    links = near.withColumn("rn", F.row_number().over(pick)).filter("rn = 1").select(key("scene_id", "small", "category").alias("node"), key("scene_id", "large", "other").alias("target"), F.col("large").alias("to"))
+    folder = f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}"
+    now = written(links, f"{folder}/0")
+    for i in range(1, 64):  # pointers double: chains of up to 2^63
+        after = now.alias("a").join(now.alias("b"), F.col("a.target") == F.col("b.node"), "left").select("a.node", F.coalesce("b.target", "a.target").alias("target"), F.coalesce("b.to", "a.to").alias("to"), F.col("b.node").isNotNull().alias("moved"))
+        after = written(after, f"{folder}/{i}")
+        now = after.select("node", "target", "to")
+        if not after.filter("moved").limit(1).count():
+            break
+    return points.withColumn("node", key("scene_id", "iid", "category")).join(now, "node", "left").select("scene_id", "gid", F.coalesce("to", "iid").alias("iid"))
+
+
+def merged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of every instance after instances nearly inside others are merged: (scene_id, iid, points)."""
+    return _merged(spark, over_tables(spark, sf_dir, "points")).groupBy("scene_id", "iid").agg(F.count("*").alias("points"))
 
 
-__all__ = ["components_of", "label_components", "split_components", "voxel_components"]
+__all__ = ["components_of", "label_components", "merged_points", "split_components", "voxel_components"]

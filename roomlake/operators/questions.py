@@ -80,18 +80,23 @@ def targets_anchors(d: Spark) -> str:
 
 @relation
 def comparative_grounding(d: Spark) -> str:
-    """The object of a type nearest to an anchor, half a metre before the next."""
-    return """select scene_id, cam, base_type, anchor, id, round(next_apart - apart, 6) as gap from (
-        select *, row_number() over w as rn, lead(apart) over w as next_apart from targets_anchors window w as (partition by scene_id, cam, base_type, anchor order by apart, id)) a
-        where rn = 1 and next_apart - apart >= 0.5"""
+    """The object of a type nearest to an anchor, and the one furthest from it, half a metre before the next."""
+    one = lambda which, order, gap: f"""select scene_id, cam, base_type, anchor, id, '{which}' as which, round({gap}, 6) as gap from (
+        select *, row_number() over w as rn, lead(apart) over w as next_apart from targets_anchors window w as (partition by scene_id, cam, base_type, anchor order by apart {order}, id)) a
+        where rn = 1 and {gap} >= 0.5"""
+    return one("nearest", "asc", "next_apart - apart") + " union all " + one("farthest", "desc", "apart - next_apart")
 
 
 @relation
 def csr_referring(d: Spark) -> str:
-    """The one object of a type on one side of an anchor in the image."""
+    """The one object of a type on one side of an anchor: left or right in the image, closest or farthest in depth."""
     return """select scene_id, cam, base_type, anchor, side, id from (
         select *, count(*) over (partition by scene_id, cam, base_type, anchor, side) as on_side from (
-        select *, case when u < anchor_u - 0.03 then 'left' when u > anchor_u + 0.03 then 'right' end as side from targets_anchors) a where side is not null) b where on_side = 1"""
+        select *, case when u < anchor_u - 0.03 then 'left' when u > anchor_u + 0.03 then 'right' end as side from targets_anchors) a where side is not null) b where on_side = 1
+        union all select scene_id, cam, base_type, anchor, side, id from (
+        select t.*, s.side, row_number() over (partition by scene_id, cam, base_type, anchor, s.side order by s.f * apart, id) as rn, count(*) over (partition by scene_id, cam, base_type, anchor, s.side) as n,
+        lead(apart) over (partition by scene_id, cam, base_type, anchor, s.side order by s.f * apart, id) as next_apart from targets_anchors t cross join (values ('closest', 1), ('farthest', -1)) as s(side, f)) c
+        where rn = 1 and n >= 2 and abs(next_apart - apart) >= 0.5"""
 
 
 @relation

@@ -50,6 +50,10 @@ class Spark:
         """A table of 0..n-1."""
         return f"(select id as {name} from range({n}))"
 
+    def between(self, x: str, start: str, end: str) -> str:
+        """What stands between two marks of a text."""
+        return f"split_part(split_part({x}, '{start}', 2), '{end}', 1)"
+
     def json_text(self, x: str, key: str) -> str:
         return f"get_json_object({x}, '$.{key}')"
 

@@ -28,39 +28,66 @@ def rooms(d: Spark) -> str:
         cast(2.7 as double) as z_max from objects"""
 
 
+# A scene for so many order numbers, so that scenes grow in number and not in size.
+ORDERS = 1000
+
+
+def _scene(key: str) -> str:
+    return f"concat('scene_', cast(cast(floor({key} / {ORDERS}) as bigint) as string))"
+
+
 @relation
 def mask_runs(d: Spark) -> str:
     """Runs of pixels of instances in views; where runs overlap in a row the first in line wins."""
-    return """select cam, y, x0, least(x0 + cast(quantity as int), coalesce(lead(x0) over (partition by cam, y order by x0) - 1, 319)) as x1, iid from (
-        select cam, y, x0, quantity, iid, row_number() over (partition by cam, y, x0 order by quantity desc, iid, l_orderkey, l_linenumber) as rn from (
-        select concat('cam_', cast(l_suppkey % 8 as string)) as cam, l_orderkey % 200 as y, l_partkey % 280 as x0, l_quantity as quantity,
-        l_suppkey % 20 as iid, l_orderkey, l_linenumber from lineitem) a) b where rn = 1"""
+    return f"""select scene_id, cam, y, x0, least(x0 + cast(quantity as int), coalesce(lead(x0) over (partition by scene_id, cam, y order by x0) - 1, 319)) as x1, iid from (
+        select scene_id, cam, y, x0, quantity, iid, row_number() over (partition by scene_id, cam, y, x0 order by quantity desc, iid, l_orderkey, l_linenumber) as rn from (
+        select {_scene('l_orderkey')} as scene_id, case when l_suppkey % 97 = 96 then 'cam_9' else concat('cam_', cast(l_suppkey % 8 as string)) end as cam, l_orderkey % 200 as y, l_partkey % 280 as x0, l_quantity as quantity,
+        (l_partkey + 3 * l_linenumber + l_suppkey) % 20 as iid, l_orderkey, l_linenumber from lineitem) a) b where rn = 1"""
 
 
 @relation
 def instance_map(d: Spark) -> str:
-    return f"""select cast(n.i as bigint) as iid, concat('obj_', cast(n.i as string)) as object_id from {d.sequence(20, 'i')} n where n.i > 0"""
+    """The instance number of every object of a scene that has one."""
+    return f"""select s.scene_id, cast(n.i as bigint) as iid, concat('obj_', cast(n.i as string)) as object_id from (select distinct scene_id from mask_runs) s cross join {d.sequence(20, 'i')} n where n.i > 0 and n.i % 7 <> 6"""
 
 
 @relation
 def point_votes(d: Spark) -> str:
-    return "select l_orderkey as gid, l_linenumber as view, concat(l_returnflag, l_linestatus) as label from lineitem"
+    return f"select {_scene('l_orderkey')} as scene_id, l_orderkey as gid, l_linenumber as view, concat(l_returnflag, l_linestatus, case when l_linenumber >= 6 and l_partkey % 10 = 0 then ' rare' else '' end) as label from lineitem"
 
 
 @relation
 def points(d: Spark) -> str:
-    return """select l_orderkey * 8 + l_linenumber as gid, l_quantity / 10 as x, l_discount * 50 as y, l_tax * 20 as z,
-        l_suppkey % 20 as iid, concat('kind_', cast(l_suppkey % 5 as string)) as category from lineitem"""
+    """Points on a grid; two instances, of different categories, share a place, one of them wholly."""
+    inside = "(iid = 19 or (iid = 18 and l_orderkey % 2 = 0))"
+    return f"""select scene_id, gid, case when {inside} then 2.5 else x end as x, case when {inside} then 2.5 else y end as y, case when {inside} then 1.0 + gid % 8 / cast(100 as double) else z end as z, iid, category from (
+        select {_scene('l_orderkey')} as scene_id, l_orderkey * 8 + l_linenumber as gid, l_orderkey, cast(l_quantity as double) / 10 as x, cast(l_discount as double) * 50 as y, cast(l_tax as double) * 20 as z,
+        case when l_suppkey % 20 = 19 and l_linenumber > 2 then 18 else l_suppkey % 20 end as iid, concat('kind_', cast(case when l_suppkey % 20 = 19 and l_linenumber > 2 then 3 else l_suppkey % 5 end as string)) as category from lineitem) a"""
 
 
 @relation
 def trace(d: Spark) -> str:
-    """Positions of bodies, step by step."""
-    return """select user_id as prim, row_number() over (partition by user_id order by ts, event_id) as step, value / 100 as px,
-        cast(event_id % 7 as double) / 50 as py, cast(event_id % 5 as double) / 100 as pz, cast(event_id % 11 as double) as angle from events"""
+    """Positions and turns of bodies, step by step: they move for a while and come to rest, some on the way."""
+    return """select prim, step, case when step <= 4 then v else 4 end * 0.02 * (1 + prim % 3) as px, case when step <= 4 and prim % 5 = 0 then v else 0 end * 0.1 as py, cast(0 as double) as pz,
+        case when step <= 4 then v else 4 end * cast(prim % 4 as double) as angle from (
+        select user_id as prim, row_number() over (partition by user_id order by ts, event_id) as step, cast(row_number() over (partition by user_id order by ts, event_id) as double) + 0 * value as v from events) a"""
 
 
 @relation
 def verdicts(d: Spark) -> str:
     """Good or bad, as an external judge says."""
     return """select o.scene_id, concat('obj_', cast(doc_id as string)) as entity, case when quality = 1 then 'GOOD' else 'BAD' end as quality, toxic = 1 as poor_lighting from labels l join objects o on o.ord = l.doc_id"""
+
+
+@relation
+def walls(d: Spark) -> str:
+    """The four walls of a room, and an oblique one across a corner."""
+    return """select r.scene_id, v.wall as wall_id, x_min + (x_max - x_min) * v.ax as x0, y_min + (y_max - y_min) * v.ay as y0, x_min + (x_max - x_min) * v.bx as x1, y_min + (y_max - y_min) * v.by_ as y1, z_max as height, 0.1 + 0 * z_max as thickness,
+        (x_min + x_max) / 2 as room_x, (y_min + y_max) / 2 as room_y from rooms r cross join (values ('south', 0, 0, 1, 0), ('east', 1, 0, 1, 1), ('north', 1, 1, 0, 1), ('west', 0, 1, 0, 0), ('oblique', 0.0, 0.25, 0.25, 0.0)) as v(wall, ax, ay, bx, by_)"""
+
+
+@relation
+def openings(d: Spark) -> str:
+    """Doors, windows and plain openings of walls; some doors stand twice, a few millimetres apart."""
+    return """select scene_id, wall_id, v.ord, v.kind, cast(v.position as double) as position, cast(v.width as double) as width, cast(v.height as double) as height, cast(v.sill as double) as sill from walls
+        join (values ('south', 0, 'door', 0.3, 0.9, 2.0, 0.0), ('south', 1, 'door', 0.3004, 0.9, 2.0, 0.0), ('south', 2, 'door', 0.31, 0.9, 2.0, 0.0), ('east', 3, 'window', 0.5, 1.2, 1.1, 0.9), ('north', 4, 'opening', 0.6, 1.5, 2.2, 0.0), ('west', 5, 'door', 0.25, 0.8, 2.1, 0.0), ('west', 6, 'window', 0.75, 0.6, 0.9, 1.0)) as v(wall, ord, kind, position, width, height, sill) on v.wall = wall_id"""

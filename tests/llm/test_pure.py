@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import regex
 
-from roomlake.llm import bpe, covertree, impact, langid, mincut, minhash, packing, suffix
+from roomlake.llm import bpe, bytesops, covertree, impact, langid, mincut, minhash, packing, suffix
 
 tiktoken = pytest.importorskip("tiktoken")
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -21,7 +21,7 @@ def test_bpe_equals_the_library():
     for n in [0, 1, 5, 50, 400] * 40:
         text = "".join(rnd.choice(pieces) for _ in range(n))
         if n == 400:
-            text = regex.sub(r"[^\p{L}]", "", text)
+            text = regex.sub(r"[^\p{L}]", "", text)  # one match of hundreds of bytes
         ids = codec.encode(text)
         assert ids == own.encode_ordinary(text)
         assert codec.decode(ids) == text.encode()
@@ -83,28 +83,87 @@ def test_best_fit_is_tightest():
     assert bins.take(4, 1) == (7, 1) and bins.take(4, 2) == (5, 0) and bins.take(8, 3) == (9, 3) and bins.take(8, 0) is None
 
 
-def test_index_is_exact():
+@pytest.mark.parametrize("scale", [256, 1e8, 1e200])
+def test_index_is_exact(scale):
     rnd = np.random.default_rng(4)
-    values = rnd.integers(-256, 256, (500, 12))
+    values = np.floor(rnd.uniform(-1, 1, (500, 12)) * scale)
     values[100:140] = values[7]
-    index = impact.Index(np.arange(500) * 3, values)
+    ids = np.arange(500) * 3
+    ids[200:202] = 600
+    index = impact.Index(ids, values)
     for q in (0, 7, 120):
-        ids, score = index.top(values[q], 5, q * 3)
-        all_scores = values @ values[q]
-        want = sorted((-s, i * 3) for i, s in enumerate(all_scores) if i != q)[:5]
-        assert [(-s, i) for i, s in zip(ids, score)] == want
+        found, score = index.top(values[q], 5, q * 3)
+        own = [int(x) for x in values[q]]
+        all_scores = [sum(int(a) * b for a, b in zip(row, own)) for row in values.tolist()]
+        want = sorted((-s, int(i)) for i, s in zip(ids, all_scores) if i != q * 3)[:5]
+        ends = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+        assert [(s, int(i)) for i, s in zip(found, score)] == [(ends(-s), i) for s, i in want]
 
 
-def test_cover_tree_counts():
+def test_index_stops_before_all_postings_are_read():
+    rnd = np.random.default_rng(7)
+    values = np.floor(256 * rnd.normal(size=(4000, 32)) / np.sqrt(32))
+    values[50:60] = values[:10] + rnd.integers(-9, 9, (10, 32))
+    index = impact.Index(np.arange(4000), values)
+    for q in range(10):
+        assert index.top(values[q], 1, q)[0][0] == 50 + q
+    assert index.read < 0.7 * 10 * values.size
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_cover_tree_counts_and_prunes():
     rnd = np.random.default_rng(5)
-    x = rnd.normal(size=(700, 8))
-    x[:300] = x[0] + 0.02 * rnd.normal(size=(300, 8))
-    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = rnd.normal(size=(900, 16))
+    x[:300] = x[0] + 0.02 * rnd.normal(size=(300, 16))
+    x[300:340] = x[300] + 0.12 * rnd.normal(size=(40, 16))
+    x = unit(x)
     w = np.ones(len(x), np.int64)
-    tree = covertree.build(x)
-    n, _, links = covertree.dual(x, w, tree, x, w, tree, 0.95, True, 0)
+    tree, work = covertree.Tree(x), covertree.Work()
+    n, _, links = covertree.dual(tree, w, tree, w, 0.95, work)
     assert (n == (x @ x.T >= 0.95).sum(axis=1)).all()
     assert len({links.find(i) for i in range(300)}) == 1
+    # most pairs of points never meet: nodes are pruned, dense ones counted whole
+    assert work.whole and work.compared < 0.4 * len(x) ** 2 and work.pruned > 0.3 * work.looked
+    y = unit(np.concatenate([x[:200] + 0.01 * rnd.normal(size=(200, 16)), rnd.normal(size=(300, 16))]))
+    other = covertree.Tree(y)
+    v = rnd.integers(1, 4, len(y))
+    n, m, _ = covertree.dual(tree, w, other, v, 0.95)
+    hit = x @ y.T >= 0.95
+    assert (n == hit @ v).all() and (m == w @ hit).all()
+
+
+def test_trees_divide_at_any_width():
+    x = unit(np.random.default_rng(6).normal(size=(1000, 64)))
+    tree = covertree.Tree(x)
+    assert not tree.leaf(tree.root) and len(tree.root.starts) > 500
+    order = np.argsort(tree.perm)
+    assert (tree.x[order] == x).all()
+    for k in range(len(tree.root.starts)):
+        c = tree.root.child(k)
+        assert covertree._distance(tree.x[c.start : c.end], tree.x[c.start]).max() <= c.radius + 1e-7
+
+
+def test_words_that_collide_in_polynomials():
+    word = b"a"
+    for _ in range(11):
+        word += bytes(195 - c for c in word)
+    other = bytes(195 - c for c in word)
+    raw = np.frombuffer(word + b" " + other + b" one two three " + b"x" * 5000 + b" one", np.uint8)
+    start, end, _ = bytesops.word_spans(raw, np.array([0, len(raw)]))
+    h = bytesops.word_hashes(raw, start, end)
+    assert len(set(h.tolist())) == 6 and h[2] == h[6]
+
+
+def test_more_languages_than_bits_of_a_word():
+    rnd = random.Random(8)
+    texts = {f"l{i:02}": "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80)).encode() for i in range(70)}
+    f = langid.build({k: np.unique(langid.gram_hashes(np.frombuffer(v, np.uint8), np.array([0, len(v)]))[0]) for k, v in texts.items()})
+    for k, v in texts.items():
+        share, _ = langid.shares(f, np.frombuffer(v[10:60], np.uint8), np.array([0, 50]))
+        assert f.names[share[0].argmax()] == k and len(share[0]) == 70
 
 
 def test_main_text():
@@ -115,6 +174,37 @@ def test_main_text():
     assert mincut.main_text(None) == mincut.main_text("") == ""
 
 
+def test_the_cut_changes_labels():
+    """A short line between paragraphs is content, a long notice among links is none; by themselves they would be the other way."""
+    long = ["A first paragraph, which is long enough to be taken as text by itself. It has sentences, too.", "And a second paragraph, just as long as the first one was. It ends here, finally."]
+    page = f"<div><p>{long[0]}</p><div>Oct 5</div><p>{long[1]}</p></div><ul><li><a href=x>Home</a></li><li>Our notice about cookies, that we use.</li><li><a href=y>About</a></li></ul>"
+    got = mincut.labelled(page)
+    assert [b.text for b, keep, _ in got if keep] == [long[0], "Oct 5", long[1]]
+    assert sum(keep != alone for _, keep, alone in got) == 2
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><title>t</title><p>Hello, world, once more.</p>",
+        "<body><video src=x><p>Hello, world, once more.</p>",
+        "<body><select><option><p>Hello, world, once more.</p>",
+        '<p class="x>Hello, world, once more.',
+        "<svg><svg></svg>no</svg><textarea>no</textarea><p>Hello, world, once more.</p><script>no",
+        "<template><template>no</template>no</template><p>Hello, world, once more.",
+    ],
+)
+def test_pages_that_leave_things_out(page):
+    assert mincut.main_text(page) == "Hello, world, once more."
+
+
+def test_classifier_is_fitted():
+    x = np.array([[1.0, n, d, 1.0, 1.0, *([0.0] * len(mincut.TAGS))] for n, d in ((8, 0), (7, 0), (3, 1), (2, 1))] * 5)
+    w = mincut.fit_weights(x, np.array([0, 0, 1, 1] * 5))
+    assert (x[:4] @ w > 0).tolist() == [False, False, True, True]
+    assert (mincut.fit_weights(x, np.ones(20)) == mincut.DEFAULT).all()
+
+
 def test_minimum_cut_value():
     rnd = random.Random(6)
     for _ in range(40):
