@@ -75,7 +75,7 @@ class Index:
 
     def _ends(self, query: np.ndarray, limit: float) -> np.ndarray:
         """How many postings of each dimension have an impact of ``limit`` or more."""
-        with np.errstate(divide="ignore", over="ignore"):
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
             level = np.ceil(np.minimum(LEVELS, limit / (np.abs(query) * self.unit)))
         return self.upto[np.arange(len(query)), np.nan_to_num(level, nan=LEVELS).astype(np.int64)]
 

@@ -244,14 +244,16 @@ def test_op2_and_op7(spark, monkeypatch):
     want = [(-1, 0, None, True)] * 2 + [(i, int(hit[i].sum()) - 1, comp[i], comp[i] == i) for i in range(len(x))] + [(i, 0, i, True) for i in range(300, 306)]
     assert got == want
 
-    whole = np.floor(x.astype(float) * 256)
+    # the zero vector has scores like any other; one length more stands alone
+    whole = np.concatenate([np.floor(x.astype(float) * 256), np.zeros((1, 8))])
+    ids = [*range(len(x)), 300]
     top = defaultdict(list)
     for r in impact.top_k(df, 5, every=50).orderBy("query_id", "rank").collect():
         top[r.query_id].append((r.rank, r.vec_id, r.score))
-    assert sorted(top) == [0, 50, 100, 150, 200, 250]
+    assert sorted(top) == [0, 50, 100, 150, 200, 250, 300]
     for q in top:
-        s = whole @ whole[q]
-        best = sorted((-int(s[i]), i) for i in range(len(x)) if i != q)[:5]
+        s = whole @ whole[ids.index(q)]
+        best = sorted((-int(v), i) for v, i in zip(s, ids) if i != q)[:5]
         assert top[q] == [(k + 1, i, -v) for k, (v, i) in enumerate(best)]
 
 
