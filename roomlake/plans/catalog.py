@@ -22,8 +22,8 @@ RELATIONS: dict[str, Body] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-# Written once a session and source, if a query needs them.
-SHARED = ("seen",)
+# Written once a session and source, if a query needs them; later ones are made from earlier ones.
+SHARED = ("seen", "keyed_answers")
 # Settings that relations name as :name; an evaluation may give others.
 PARAMETERS: dict[str, object] = {"min_thickness": 0.08, "min_visible": 0.5, "dot_visible": 0.9, "size_visible": 0.6, "shrink": 0.85, "voxel": 0.1, "still": 0.001}
 
@@ -96,17 +96,21 @@ def used_tables(text: str) -> list[str]:
     return [t for t in TABLES if re.search(rf"\b(?:from|join)\s+{t}\b", text, re.I)]
 
 
-def over_tables(spark: SparkSession, sf_dir: str, name: str, share: bool = True) -> DataFrame:
-    """The relation over the parquet tables of a folder; relations of SHARED are written once."""
-    spark = planner(spark) if share else spark
-    text = composed(name, SPARK)
+def over_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The relation over the parquet tables of a folder; relations of SHARED that it needs are written once."""
+    return _over_tables(planner(spark), sf_dir, name, SHARED[: SHARED.index(name)] if name in SHARED else SHARED)
+
+
+def _over_tables(spark: SparkSession, sf_dir: str, name: str, share: tuple[str, ...]) -> DataFrame:
+    needed = composed(name, SPARK)
     given: dict[str, DataFrame] = {}
-    for n in SHARED if share else ():
-        if n != name and re.search(rf"^(?:with )?{n} as \(", text, re.M):
+    # the last first: what it is made from need not be given as well
+    for n in reversed(share):
+        if re.search(rf"^(?:with )?{n} as \(", needed, re.M):
             paths = [f"{sf_dir}/{t}.parquet" for t in used_tables(composed(n, SPARK))]
-            given[n] = once(spark, n, paths, lambda n=n: over_tables(spark, sf_dir, n, False))
-    if given:
-        text = composed(name, SPARK, {n: "{" + n + "}" for n in given})
+            given[n] = once(spark, n, paths, lambda n=n: _over_tables(spark, sf_dir, n, share[: share.index(n)]))
+            needed = composed(name, SPARK, {n: "{" + n + "}" for n in given})
+    text = needed
     used = used_tables(text)
     for t in used:
         text = re.sub(rf"\b(from|join)\s+{t}\b", rf"\1 {{{t}}}", text, flags=re.I)
