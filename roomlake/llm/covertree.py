@@ -139,23 +139,33 @@ class Tree:
 
 
 class Links:
-    """Counts of links and a spanning forest of them between the points of two blocks."""
+    """A spanning forest of the links between the points of two blocks, by whole arrays of pairs."""
 
     def __init__(self, n: int):
-        self.parent = np.arange(n)
-        self.edges: list[tuple[int, int]] = []
+        self.root = np.arange(n)
+        self.edges: list[np.ndarray] = []
 
     def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return int(i)
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.find(i), self.find(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.edges.append((i, j))
+        return int(self.root[i])
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Link i[k] and j[k] for all k; of pairs that join the same two trees one is kept."""
+        while len(i):
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            if not len(i):
+                return
+            high, low = np.maximum(a, b), np.minimum(a, b)
+            order = np.lexsort((low, high))
+            first = order[np.flatnonzero(np.concatenate([[True], np.diff(high[order]) != 0]))]
+            self.root[high[first]] = low[first]  # roots only get smaller, so that no circle arises
+            self.edges.append(np.stack([i[first], j[first]], axis=1))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+    def forest(self) -> np.ndarray:
+        return np.concatenate([np.zeros((0, 2), np.int64), *self.edges])
 
 
 class Work:
@@ -166,6 +176,8 @@ class Work:
 
 
 ROUGH = 1e-5  # of cosines in single precision
+PAIRS = 1 << 20  # whose distances are found at once
+DENSE = 0.05  # share of pairs of children above which bounds are of no use
 
 
 def _survivors(x: np.ndarray, rx: np.ndarray, y: np.ndarray, ry: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
@@ -196,32 +208,45 @@ def dual(one: Tree, wx: np.ndarray, two: Tree, wy: np.ndarray, cosine: float, wo
 
     def linked(i: np.ndarray, j: np.ndarray) -> None:
         """Count pairs of places that link."""
+        nonlocal nx, ny
+        if not len(i):
+            return
         a, b = one.perm[i], two.perm[j]
-        np.add.at(nx, a, wy[b])
+        nx += np.bincount(a, wy[b], len(nx)).astype(np.int64)
         if not same:
-            np.add.at(ny, b, wx[a])
-        for u, v in zip(a.tolist(), b.tolist()):
-            links.join(u, v + at)
+            ny += np.bincount(b, wx[a], len(ny)).astype(np.int64)
+        links.join(a, b + at)
+
+    def compared(start: int, end: int, q: Node) -> None:
+        """Compare one's points start..end with those of a node directly."""
+        work.compared += (end - start) * (q.end - q.start)
+        step = max(1, PAIRS // (q.end - q.start))
+        for s in range(start, end, step):
+            i, j = np.nonzero(one.x[s : min(end, s + step)] @ two.x[q.start : q.end].T >= cosine)
+            linked(i + s, j + q.start)
 
     stack = [(one.root, two.root)]
     while stack:
         p, q = stack.pop()
         leaf_p, leaf_q = one.leaf(p), two.leaf(q)
         if leaf_p and leaf_q:
-            work.compared += (p.end - p.start) * (q.end - q.start)
-            for s in range(p.start, p.end, 1024):
-                i, j = np.nonzero(one.x[s : min(p.end, s + 1024)] @ two.x[q.start : q.end].T >= cosine)
-                linked(i + s, j + q.start)
+            compared(p.start, p.end, q)
             continue
         # the wider node gives way to its children, or both do
         down_p, down_q = not leaf_p and (leaf_q or 2 * p.radius >= q.radius), not leaf_q and (leaf_p or 2 * q.radius >= p.radius)
         a, ra = (p.starts, p.radii) if down_p else (np.array([p.start]), np.array([p.radius]))
         b, rb = (q.starts, q.radii) if down_q else (np.array([q.start]), np.array([q.radius]))
         na, nb = np.diff(np.append(a, p.end)), np.diff(np.append(b, q.end))
-        for s in range(0, len(a), 2048):
-            part = slice(s, s + 2048)
+        step = max(1, PAIRS // len(b))
+        for s in range(0, len(a), step):
+            part = slice(s, s + step)
             i, j = _survivors(one.single[a[part]], ra[part], two.single[b], rb, limit)
             work.looked += len(a[part]) * len(b)
+            if len(i) > max(4096, DENSE * len(a[part]) * len(b)):
+                # bounds prune little here: these children's points are compared at once
+                end = a[s + step] if s + step < len(a) else p.end
+                compared(int(a[s]), int(end), q)
+                continue
             work.pruned += len(a[part]) * len(b) - len(i)
             i = i + s
             points = (na[i] == 1) & (nb[j] == 1)
@@ -241,10 +266,7 @@ def dual(one: Tree, wx: np.ndarray, two: Tree, wy: np.ndarray, cosine: float, wo
                     nx[x] += wy[y].sum()
                     if not same:
                         ny[y] += wx[x].sum()
-                    for u in y.tolist():
-                        links.join(int(x[0]), u + at)
-                    for u in x.tolist():
-                        links.join(u, int(y[0]) + at)
+                    links.join(np.concatenate([np.full(len(y), x[0]), x]), np.concatenate([y, np.full(len(x), y[0])]) + at)
                 else:
                     stack.append((left, right))
     return nx, ny, links
@@ -273,7 +295,8 @@ def _cells(points: DataFrame, store: Store) -> DataFrame:
     placed = store.put(points.withColumn("cell", F.col("dims").cast("long")), "cells0")
     following = 1 << 32  # numbers of cells above all vector lengths
     for i in range(1, ROUNDS + 1):
-        large = [r["cell"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("cell").collect()]
+        sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).collect()}
+        large = list(sizes)
         if not large:
             break
         inside = placed.filter(F.col("cell").isin(large)) if len(large) <= 1000 else placed.join(F.broadcast(spark.createDataFrame([(c,) for c in large], "cell long")), "cell", "left_semi")
@@ -283,7 +306,9 @@ def _cells(points: DataFrame, store: Store) -> DataFrame:
         cells = sample.column("cell").to_numpy()
         units = sample.column("unit").to_pylist()
         for c in large:
-            centres[c] = np.stack([np.frombuffer(units[k], np.float64) for k in np.flatnonzero(cells == c).tolist()])
+            # twice as many centres as blocks are needed
+            some = np.flatnonzero(cells == c)[: max(2, -(-2 * sizes[c] // BLOCK))]
+            centres[c] = np.stack([np.frombuffer(units[k], np.float64) for k in some.tolist()])
         base = {c: following + k * PIVOTS for k, c in enumerate(large)}
         following += len(large) * PIVOTS
         spread = spark.sparkContext.broadcast((centres, base))
@@ -346,7 +371,7 @@ def _met(cosine: float):
                 ids = r1 if order == 0 else np.concatenate([r1, r2])
                 n = n1 if order == 0 else np.concatenate([n1, n2])
                 at = np.flatnonzero(n)
-                e = np.array(links.edges, np.int64).reshape(-1, 2)
+                e = links.forest()
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[at], ids[e[:, 0]]])), pa.array(np.concatenate([np.full(len(at), -1), ids[e[:, 1]]])), pa.array(np.concatenate([n[at], np.zeros(len(e), np.int64)]))], names=["a", "b", "n"])
 
     return lean(run)
