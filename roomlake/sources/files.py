@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POINT = "struct<x:double,y:double,z:double>"
@@ -47,7 +47,7 @@ def read_plans(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     rooms = plans.select(F.col("id").alias("scene_id"), F.posexplode_outer("rooms").alias("room_index", "r"))
     objects = rooms.select("scene_id", "room_index", F.posexplode("r.objects").alias("object_index", "o")).select(
         "scene_id", "o.id", (F.col("room_index") * 100000 + F.col("object_index")).alias("ord"), "o.type", "o.position.x", "o.position.y", "o.position.z",
-        *(F.coalesce(f"o.dimensions.{k}", F.lit(0.5)).alias(k) for k in ("width", "length", "height")), F.coalesce("o.rotation.z", F.lit(0.0)).alias("rotation_z"), "o.place_id")
+        *(F.coalesce(f"o.dimensions.{k}", F.lit(0.5)).alias(k) for k in ("width", "length", "height")), F.coalesce("o.rotation.z", F.lit(0.0)).alias("rotation_z"), "o.place_id", "room_index", "object_index", "o.description")
     first = rooms.filter("room_index = 0 or room_index is null")
     x, y = (F.coalesce(f"r.position.{k}", F.lit(0.0)) for k in ("x", "y"))
     w, l, h = (F.coalesce(f"r.dimensions.{k}", F.lit(v)) for k, v in (("width", 5.0), ("length", 7.0), ("height", 2.7)))
@@ -56,13 +56,46 @@ def read_plans(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"objects": objects, "rooms": bounds, **parts}
 
 
-def openings(walls: DataFrame, doors: DataFrame) -> DataFrame:
-    """Middles of doors on their walls, each place once (both rooms of a door list it)."""
-    at = lambda a: F.col(f"start_point.{a}") + (F.col(f"end_point.{a}") - F.col(f"start_point.{a}")) * F.col("position_on_wall")
-    w = walls.select("scene_id", F.col("id").alias("wall_id"), "start_point", "end_point")
-    d = doors.filter("door_type is null or door_type <> 'opening'").join(w, ["scene_id", "wall_id"])
-    placed = d.select("scene_id", "id", "wall_id", at("x").alias("x"), at("y").alias("y"), (F.col("start_point.z") + F.col("height") / 2).alias("z"), "width", "height")
-    return placed.withColumn("uid", F.format_string("%.2f_%.2f", "x", "y")).dropDuplicates(["scene_id", "uid"])
+def plan_tables(plans: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The relations ``walls`` and ``openings`` of what read_plans gives, for evaluate().
+
+    Doors come before windows, in the order of rooms and lists; a door of type opening is a plain opening.
+    """
+    w, rooms = plans["walls"], plans["rooms"].select("scene_id", ((F.col("x_min") + F.col("x_max")) / 2).alias("room_x"), ((F.col("y_min") + F.col("y_max")) / 2).alias("room_y"))
+    walls = w.select("scene_id", F.col("id").alias("wall_id"), F.col("start_point.x").alias("x0"), F.col("start_point.y").alias("y0"), F.col("end_point.x").alias("x1"), F.col("end_point.y").alias("y1"), "height", "thickness").join(rooms, "scene_id")
+    kind = F.when(F.col("door_type") == "opening", "opening").otherwise("door")
+    common = ("position_on_wall", "width", "height")
+    doors = plans["doors"].select("scene_id", "wall_id", "room_id", "id", kind.alias("kind"), *common, F.lit(0.0).alias("sill"))
+    windows = plans["windows"].select("scene_id", "wall_id", "room_id", "id", F.lit("window").alias("kind"), *common, F.col("sill_height").alias("sill"))
+    line = Window.partitionBy("scene_id").orderBy(F.col("kind") == "window", "room_id", "id")
+    openings = doors.union(windows).withColumn("ord", F.row_number().over(line) - 1)
+    return {"walls": walls, "openings": openings.select("scene_id", "wall_id", "ord", "kind", F.col("position_on_wall").alias("position"), "width", "height", "sill")}
+
+
+def read_batch(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """The scenes of a list of work, in line: (nth, name, image); the first ``limit`` of them."""
+    rows = spark.read.schema("name string, image string").json(path, multiLine=True).withColumn("nth", F.monotonically_increasing_id())
+    line = rows.withColumn("nth", F.row_number().over(Window.orderBy("nth")) - 1)  # a list of work, not data
+    return line if limit is None else line.filter(F.col("nth") < limit)
+
+
+def scene_ids(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, scene_id): the known id that ends with the name, or the next numbers after the largest, by name.
+
+    ``known`` has scene_id, four digits, an underscore and a name.
+    """
+    old = known.select("scene_id", F.substring("scene_id", 6, 1 << 20).alias("name"), F.substring("scene_id", 1, 4).cast("int").alias("number"))
+    first = old.groupBy("name").agg(F.min("scene_id").alias("scene_id"))
+    top = old.agg(F.coalesce(F.max("number"), F.lit(-1)).alias("top"))
+    found = names.select("name").distinct().join(first, "name", "left")
+    new = found.filter("scene_id is null").withColumn("nth", F.row_number().over(Window.orderBy("name"))).join(F.broadcast(top))  # one row
+    made = new.select("name", F.concat(F.lpad((F.col("top") + F.col("nth")).cast("string"), 4, "0"), F.lit("_"), "name").alias("scene_id"))
+    return found.filter("scene_id is not null").select("name", "scene_id").union(made)
+
+
+def image_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(path, key): the first sixteen hexadecimal digits of the SHA-256 of each image's bytes."""
+    return spark.read.format("binaryFile").load(path).select("path", F.substring(F.sha2("content", 256), 1, 16).alias("key"))
 
 
 def read_mask_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +120,11 @@ def read_mask_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """Points of binary little-endian PLY files with colour, opacity and scale decoded."""
+    """Points of binary little-endian PLY files with colour, opacity, scales and unit quaternions decoded."""
+
+    def unit(q: list[np.ndarray]) -> list[np.ndarray]:
+        size = np.sqrt(sum(x * x for x in q))
+        return [x / np.where(size > 0, size, 1) for x in q]
 
     def vertices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds = {"float": "<f4", "float32": "<f4", "double": "<f8", "uchar": "u1", "uint8": "u1", "int": "<i4", "int32": "<i4"}
@@ -98,13 +135,22 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
                 n = next(int(x[2]) for x in lines if x[:2] == ["element", "vertex"])
                 rows = np.frombuffer(body, np.dtype([(x[2], kinds[x[1]]) for x in lines if x[0] == "property" and x[1] != "list"]), n)
                 get = lambda k, rows=rows: rows[k].astype(float) if k in rows.dtype.names else np.full(len(rows), np.nan)
-                yield pd.DataFrame({"source": name, "gid": np.arange(n), "x": get("x"), "y": get("y"), "z": get("z"), "red": 0.5 + 0.2820948 * get("f_dc_0"), "green": 0.5 + 0.2820948 * get("f_dc_1"), "blue": 0.5 + 0.2820948 * get("f_dc_2"), "opacity": 1 / (1 + np.exp(-get("opacity"))), "scale": np.exp(get("scale_0"))})
+                yield pd.DataFrame({"source": name, "gid": np.arange(n), "x": get("x"), "y": get("y"), "z": get("z"), "red": 0.5 + 0.2820948 * get("f_dc_0"), "green": 0.5 + 0.2820948 * get("f_dc_1"), "blue": 0.5 + 0.2820948 * get("f_dc_2"), "opacity": 1 / (1 + np.exp(-get("opacity"))), **{f"scale_{i}": np.exp(get(f"scale_{i}")) for i in range(3)}, **{k: v for k, v in zip(("qw", "qx", "qy", "qz"), unit([get(f"rot_{i}") for i in range(4)]))}})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(vertices, "source string, gid bigint, x double, y double, z double, red double, green double, blue double, opacity double, scale double")
+    return files.mapInPandas(vertices, "source string, gid bigint, x double, y double, z double, red double, green double, blue double, opacity double, scale_0 double, scale_1 double, scale_2 double, qw double, qx double, qy double, qz double")
 
 
 def write_questions(questions: DataFrame, path: str) -> None:
-    """Questions as JSON, a folder for each scene and type, numbered from 0 within it."""
-    q = questions.selectExpr("*", "row_number() over (partition by scene_id, qtype order by question, answer) - 1 as q_idx")
-    q.write.mode("overwrite").partitionBy("scene_id", "qtype").json(path)
+    """Questions (of question_records, or with columns of their names) as JSON, a folder for each scene and type, numbered from 0 within it."""
+    line = Window.partitionBy("scene_id", "qtype").orderBy("question", "answer", *(c for c in ("cam", "cam_b", "a", "b", "c", "detail") if c in questions.columns))
+    questions.withColumn("q_idx", F.row_number().over(line) - 1).write.mode("overwrite").partitionBy("scene_id", "qtype").json(path)
+
+
+def write_scenes(objects: DataFrame, cameras: DataFrame, rooms: DataFrame, path: str) -> None:
+    """Scenes as JSON that read_scenes reads: one line each, objects and cameras in line."""
+    one = lambda df, *columns: df.groupBy("scene_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*columns).alias("v")))), lambda x: x.v).alias("list"))
+    o = one(objects, "id", "type", "x", "y", "z", "rotation_z", "width", "length", "height").withColumnRenamed("list", "objects")
+    c = one(cameras, "name", F.array("px", "py", "pz").alias("position"), F.array("lx", "ly", "lz").alias("look_at"), F.col("hfov").alias("horizontal_fov_deg"), "edge_direction", "step_direction", "step_from").withColumnRenamed("list", "cameras")
+    r = rooms.select("scene_id", F.array("x_min", "y_min", "x_max", "y_max", "z_max").alias("room_bounds"))
+    r.join(o, "scene_id", "left").join(c, "scene_id", "left").write.mode("overwrite").json(path)

@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 
 from roomlake import queries
-from roomlake.operators import graph
+from roomlake.operators import graph, standpoints
 from roomlake.plans.catalog import TABLES, composed, evaluate, over_tables
 from roomlake.plans.dialect import SPARK
 from roomlake.sources import files
+from roomlake.streaming.ingest import ingest_objects
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,7 +114,7 @@ def test_depth_ordering_is_the_smallest_hash_of_all(spark):
     assert rows(got, "first", "second", "third") == [tuple(want)]
 
 
-@pytest.mark.parametrize("name", ["scan_objects", "stepped_cameras", "camera_motion", "viewpoint_change", "placement_feasible", "majority_vote", "percentile_boxes", "mask_centroid", "spatial_merge", "equilibrium_window", "point_projection"])
+@pytest.mark.parametrize("name", ["scan_objects", "camera_motion", "placement_feasible", "majority_vote", "percentile_boxes", "mask_centroid", "equilibrium_window", "point_projection", "visible_fraction", "merge_roots", "physics_stability", "door_pairs", "plan_routes"])
 def test_against_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -140,6 +141,9 @@ def test_readers(spark, tmp_path):
     scene = {"scene_id": "s", "room_bounds": [1, 2, 3, 4, 2.5], "objects": [{"id": "a", "type": "chair_1", "x": 1, "y": 1, "z": 0}], "cameras": [{"name": "c", "position": [0, 0, 1], "look_at": [1, 0, 1]}]}
     (tmp_path / "scene.json").write_text(json.dumps(scene, indent=1))
     got = files.read_scenes(spark, str(tmp_path / "scene.json"), min_max_bounds=False)
+    files.write_scenes(got["objects"], got["cameras"], got["rooms"], f"{tmp_path}/again")
+    again = files.read_scenes(spark, f"{tmp_path}/again")
+    assert again["objects"].collect() == got["objects"].collect() and again["cameras"].collect() == got["cameras"].collect() and again["rooms"].collect() == got["rooms"].collect()
     assert got["objects"].first().width == 0.5 and got["cameras"].first().hfov == 82.0 and got["rooms"].first().x_max == 4
     mask = np.array([[0, 7, 7, 0], [5, 5, 7, 7]], np.uint32)
     np.save(tmp_path / "cam_seg.npy", mask)
@@ -150,3 +154,112 @@ def test_readers(spark, tmp_path):
 def test_composition_needs_no_tables():
     text = composed("closest_object", SPARK, {"objects": "o", "cameras": "c", "rooms": "r"})
     assert "embeddings" not in text
+
+
+def seen_by_hand(camera, objects, thickness=0.08, shrink=0.85):
+    """Visible parts of the objects of a scene to a camera, in plain numbers: (id, part, centre clear)."""
+    place, look = np.array(camera[:3]), np.array(camera[3:6])
+    ahead = (look - place) / np.linalg.norm(look - place)
+    flat = np.array([look[0] - place[0], look[1] - place[1]]) / np.hypot(look[0] - place[0], look[1] - place[1])
+    right = np.array([flat[1], -flat[0], 0.0])
+    up = np.cross(right, ahead)
+    tan = np.tan(np.radians(camera[6]) / 2)
+    out = {}
+    for i, (x, y, z, w, l, h) in objects.items():
+        centre, half = np.array([x, y, z + h / 2]), np.array([w, l, h]) / 2
+        to = centre - place
+        depth = to @ ahead
+        if min(w, l, h) < thickness or not 0.3 <= np.linalg.norm(to) <= 15 or depth <= 0.01:
+            continue
+        if not (0 <= 0.5 + to @ right / depth / (2 * tan) <= 1 and 0 <= 0.5 - to @ up / depth / (2 * tan * 9 / 16) <= 1):
+            continue
+        clear = []
+        for signs in [(0, 0, 0), *itertools.product((-1, 1), repeat=3)]:
+            ray = centre + np.array(signs) * half - place
+            far = np.linalg.norm(ray)
+            ray = ray / far
+            hidden = False
+            for k, (a, b, c, dx, dy, dz) in objects.items():
+                if k != i:
+                    mid, size = np.array([a, b, c + dz / 2]), np.array([dx, dy, dz]) / 2 * shrink
+                    with np.errstate(divide="ignore"):
+                        t = np.sort(np.stack([(mid - size - place) / ray, (mid + size - place) / ray]), axis=0)
+                    enter, leave = t[0].max(), t[1].min()
+                    hidden |= leave >= max(enter, 0) and (enter if enter >= 0 else leave) < far - 1e-3
+            clear.append(not hidden)
+        out[i] = (round(sum(clear) / 9, 6), clear[0])
+    return out
+
+
+def test_visibility_by_hand(spark, tiny):
+    """Sixty boxes in a room, four of them too thin, some around and behind the cameras."""
+    rnd = np.random.default_rng(2)
+    boxes = {f"o{i}": (*rnd.uniform(0, 8, 2), rnd.uniform(0, 2), *rnd.uniform(0.05 if i < 4 else 0.1, 0.07 if i < 4 else 1.4, 3)) for i in range(60)}
+    views = {"c0": (0.2, 0.2, 2.0, 4.0, 4.0, 1.0, 82.0), "c1": (4.0, 4.0, 1.2, 8.0, 4.5, 1.0, 100.0)}
+    objects = spark.createDataFrame([("s", k, n, "box", *map(float, v), 0.0) for n, (k, v) in enumerate(boxes.items())], tiny["objects"].schema)
+    cameras = spark.createDataFrame([("s", k, n, "corner", *map(float, v), None, None, None) for n, (k, v) in enumerate(views.items())], tiny["cameras"].schema)
+    got = {(r.cam, r.id): (r.fraction, r.centre_clear) for r in evaluate(spark, "visible_fraction", objects=objects, cameras=cameras, rooms=tiny["rooms"]).collect()}
+    want = {(c, i): v for c, view in views.items() for i, v in seen_by_hand(view, boxes).items()}
+    assert got == want and 0 < sum(v[0] < 1 for v in want.values()) < len(want)
+
+
+def test_walls_by_hand(spark, tiny):
+    """A wall along X, one along Y and an oblique one; a door that two rooms list."""
+    walls = spark.createDataFrame([("s", "a", 0.0, 0.0, 4.0, 0.0, 2.5, 0.2, 2.0, 2.0), ("s", "b", 4.0, 0.0, 4.0, 4.0, 2.5, 0.2, 2.0, 2.0), ("s", "c", 0.0, 1.0, 1.0, 0.0, 2.5, 0.2, 2.0, 2.0)], "scene_id string, wall_id string, x0 double, y0 double, x1 double, y1 double, height double, thickness double, room_x double, room_y double")
+    openings = spark.createDataFrame([("s", "a", 0, "door", 0.5, 0.8, 2.0, 0.0), ("s", "a", 1, "door", 0.502, 0.8, 2.0, 0.0), ("s", "a", 2, "door", 0.51, 0.8, 2.0, 0.0), ("s", "b", 3, "window", 0.25, 1.0, 1.2, 0.9), ("s", "b", 4, "opening", 0.75, 1.0, 2.2, 0.0)], "scene_id string, wall_id string, ord int, kind string, position double, width double, height double, sill double")
+    own = {"walls": walls, "openings": openings}
+    assert rows(evaluate(spark, "wall_boxes", **own), "wall_id", "cx", "cy", "width", "length") == [("a", 2.0, 0.05, 4.0, 0.1), ("b", 3.95, 2.0, 0.1, 4.0), ("c", 0.535355, 0.535355, 1.414214, 0.1)]
+    assert rows(evaluate(spark, "wall_openings", **own), "ord", "uid") == [(0, "door_a_200_0"), (2, "door_a_204_0"), (3, "window_b_400_100"), (4, "opening_b_400_300")]
+    assert rows(evaluate(spark, "door_boxes", **own), "ord", "cx", "cy", "cz", "width", "length") == [(0, 2.0, 0.0, 1.0, 0.8, 0.2), (2, 2.04, 0.0, 1.0, 0.8, 0.2)]
+    assert rows(evaluate(spark, "window_boxes", **own), "cx", "cy", "cz", "width", "length") == [(4.0, 1.0, 1.5, 0.2, 1.0)]
+    assert rows(evaluate(spark, "door_frames", **own).filter("ord = 0"), "part", "cx", "cz", "width", "height") == [("left", 1.55, 1.0, 0.1, 2.0), ("right", 2.45, 1.0, 0.1, 2.0), ("top", 2.0, 2.05, 1.0, 0.1)]
+
+
+def test_merging_by_hand(spark):
+    """A small instance within 0.05 m of a larger one of another category is inside it; of its own category it is not."""
+    near = [("s", i, 0.1 * i, 0.0, 0.0, 1, "lamp") for i in range(10)] + [("s", 100 + i, 0.1 * i, 0.04, 0.0, 2, "desk") for i in range(30)] + [("s", 200 + i, 0.1 * i, 0.0, 0.03, 3, "desk") for i in range(20)]
+    points = spark.createDataFrame(near, "scene_id string, gid long, x double, y double, z double, iid int, category string")
+    assert rows(evaluate(spark, "spatial_merge", points=points), "small", "large", "share") == [(1, 2, 1.0), (1, 3, 1.0)]
+
+
+def test_rest_and_stability_by_hand(spark):
+    steps = [(1, k, 0.05 * min(k, 3), 0.0) for k in range(1, 12)] + [(2, k, 0.0, 3.0 * k) for k in range(1, 12)]
+    trace = spark.createDataFrame([(p, k, x, 0.0, 0.0, a) for p, k, x, a in steps], "prim int, step int, px double, py double, pz double, angle double")
+    assert rows(evaluate(spark, "equilibrium_window", trace=trace), "prim", "step") == [(1, k) for k in range(7, 12)]
+    # the first rests in its place from step 7; the second has turned over 8 degrees at step 4
+    assert rows(evaluate(spark, "physics_stability", trace=trace), "prim", "stop", "stable") == [(1, 7, True), (2, 4, False)]
+
+
+def test_chains_of_merges(spark):
+    votes = spark.createDataFrame([("s", i, i + 1) for i in range(50)] + [("t", 1, 2)], "scene_id string, node long, target long")
+    assert rows(evaluate(spark, "merge_roots", merge_votes=votes), "scene_id", "node", "root") == [("s", i, 50) for i in range(50)] + [("t", 1, 2)]
+
+
+def test_random_standpoints(spark, tiny):
+    rnd = np.random.default_rng(3)
+    objects = spark.createDataFrame([("s", f"o{i}", i, "box", *map(float, rnd.uniform(0, 6, 2)), 0.0, 0.3, 0.3, 0.5, 0.0) for i in range(30)], tiny["objects"].schema)
+    got = standpoints.cameras_of(objects, 20).collect()
+    assert got == standpoints.cameras_of(objects.repartition(3), 20).collect() and len(got) == 20
+    assert all(0.7 <= r.pz <= 1.75 and 0 < r.px < 6 and 0 < r.py < 6 for r in got)
+    assert standpoints.hull(np.array([[0, 0], [2, 0], [1, 1], [2, 2], [0, 2], [1, 0.5]], float)).tolist() == [[0, 0], [2, 0], [2, 2], [0, 2]]
+    assert standpoints.cameras_of(objects.limit(2)).count() == 0
+
+
+def test_plans_become_walls(spark, tmp_path):
+    point = lambda x, y: {"x": x, "y": y, "z": 0}
+    plan = {"id": "p", "rooms": [{"id": "r", "position": point(0, 0), "dimensions": {"width": 4, "length": 4, "height": 2.5}, "walls": [{"id": "w", "start_point": point(0, 0), "end_point": point(4, 0), "height": 2.5, "thickness": 0.2}], "doors": [{"id": "d", "wall_id": "w", "position_on_wall": 0.5, "width": 0.8, "height": 2.0, "door_type": "wood"}, {"id": "e", "wall_id": "w", "position_on_wall": 0.9, "width": 0.8, "height": 2.0, "door_type": "opening"}], "windows": [], "objects": [{"id": "o", "type": "chair", "position": point(1, 1)}]}]}
+    (tmp_path / "plan.json").write_text(json.dumps(plan))
+    own = files.plan_tables(files.read_plans(spark, str(tmp_path / "plan.json")))
+    assert rows(evaluate(spark, "wall_openings", **own), "kind", "uid") == [("door", "door_w_200_0"), ("opening", "opening_w_360_0")]
+    names = spark.createDataFrame([("kitchen",), ("attic",), ("barn",)], "name string")
+    known = spark.createDataFrame([("0004_kitchen",), ("0007_hall",)], "scene_id string")
+    assert rows(files.scene_ids(names, known), "name", "scene_id") == [("attic", "0008_attic"), ("barn", "0009_barn"), ("kitchen", "0004_kitchen")]
+
+
+def test_streamed_scenes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"scene_id": f"s{k}", "objects": [{"id": f"o{i}", "type": "box", "x": 1, "y": 1, "z": 0, "width": 0.01 if i else 1, "length": 1, "height": 1} for i in range(2)]}))
+    for _ in range(2):  # what has been read is not read again
+        ingest_objects(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out/solid_filter"), "scene_id", "id") == [("s0", "o0"), ("s1", "o0")]
