@@ -242,8 +242,8 @@ def dual(one: Tree, wx: np.ndarray, two: Tree, wy: np.ndarray, cosine: float, wo
             part = slice(s, s + step)
             i, j = _survivors(one.single[a[part]], ra[part], two.single[b], rb, limit)
             work.looked += len(a[part]) * len(b)
-            if len(i) > max(4096, DENSE * len(a[part]) * len(b)):
-                # bounds prune little here: these children's points are compared at once
+            if len(i) > max(4096, DENSE * len(a[part]) * len(b)) and ra[part].max() + rb.max() < limit:
+                # small children, most of them near each other: bounds prune little, and their points are compared at once
                 end = a[s + step] if s + step < len(a) else p.end
                 compared(int(a[s]), int(end), q)
                 continue
