@@ -177,6 +177,7 @@ class Work:
 
 ROUGH = 1e-5  # of cosines in single precision
 PAIRS = 1 << 20  # whose distances are found at once
+FEW = 1 << 16  # pairs of points of nodes hardly larger than the threshold that are compared at once
 DENSE = 0.05  # share of pairs of children above which bounds are of no use
 
 
@@ -229,7 +230,8 @@ def dual(one: Tree, wx: np.ndarray, two: Tree, wy: np.ndarray, cosine: float, wo
     while stack:
         p, q = stack.pop()
         leaf_p, leaf_q = one.leaf(p), two.leaf(q)
-        if leaf_p and leaf_q:
+        few = (p.end - p.start) * (q.end - q.start) <= FEW and p.radius + q.radius < 2 * limit
+        if leaf_p and leaf_q or few:
             compared(p.start, p.end, q)
             continue
         # the wider node gives way to its children, or both do
@@ -242,8 +244,8 @@ def dual(one: Tree, wx: np.ndarray, two: Tree, wy: np.ndarray, cosine: float, wo
             part = slice(s, s + step)
             i, j = _survivors(one.single[a[part]], ra[part], two.single[b], rb, limit)
             work.looked += len(a[part]) * len(b)
-            if len(i) > max(4096, DENSE * len(a[part]) * len(b)) and ra[part].max() + rb.max() < limit:
-                # small children, most of them near each other: bounds prune little, and their points are compared at once
+            if len(i) > max(4096, DENSE * len(a[part]) * len(b)) and ra[part].max() + rb.max() < 2 * limit:
+                # children hardly larger than the threshold, many near each other: bounds prune little, and their points are compared at once
                 end = a[s + step] if s + step < len(a) else p.end
                 compared(int(a[s]), int(end), q)
                 continue
