@@ -225,9 +225,9 @@ def test_merging_by_hand(spark):
 def test_rest_and_stability_by_hand(spark):
     steps = [(1, k, 0.05 * min(k, 3), 0.0) for k in range(1, 12)] + [(2, k, 0.0, 3.0 * k) for k in range(1, 12)]
     trace = spark.createDataFrame([(p, k, x, 0.0, 0.0, a) for p, k, x, a in steps], "prim int, step int, px double, py double, pz double, angle double")
-    assert rows(evaluate(spark, "equilibrium_window", trace=trace), "prim", "step") == [(1, k) for k in range(7, 12)]
-    # the first rests in its place from step 7; the second has turned over 8 degrees at step 4
-    assert rows(evaluate(spark, "physics_stability", trace=trace), "prim", "stop", "stable") == [(1, 7, True), (2, 4, False)]
+    assert rows(evaluate(spark, "equilibrium_window", trace=trace), "prim", "step") == [(1, 11)]
+    # the first is where it was four steps before at steps 7 to 11; the second has turned over 8 degrees at step 4
+    assert rows(evaluate(spark, "physics_stability", trace=trace), "prim", "stop", "stable") == [(1, 11, True), (2, 4, False)]
 
 
 def test_chains_of_merges(spark):
