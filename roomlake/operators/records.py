@@ -62,7 +62,7 @@ TYPES = (
     (31, "route_planning", "route_planning", "cam", NONE, ("start", "facing", "goal"), "answer", "turns", ("Starting at the <a>, facing the <b>: how to turn for the <c>?", "At the <a> and turned to the <b>, which way is the <c>?", "From the <a>, looking at the <b>, turn which way to reach the <c>?")),
     (31, "csr_multi_step", "csr_multi_step", "cam", NONE, ("stand", "face", "id"), "answer", "diagonals", ("From the <a>, facing the <b>: in which quarter is the <c>?", "Stand at the <a>, look at the <b>, and say where the <c> is.", "At the <a> and turned to the <b>, where does the <c> lie?")),
 )
-KEYS = {"object_count": "base_type", "camera_region": "area", "object_region": "area", "region_region": "concat(area_a, ' ', area_b)", "spatial_compatibility": "side", "comparative_grounding": "which", "csr_referring": "base_type", "object_object_mv": "concat(cast(id_a as string), ' ', cast(id_b as string))", "ordinal_grounding": "base_type"}
+KEYS = {"object_count": "base_type", "camera_region": "area", "object_region": "area", "region_region": "concat(area_a, ' ', area_b)", "spatial_compatibility": "side", "comparative_grounding": "which", "csr_referring": "concat(base_type, ' ', side)", "object_object_mv": "concat(cast(id_a as string), ' ', cast(id_b as string))", "ordinal_grounding": "base_type"}
 
 
 def pools() -> list[tuple[str, str]]:

@@ -65,8 +65,9 @@ def composed(name: str, dialect: Spark, given: Mapping[str, str] | None = None,
 
 
 def _tasks(spark: SparkSession, text: str) -> str:
-    """Hints of 64 partitions raised to the session's number of shuffle partitions."""
-    return text.replace("repartition(64,", f"repartition({max(64, int(spark.conf.get('spark.sql.shuffle.partitions')))},")
+    """Hints of 64 partitions as many as the cluster's cores can share, and shuffles at least."""
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return text.replace("repartition(64,", f"repartition({n},")
 
 
 def planner(spark: SparkSession) -> SparkSession:
