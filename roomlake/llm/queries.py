@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lexical import SEARCH_SQL
 from .store import table
 
 
@@ -77,5 +78,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_cover_tree_near_dedup, op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op6_minimum_cut_extraction, op7_impact_ordered_top_k, op8_minhash_near_dedup, op9_bwt_repeated_passages, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_blocked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_cover_tree_near_dedup, op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op6_minimum_cut_extraction, op7_impact_ordered_top_k, op8_minhash_near_dedup, op9_bwt_repeated_passages, op10_byte_bpe, op11_blocked_lexical_search)}
+ORACLE_SQL: dict[str, str] = {"op11_blocked_lexical_search": SEARCH_SQL}
