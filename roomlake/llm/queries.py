@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .lexical import SEARCH_SQL
 from .store import table
+from .subtrees import CUT_SQL
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,5 +85,12 @@ def op11_blocked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_cover_tree_near_dedup, op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op6_minimum_cut_extraction, op7_impact_ordered_top_k, op8_minhash_near_dedup, op9_bwt_repeated_passages, op10_byte_bpe, op11_blocked_lexical_search)}
-ORACLE_SQL: dict[str, str] = {"op11_blocked_lexical_search": SEARCH_SQL}
+def op12_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .subtrees import without_repeated_words
+
+    out = without_repeated_words(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_cover_tree_near_dedup, op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op6_minimum_cut_extraction, op7_impact_ordered_top_k, op8_minhash_near_dedup, op9_bwt_repeated_passages, op10_byte_bpe, op11_blocked_lexical_search, op12_prefix_suffix_trees)}
+ORACLE_SQL: dict[str, str] = {"op11_blocked_lexical_search": SEARCH_SQL, "op12_prefix_suffix_trees": CUT_SQL}
