@@ -92,5 +92,14 @@ def op12_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_cover_tree_near_dedup, op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op6_minimum_cut_extraction, op7_impact_ordered_top_k, op8_minhash_near_dedup, op9_bwt_repeated_passages, op10_byte_bpe, op11_blocked_lexical_search, op12_prefix_suffix_trees)}
+def op13_relational_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import aligned
+
+    paths = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return aligned(table(spark, sf_dir, "documents"), *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_cover_tree_near_dedup, op3_language_bitmask_filters, op4_ordinal_toxicity, op5_kd_tree_sharding, op6_minimum_cut_extraction, op7_impact_ordered_top_k, op8_minhash_near_dedup, op9_bwt_repeated_passages, op10_byte_bpe, op11_blocked_lexical_search, op12_prefix_suffix_trees, op13_relational_alignment)}
 ORACLE_SQL: dict[str, str] = {"op11_blocked_lexical_search": SEARCH_SQL, "op12_prefix_suffix_trees": CUT_SQL}

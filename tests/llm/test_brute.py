@@ -4,16 +4,18 @@ The corpus has nulls, empty and blank texts, one very long text, ties, repeated
 id, columns with the names that operators use inside, exact and near copies and shared passages.
 """
 
+import hashlib
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from roomlake.llm import covertree, impact, kdshard, langid, minhash, packing, suffix, toxicity
+from roomlake.llm import alignment, covertree, impact, kdshard, langid, lexical, minhash, packing, subtrees, suffix, toxicity
 from roomlake.llm.bytesops import mix, prefix, spans_hash
 
 SYLLABLES = {"en": "the and ing er ou th st re on at", "xx": "zu qo vej kri blo nar ush pim dat wex"}
@@ -303,3 +305,79 @@ def test_pipeline(spark, rows, tmp_path):
     items = sorted(sized_rows([(r[0], texts[r[0]], r[3]) for r in left if texts[r[0]]]), key=lambda x: x[0])
     want = sorted((n, slot, items[k][0], start, length) for n, slot, k, start, length in naive_pack(items, packing.CAPACITY))
     assert sorted((r.bin_id, r.slot, r.doc_id, r.start, r.length) for r in got) == want and len(want) > 100
+
+
+def ranked(docs, items, k):
+    """Scores in so many words."""
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    counts = [(doc, Counter(terms(t))) for doc, t in docs]
+    n = sum(bool(c) for _, c in counts)
+    length = sum(sum(c.values()) for _, c in counts)
+    df = Counter(w for _, c in counts for w in c)
+    out = []
+    for item, t in items:
+        scores = []
+        for doc, c in counts:
+            m = 25 + (75 * sum(c.values()) * n) // max(length, 1)
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * ((10**9 * c[w]) // (1000 * c[w] + 8 * m)) for w in terms(t) if c[w])
+            if s > 0:
+                scores.append((-s, doc is None, doc or 0))
+        out += [(item, r, None if lone else doc, -s) for r, (s, lone, doc) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("item_terms, block", [(200_000, 4096), (30, 7)])
+def test_op11(spark, rows, docs, monkeypatch, item_terms, block):
+    monkeypatch.setattr(lexical, "ITEM_TERMS", item_terms)
+    monkeypatch.setattr(lexical, "DOC_BLOCK", block)
+    texts = [r[1] for r in rows]
+    items = [(1, texts[0]), (2, (texts[1] or "") + " " + (texts[1] or "")), (3, None), (4, ""), (5, "I stupid-Idiot é"), (6, "no such words zzz"), (7, texts[160])]
+    frame = spark.createDataFrame([(i, t, "x", 0) for i, t in items], "item_id long, text string, doc_id string, rank int")
+    got = sorted((tuple(r) for r in lexical.search(docs, frame, 5).collect()), key=lambda r: r[:2])
+    assert got == ranked([(r[0], r[1]) for r in rows], items, 5)
+
+
+def test_op11_empty(spark, docs):
+    items = spark.createDataFrame([(1, "the")], "item_id long, text string")
+    assert lexical.search(docs.limit(0), items).count() == 0 and lexical.search(docs, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group", [100_000, 6, 1])
+def test_op12(spark, rows, docs, monkeypatch, group):
+    """With small groups prefixes grow longer, and those of full depth take the other way."""
+    monkeypatch.setattr(subtrees, "GROUP", group)
+    keyed = [(k, r[1]) for k, r in enumerate(rows)]
+    rnd = random.Random(4)
+    base = words(rnd, "en", 130)
+    keyed += [(1000, " ".join(base)), (1001, " ".join(base[:49])), (1002, "\n".join(base[3:60])), (1003, " ".join(base[20:70] + base[20:75] + ["end"])), (1004, "\t ".join(base)), (999, " ".join(base[60:110]))]
+    frame = spark.createDataFrame([(k, t, 0, "x") for k, t in keyed], "doc_id long, text string, id long, hits string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in subtrees.without_repeated_words(frame).collect()}
+    want = subtrees.brute_force(keyed)
+    assert got == want and sum(w[1] for w in want.values()) > 300
+
+
+def test_op12_edges(spark, rows, docs):
+    out = subtrees.without_repeated_words(docs)
+    assert out.count() == len(rows) and out.filter("doc_id is null and n_removed > 0").count() == 0
+    assert subtrees.without_repeated_words(docs.limit(0)).count() == 0
+
+
+ODD = [None, "", " ", "  ", "a", " a ", "a  b \n  c <|endoftext|>\t <s> d  e　 f\U0001f600 g  ", "one ▁two", "é ́x y​ z \x1c q \u0085 r", "x" * 700, "中文 かな test " * 3, "a\x00 b\x7f c", "same words here", "same words here", "ﬁne Å"]
+
+
+@pytest.mark.parametrize("spans, block, at_spaces", [(400_000, 200_000, True), (40, 50, True), (400_000, 200_000, False)])
+def test_op13(spark, rows, monkeypatch, spans, block, at_spaces):
+    """Against whole texts encoded at once, with one chunk or many, and with texts that are not cut into spans."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    paths = tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(alignment, "SPANS", spans)
+    monkeypatch.setattr(alignment, "BLOCK", block)
+    if not at_spaces:
+        monkeypatch.setattr(alignment, "cuts_at_spaces", lambda *paths: False)
+    keyed = [(k, t) for k, t in enumerate([*ODD, *(r[1] for r in rows[::5] if r[0] != 510)])]
+    frame = spark.createDataFrame([(k, t, 0, "x") for k, t in keyed], "doc_id long, text string, chunk long, groups string").repartition(2)
+    got = sorted(tuple(r) for r in alignment.aligned(frame, *paths).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups").collect())
+    assert got == alignment.brute_force(keyed, *paths)
+    digests = {r.doc_id: r.groups for r in alignment.aligned(frame, *paths, digest=True).collect()}
+    assert digests == {g[0]: hashlib.sha256(g[7].encode()).hexdigest() if g[7] else "" for g in got}
+    assert alignment.aligned(frame.limit(0), *paths).count() == 0
