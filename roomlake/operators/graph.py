@@ -7,22 +7,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.catalog import evaluate, over_tables
+from ..plans.catalog import composed, evaluate, over_tables
+from ..plans.dialect import DUCK
 from ..plans.shared import shared_dir, written
 
 LEAST_POINTS = 10
 
 
 def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over ``edges`` (a, b).
+    """(node, component): the smallest node reachable over ``edges`` (a, b); repeated nodes count once.
 
     Each round takes the smallest label of the neighbours and then the label of that label, so long
-    chains halve; a round is a written table in the folder of spark.checkpoint.dir.
+    chains halve; a round is a written table in the folder of spark.checkpoint.dir.  Only nodes with
+    edges take part, the others are components of their own.
     """
     spark = nodes.sparkSession
     folder = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{folder}/edges")
-    labels = written(nodes.select(F.col("node"), F.col("node").alias("label")), f"{folder}/labels0")
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), f"{folder}/edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), f"{folder}/labels0")
     for i in range(1, 200):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
@@ -34,17 +36,24 @@ def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return labels.select("node", F.col("label").alias("component"))
+    return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
 
 
-def components_of(voxels: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """(scene_id, iid, component, voxels, points) of each instance's connected parts."""
-    found = label_components(voxels.select(F.col("first_point").alias("node")), neighbours)
-    return voxels.join(found, voxels.first_point == found.node).groupBy("scene_id", "iid", "component").agg(F.count("*").alias("voxels"), F.sum("n").alias("points"))
+def components_of(voxels: DataFrame) -> DataFrame:
+    """(scene_id, iid, component, voxels, points) of each instance's connected parts, named by their smallest point.
+
+    Voxels get numbers of their own first: points may share a number, and so may the first points of voxels.
+    """
+    keyed = voxels.withColumnRenamed("first_point", "least").withColumn("first_point", F.monotonically_increasing_id())
+    keyed = written(keyed, f"{shared_dir(voxels.sparkSession)}/voxels-{uuid.uuid4().hex}")
+    edges = evaluate(keyed.sparkSession, "voxel_neighbours", voxels=keyed)
+    found = label_components(keyed.select(F.col("first_point").alias("node")), edges)
+    parts = keyed.join(found, keyed.first_point == found.node).groupBy("scene_id", "iid", F.col("component").alias("part"))
+    return parts.agg(F.min("least").alias("component"), F.count("*").alias("voxels"), F.sum("n").alias("points")).select("scene_id", "iid", "component", "voxels", "points")
 
 
 def voxel_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components_of(over_tables(spark, sf_dir, "voxels"), over_tables(spark, sf_dir, "voxel_neighbours"))
+    return components_of(over_tables(spark, sf_dir, "voxels"))
 
 
 def split_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +86,29 @@ def merged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, over_tables(spark, sf_dir, "points")).groupBy("scene_id", "iid").agg(F.count("*").alias("points"))
 
 
-__all__ = ["components_of", "label_components", "merged_points", "split_components", "voxel_components"]
+# What the loops come to, in one recursive query each; parts that share their smallest point number are ranked by it and their size.
+_PARTS = """voxel_edges as (select v.scene_id, v.iid, v.vx * 4000000 + v.vy * 2000 + v.vz as k, w.vx * 4000000 + w.vy * 2000 + w.vz as l from voxels v join voxels w on v.scene_id = w.scene_id and v.iid = w.iid
+    and w.vx between v.vx - 1 and v.vx + 1 and w.vy between v.vy - 1 and v.vy + 1 and w.vz between v.vz - 1 and v.vz + 1),
+reached as (select distinct scene_id, iid, k, k as l from voxel_edges union select r.scene_id, r.iid, r.k, e.l from reached r join voxel_edges e on e.scene_id = r.scene_id and e.iid = r.iid and e.k = r.l),
+named as (select scene_id, iid, k, min(l) as part from reached group by scene_id, iid, k),
+parts as (select v.scene_id, v.iid, min(v.first_point) as component, count(*) as voxels, cast(sum(v.n) as bigint) as points from voxels v
+    join named p on p.scene_id = v.scene_id and p.iid = v.iid and p.k = v.vx * 4000000 + v.vy * 2000 + v.vz group by v.scene_id, v.iid, p.part)"""
+_CHAINS = """links as (select scene_id, small, category, large, other from (select *, row_number() over (partition by scene_id, small, category order by share desc, large, other) as rn from spatial_merge) a where rn = 1),
+chains as (select scene_id, small, category, large, other, 1 as steps from links union select c.scene_id, c.small, c.category, l.large, l.other, c.steps + 1 from chains c join links l on l.scene_id = c.scene_id and l.small = c.large and l.category = c.other),
+roots as (select scene_id, small, category, max_by(large, steps) as root from chains group by scene_id, small, category)"""
+
+
+def _recursive(relation: str, more: str, select: str) -> str:
+    text = composed(relation, DUCK)
+    return f"{text[: text.rindex('select * from')].replace('with ', 'with recursive ', 1).rstrip()},\n{more}\n{select}"
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL for the loops, by recursion."""
+    split = f"""select scene_id, iid, component, points, case when rn = 1 then iid else 1000 * (iid + 1) + rn end as new_iid from (
+        select *, row_number() over (partition by scene_id, iid order by points desc, component) as rn, sum(points) over (partition by scene_id, iid) as total from parts where points >= {LEAST_POINTS}) a where total >= 30"""
+    merged = "select p.scene_id, coalesce(r.root, p.iid) as iid, count(*) as points from points p left join roots r on r.scene_id = p.scene_id and r.small = p.iid and r.category = p.category group by 1, 2"
+    return {"voxel_components": _recursive("voxels", _PARTS, "select * from parts"), "split_components": _recursive("voxels", _PARTS, split), "merged_points": _recursive("spatial_merge", _CHAINS, merged)}
+
+
+__all__ = ["components_of", "label_components", "merged_points", "oracle_sql", "split_components", "voxel_components"]

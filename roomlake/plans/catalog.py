@@ -86,11 +86,11 @@ def evaluate(spark: SparkSession, name: str, parameters: Mapping[str, object] |
     views = {n: f"roomlake_{n}_{uuid.uuid4().hex}" for n in frames}
     try:
         for n, view in views.items():
-            frames[n].createTempView(view)
-        return planner(spark).sql(_tasks(spark, composed(name, SPARK, views, parameters)))
+            frames[n].createGlobalTempView(view)  # frames may be of other sessions
+        return planner(spark).sql(_tasks(spark, composed(name, SPARK, {n: f"global_temp.{view}" for n, view in views.items()}, parameters)))
     finally:
         for view in views.values():
-            spark.catalog.dropTempView(view)
+            spark.catalog.dropGlobalTempView(view)
 
 
 def used_tables(text: str) -> list[str]:

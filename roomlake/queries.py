@@ -34,4 +34,4 @@ def _query(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: partial(_query, name=n) for n in NAMES} | {"voxel_components": graph.voxel_components, "split_components": graph.split_components, "merged_points": graph.merged_points, "random_cameras": standpoints.random_cameras}
-ORACLE_SQL: dict[str, str] = {n: composed(n, DUCK) for n in NAMES}
+ORACLE_SQL: dict[str, str] = {n: composed(n, DUCK) for n in NAMES} | graph.oracle_sql()
