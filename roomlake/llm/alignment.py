@@ -16,7 +16,7 @@ their spans' groups together:
 5. Links meet the counts and are added up by span, and these sums by document.
 
 A vocabulary with pieces that go on after such a space, or another way of cutting words, makes every text one
-span; all else is the same.  Spans are told by 128 bits of hashes.  A document counts once for a pair of ids,
+span; all else is the same.  A document counts once for a pair of ids,
 however often it holds it.
 
 Null and empty texts have no tokens, and so have texts that a tokenizer does not give back byte by byte:
@@ -42,15 +42,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytesops import give_back, lean, text_rows
+from .bytesops import buffers, give_back, lean, text_rows
 from .store import Store
 
-SPANS = 400_000  # different spans of a chunk, about
+SPANS = 250_000  # different spans of a chunk, about
+PIECE = 1 << 21  # bytes of texts that are cut at once
 BLOCK = 200_000  # occurrences of spans that are added up at once, about
 BROADCAST = 500_000  # pairs of ids with their counts
 META = "▁"  # stands for a space in pieces
 _ROWS = "chunk long, row int, doc_id long, spans array<int>, at int, words array<string>"
-_TOKENS = "k1 long, k2 long, a array<int>, a_size array<int>, b array<int>, b_size array<int>"
+_TOKENS = "sid long, a array<int>, a_size array<int>, b array<int>, b_size array<int>"
 _ADDED = "chunk long, row int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, link long, n long"
 
 
@@ -109,7 +110,10 @@ def span_starts(raw: np.ndarray, offsets: np.ndarray, at_spaces: bool) -> np.nda
     two = rest[0] & (back[1] >= 0xC3) & (back[1] < 0xE0)
     three = rest[0] & rest[1] & ((back[2] == 0xE0) | (back[2] >= 0xE4) & (back[2] < 0xF0))
     four = rest[0] & rest[1] & rest[2] & (back[3] >= 0xF0)
-    return np.union1d(rows, i[ascii_ | two | three | four])
+    starts = np.zeros(len(raw), bool)
+    starts[i[ascii_ | two | three | four]] = True
+    starts[rows] = True
+    return np.flatnonzero(starts)
 
 
 def _encoded(at_spaces: bool):
@@ -127,7 +131,7 @@ def _encoded(at_spaces: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, row, known = TaskContext.get().partitionId() << 32, 0, {}
         for batch in batches:
-            for i, j, offsets, raw in text_rows(batch):
+            for i, j, offsets, raw in text_rows(batch, limit=PIECE):
                 start = span_starts(raw, offsets, at_spaces)
                 cuts = np.append(start, len(raw)).astype(np.int32)
                 words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(raw)]).dictionary_encode()
@@ -144,44 +148,73 @@ def _encoded(at_spaces: bool):
     return lean(run)
 
 
-def _lists(parts: list[list[int]]) -> pa.Array:
-    return pa.array(parts, pa.list_(pa.int32()))
+def _cut_run(ids: list[int], known: list[bytes | None], size: np.ndarray, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """(ids, sizes, tokens up to each end) of encoded spans that lie one after another; None if they are not cut there."""
+    flat = np.array(ids, np.int32)
+    sizes = size[flat]
+    to = np.cumsum(sizes)
+    last = np.minimum(np.searchsorted(to, ends), max(len(to) - 1, 0))
+    if not len(to) or not np.array_equal(to[last], ends) or b"".join([known[i] or b"" for i in ids]) != raw:
+        return None
+    return flat, sizes.astype(np.int32), np.concatenate([[0], last + 1]).astype(np.int32)
 
 
-def _tokens(a_path: str, b_path: str):
-    """(k1, k2, span) as both tokenizers' ids and sizes; null lists where the bytes differ."""
+def _tokens(a_path: str, b_path: str, at_spaces: bool):
+    """(sid, span) as both tokenizers' ids and sizes; null lists where the bytes differ.
+
+    Spans that end in what is surely no white space are encoded as one text, which is cut at them again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_a, a_bytes, encode_b, b_bytes = encoders(a_path, b_path)
+        sides = [(encode, known, np.array([len(x or b"") for x in known])) for encode, known in ((encode_a, a_bytes), (encode_b, b_bytes))]
+
+        def together(sid: pa.Array, raw: np.ndarray, ends: np.ndarray) -> pa.RecordBatch | None:
+            text = raw.tobytes()
+            found = [_cut_run(encode([text.decode()])[0], known, size, text, ends) for encode, known, size in sides]
+            if None in found:
+                return None
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v)) for flat, sizes, at in found for v in (flat, sizes)]
+            return pa.RecordBatch.from_arrays([sid, *lists], names=["sid", "a", "a_size", "b", "b_size"])
+
+        def alone(sid: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+            none = [pa.nulls(1, pa.list_(pa.int32()))] * 4
+            for i, text in enumerate(texts.to_pylist()):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                yield together(sid.slice(i, 1), raw, np.array([len(raw)])) or pa.RecordBatch.from_arrays([sid.slice(i, 1), *none], names=["sid", "a", "a_size", "b", "b_size"])
+
         for batch in batches:
-            for s in range(0, batch.num_rows, 4096):
-                part = batch.slice(s, 4096)
-                texts = part.column(2).to_pylist()
-                out: list[list] = [[], [], [], []]
-                for text, a, b in zip(texts, encode_a(texts), encode_b(texts)):
-                    x, y = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
-                    raw = text.encode()
-                    if None in x or b"".join(x) != raw or b"".join(y) != raw:
-                        row = (None,) * 4
+            for s in range(0, batch.num_rows, 8192):
+                part = batch.slice(s, 8192)
+                offsets, raw = buffers(part.column(1))
+                follows = np.append(raw, np.frombuffer(b" x", np.uint8))
+                starts = np.zeros(len(follows), bool)
+                starts[span_starts(follows, np.array([0, len(follows)]), True)] = True
+                clean = pa.array(starts[offsets[1:]] & at_spaces)
+                sid, texts = (part.column(c).filter(clean) for c in (0, 1))
+                if len(sid):
+                    offsets, raw = buffers(texts)
+                    if (found := together(sid, raw, offsets[1:])) is not None:
+                        yield found
                     else:
-                        row = (a, list(map(len, x)), b, list(map(len, y)))
-                    for column, v in zip(out, row):
-                        column.append(v)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(_lists, out)], names=["k1", "k2", "a", "a_size", "b", "b_size"])
+                        yield from alone(sid, texts)
+                yield from alone(*(part.column(c).filter(pc.invert(clean)) for c in (0, 1)))
 
     return lean(run)
 
 
 @contextmanager
-def _joins_on_part_of_keys(spark: SparkSession):
-    """Rows that lie together by span need no shuffle to be joined by span and end."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "false")
+def _by_span(spark: SparkSession):
+    """Rows that lie together by span are neither shuffled to be joined by span and end nor sorted to be collected."""
+    want = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
+    before = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def token_rows(spans: DataFrame, side: str) -> DataFrame:
@@ -192,53 +225,75 @@ def token_rows(spans: DataFrame, side: str) -> DataFrame:
 
 
 def groups(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(sid, grp, a_lo, a_hi, b_lo, b_hi): the tokens between a cut and the one before, as ranges of places."""
-    cuts = a.withColumnRenamed("pos", "a_pos").join(b.withColumnRenamed("pos", "b_pos"), ["sid", "end"])
-    order = Window.partitionBy("sid").orderBy("end")
-    before = lambda c: F.lag(c, 1, -1).over(order) + 1
-    return cuts.select("sid", F.row_number().over(order).alias("grp"), before("a_pos").alias("a_lo"), F.col("a_pos").alias("a_hi"), before("b_pos").alias("b_lo"), F.col("b_pos").alias("b_hi"))
+    """(sid, grp, a_last, b_last): the running number of each cut, and the places of the tokens that end there.
+
+    The group's tokens are those behind the cut before, up to these.
+    """
+    cuts = a.withColumnRenamed("pos", "a_last").join(b.withColumnRenamed("pos", "b_last"), ["sid", "end"])
+    return cuts.select("sid", F.row_number().over(Window.partitionBy("sid").orderBy("end")).alias("grp"), "a_last", "b_last")
 
 
 def linked_spans(spans: DataFrame) -> DataFrame:
-    """(k1, k2, groups, links) of spans (sid, k1, k2, a, a_size, b, b_size).
+    """(sid, groups) of spans (sid, a, a_size, b, b_size).
 
-    groups is `a1,a2|b1;` for each group; links holds a * 2^32 + b for each pair of linked tokens.
+    groups is the number of groups, the last places of their a and b tokens, and all ids of a and b.
     """
-    spans = spans.filter("a is not null").repartition("sid")
+    spans = spans.filter("a is not null").repartition("sid").sortWithinPartitions("sid")
     found = groups(token_rows(spans, "a"), token_rows(spans, "b"))
-    by_span = found.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("grp", "a_lo", "a_hi", "b_lo", "b_hi"))).alias("g"))
-    ids = {side: f"slice({side}, g.{side}_lo + 1, g.{side}_hi - g.{side}_lo + 1)" for side in "ab"}
-    text = f"array_join(transform(g, g -> concat(array_join({ids['a']}, ','), '|', array_join({ids['b']}, ','), ';')), '')"
-    links = f"flatten(transform(g, g -> flatten(transform({ids['a']}, x -> transform({ids['b']}, y -> x * 4294967296L + y)))))"
-    return spans.join(by_span, "sid").select("k1", "k2", F.expr(text).alias("groups"), F.expr(links).alias("links"))
-
-
-def _read_groups(text: pa.Array) -> tuple[np.ndarray, ...]:
-    """Of the groups of spans: (n_a, n_b, n_groups, n_links) by span, (links, their spans)."""
-    n = len(text)
-    offsets = np.frombuffer(text.buffers()[1], np.int32, n + 1, text.offset * 4).astype(np.int64)
-    raw = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if n and text.buffers()[2] else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
-    z = np.zeros(0, np.int64)
-    if not len(raw):
-        none = np.zeros(n, np.int64)
-        return none, none, none, none, z, z
-    at = np.flatnonzero((raw < 48) | (raw > 57))
-    kind = raw[at]
-    value = np.fromstring(bytes(raw).translate(bytes.maketrans(b"|;", b",,")), np.int64, sep=",")
-    semi, bar = (np.cumsum(kind == c) - (kind == c) for c in (59, 124))
-    is_a = semi == bar
-    total = int(semi[-1]) + 1
-    na, nb = np.bincount(semi[is_a], minlength=total), np.bincount(semi[~is_a], minlength=total)
-    end = at[kind == 59]
-    span = np.searchsorted(offsets, end, side="right") - 1  # of each group
-    sums = [np.bincount(span, weights=w, minlength=n).astype(np.int64) for w in (na, nb, np.ones(total), na * nb)]
-    a, b = value[is_a], value[~is_a]
-    of_a = np.repeat(np.arange(total), na)
-    each = nb[of_a]  # links of each token of a
-    first = np.repeat((np.cumsum(nb) - nb)[of_a] - (np.cumsum(each) - each), each)
-    links = (np.repeat(a, each) << 32) | b[np.arange(len(first)) + first]
-    return *sums, links, np.repeat(span[of_a], each)
+    by_span = found.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("grp", "a_last", "b_last"))).alias("g"))
+    return spans.join(by_span, "sid").selectExpr("sid", "concat(array(size(g)), g.a_last, g.b_last, a, b) as groups")
+
+
+class _Groups:
+    """The groups of an array of spans; null spans have none."""
+
+    def __init__(self, spans: pa.Array):
+        at = spans.offsets.to_numpy().astype(np.int64)
+        flat = spans.values.to_numpy(zero_copy_only=False)
+        self.n = n = len(spans)
+        start, full = at[:-1], np.diff(at) > 0
+        self.n_groups = np.zeros(n, np.int64)
+        self.n_groups[full] = flat[start[full]]
+        self.owner = np.repeat(np.arange(n), self.n_groups)  # the span of each group
+        begin = np.cumsum(self.n_groups) - self.n_groups
+        first = np.zeros(len(self.owner), bool)
+        first[begin[full]] = True
+
+        def sizes(of: np.ndarray) -> np.ndarray:
+            last = flat[_ranges(of, self.n_groups)].astype(np.int64)
+            before = np.concatenate([[-1], last[:-1]]) if len(last) else last
+            return last - np.where(first, -1, before)
+
+        self.in_a, self.in_b = sizes(start + 1), sizes(start + 1 + self.n_groups)
+        by_span = lambda w: np.bincount(self.owner, weights=w, minlength=n).astype(np.int64)
+        self.n_a, self.n_b, self.n_links = by_span(self.in_a), by_span(self.in_b), by_span(self.in_a * self.in_b)
+        ids = start + 1 + 2 * self.n_groups
+        self.a = flat[_ranges(ids, self.n_a)].astype(np.int64)
+        self.b = flat[_ranges(ids + self.n_a, self.n_b)].astype(np.int64)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(a * 2^32 + b of all pairs of linked tokens, their spans)."""
+        of = np.repeat(np.arange(len(self.owner)), self.in_a)  # the group of each token of a
+        each = self.in_b[of]
+        first = (np.cumsum(self.in_b) - self.in_b)[of]
+        return np.repeat(self.a, each) << 32 | self.b[_ranges(first, each)], np.repeat(self.owner[of], each)
+
+    def text(self) -> pa.Array:
+        """`a1,a2|b1;` for each group of a span."""
+        side = lambda ids, sizes: pc.binary_join(_listed(pa.array(ids).cast(pa.string()), sizes), ",")
+        one = pc.binary_join_element_wise(side(self.a, self.in_a), side(self.b, self.in_b), "|")
+        return pc.binary_join(_listed(pc.binary_join_element_wise(one, "", ";"), self.n_groups), "")
+
+
+def _listed(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, groups) as (sid, link), a row for each pair of linked tokens."""
+    for batch in batches:
+        links, owner = _Groups(batch.column(1)).links()
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(links)], names=["sid", "link"])
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -264,10 +319,12 @@ def _added(digest: bool):
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, words: pa.Table) -> pa.Table:
         order = np.argsort(words.column("at").to_numpy())
-        text = words.column("groups").combine_chunks().take(pa.array(order))
-        bad = text.is_null().to_numpy(zero_copy_only=False)
-        text = pc.fill_null(text, "")
-        *sums, links, owner = _read_groups(text)
+        code = words.column("groups").combine_chunks().take(pa.array(order))
+        bad = code.is_null().to_numpy(zero_copy_only=False)
+        found = _Groups(code)
+        text, sums = found.text(), (found.n_a, found.n_b, found.n_groups, found.n_links)
+        links, owner = found.links()
+        del code, found
         pair, link = np.unique(links, return_inverse=True)
         cut = np.searchsorted(owner, np.arange(len(text) + 1))
         n = np.zeros(len(pair), np.int64)
@@ -340,21 +397,22 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, digest: bool = False, id_
     rows = store.put(texts.mapInArrow(_encoded(at_spaces), _ROWS), "rows")
     numbered = rows.filter("row is not null").select("chunk", "row", "doc_id", "spans")
     entries = rows.filter("words is not null").select("chunk", "at", F.posexplode("words").alias("i", "span"))
-    words = store.put(entries.select("chunk", (F.col("at") + F.col("i")).alias("at"), F.xxhash64("span").alias("k1"), F.xxhash64(F.lit(1), F.reverse("span")).alias("k2"), "span"), "words")
-    different = words.select("k1", "k2", "span").distinct()
-    spans = store.put(different.mapInArrow(_tokens(a_path, b_path), _TOKENS).withColumn("sid", F.monotonically_increasing_id()), "spans")
-    words = words.drop("span")
-    with _joins_on_part_of_keys(spark):
+    entries = entries.select("chunk", (F.col("at") + F.col("i")).alias("at"), "span")
+    different = store.put(entries.select("span").distinct().select(F.monotonically_increasing_id().alias("sid"), "span"), "different")
+    words = store.put(entries.join(different, "span").select("sid", "chunk", "at"), "words")
+    spans = store.put(different.mapInArrow(_tokens(a_path, b_path, at_spaces), _TOKENS), "spans")
+    store.drop("different")
+    with _by_span(spark):
         linked = store.put(linked_spans(spans), "linked")
     store.drop("spans")
-    of_chunk = words.join(linked.select("k1", "k2", "groups"), ["k1", "k2"], "left").select("chunk", "at", "groups")
+    of_chunk = words.join(linked.select("sid", "groups"), "sid", "left").select("chunk", "at", "groups")
     added = store.put(numbered.groupBy("chunk").cogroup(of_chunk.groupBy("chunk")).applyInArrow(_added(digest), _ADDED), "added")
 
     counts = added.filter("link is not null").groupBy("link").agg(F.sum("n").alias("n"))
     counts = store.put(counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(F.shiftright("link", 32)))), "counts")
     counts = F.broadcast(counts) if counts.count() <= BROADCAST else counts
-    sums = linked.select("k1", "k2", F.explode("links").alias("link")).join(counts, "link").groupBy("k1", "k2").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    of_chunk = words.join(sums, ["k1", "k2"], "left").select("chunk", "at", "n_best", "count_sum")
+    sums = linked.mapInArrow(lean(_link_rows), "sid long, link long").join(counts, "link").groupBy("sid").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    of_chunk = words.join(sums, "sid", "left").select("chunk", "at", "n_best", "count_sum")
     best = store.put(numbered.groupBy("chunk").cogroup(of_chunk.groupBy("chunk")).applyInArrow(_summed, "chunk long, row int, n_best long, count_sum long"), "best")
     store.drop("rows", "words", "linked", "counts")
     out = added.filter("row is not null").join(best, ["chunk", "row"])
