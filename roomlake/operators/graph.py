@@ -1,4 +1,4 @@
-"""Connected components of voxels: a loop of joins until no label changes."""
+"""What needs loops of joins: connected parts of voxels and masks, chains of merges, first matches in line."""
 
 from __future__ import annotations
 
@@ -86,6 +86,82 @@ def merged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, over_tables(spark, sf_dir, "points")).groupBy("scene_id", "iid").agg(F.count("*").alias("points"))
 
 
+def parts_of_masks(runs: DataFrame) -> DataFrame:
+    """Runs (scene_id, cam, iid, y, x0, x1) with ``part``: the number of the connected part of their mask they are in, its first in line."""
+    mask = Window.partitionBy("scene_id", "cam", "iid").orderBy("y", "x0")
+    runs = runs.filter("x1 >= x0 and iid > 0").select("scene_id", "cam", "iid", "y", "x0", "x1").withColumn("line", F.row_number().over(mask))
+    keyed = written(runs.withColumn("node", F.monotonically_increasing_id()), f"{shared_dir(runs.sparkSession)}/runs-{uuid.uuid4().hex}")
+    touch = evaluate(keyed.sparkSession, "touching_runs", mask_runs=keyed)
+    own = ["scene_id", "cam", "iid"]
+    node = lambda y, x, name: keyed.select(*own, F.col("y").alias(y), F.col("x0").alias(x), F.col("node").alias(name))
+    edges = touch.join(node("ya", "xa", "a"), [*own, "ya", "xa"]).join(node("yb", "xb", "b"), [*own, "yb", "xb"]).select("a", "b")
+    found = label_components(keyed.select("node"), edges)
+    return keyed.join(found, "node").withColumn("part", F.min("line").over(Window.partitionBy(*own, "component"))).select(*own, "y", "x0", "x1", "part")
+
+
+def mask_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle of the largest connected part of each mask, on the mask: (scene_id, cam, iid, part_px, x, y, snapped).
+
+    The middle is the mean pixel, cut to whole numbers; if the mask does not hold it, the part's nearest pixel
+    is taken, the first in line of several.  Of parts of one size the first in line counts.
+    """
+    own = ["scene_id", "cam", "iid"]
+    runs = parts_of_masks(over_tables(spark, sf_dir, "mask_runs"))
+    runs = written(runs, f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}")
+    size = F.col("x1") - F.col("x0") + 1
+    parts = runs.groupBy(*own, "part").agg(F.sum(size).alias("part_px"), F.sum((F.col("x0") + F.col("x1")) * size).alias("xx"), F.sum(F.col("y") * size).alias("yy"))
+    largest = parts.groupBy(*own).agg(F.max_by(F.struct("part", "part_px", "xx", "yy"), F.struct("part_px", -F.col("part"))).alias("p")).select(*own, "p.part", "p.part_px", F.expr("cast(p.xx div (2 * p.part_px) as int)").alias("mx"), F.expr("cast(p.yy div p.part_px as int)").alias("my"))
+    met = runs.withColumnRenamed("part", "of").join(largest, own)
+    on = F.max((F.col("y") == F.col("my")) & F.col("mx").between(F.col("x0"), F.col("x1"))).alias("on_mask")
+    near = F.greatest("x0", F.least("mx", "x1"))
+    far = (F.col("y") - F.col("my")) * (F.col("y") - F.col("my")) + (near - F.col("mx")) * (near - F.col("mx"))
+    first = F.min(F.when(F.col("of") == F.col("part"), F.struct(far.alias("far"), F.col("y").alias("y"), near.alias("x")))).alias("nearest")
+    out = met.groupBy(*own, "part_px", "mx", "my").agg(on, first)
+    pick = lambda own_, other: F.when(F.col("on_mask"), F.col(own_)).otherwise(F.col(other)).cast("int")
+    return out.select(*own, "part_px", pick("mx", "nearest.x").alias("x"), pick("my", "nearest.y").alias("y"), (~F.col("on_mask")).alias("snapped"))
+
+
+def first_matches(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, first): in line, a node joins the earliest node that it is paired with and that joined none; else it stands itself.
+
+    ``pairs`` (early, late) are of comparable nodes, early before late.  All nodes whose earlier partners are decided
+    are decided at once, so a round takes a step of every chain; a round is a written table.
+    """
+    spark = nodes.sparkSession
+    folder = f"{shared_dir(spark)}/matches-{uuid.uuid4().hex}"
+    pairs = written(pairs.select("early", "late").distinct(), f"{folder}/pairs")
+    state = written(pairs.select(F.col("late").alias("node")).distinct().select("node", F.lit(None).cast("boolean").alias("stands")), f"{folder}/state0")
+    for i in range(1, 1000):
+        # nodes without an earlier partner stand from the start and are in no state
+        early = pairs.join(state.select(F.col("node").alias("early"), F.lit(True).alias("known"), "stands"), "early", "left").select("late", F.when(F.col("known").isNull(), True).otherwise(F.col("stands")).alias("stands"))
+        seen = early.groupBy(F.col("late").alias("node")).agg(F.coalesce(F.max("stands"), F.lit(False)).alias("joins"), F.max(F.col("stands").isNull()).alias("waits"))
+        after = state.join(seen, "node").select("node", F.coalesce("stands", F.when(F.col("joins"), False).when(~F.col("waits"), True)).alias("stands"), F.col("stands").isNull().alias("open"))
+        after = written(after, f"{folder}/state{i}")
+        state = after.select("node", "stands")
+        if not after.filter("stands is null").limit(1).count():
+            break
+    else:
+        raise RuntimeError("matches did not settle")
+    standing = pairs.join(state.filter("not stands").select(F.col("node").alias("late")), "late").join(state.filter("not stands").select(F.col("node").alias("early")), "early", "left_anti")
+    return nodes.select("node").join(standing.groupBy(F.col("late").alias("node")).agg(F.min("early").alias("first")), "node", "left").select("node", F.coalesce("first", "node").alias("first"))
+
+
+def merged_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of all views as objects: a detection joins the first object of its label whose first box it overlaps by more than a fifth.
+
+    (scene_id, label, nth, views, score, x, y, z, x0, ..., z1): boxes and middles are of all points, nth is the object's first detection.
+    """
+    key = lambda n: F.struct("scene_id", "label", F.col(n).alias("nth"))
+    rows = written(over_tables(spark, sf_dir, "view_detections"), f"{shared_dir(spark)}/detections-{uuid.uuid4().hex}")
+    pairs = evaluate(spark, "detection_pairs", view_detections=rows)
+    pairs = pairs.select(key("early").alias("early"), key("late").alias("late"))
+    found = first_matches(rows.select(key("nth").alias("node")), pairs)
+    met = rows.withColumn("node", key("nth")).join(found, "node").groupBy("scene_id", "label", F.col("first.nth").alias("nth"))
+    mean = lambda c: F.round(F.round(F.sum(c), 6) / F.sum("n"), 5)
+    boxes = [F.min(f"{a}0").alias(f"{a}0") for a in "xyz"] + [F.max(f"{a}1").alias(f"{a}1") for a in "xyz"]
+    return met.agg(F.count("*").alias("views"), F.round(F.avg("score"), 5).alias("score"), *(mean(f"s{a}").alias(a) for a in "xyz"), *boxes)
+
+
 # What the loops come to, in one recursive query each; parts that share their smallest point number are ranked by it and their size.
 _PARTS = """voxel_edges as (select v.scene_id, v.iid, v.vx * 4000000 + v.vy * 2000 + v.vz as k, w.vx * 4000000 + w.vy * 2000 + w.vz as l from voxels v join voxels w on v.scene_id = w.scene_id and v.iid = w.iid
     and w.vx between v.vx - 1 and v.vx + 1 and w.vy between v.vy - 1 and v.vy + 1 and w.vz between v.vz - 1 and v.vz + 1),
@@ -98,6 +174,27 @@ chains as (select scene_id, small, category, large, other, 1 as steps from links
 roots as (select scene_id, small, category, max_by(large, steps) as root from chains group by scene_id, small, category)"""
 
 
+_MIDDLES = """line as (select *, row_number() over (partition by scene_id, cam, iid order by y, x0) as line from mask_runs where x1 >= x0 and iid > 0),
+touch as (select scene_id, cam, iid, ya, xa, yb, xb from touching_runs union all select scene_id, cam, iid, yb, xb, ya, xa from touching_runs),
+steps as (select t.scene_id, t.cam, t.iid, a.line as a, b.line as b from touch t join line a on a.scene_id = t.scene_id and a.cam = t.cam and a.iid = t.iid and a.y = t.ya and a.x0 = t.xa
+    join line b on b.scene_id = t.scene_id and b.cam = t.cam and b.iid = t.iid and b.y = t.yb and b.x0 = t.xb),
+reached as (select scene_id, cam, iid, line as a, line as b from line union select r.scene_id, r.cam, r.iid, r.a, s.b from reached r join steps s on s.scene_id = r.scene_id and s.cam = r.cam and s.iid = r.iid and s.a = r.b),
+parted as (select l.*, r.part from line l join (select scene_id, cam, iid, a, min(b) as part from reached group by all) r on r.scene_id = l.scene_id and r.cam = l.cam and r.iid = l.iid and r.a = l.line),
+sized as (select scene_id, cam, iid, part, cast(sum(x1 - x0 + 1) as bigint) as part_px, cast(sum((x0 + x1) * (x1 - x0 + 1)) as bigint) as xx, cast(sum(y * (x1 - x0 + 1)) as bigint) as yy from parted group by all),
+big as (select *, xx // (2 * part_px) as mx, yy // part_px as my from (select *, row_number() over (partition by scene_id, cam, iid order by part_px desc, part) as rn from sized) a where rn = 1),
+cells as (select p.scene_id, p.cam, p.iid, p.y, unnest(range(p.x0, p.x1 + 1)) as x, p.part from parted p),
+hit as (select b.scene_id, b.cam, b.iid, count(*) filter (where c.x = b.mx and c.y = b.my) > 0 as on_mask from big b join cells c on c.scene_id = b.scene_id and c.cam = b.cam and c.iid = b.iid group by all),
+near as (select b.scene_id, b.cam, b.iid, c.x, c.y, row_number() over (partition by b.scene_id, b.cam, b.iid order by (c.x - b.mx) * (c.x - b.mx) + (c.y - b.my) * (c.y - b.my), c.y, c.x) as rn from big b join cells c on c.scene_id = b.scene_id and c.cam = b.cam and c.iid = b.iid and c.part = b.part)"""
+_MIDDLE = """select b.scene_id, b.cam, b.iid, b.part_px, cast(case when h.on_mask then b.mx else n.x end as int) as x, cast(case when h.on_mask then b.my else n.y end as int) as y, not h.on_mask as snapped
+    from big b join hit h on h.scene_id = b.scene_id and h.cam = b.cam and h.iid = b.iid join near n on n.scene_id = b.scene_id and n.cam = b.cam and n.iid = b.iid and n.rn = 1"""
+_FOLD = """earlier as (select v.scene_id, v.label, v.nth, coalesce(list(p.early order by p.early) filter (where p.early is not null), []) as near from view_detections v left join detection_pairs p on p.scene_id = v.scene_id and p.label = v.label and p.late = v.nth group by all),
+fold as (select scene_id, label, nth, [nth] as standing, nth as first from earlier where nth = 1
+    union all select e.scene_id, e.label, e.nth, case when list_has_any(f.standing, e.near) then f.standing else list_append(f.standing, e.nth) end,
+    case when list_has_any(f.standing, e.near) then list_min(list_intersect(f.standing, e.near)) else e.nth end from fold f join earlier e on e.scene_id = f.scene_id and e.label = f.label and e.nth = f.nth + 1)"""
+_FOLDED = """select f.scene_id, f.label, f.first as nth, count(*) as views, round(avg(v.score), 5) as score, """ + ", ".join(f"round(round(sum(v.s{a}), 6) / sum(v.n), 5) as {a}" for a in "xyz") + ", " + ", ".join([f"min(v.{a}0) as {a}0" for a in "xyz"] + [f"max(v.{a}1) as {a}1" for a in "xyz"]) + """
+    from fold f join view_detections v on v.scene_id = f.scene_id and v.label = f.label and v.nth = f.nth group by f.scene_id, f.label, f.first"""
+
+
 def _recursive(relation: str, more: str, select: str) -> str:
     text = composed(relation, DUCK)
     return f"{text[: text.rindex('select * from')].replace('with ', 'with recursive ', 1).rstrip()},\n{more}\n{select}"
@@ -108,7 +205,8 @@ def oracle_sql() -> dict[str, str]:
     split = f"""select scene_id, iid, component, points, case when rn = 1 then iid else 1000 * (iid + 1) + rn end as new_iid from (
         select *, row_number() over (partition by scene_id, iid order by points desc, component) as rn, sum(points) over (partition by scene_id, iid) as total from parts where points >= {LEAST_POINTS}) a where total >= 30"""
     merged = "select p.scene_id, coalesce(r.root, p.iid) as iid, count(*) as points from points p left join roots r on r.scene_id = p.scene_id and r.small = p.iid and r.category = p.category group by 1, 2"
-    return {"voxel_components": _recursive("voxels", _PARTS, "select * from parts"), "split_components": _recursive("voxels", _PARTS, split), "merged_points": _recursive("spatial_merge", _CHAINS, merged)}
+    more = {"mask_middles": _recursive("touching_runs", _MIDDLES, _MIDDLE), "merged_detections": _recursive("detection_pairs", _FOLD, _FOLDED)}
+    return more | {"voxel_components": _recursive("voxels", _PARTS, "select * from parts"), "split_components": _recursive("voxels", _PARTS, split), "merged_points": _recursive("spatial_merge", _CHAINS, merged)}
 
 
-__all__ = ["components_of", "label_components", "merged_points", "oracle_sql", "split_components", "voxel_components"]
+__all__ = ["components_of", "first_matches", "label_components", "mask_middles", "merged_detections", "merged_points", "oracle_sql", "parts_of_masks", "split_components", "voxel_components"]

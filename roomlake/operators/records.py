@@ -1,8 +1,9 @@
 """Question records: every type's answers as one table, with wordings, choices, letters and limits.
 
-Each type brings rows (scene, view, objects by role, answer); labels fill a wording that a hash picks.
-Types with choices draw wrong ones by hash from a pool: named directions, products of words, orders
-of three labels, or the other labels of the view.
+Each type brings rows (scene, view, objects by role, answer); labels, and words of a detail, fill a wording
+that a hash picks.  Types with choices draw wrong ones by hash from a pool: named directions (at least two
+steps of eight from the right one), products of words, orders of three labels, or the other labels of the
+view.  Questions about a place in the image are answered by points on the object's mask (pixels.py).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from ..functions import geometry as g
 from ..functions import text
 from ..plans.catalog import relation
 from ..plans.dialect import Spark
+from .pixels import POINTED
 
 PER_ENTITY = 2  # questions about one object
 WRONG = 3  # wrong choices
@@ -35,34 +37,34 @@ TYPES = (
     (5, "camera_object_position", "camera_object_position", "cam", NONE, ("id", NONE, NONE), "answer", "places", ("Where is the <a> relative to the camera?", "Give the place of the <a> from the camera's view.", "On which sides of the camera is the <a>?")),
     (6, "depth_ordering", "depth_ordering", "cam", NONE, ("first", "second", "third"), "'@abc'", "orders", ("Put the <a>, the <b> and the <c> in order from near to far.", "Which order by depth is right for <a>, <b> and <c>?", "Order <a>, <b> and <c> by their depth, nearest first.")),
     (7, "object_size", "object_size", "cam", NONE, ("id", NONE, NONE), _number("answer", 1), "", ("How long is the longest side of the <a>, in centimetres?", "Measure the <a>: how many centimetres is its largest dimension?", "What is the greatest extent of the <a> in centimetres?")),
-    (8, "object_count", "object_count", "cam", NONE, (NONE, NONE, NONE), "concat(base_type, ': ', cast(answer as string))", "", ("Count the objects of the type that is named.", "How many of the named kind can be seen?", "Give the number of visible objects of that kind.")),
+    (8, "object_count", "object_count", "cam", NONE, (NONE, NONE, NONE), "cast(answer as string)", "", ("Count the visible objects of the kind <d>.", "How many of the kind <d> can be seen?", "Give the number of visible objects of the kind <d>.")),
     (9, "room_size", "room_size", NONE, NONE, (NONE, NONE, NONE), _number("area"), "", ("What is the floor area of the room?", "How many square metres does the room have?", "Give the size of the room in square metres.")),
-    (10, "object_grounding", "object_grounding", "cam", NONE, ("id", NONE, NONE), f"concat({_number('u', 3)}, ' ', {_number('v', 3)})", "", ("Point at the <a>.", "Where in the image is the <a>?", "Give the image position of the <a>.")),
+    (10, "object_grounding", "object_grounding", "cam", NONE, ("id", NONE, NONE), f"concat('[(', {_number('u', 3)}, ', ', {_number('v', 3)}, ')]')", "", ("Point at the <a>.", "Where in the image is the <a>?", "Give the image position of the <a>.")),
     (11, "camera_relative_position", "camera_relative_position", "cam_a", "cam_b", (NONE, NONE, NONE), "answer", "octants", ("From the first camera, where is the second?", "In which direction does the second camera lie?", "Where was the second picture taken from, seen from the first?")),
-    (12, "camera_facing_direction", "camera_facing_direction", "cam_a", "cam_b", (NONE, NONE, NONE), "answer", "cardinals", ("The first camera faces north: where does the second face?", "With the first view to the north, which way does the second look?", "Which way is the second camera turned if the first looks north?")),
+    (12, "camera_facing_direction", "camera_facing_direction", "cam_a", "cam_b", (NONE, NONE, NONE), "answer", "winds", ("The first camera faces north: where does the second face?", "With the first view to the north, which way does the second look?", "Which way is the second camera turned if the first looks north?")),
     (13, "camera_motion", "camera_motion", "cam_a", "cam_b", (NONE, NONE, NONE), "answer", "moves", ("How did the camera move between the two pictures?", "Which way did the camera go?", "Name the camera's movement.")),
     (14, "viewpoint_change", "viewpoint_change", "cam_a", "cam_b", (NONE, NONE, NONE), "answer", "", ("Describe the change from the first view to the second.", "How do the two camera poses differ?", "Give the movement and the turn between the views.")),
     (15, "imagination_oc", "imagination_oc", "cam", NONE, ("stand", "face", "id"), "answer", "places", ("Stand at the <a> and face the <b>: where is the <c>?", "From the <a>, looking at the <b>, where would the <c> be?", "Imagine being at the <a>, turned to the <b>. Where is the <c>?")),
     (15, "imagination_oo", "imagination_oo", "cam", NONE, ("stand", "id_a", "id_b"), "answer", "imagined", ("From the <a>, where is the <b> relative to the <c>?", "Standing at the <a>, how does the <b> lie to the <c>?", "Imagine standing at the <a>: where is the <b> with respect to the <c>?")),
-    (16, "csr_referring", "csr_referring", "cam", NONE, ("anchor", "id", NONE), "side", "", ("On which side of the <a> is the one <b>?", "Name the side of the <a> where the <b> is alone.", "Left or right of the <a>: where is the only <b>?")),
-    (17, "object_placement", "object_placement", NONE, NONE, ("id", "surface", NONE), f"concat({_number('x')}, ' ', {_number('y')}, ' ', {_number('z')})", "", ("Where on the <b> would the <a> fit?", "Find a free place for the <a> on the <b>.", "Give a place on the <b> that can take the <a>.")),
-    (18, "free_space", "free_space", NONE, NONE, ("surface", NONE, NONE), "cast(free_places as string)", "", ("How many places on the <a> are free?", "Count the uncovered places of the <a>.", "How much of the <a> is empty, in places?")),
-    (19, "spatial_compatibility", "spatial_compatibility", "cam", NONE, ("moved", "target", NONE), "concat(side, ': ', answer)", "", ("Can the <a> be put beside the <b> on the side that is named?", "Would the <a> fit there beside the <b>?", "Is there room for the <a> on that side of the <b>?")),
+    (16, "csr_referring", "csr_referring", "cam", NONE, ("anchor", "id", NONE), "side", "", ("Point at the <b> that is <d> the <a>.", "Which <b> is <d> the <a>? Mark it.", "Mark the <b> <d> the <a>.")),
+    (17, "object_placement", "placement_views", "cam", NONE, ("id", "surface", NONE), f"concat('[(', {_number('u', 3)}, ', ', {_number('v', 3)}, ')]')", "", ("Where on the <b> would the <a> fit?", "Find a free place for the <a> on the <b>.", "Mark a place on the <b> that can take the <a>.")),
+    (18, "free_space", "free_space_views", "cam", NONE, ("surface", NONE, NONE), "cast(free_places as string)", "", ("Mark free places on the <a>.", "Where on the <a> is room for more?", "Point at what is empty of the <a>.")),
+    (19, "spatial_compatibility", "spatial_compatibility", "cam", NONE, ("moved", "target", NONE), "answer", "yes", ("Can the <a> be put <d> the <b>?", "Would the <a> fit <d> the <b>?", "Is there room for the <a> <d> the <b>?")),
     (20, "object_matching_mv", "object_matching_mv", "cam_a", "cam_b", ("id", NONE, NONE), "concat(cast(x1 as string), ' ', cast(y1 as string), ' ', cast(x2 as string), ' ', cast(y2 as string))", "boxes", ("Find the <a> of the first view in the second.", "Which box in the second picture is the <a>?", "Where is the <a> in the other view?")),
     (21, "depth_difference", "depth_difference", "cam", NONE, ("id_a", "id_b", NONE), _number("answer"), "", ("By how many metres do the <a> and the <b> differ in depth?", "Give the difference in depth of the <a> and the <b>.", "How much deeper is one of <a> and <b> than the other?")),
     (22, "grounding_bbox", "grounding_bbox", "cam", NONE, ("id", NONE, NONE), "concat(cast(x1 as string), ' ', cast(y1 as string), ' ', cast(x2 as string), ' ', cast(y2 as string))", "", ("Draw a box around the <a>.", "Give the bounding box of the <a>.", "Which box holds the <a>?")),
     (23, "object_category", "object_category", "cam", NONE, ("id", NONE, NONE), "answer", "labels", ("What kind of object is marked?", "Name the object under the mark.", "What is it that the mark shows?")),
     (24, "size_qualitative", "size_qualitative", "cam", NONE, ("id", NONE, NONE), "answer", "sizes", ("Is the <a> small, medium or large?", "How large is the <a>, in a word?", "Choose a size for the <a>.")),
-    (25, "comparative_grounding", "comparative_grounding", "cam", NONE, ("anchor", "id", NONE), "concat(which, ' ', id)", "", ("Of its kind, which object is at that end from the <a>?", "Point at the one of its kind nearest to or furthest from the <a>.", "Which of its kind is meant, seen from the <a>?")),
-    (26, "ordinal_grounding", "ordinal_grounding", "cam", NONE, ("id", NONE, NONE), "cast(place as string)", "", ("Counted from the left, which of its kind is the <a>?", "Give the place of this <a> in its row.", "The how-manieth <a> from the left is this?")),
-    (27, "object_object_mv", "object_object_mv", "cam_a", "cam_b", (NONE, NONE, NONE), "answer", "", ("In the second view, where is the first object relative to the other?", "How do the two shared objects lie in the second picture?", "Give the place of the one to the other in the second view.")),
+    (25, "comparative_grounding", "comparative_grounding", "cam", NONE, ("anchor", "id", NONE), "which", "", ("Point at the <b> that is <d> the <a>.", "Of all of its kind, mark the <b> <d> the <a>.", "Which <b> is <d> the <a>?")),
+    (26, "ordinal_grounding", "ordinal_grounding", "cam", NONE, ("id", NONE, NONE), "cast(place as string)", "", ("Counted from the left, point at the <a> number <d>.", "Mark the <a> that is number <d> from the left.", "Which is the <a> number <d> of the row, from the left?")),
+    (27, "object_object_mv", "object_object_mv", "cam_a", "cam_b", (NONE, NONE, NONE), "answer", "case when answer like '%,%,%' then 'far_sides' else 'mv_sides' end", ("In the second view, where is the first object relative to the other?", "How do the two shared objects lie in the second picture?", "Give the place of the one to the other in the second view.")),
     (28, "camera_region", "camera_region", "cam", NONE, (NONE, NONE, NONE), "answer", "octants", ("In which direction from the camera is the area?", "Where does the area lie, seen from the camera?", "Give the direction of the area.")),
     (29, "object_region", "object_region", "cam", NONE, ("id", NONE, NONE), "answer", "cardinals", ("Where is the <a> in its relation to the area?", "In which direction from the area is the <a>?", "Give the direction of the <a> from the area.")),
     (30, "region_region", "region_region", "cam", NONE, (NONE, NONE, NONE), "answer", "cardinals", ("In which direction is one area from the other?", "How do the two areas lie to each other?", "Give the direction between the areas.")),
     (31, "route_planning", "route_planning", "cam", NONE, ("start", "facing", "goal"), "answer", "turns", ("Starting at the <a>, facing the <b>: how to turn for the <c>?", "At the <a> and turned to the <b>, which way is the <c>?", "From the <a>, looking at the <b>, turn which way to reach the <c>?")),
-    (31, "csr_multi_step", "csr_multi_step", "cam", NONE, ("stand", "face", "id"), "answer", "diagonals", ("From the <a>, facing the <b>: in which quarter is the <c>?", "Stand at the <a>, look at the <b>, and say where the <c> is.", "At the <a> and turned to the <b>, where does the <c> lie?")),
+    (16, "csr_multi_step", "csr_multi_step", "cam", NONE, ("stand", "face", "id"), "answer", "diagonals", ("From the <a>, facing the <b>: in which quarter is the <c>?", "Stand at the <a>, look at the <b>, and say where the <c> is.", "At the <a> and turned to the <b>, where does the <c> lie?")),
 )
-KEYS = {"object_count": "base_type", "camera_region": "area", "object_region": "area", "region_region": "concat(area_a, ' ', area_b)", "spatial_compatibility": "side", "comparative_grounding": "which", "csr_referring": "concat(base_type, ' ', side)", "object_object_mv": "concat(cast(id_a as string), ' ', cast(id_b as string))", "ordinal_grounding": "base_type"}
+KEYS = {"object_count": "base_type", "camera_region": "area", "object_region": "area", "region_region": "concat(area_a, ' ', area_b)", "spatial_compatibility": "side", "comparative_grounding": "case which when 'nearest' then 'closest to' else 'farthest from' end", "csr_referring": "case side when 'left' then 'to the left of' when 'right' then 'to the right of' when 'closest' then 'closest to' else 'farthest from' end", "object_object_mv": "concat(cast(id_a as string), ' ', cast(id_b as string))", "ordinal_grounding": "cast(place as string)"}
 
 
 def pools() -> list[tuple[str, str]]:
@@ -71,6 +73,10 @@ def pools() -> list[tuple[str, str]]:
     out = {
         "octants": list(g.DIRECTIONS),
         "cardinals": list(g.CARDINALS),
+        "winds": list(g.CARDINALS[::2]),
+        "yes": ["Yes", "No"],
+        "mv_sides": joined(("right", "left"), ("above", "below")),
+        "far_sides": joined(("right", "left"), ("above", "below"), ("near", "far")),
         "moves": ["Forward", "Back", "Left", "Right"],
         "turns": ["Turn Right", "Turn Left", "Turn Back"],
         "sizes": ["small", "medium", "large"],
@@ -90,7 +96,7 @@ def answers(d: Spark) -> str:
     for number, name, source, cam, cam_b, roles, answer, pool, _ in TYPES:
         a, b, c = roles
         detail = KEYS.get(name, "''")
-        parts.append(f"select {number} as number, '{name}' as qtype, scene_id, {cam} as cam, {cam_b} as cam_b, {a} as a, {b} as b, {c} as c, {detail} as detail, {answer} as answer, '{pool}' as pool from {source}")
+        parts.append(f"select {number} as number, '{name}' as qtype, scene_id, {cam} as cam, {cam_b} as cam_b, {a} as a, {b} as b, {c} as c, {detail} as detail, {answer} as answer, {pool if pool.startswith('case') else repr(pool)} as pool from {source}")
     return " union all ".join(parts)
 
 
@@ -103,7 +109,9 @@ def wordings(d: Spark) -> str:
 
 @relation
 def choice_pools(d: Spark) -> str:
-    return "select * from (values " + ", ".join(f"('{p}', '{c}')" for p, c in pools()) + ") as t(pool, choice)"
+    """The fixed pools; choices of a ring of eight directions have their place in it."""
+    rows = [(p, c, g.DIRECTIONS.index(c) if p == "octants" else g.CARDINALS.index(c) if p == "cardinals" else -1) for p, c in pools()]
+    return "select * from (values " + ", ".join(f"('{p}', '{c}', {k})" for p, c, k in rows) + ") as t(pool, choice, ring)"
 
 
 @relation
@@ -118,7 +126,7 @@ def keyed_answers(d: Spark) -> str:
 @relation
 def questions_worded(d: Spark) -> str:
     """Questions: a wording by hash, filled with labels."""
-    return f"""select q.*, replace(replace(replace(w.wording, '<a>', coalesce(label_a, 'object')), '<b>', coalesce(label_b, 'object')), '<c>', coalesce(label_c, 'object')) as question
+    return f"""select q.*, replace(replace(replace(replace(w.wording, '<a>', coalesce(label_a, 'object')), '<b>', coalesce(label_b, 'object')), '<c>', coalesce(label_c, 'object')), '<d>', detail) as question
         from keyed_answers q join wordings w on w.qtype = q.qtype and w.k = {d.seed('q.qkey')} % 3"""
 
 
@@ -128,7 +136,9 @@ def wrong_choices(d: Spark) -> str:
     order = "replace(replace(replace(concat(substr(p.choice, 1, 1), ', ', substr(p.choice, 2, 1), ', ', substr(p.choice, 3, 1)), 'a', '@1'), 'b', '@2'), 'c', '@3')"
     named = f"replace(replace(replace({order}, '@1', q.label_a), '@2', q.label_b), '@3', q.label_c)"
     box = "concat(cast(x.x1 as string), ' ', cast(x.y1 as string), ' ', cast(x.x2 as string), ' ', cast(x.y2 as string))"
-    every = f"""select q.qkey, q.answer, p.choice from keyed_answers q join choice_pools p on p.pool = q.pool where q.pool <> 'orders'
+    steps = "abs(p.ring - r.ring)"
+    every = f"""select q.qkey, q.answer, p.choice from keyed_answers q join choice_pools p on p.pool = q.pool left join choice_pools r on r.pool = q.pool and r.choice = q.answer
+        where q.pool <> 'orders' and (p.ring < 0 or r.ring is null or least({steps}, 8 - {steps}) >= 2)
         union all select q.qkey, q.answer, {named} from keyed_answers q join choice_pools p on p.pool = q.pool where q.pool = 'orders'
         union all select q.qkey, q.answer, v.label from keyed_answers q join (select distinct scene_id, cam, label from visible) v on v.scene_id = q.scene_id and v.cam = q.cam where q.pool = 'labels'
         union all select q.qkey, q.answer, {box} from keyed_answers q join bbox2d_raw x on x.scene_id = q.scene_id and x.cam = q.cam_b where q.pool = 'boxes'"""
@@ -146,12 +156,16 @@ def lettered(d: Spark) -> str:
 
 @relation
 def question_records(d: Spark) -> str:
-    """Every question once in a scene (by wording, answer and views), an object in two of a type at most; with choices the answer is a letter."""
+    """Every question once in a scene (by wording, answer and views), an object in two of a type at most; with choices the answer is a letter, about a place in the image it is points."""
     plain = ", ".join(f"'{t}'" for t in BY_QUESTION)
     same = f"concat(question, case when qtype in ({plain}) then '' else answer end, coalesce(case when cam_b is not null then cam end, ''), '/', coalesce(cam_b, ''))"
-    return f"""select number, qtype, scene_id, cam, cam_b, a, b, c, detail, question, choices, case when letter is null then answer else letter end as answer, answer as answer_text from (
+    on_mask = ", ".join(f"'{t}'" for t in POINTED)
+    target = "case qtype " + " ".join(f"when '{t}' then {role}" for t, role in POINTED.items()) + " end"
+    return f"""select w.number, w.qtype, w.scene_id, w.cam, w.cam_b, v.context, w.a, w.b, w.c, w.detail, w.question, w.choices,
+        case when w.letter is not null then w.letter when w.qtype in ({on_mask}) then coalesce(p.answer, w.answer) else w.answer end as answer, w.answer as answer_text from (select *, {target} as target from (
         select *, row_number() over (partition by scene_id, qtype, coalesce(a, qkey) order by md5(qkey), qkey) as of_object from (
-        select q.*, l.choices, l.letter, row_number() over (partition by q.scene_id, q.qtype, {same} order by md5(q.qkey), q.qkey) as copy from questions_worded q left join lettered l on l.qkey = q.qkey) x where copy = 1) y where of_object <= {PER_ENTITY}"""
+        select q.*, l.choices, l.letter, row_number() over (partition by q.scene_id, q.qtype, {same} order by md5(q.qkey), q.qkey) as copy from questions_worded q left join lettered l on l.qkey = q.qkey) x where copy = 1) y where of_object <= {PER_ENTITY}) w
+        left join point_answers p on p.scene_id = w.scene_id and p.cam = w.cam and p.id = w.target left join context_views v on v.qkey = w.qkey"""
 
 
 @relation

@@ -263,3 +263,82 @@ def test_streamed_scenes(spark, tmp_path):
     for _ in range(2):  # what has been read is not read again
         ingest_objects(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert rows(spark.read.parquet(f"{tmp_path}/out/solid_filter"), "scene_id", "id") == [("s0", "o0"), ("s1", "o0")]
+
+
+def test_components_of_repeated_nodes_and_frames_of_other_sessions(spark):
+    """Voxels whose first points share a number stay apart; so do points that share one in merges."""
+    nodes = spark.createDataFrame([(1,), (1,), (2,), (3,), (9,)], "node long")
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 2), (2, 3)], "a long, b long")
+    assert rows(graph.label_components(nodes, edges), "node", "component") == [(1, 1), (2, 1), (3, 1), (9, 9)]
+    voxels = spark.createDataFrame([("s", 1, 0, 0, 0, 4, 7), ("s", 1, 1, 1, 1, 5, 7), ("s", 1, 5, 0, 0, 6, 7), ("s", 2, 0, 0, 0, 1, 7)], "scene_id string, iid long, vx long, vy long, vz long, n long, first_point long")
+    assert rows(graph.components_of(voxels), "scene_id", "iid", "component", "voxels", "points") == [("s", 1, 7, 1, 6), ("s", 1, 7, 2, 9), ("s", 2, 7, 1, 1)]
+    other = spark.newSession().createDataFrame([("s", "c", 1, 0, 0, 3)], "scene_id string, cam string, iid int, y int, x0 int, x1 int")
+    assert evaluate(spark, "touching_runs", mask_runs=other).count() == 0
+
+
+def test_parts_of_masks(spark):
+    """A ring is one part, a speck beside it another; corners alone do not connect."""
+    ring = [(0, 0, 4), (1, 0, 0), (1, 4, 4), (2, 0, 4)]
+    runs = [("s", "c", 1, y, a, b) for y, a, b in [*ring, (3, 5, 5), (9, 9, 9)]] + [("s", "c", 2, 1, 1, 1), ("s", "c", 2, 1, 2, 3), ("s", "c", 0, 1, 7, 9)]
+    frame = spark.createDataFrame(runs, "scene_id string, cam string, iid int, y int, x0 int, x1 int")
+    parts = {(r.iid, r.y, r.x0): r.part for r in graph.parts_of_masks(frame).collect()}
+    assert [parts[1, y, a] for y, a, _ in ring] == [1] * 4 and parts[1, 3, 5] == 5 and parts[1, 9, 9] == 6 and parts[2, 1, 1] == parts[2, 1, 2] == 1 and len(parts) == 8
+
+
+def test_first_matches_is_the_greedy_choice(spark):
+    import random
+
+    rnd = random.Random(2)
+    pairs = sorted({tuple(sorted(rnd.sample(range(40), 2))) for _ in range(70)})
+    want = {}
+    for n in range(40):
+        standing = [a for a, b in pairs if b == n and want[a] == a]
+        want[n] = min(standing, default=n)
+    got = graph.first_matches(spark.range(40).withColumnRenamed("id", "node"), spark.createDataFrame(pairs, "early long, late long"))
+    assert dict(rows(got, "node", "first")) == want and len(set(want.values())) < 40
+
+
+def test_points_of_answers(spark):
+    """Sixteen different pixels from all parts of a mask, all pixels of a small one; a hull where there is no mask."""
+    runs = [("s", "c", "big", y, 3, 12, "mask") for y in range(20)] + [("s", "c", "small", 7, 2, 4, "mask"), ("s", "c", "small", 8, 2, 3, "mask")]
+    frame = spark.createDataFrame(runs, "scene_id string, cam string, id string, y int, x0 int, x1 int, source string")
+    got = evaluate(spark, "answer_points", object_runs=frame).collect()
+    big = {(r.x, r.y) for r in got if r.id == "big"}
+    assert len(big) == 16 and all(3 <= x <= 12 and 0 <= y < 20 for x, y in big) and len({y for _, y in big}) >= 14
+    assert {(r.x, r.y) for r in got if r.id == "small"} == {(2, 7), (3, 7), (4, 7), (2, 8), (3, 8)}
+    text = {r.id: r.answer for r in evaluate(spark, "point_answers", object_runs=frame).collect()}
+    assert text["small"] == "[(0.006, 0.035), (0.009, 0.035), (0.013, 0.035), (0.006, 0.040), (0.009, 0.040)]"
+    corners = spark.createDataFrame([("s", "c", "o", k, x, y) for k, (x, y) in enumerate([(10, 0), (0, 10), (10, 20), (20, 10), (10, 10)])], "scene_id string, cam string, id string, k int, x int, y int")
+    hull = {r.y: (r.x0, r.x1) for r in evaluate(spark, "hull_runs", corner_pixels=corners).collect()}
+    assert hull == {y: (abs(10 - y), 20 - abs(10 - y)) for y in range(21)}
+    assert evaluate(spark, "hull_runs", corner_pixels=corners.filter("k < 2")).count() == 0
+
+
+def test_answers_by_mask_or_hull(spark):
+    pointed = spark.createDataFrame([("s", "c", "a"), ("s", "c", "b")], "scene_id string, cam string, id string")
+    masks = spark.createDataFrame([("s", "c", 3, 4, 10, 20), ("s", "c", 9, 5, 0, 1)], "scene_id string, cam string, iid long, y int, x0 int, x1 int")
+    known = spark.createDataFrame([("s", 3, "a"), ("s", 5, "b")], "scene_id string, iid long, object_id string")
+    corners = spark.createDataFrame([("s", "c", i, k, x, y) for i in "ab" for k, (x, y) in enumerate([(0, 0), (2, 0), (0, 2)])], "scene_id string, cam string, id string, k int, x int, y int")
+    got = evaluate(spark, "answer_masks", pointed=pointed, mask_runs=masks, instance_map=known, corner_pixels=corners)
+    assert rows(got, "id", "source", "px") == [("a", "mask", 11), ("b", "hull", 6)]
+
+
+def test_records_point_and_choose(spark):
+    """Places in the image are answered by points, wrong directions are two steps away, second views see what the first does."""
+    records = over_tables(spark, SF, "question_records").collect()
+    kinds = {r.qtype for r in records}
+    assert {"object_placement", "free_space", "csr_referring", "comparative_grounding", "ordinal_grounding", "object_grounding"} <= kinds
+    for r in records:
+        if r.qtype in ("object_placement", "free_space", "csr_referring", "comparative_grounding", "ordinal_grounding", "object_grounding"):
+            assert r.cam and r.answer.startswith("[(") and 1 <= r.answer.count("(") <= 16
+        assert "<" not in r.question
+    assert {r.number for r in records if r.qtype in ("csr_referring", "csr_multi_step")} == {16} and {r.number for r in records if r.qtype == "route_planning"} == {31}
+    ring = ("front", "front-right", "right", "rear-right", "rear", "rear-left", "left", "front-left")
+    for r in records:
+        if r.qtype in ("camera_relative_position", "camera_region"):
+            k = ring.index(r.answer_text)
+            others = [ring.index(c[3:]) for c in r.choices.split("|") if c[3:] != r.answer_text]
+            assert len(others) == 3 and all(min(abs(k - j), 8 - abs(k - j)) >= 2 for j in others)
+    assert {r.answer_text for r in records if r.qtype == "spatial_compatibility"} <= {"Yes", "No"}
+    second = [r for r in records if r.context]
+    assert second and {r.qtype for r in second} <= {"imagination_oc", "imagination_oo", "csr_multi_step"} and all(r.context != r.cam for r in second)
