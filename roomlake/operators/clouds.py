@@ -143,6 +143,23 @@ def spatial_merge(d: Spark) -> str:
         where a.n < b.n or (a.n = b.n and a.iid < b.iid) group by m.scene_id, m.small, m.category, m.large, m.other) t where near / cast(n as double) > {INSIDE}"""
 
 
+@relation
+def instance_sums(d: Spark) -> str:
+    """Instances of a scene with a hundred points at least, numbered by name: points, their sums, boxes."""
+    return """select scene_id, row_number() over (partition by scene_id order by category) as iid, n, sx, sy, sz, x0, y0, z0, x1, y1, z1 from (
+        select scene_id, category, count(*) as n, round(sum(x), 6) as sx, round(sum(y), 6) as sy, round(sum(z), 6) as sz, min(x) as x0, min(y) as y0, min(z) as z0, max(x) as x1, max(y) as y1, max(z) as z1
+        from points group by scene_id, category having count(*) >= 100) a"""
+
+
+@relation
+def merge_verdicts(d: Spark) -> str:
+    """Pairs of instances whose middles are less than 1.5 m apart and that an outside judge merges: in its place, those less than a metre apart; the smaller goes into the larger, of equals the first."""
+    mid = lambda t, a: f"{t}.s{a} / {t}.n"
+    apart = g.norm(*(f"{mid('a', x)} - {mid('b', x)}" for x in "xyz"))
+    return f"""select scene_id, iid_a, iid_b, case when na <= nb then iid_a else iid_b end as small, case when na <= nb then iid_b else iid_a end as large from (
+        select a.scene_id, a.iid as iid_a, b.iid as iid_b, a.n as na, b.n as nb, round({apart}, 6) as apart from instance_sums a join instance_sums b on a.scene_id = b.scene_id and a.iid < b.iid) t where apart < 1.5 and apart < 1.0"""
+
+
 @relation
 def nearby_pairs(d: Spark) -> str:
     """Pairs of instances of a scene whose middles are less than 1.5 m apart: candidates of a merge."""

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.catalog import composed, evaluate, over_tables
+from ..plans.catalog import RELATIONS, composed, evaluate, over_tables
 from ..plans.dialect import DUCK
 from ..plans.shared import shared_dir, written
 
 LEAST_POINTS = 10
+MERGE_ROUNDS = 3
 
 
 def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -159,7 +161,43 @@ def merged_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = rows.withColumn("node", key("nth")).join(found, "node").groupBy("scene_id", "label", F.col("first.nth").alias("nth"))
     mean = lambda c: F.round(F.round(F.sum(c), 6) / F.sum("n"), 5)
     boxes = [F.min(f"{a}0").alias(f"{a}0") for a in "xyz"] + [F.max(f"{a}1").alias(f"{a}1") for a in "xyz"]
-    return met.agg(F.count("*").alias("views"), F.round(F.avg("score"), 5).alias("score"), *(mean(f"s{a}").alias(a) for a in "xyz"), *boxes)
+    return met.agg(F.count("*").alias("views"), F.round(F.round(F.sum("score"), 6) / F.count("*"), 8).alias("score"), *(mean(f"s{a}").alias(a) for a in "xyz"), *boxes)
+
+
+def merge_rounds(instances: DataFrame, verdict: Callable[[DataFrame], DataFrame], rounds: int = MERGE_ROUNDS) -> DataFrame:
+    """``instances`` (columns of the relation instance_sums) after rounds of merges that ``verdict`` confirms, until one confirms none.
+
+    ``verdict`` gives (scene_id, iid_a, iid_b, small, large) of the instances at hand.  In a round pairs come in
+    line; one counts unless an earlier one that counts has taken one of its instances away.  Chains of a
+    round are followed to their ends, and sums and boxes add up.
+    """
+    spark = instances.sparkSession
+    folder = f"{shared_dir(spark)}/merges-{uuid.uuid4().hex}"
+    now = written(instances, f"{folder}/0")
+    for i in range(1, rounds + 1):
+        pairs = written(verdict(now).withColumn("node", F.struct("scene_id", "iid_a", "iid_b")), f"{folder}/pairs{i}")
+        if not pairs.limit(1).count():
+            break
+        later = pairs.select("scene_id", F.explode(F.array("iid_a", "iid_b")).alias("small"), F.col("node").alias("late"))
+        taken = pairs.select("scene_id", "small", F.col("node").alias("early")).join(later, ["scene_id", "small"]).filter("early < late").select("early", "late")
+        counted = first_matches(pairs.select("node"), taken).filter("node = first").select("node")
+        links = written(pairs.join(counted, "node").select("scene_id", F.col("small").alias("iid"), F.col("large").alias("target")), f"{folder}/links{i}")
+        for k in range(64):  # pointers double
+            step = links.alias("a").join(links.alias("b"), (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.target") == F.col("b.iid")), "left")
+            links = written(step.select("a.scene_id", "a.iid", F.coalesce("b.target", "a.target").alias("target"), F.col("b.iid").isNotNull().alias("moved")), f"{folder}/links{i}-{k}")
+            if not links.filter("moved").limit(1).count():
+                break
+        met = now.join(links.select("scene_id", "iid", "target"), ["scene_id", "iid"], "left").groupBy("scene_id", F.coalesce("target", "iid").alias("iid"))
+        sums = [F.sum("n").alias("n"), *(F.round(F.sum(f"s{a}"), 6).alias(f"s{a}") for a in "xyz")]
+        boxes = [F.min(f"{a}0").alias(f"{a}0") for a in "xyz"] + [F.max(f"{a}1").alias(f"{a}1") for a in "xyz"]
+        now = written(met.agg(*sums, *boxes), f"{folder}/{i}")
+    return now
+
+
+def merged_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances after three rounds of merges of near pairs at most: (scene_id, iid, n, x, y, z, x0, ..., z1)."""
+    done = merge_rounds(over_tables(spark, sf_dir, "instance_sums"), lambda now: evaluate(spark, "merge_verdicts", instance_sums=now))
+    return done.select("scene_id", "iid", "n", *(F.round(F.col(f"s{a}") / F.col("n"), 5).alias(a) for a in "xyz"), *(f"{a}{k}" for k in "01" for a in "xyz"))
 
 
 # What the loops come to, in one recursive query each; parts that share their smallest point number are ranked by it and their size.
@@ -191,10 +229,26 @@ _FOLD = """earlier as (select v.scene_id, v.label, v.nth, coalesce(list(p.early
 fold as (select scene_id, label, nth, [nth] as standing, nth as first from earlier where nth = 1
     union all select e.scene_id, e.label, e.nth, case when list_has_any(f.standing, e.near) then f.standing else list_append(f.standing, e.nth) end,
     case when list_has_any(f.standing, e.near) then list_min(list_intersect(f.standing, e.near)) else e.nth end from fold f join earlier e on e.scene_id = f.scene_id and e.label = f.label and e.nth = f.nth + 1)"""
-_FOLDED = """select f.scene_id, f.label, f.first as nth, count(*) as views, round(avg(v.score), 5) as score, """ + ", ".join(f"round(round(sum(v.s{a}), 6) / sum(v.n), 5) as {a}" for a in "xyz") + ", " + ", ".join([f"min(v.{a}0) as {a}0" for a in "xyz"] + [f"max(v.{a}1) as {a}1" for a in "xyz"]) + """
+_FOLDED = """select f.scene_id, f.label, f.first as nth, count(*) as views, round(round(sum(v.score), 6) / count(*), 8) as score, """ + ", ".join(f"round(round(sum(v.s{a}), 6) / sum(v.n), 5) as {a}" for a in "xyz") + ", " + ", ".join([f"min(v.{a}0) as {a}0" for a in "xyz"] + [f"max(v.{a}1) as {a}1" for a in "xyz"]) + """
     from fold f join view_detections v on v.scene_id = f.scene_id and v.label = f.label and v.nth = f.nth group by f.scene_id, f.label, f.first"""
 
 
+def _merge_rounds() -> tuple[str, str]:
+    """The rounds of merges one after another; in each a fold over pairs in line that knows who is gone, and chains to their ends."""
+    body = RELATIONS["merge_verdicts"](DUCK)
+    parts = ["inst0 as (select * from instance_sums)"]
+    for i in range(MERGE_ROUNDS):
+        parts += [
+            f"pair{i} as (select *, row_number() over (partition by scene_id order by iid_a, iid_b) as k from ({body.replace('instance_sums', f'inst{i}')}) v)",
+            f"""fold{i} as (select scene_id, k, small, large, true as counts, [small] as gone from pair{i} where k = 1 union all select p.scene_id, p.k, p.small, p.large, not list_has_any(f.gone, [p.iid_a, p.iid_b]),
+    case when list_has_any(f.gone, [p.iid_a, p.iid_b]) then f.gone else list_append(f.gone, p.small) end from fold{i} f join pair{i} p on p.scene_id = f.scene_id and p.k = f.k + 1)""",
+            f"chain{i} as (select scene_id, small, large, 1 as steps from fold{i} where counts union all select c.scene_id, c.small, f.large, c.steps + 1 from chain{i} c join fold{i} f on f.counts and f.scene_id = c.scene_id and f.small = c.large)",
+            f"root{i} as (select scene_id, small, max_by(large, steps) as root from chain{i} group by scene_id, small)",
+            f"inst{i + 1} as (select i.scene_id, coalesce(r.root, i.iid) as iid, cast(sum(i.n) as bigint) as n, " + ", ".join(f"round(sum(s{a}), 6) as s{a}" for a in "xyz") + ", " + ", ".join([f"min({a}0) as {a}0" for a in "xyz"] + [f"max({a}1) as {a}1" for a in "xyz"]) + f" from inst{i} i left join root{i} r on r.scene_id = i.scene_id and r.small = i.iid group by 1, 2)",
+        ]
+    return ",\n".join(parts), "select scene_id, iid, n, " + ", ".join(f"round(s{a} / n, 5) as {a}" for a in "xyz") + ", " + ", ".join(f"{a}{k}" for k in "01" for a in "xyz") + f" from inst{MERGE_ROUNDS}"
+
+
 def _recursive(relation: str, more: str, select: str) -> str:
     text = composed(relation, DUCK)
     return f"{text[: text.rindex('select * from')].replace('with ', 'with recursive ', 1).rstrip()},\n{more}\n{select}"
@@ -205,8 +259,8 @@ def oracle_sql() -> dict[str, str]:
     split = f"""select scene_id, iid, component, points, case when rn = 1 then iid else 1000 * (iid + 1) + rn end as new_iid from (
         select *, row_number() over (partition by scene_id, iid order by points desc, component) as rn, sum(points) over (partition by scene_id, iid) as total from parts where points >= {LEAST_POINTS}) a where total >= 30"""
     merged = "select p.scene_id, coalesce(r.root, p.iid) as iid, count(*) as points from points p left join roots r on r.scene_id = p.scene_id and r.small = p.iid and r.category = p.category group by 1, 2"
-    more = {"mask_middles": _recursive("touching_runs", _MIDDLES, _MIDDLE), "merged_detections": _recursive("detection_pairs", _FOLD, _FOLDED)}
+    more = {"mask_middles": _recursive("touching_runs", _MIDDLES, _MIDDLE), "merged_detections": _recursive("detection_pairs", _FOLD, _FOLDED), "merged_instances": _recursive("instance_sums", *_merge_rounds())}
     return more | {"voxel_components": _recursive("voxels", _PARTS, "select * from parts"), "split_components": _recursive("voxels", _PARTS, split), "merged_points": _recursive("spatial_merge", _CHAINS, merged)}
 
 
-__all__ = ["components_of", "first_matches", "label_components", "mask_middles", "merged_detections", "merged_points", "oracle_sql", "parts_of_masks", "split_components", "voxel_components"]
+__all__ = ["components_of", "first_matches", "label_components", "mask_middles", "merge_rounds", "merged_detections", "merged_instances", "merged_points", "oracle_sql", "parts_of_masks", "split_components", "voxel_components"]

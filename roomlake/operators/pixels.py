@@ -119,7 +119,8 @@ def splat_visible(d: Spark) -> str:
     ahead, across, up = g.dot(at, ("c.fx", "c.fy", "c.fz")), g.dot(at[:2], ("c.fy", "-c.fx")), at[2]
     return f"""select scene_id, cam, iid, category, round(depth, 6) as depth from (
         select s.scene_id, s.cam, s.iid, i.category, {ahead} as depth, {across} / c.flat as side, ({up} - c.fz * ({ahead})) / c.flat as rise from mask_sums s
-        join instances i on i.scene_id = s.scene_id and i.iid = s.iid
+        join (select scene_id, iid, min(category) as category, round(avg(x), 6) as x, round(avg(y), 6) as y, round(avg(z), 6) as z, min(x) as x0, min(y) as y0, min(z) as z0, max(x) as x1, max(y) as y1, max(z) as z1 from points group by scene_id, iid) i
+        on i.scene_id = s.scene_id and i.iid = s.iid
         join (select scene_id, name, px, py, pz, (lx - px) / {n} as fx, (ly - py) / {n} as fy, (lz - pz) / {n} as fz, {flat} / {n} as flat from gold_views) c on c.scene_id = s.scene_id and c.name = concat('view_', substr(s.cam, 5))
         where s.px >= {LEAST_SEEN} and {inside(u)} and {inside(v)} and greatest(i.x1 - i.x0, i.y1 - i.y0, i.z1 - i.z0) <= {LARGEST}) a
         where depth >= {LEAST_DEPTH} and abs(side / depth) <= 1 and abs(rise / depth) <= {HEIGHT / WIDTH}"""

@@ -26,7 +26,7 @@ NAMES = (
     "wall_openings door_boxes door_frames window_boxes opening_cuts hinges plan_parts plan_routes door_pairs rotated_corners two_dots one_dot three_dots drawn_boxes box_edges view_results sharp_views picked_views kept_instances movable_types plausible_sizes "
     "splat_cameras camera_groups camera_axes_flipped box_axes_flipped camera_matrices look_targets question_records question_objects type_counts wordings "
     "view_cameras orbit_cameras room_corner_cameras floor_boxes wall_boxes axes_flipped palette rotation_angles merged_names integral_image eroded_cells small_masks merge_roots best_view interleaved direction_choices "
-    "surface_views placement_views free_space_views hull_runs answer_masks answer_points point_answers context_views splat_visible movable_prims scene_pick view_detections detection_pairs touching_runs"
+    "surface_views placement_views free_space_views hull_runs answer_masks answer_points point_answers context_views splat_visible movable_prims scene_pick view_detections detection_pairs touching_runs instance_sums merge_verdicts"
 ).split()
 
 
@@ -34,5 +34,5 @@ def _query(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return over_tables(spark, sf_dir, name)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: partial(_query, name=n) for n in NAMES} | {"voxel_components": graph.voxel_components, "split_components": graph.split_components, "merged_points": graph.merged_points, "mask_middles": graph.mask_middles, "merged_detections": graph.merged_detections, "random_cameras": standpoints.random_cameras}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: partial(_query, name=n) for n in NAMES} | {"voxel_components": graph.voxel_components, "split_components": graph.split_components, "merged_points": graph.merged_points, "mask_middles": graph.mask_middles, "merged_detections": graph.merged_detections, "merged_instances": graph.merged_instances, "random_cameras": standpoints.random_cameras}
 ORACLE_SQL: dict[str, str] = {n: composed(n, DUCK) for n in NAMES} | graph.oracle_sql()

@@ -342,3 +342,21 @@ def test_records_point_and_choose(spark):
     assert {r.answer_text for r in records if r.qtype == "spatial_compatibility"} <= {"Yes", "No"}
     second = [r for r in records if r.context]
     assert second and {r.qtype for r in second} <= {"imagination_oc", "imagination_oo", "csr_multi_step"} and all(r.context != r.cam for r in second)
+
+
+def test_merges_in_rounds(spark):
+    """An instance that is gone takes part in no later pair of its round; what has grown may merge in the next."""
+    def one(iid, n, x):
+        return ("s", iid, n, float(n * x), 0.0, 0.0, float(x), 0.0, 0.0, float(x), 0.0, 0.0)
+
+    frame = spark.createDataFrame([one(1, 10, 0.0), one(2, 20, 0.5), one(3, 5, 1.4), one(4, 100, 9.0)], "scene_id string, iid int, n long, sx double, sy double, sz double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    judge = lambda now: evaluate(spark, "merge_verdicts", instance_sums=now)
+    # 1 goes into 2 and 3 into 2 in the first round
+    assert rows(graph.merge_rounds(frame, judge), "iid", "n", "sx", "x0", "x1") == [(2, 35, 17.0, 0.0, 1.4), (4, 100, 900.0, 9.0, 9.0)]
+    line = spark.createDataFrame([one(1, 10, 0.0), one(2, 20, 0.9), one(3, 30, 1.8)], frame.schema)
+    # 1 into 2; 2 into 3: a chain of one round
+    assert rows(graph.merge_rounds(line, judge), "iid", "n") == [(3, 60)]
+    # 2 goes into 1 first, so that 2 and 3 no longer count; in the second round 1 is too far from 3
+    gone = spark.createDataFrame([one(1, 30, 0.0), one(2, 10, 0.9), one(3, 20, 1.8)], frame.schema)
+    assert rows(graph.merge_rounds(gone, judge), "iid", "n") == [(1, 40), (3, 20)]
+    assert graph.merge_rounds(frame.limit(0), judge).count() == 0
