@@ -48,6 +48,7 @@ from .store import Store
 SPANS = 250_000  # different spans of a chunk, about
 PIECE = 1 << 21  # bytes of texts that are cut at once
 BLOCK = 200_000  # occurrences of spans that are added up at once, about
+ROUNDS = 4  # parts of the chunks that are added up one after another: what is shuffled at once is a part
 BROADCAST = 500_000  # pairs of ids with their counts
 META = "▁"  # stands for a space in pieces
 _ROWS = "chunk long, row int, doc_id long, spans array<int>, at int, words array<string>"
@@ -405,16 +406,25 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, digest: bool = False, id_
     with _by_span(spark):
         linked = store.put(linked_spans(spans), "linked")
     store.drop("spans")
-    of_chunk = words.join(linked.select("sid", "groups"), "sid", "left").select("chunk", "at", "groups")
-    added = store.put(numbered.groupBy("chunk").cogroup(of_chunk.groupBy("chunk")).applyInArrow(_added(digest), _ADDED), "added")
-
+    def by_chunk(of: DataFrame, columns: tuple[str, ...], run, schema: str, name: str) -> DataFrame:
+        """``run`` on each chunk's documents and its words with what their spans have, a part of the chunks after another."""
+        done = None
+        for i in range(ROUNDS):
+            docs_of, words_of = (t.filter(F.pmod(F.xxhash64("chunk"), F.lit(ROUNDS)) == i) for t in (numbered, words))
+            found = words_of.join(of, "sid", "left").select("chunk", "at", *columns)
+            part = store.put(docs_of.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, schema), f"{name}{i}")
+            done = part if done is None else done.union(part)
+        return done
+
+    added = by_chunk(linked, ("groups",), _added(digest), _ADDED, "added")
     counts = added.filter("link is not null").groupBy("link").agg(F.sum("n").alias("n"))
     counts = store.put(counts.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy(F.shiftright("link", 32)))), "counts")
     counts = F.broadcast(counts) if counts.count() <= BROADCAST else counts
     sums = linked.mapInArrow(lean(_link_rows), "sid long, link long").join(counts, "link").groupBy("sid").agg(F.count_if("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    of_chunk = words.join(sums, "sid", "left").select("chunk", "at", "n_best", "count_sum")
-    best = store.put(numbered.groupBy("chunk").cogroup(of_chunk.groupBy("chunk")).applyInArrow(_summed, "chunk long, row int, n_best long, count_sum long"), "best")
-    store.drop("rows", "words", "linked", "counts")
+    sums = store.put(sums, "sums")
+    store.drop("linked", "counts")
+    best = by_chunk(sums, ("n_best", "count_sum"), _summed, "chunk long, row int, n_best long, count_sum long", "best")
+    store.drop("rows", "words", "sums")
     out = added.filter("row is not null").join(best, ["chunk", "row"])
     return out.select(F.col("doc_id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
