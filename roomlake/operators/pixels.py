@@ -22,15 +22,136 @@ def surface_views(d: Spark) -> str:
     return "select scene_id, surface, min_by(cam, h) as cam from (select s.scene_id, s.id as surface, v.cam, concat(md5(concat(s.scene_id, s.id, v.cam)), v.cam) as h from surface_boxes s join visible v on v.scene_id = s.scene_id and v.id = s.id) a group by scene_id, surface"
 
 
+def _pixels(d: Spark, source: str) -> str:
+    """Corners of boxes ahead of the camera in pixels inside the image."""
+    u, v = "0.5 + b.side / b.ahead / (2 * b.tan_h)", f"0.5 - b.rise / b.ahead / (2 * b.tan_h / {g.ASPECT!r})"
+    px = lambda x, n: f"greatest(0, least({n - 1}, cast({d.rint(f'greatest(-9, least(9, {x})) * {n}')} as int)))"
+    return f"select p.*, b.k, {px(u, WIDTH)} as x, {px(v, HEIGHT)} as y from box_corners b join {source} p on p.scene_id = b.scene_id and p.cam = b.cam and p.id = b.id where b.ahead > 0.01"
+
+
+def _hull(d: Spark, points: str, keys: tuple[str, ...]) -> str:
+    """The convex hull of three pixels at least as runs: a row reaches as far as the lines between the pixels do."""
+    x = "case when p.y = q.y then {0} else p.x + (q.x - p.x) * (r.y - p.y) / cast(q.y - p.y as double) end"
+    own, same = ", ".join(keys), lambda t: " and ".join(f"{t}.{k} = r.{k}" for k in keys)
+    return f"""select {own}, y, cast(floor(round(min(low), 6) + 0.5) as int) as x0, cast(floor(round(max(high), 6) + 0.5) as int) as x1 from (
+        select {', '.join(f'r.{k}' for k in keys)}, r.y, {x.format('least(p.x, q.x)')} as low, {x.format('greatest(p.x, q.x)')} as high from (
+        select {', '.join(f'e.{k}' for k in keys)}, cast(e.y0 + n.i as int) as y from (select {own}, min(y) as y0, max(y) as y1 from {points} group by {own} having count(*) >= 3) e
+        join {d.sequence(HEIGHT, 'i')} n on e.y0 + n.i <= e.y1) r
+        join {points} p on {same('p')} join {points} q on {same('q')}
+        where p.k <= q.k and (r.y between p.y and q.y or r.y between q.y and p.y)) a group by {own}, y"""
+
+
+@relation
+def surface_corners(d: Spark) -> str:
+    return _pixels(d, "(select scene_id, cam, surface as id from surface_views)")
+
+
+@relation
+def surface_runs(d: Spark) -> str:
+    """Pixels of each surface in its view; those of its box where no masks are given."""
+    return _hull(d, "surface_corners", ("scene_id", "cam", "id"))
+
+
+@relation
+def surface_tops(d: Spark) -> str:
+    return "select * from surface_corners where k % 2 = 1"
+
+
+@relation
+def upward_runs(d: Spark) -> str:
+    """Pixels whose normal points up; those of the tops of surfaces where no normals are given."""
+    return f"select distinct scene_id, cam, y, x0, x1 from ({_hull(d, 'surface_tops', ('scene_id', 'cam', 'id'))}) a"
+
+
+@relation
+def occupant_corners(d: Spark) -> str:
+    return _pixels(d, "(select w.scene_id, w.cam, w.surface, o.occupant as id from surface_views w join on_surface o on o.scene_id = w.scene_id and o.surface = w.surface)")
+
+
+@relation
+def occupant_runs(d: Spark) -> str:
+    """Pixels of what stands on a surface, in the surface's view."""
+    return _hull(d, "occupant_corners", ("scene_id", "cam", "surface", "id"))
+
+
+@relation
+def empty_surface_runs(d: Spark) -> str:
+    """Pixels of a surface that face up and that nothing on it covers, as runs as long as can be: by a sweep along each row."""
+    ends = lambda start, end, up, block: f"select scene_id, cam, surface, y, x0 as x, {up} as up, {block} as block from {start} union all select scene_id, cam, surface, y, x1 + 1, -{up}, -{block} from {end}"
+    top = """(select s.scene_id, s.cam, s.id as surface, s.y, greatest(s.x0, u.x0) as x0, least(s.x1, u.x1) as x1 from surface_runs s
+        join upward_runs u on u.scene_id = s.scene_id and u.cam = s.cam and u.y = s.y and u.x0 <= s.x1 and s.x0 <= u.x1) t"""
+    line = "partition by scene_id, cam, surface, y order by x"
+    return f"""select scene_id, cam, surface, y, min(x) as x0, max(last_x) as x1 from (
+        select *, sum(fresh) over ({line}) as island from (
+        select *, case when x = lag(last_x) over ({line}) + 1 then 0 else 1 end as fresh from (
+        select scene_id, cam, surface, y, x, next_x - 1 as last_x from (
+        select scene_id, cam, surface, y, x, lead(x) over ({line}) as next_x, sum(up) over ({line}) as up, sum(block) over ({line}) as block from (
+        select scene_id, cam, surface, y, x, sum(up) as up, sum(block) as block from ({ends(top, top, 1, 0)} union all {ends('occupant_runs o', 'occupant_runs o', 0, 1)}) e group by scene_id, cam, surface, y, x) f) h
+        where up > 0 and block = 0 and next_x is not null) j) k) l group by scene_id, cam, surface, y, island"""
+
+
+@relation
+def empty_surfaces(d: Spark) -> str:
+    return "select scene_id, cam, surface, cast(sum(x1 - x0 + 1) as bigint) as px, min(x0) as x0, min(y) as y0, max(x1) as x1, max(y) as y1 from empty_surface_runs group by scene_id, cam, surface"
+
+
+@relation
+def placement_pairs(d: Spark) -> str:
+    """Objects that are no surface with the surfaces that are as large."""
+    return """select o.scene_id, o.id, s.id as surface, o.width, o.length from solid o join surface_boxes s on o.scene_id = s.scene_id and o.width <= s.width and o.length <= s.length
+        where o.is_solid and not exists (select 1 from surface_boxes b where b.scene_id = o.scene_id and b.id = o.id)"""
+
+
+@relation
+def footprint_kernels(d: Spark) -> str:
+    """An object's footprint in pixels at the middle of a surface's top, in the surface's view."""
+    def at(x: str, y: str) -> tuple[str, str, str]:
+        to = (f"{x} - c.px", f"{y} - c.py", "s.top - c.pz")
+        ahead = g.dot(to, ("c.fx", "c.fy", "c.fz"))
+        return ahead, f"{g.dot(to[:2], ('c.rx', 'c.ry'))} / {ahead} / (2 * c.tan_h)", f"{g.dot(to, ('c.ux', 'c.uy', 'c.uz'))} / {ahead} / (2 * c.tan_h / {g.ASPECT!r})"
+
+    mid, right, front = at("s.x", "s.y"), at("(s.x + p.width / 2)", "s.y"), at("s.x", "(s.y + p.length / 2)")
+    return f"""select scene_id, cam, surface, id, cast(greatest(1, {d.rint('round(h, 6)')}) as int) as kh, cast(greatest(1, {d.rint('round(w, 6)')}) as int) as kw from (
+        select p.scene_id, v.cam, p.surface, p.id, abs({front[2]} - {mid[2]}) * {2 * HEIGHT} as h, abs({right[1]} - {mid[1]}) * {2 * WIDTH} as w
+        from placement_pairs p join surface_views v on v.scene_id = p.scene_id and v.surface = p.surface join surface_boxes s on s.scene_id = p.scene_id and s.id = p.surface
+        join cam_frame c on c.scene_id = v.scene_id and c.name = v.cam where {mid[0]} > 0.01 and {right[0]} > 0.01 and {front[0]} > 0.01) a"""
+
+
+@relation
+def placement_runs(d: Spark) -> str:
+    """Where an object's footprint fits wholly into the empty pixels of a surface: the middles, as runs.
+
+    Runs shrink by the kernel's width; a middle needs all rows of the kernel, which a sweep along its row counts.
+    """
+    line = "partition by scene_id, cam, surface, id, kh, y order by x"
+    rows_ = """(select k.scene_id, k.cam, k.surface, k.id, k.kh, r.y + cast(floor(k.kh / 2) as int) - n.i as y, r.x0 + cast(floor(k.kw / 2) as int) as x0, r.x1 - (k.kw - 1 - cast(floor(k.kw / 2) as int)) as x1
+        from footprint_kernels k join empty_surface_runs r on r.scene_id = k.scene_id and r.cam = k.cam and r.surface = k.surface join {n} n on n.i < k.kh where r.x1 - r.x0 + 1 >= k.kw) t""".format(n=d.sequence(HEIGHT, "i"))
+    own = "scene_id, cam, surface, id, kh, y"
+    return f"""select scene_id, cam, surface, id, cast(y as int) as y, x as x0, next_x - 1 as x1 from (
+        select {own}, x, lead(x) over ({line}) as next_x, sum(n) over ({line}) as n from (
+        select {own}, x, sum(n) as n from (select {own}, x0 as x, 1 as n from {rows_} union all select {own}, x1 + 1, -1 from {rows_}) e group by {own}, x) f) h where n = kh and next_x is not null"""
+
+
+@relation
+def placement_pixels(d: Spark) -> str:
+    """Of each object and surface how many middles fit and one of them by hash, every pixel as likely."""
+    own = "scene_id, cam, surface, id"
+    return f"""select r.scene_id, r.cam, r.surface, r.id, r.total as valid, cast(r.x0 + r.pick - r.before as int) as x, r.y, round((r.x0 + r.pick - r.before) / cast({WIDTH} as double), 3) as u, round(r.y / cast({HEIGHT} as double), 3) as v from (
+        select *, {d.seed("concat('fit', scene_id, cam, surface, id)")} % total as pick from (
+        select *, cast(sum(x1 - x0 + 1) over (partition by {own}) as bigint) as total, cast(sum(x1 - x0 + 1) over (partition by {own} order by y, x0) - (x1 - x0 + 1) as bigint) as before from placement_runs) a) r
+        where r.pick >= r.before and r.pick <= r.before + r.x1 - r.x0"""
+
+
 @relation
 def placement_views(d: Spark) -> str:
-    """Feasible places in a view that sees their surface, where they are in the frame."""
+    """Places for objects on surfaces in a view: a pixel where the footprint fits, or else a place that fits by the boxes and is in the frame."""
     at = ("p.x - c.px", "p.y - c.py", "p.z - c.pz")
     ahead = g.dot(at, ("c.fx", "c.fy", "c.fz"))
-    return f"""select scene_id, cam, id, surface, round(u, 3) as u, round(v, 3) as v from (
+    return f"""select scene_id, cam, id, surface, u, v, 'pixels' as way from placement_pixels union all
+        select scene_id, cam, id, surface, round(u, 3), round(v, 3), 'boxes' from (
         select p.scene_id, w.cam, p.id, p.surface, 0.5 + {g.dot(at[:2], ('c.rx', 'c.ry'))} / {ahead} / (2 * c.tan_h) as u, 0.5 - {g.dot(at, ('c.ux', 'c.uy', 'c.uz'))} / {ahead} / (2 * c.tan_h / {g.ASPECT!r}) as v
-        from object_placement p join surface_views w on w.scene_id = p.scene_id and w.surface = p.surface join cam_frame c on c.scene_id = w.scene_id and c.name = w.cam where {ahead} > 0.01) a
-        where u between 0 and 1 and v between 0 and 1"""
+        from object_placement p join surface_views w on w.scene_id = p.scene_id and w.surface = p.surface join cam_frame c on c.scene_id = w.scene_id and c.name = w.cam where {ahead} > 0.01
+        and not exists (select 1 from placement_pixels x where x.scene_id = p.scene_id and x.surface = p.surface and x.id = p.id)) a where u between 0 and 1 and v between 0 and 1"""
 
 
 @relation
@@ -48,22 +169,14 @@ def pointed(d: Spark) -> str:
 
 @relation
 def corner_pixels(d: Spark) -> str:
-    """The corners, in pixels inside the image, of what questions point at."""
-    u, v = "0.5 + b.side / b.ahead / (2 * b.tan_h)", f"0.5 - b.rise / b.ahead / (2 * b.tan_h / {g.ASPECT!r})"
-    px = lambda x, n: f"greatest(0, least({n - 1}, cast({d.rint(f'greatest(-9, least(9, {x})) * {n}')} as int)))"
-    return f"select b.scene_id, b.cam, b.id, b.k, {px(u, WIDTH)} as x, {px(v, HEIGHT)} as y from box_corners b join pointed p on p.scene_id = b.scene_id and p.cam = b.cam and p.id = b.id where b.ahead > 0.01"
+    """The corners, in pixels, of what questions point at."""
+    return _pixels(d, "pointed")
 
 
 @relation
 def hull_runs(d: Spark) -> str:
-    """The convex hull of three corners at least as runs of pixels: a row reaches as far as the lines between corners do."""
-    x = "case when p.y = q.y then {0} else p.x + (q.x - p.x) * (r.y - p.y) / cast(q.y - p.y as double) end"
-    return f"""select scene_id, cam, id, y, cast(floor(round(min(low), 6) + 0.5) as int) as x0, cast(floor(round(max(high), 6) + 0.5) as int) as x1 from (
-        select r.scene_id, r.cam, r.id, r.y, {x.format('least(p.x, q.x)')} as low, {x.format('greatest(p.x, q.x)')} as high from (
-        select e.scene_id, e.cam, e.id, cast(e.y0 + n.i as int) as y from (select scene_id, cam, id, min(y) as y0, max(y) as y1 from corner_pixels group by scene_id, cam, id having count(*) >= 3) e
-        join {d.sequence(HEIGHT, 'i')} n on e.y0 + n.i <= e.y1) r
-        join corner_pixels p on p.scene_id = r.scene_id and p.cam = r.cam and p.id = r.id join corner_pixels q on q.scene_id = r.scene_id and q.cam = r.cam and q.id = r.id
-        where p.k <= q.k and (r.y between p.y and q.y or r.y between q.y and p.y)) a group by scene_id, cam, id, y"""
+    """The hulls of what questions point at."""
+    return _hull(d, "corner_pixels", ("scene_id", "cam", "id"))
 
 
 @relation

@@ -23,7 +23,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 # Written once a session and source, if a query needs them; later ones are made from earlier ones.
-SHARED = ("seen", "keyed_answers")
+SHARED = ("seen", "surface_views", "placement_pixels", "keyed_answers")
 # Settings that relations name as :name; an evaluation may give others.
 PARAMETERS: dict[str, object] = {"min_thickness": 0.08, "min_visible": 0.5, "dot_visible": 0.9, "size_visible": 0.6, "shrink": 0.85, "voxel": 0.1, "still": 0.001}
 

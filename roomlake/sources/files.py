@@ -119,6 +119,25 @@ def read_mask_runs(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(runs, "cam string, h int, w int, y bigint, x0 bigint, x1 bigint, iid bigint")
 
 
+UPWARD = 0.9  # the least vertical part of a normal that points up
+
+
+def read_upward_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Runs of pixels whose normal points up, of .npy images of normals: (cam, y, x0, x1)."""
+
+    def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from io import BytesIO
+
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                up = np.load(BytesIO(content), allow_pickle=False)[:, :, 2] > UPWARD
+                edge = np.diff(np.pad(up, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+                (y, x0), (_, x1) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+                yield pd.DataFrame({"cam": name.rsplit("/", 1)[-1].removesuffix(".npy"), "y": y, "x0": x0, "x1": x1 - 1})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(runs, "cam string, y bigint, x0 bigint, x1 bigint")
+
+
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
     """Points of binary little-endian PLY files with colour, opacity, scales and unit quaternions decoded."""
 

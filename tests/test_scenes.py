@@ -360,3 +360,43 @@ def test_merges_in_rounds(spark):
     gone = spark.createDataFrame([one(1, 30, 0.0), one(2, 10, 0.9), one(3, 20, 1.8)], frame.schema)
     assert rows(graph.merge_rounds(gone, judge), "iid", "n") == [(1, 40), (3, 20)]
     assert graph.merge_rounds(frame.limit(0), judge).count() == 0
+
+
+def test_footprints_in_empty_pixels(spark, tmp_path):
+    """Middles of a kernel in the free pixels of a surface, against all windows of the image."""
+    import random
+
+    rnd = random.Random(5)
+    free = np.zeros((14, 20), bool)
+    free[2:12, 3:17] = True
+    cover = np.zeros_like(free)
+    cover[5:7, 8:10] = True
+    up = np.ones_like(free)
+    for _ in range(4):
+        up[rnd.randrange(14), rnd.randrange(20)] = False
+    normals = np.zeros((14, 20, 3), np.float32)
+    normals[:, :, 2] = np.where(up, 1.0, 0.9)
+    np.save(tmp_path / "c.npy", normals)
+
+    def runs_of(mask, **more):
+        return [(*more.values(), y, int(a), int(b) - 1) for y, row in enumerate(mask) for a, b in np.flatnonzero(np.diff(np.pad(row, 1).astype(np.int8))).reshape(-1, 2)]
+
+    upward = files.read_upward_runs(spark, str(tmp_path)).selectExpr("'s' as scene_id", "cam", "y", "x0", "x1")
+    kinds = "y int, x0 int, x1 int"
+    surface = spark.createDataFrame(runs_of(free, a="s", b="c", c="T"), f"scene_id string, cam string, id string, {kinds}")
+    on_it = spark.createDataFrame(runs_of(cover, a="s", b="c", c="T", d="o"), f"scene_id string, cam string, surface string, id string, {kinds}")
+    kernels = [("s", "c", "T", f"{h}x{w}", h, w) for h, w in ((1, 1), (2, 3), (3, 2), (4, 5), (9, 9), (1, 30))]
+    frame = spark.createDataFrame(kernels, "scene_id string, cam string, surface string, id string, kh int, kw int")
+    given = {"surface_runs": surface, "upward_runs": upward, "occupant_runs": on_it, "footprint_kernels": frame}
+    got = {}
+    for r in evaluate(spark, "placement_runs", **given).collect():
+        got.setdefault(r.id, set()).update((r.y, x) for x in range(r.x0, r.x1 + 1))
+    empty = free & up & ~cover
+    want = {}
+    for *_, name, h, w in kernels:
+        fits = {(y, x) for y in range(14) for x in range(20) if y - h // 2 >= 0 and x - w // 2 >= 0 and (e := empty[y - h // 2 : y - h // 2 + h, x - w // 2 : x - w // 2 + w]).shape == (h, w) and e.all()}
+        if fits:
+            want[name] = fits
+    assert got == want and 2 <= len(want) < len(kernels)
+    for r in evaluate(spark, "placement_pixels", **given).collect():
+        assert (r.y, r.x) in want[r.id] and r.valid == len(want[r.id])
