@@ -181,6 +181,15 @@ def merge_votes(d: Spark) -> str:
     return "select distinct scene_id, node, target from merge_candidates where node <> target"
 
 
+@relation
+def remapped_masks(d: Spark) -> str:
+    """Mask runs after merges: each instance is what its chain of merges ends at, and runs of one instance that touch in a row are one."""
+    line = "partition by scene_id, cam, y order by x0"
+    return f"""select scene_id, cam, y, min(x0) as x0, max(x1) as x1, iid from (select *, sum(fresh) over ({line}) as island from (
+        select *, case when iid = lag(iid) over ({line}) and x0 = lag(x1) over ({line}) + 1 then 0 else 1 end as fresh from (
+        select m.scene_id, m.cam, m.y, m.x0, m.x1, coalesce(r.root, m.iid) as iid from mask_runs m left join merge_roots r on r.scene_id = m.scene_id and r.node = m.iid where m.x1 >= m.x0) a) b) c group by scene_id, cam, y, island, iid"""
+
+
 @relation
 def detections(d: Spark) -> str:
     """Instances by how many views see them, then by their mean weight there."""

@@ -138,6 +138,21 @@ def read_upward_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(runs, "cam string, y bigint, x0 bigint, x1 bigint")
 
 
+def read_aux(spark: SparkSession, folder: str, scene_id: str) -> dict[str, DataFrame]:
+    """mask_runs, upward_runs and instance_map of a scene's folder, of the cameras that have mask, normals and names.
+
+    Files are instance_seg/{cam}.npy, instance_seg/{cam}_info.json (idToObjectId) and normals/{cam}.npy.
+    """
+    name = lambda c: F.regexp_extract(c, r"([^/]+?)(_info)?\.(npy|json)$", 1)
+    cams = lambda kind, end: spark.read.format("binaryFile").option("pathGlobFilter", f"*{end}").load(f"{folder}/{kind}").select(name("path").alias("cam"))
+    both = cams("instance_seg", ".npy").intersect(cams("normals", ".npy")).intersect(cams("instance_seg", "_info.json"))
+    masks, normals = read_mask_runs(spark, f"{folder}/instance_seg/*.npy"), read_upward_runs(spark, f"{folder}/normals/*.npy")
+    info = spark.read.option("wholetext", True).text(f"{folder}/instance_seg/*_info.json").select(name(F.input_file_name()).alias("cam"), F.from_json("value", "idToObjectId map<string,string>").alias("i"))
+    ids = info.select("cam", F.explode("i.idToObjectId").alias("iid", "object_id")).join(both, "cam").select(F.col("iid").cast("long").alias("iid"), "object_id").distinct()
+    at = lambda df: df.join(both, "cam").withColumn("scene_id", F.lit(scene_id))
+    return {"mask_runs": at(masks), "upward_runs": at(normals), "instance_map": ids.withColumn("scene_id", F.lit(scene_id))}
+
+
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
     """Points of binary little-endian PLY files with colour, opacity, scales and unit quaternions decoded."""
 

@@ -400,3 +400,26 @@ def test_footprints_in_empty_pixels(spark, tmp_path):
     assert got == want and 2 <= len(want) < len(kernels)
     for r in evaluate(spark, "placement_pixels", **given).collect():
         assert (r.y, r.x) in want[r.id] and r.valid == len(want[r.id])
+
+
+def test_aux_of_cameras_that_have_all_three(spark, tmp_path):
+    (tmp_path / "instance_seg").mkdir()
+    (tmp_path / "normals").mkdir()
+    mask = np.array([[0, 7, 7], [7, 0, 2]], np.uint32)
+    for cam in ("a", "b", "c"):
+        np.save(tmp_path / "instance_seg" / f"{cam}.npy", mask)
+        if cam != "b":
+            np.save(tmp_path / "normals" / f"{cam}.npy", np.dstack([mask * 0.0, mask * 0.0, np.where(mask == 7, 1.0, 0.0)]).astype(np.float32))
+        if cam != "c":
+            (tmp_path / "instance_seg" / f"{cam}_info.json").write_text(json.dumps({"idToLabels": {}, "idToObjectId": {"7": "chair_1", "2": "lamp_1"}}))
+    aux = files.read_aux(spark, str(tmp_path), "s")
+    assert rows(aux["mask_runs"], "scene_id", "cam", "y", "x0", "x1", "iid") == [("s", "a", 0, 1, 2, 7), ("s", "a", 1, 0, 0, 7), ("s", "a", 1, 2, 2, 2)]
+    assert rows(aux["upward_runs"], "cam", "y", "x0", "x1") == [("a", 0, 1, 2), ("a", 1, 0, 0)]
+    assert rows(aux["instance_map"], "scene_id", "iid", "object_id") == [("s", 2, "lamp_1"), ("s", 7, "chair_1")]
+
+
+def test_masks_after_merges(spark):
+    masks = spark.createDataFrame([("s", "c", 0, 0, 3, 1), ("s", "c", 0, 4, 5, 2), ("s", "c", 0, 7, 8, 2), ("s", "c", 1, 0, 1, 3), ("t", "c", 0, 0, 1, 2)], "scene_id string, cam string, y int, x0 int, x1 int, iid int")
+    votes = spark.createDataFrame([("s", 2, 1)], "scene_id string, node int, target int")
+    got = evaluate(spark, "remapped_masks", mask_runs=masks, merge_votes=votes)
+    assert rows(got, "scene_id", "y", "x0", "x1", "iid") == [("s", 0, 0, 5, 1), ("s", 0, 7, 8, 1), ("s", 1, 0, 1, 3), ("t", 0, 0, 1, 2)]
