@@ -77,7 +77,7 @@ def occupant_runs(d: Spark) -> str:
 @relation
 def empty_surface_runs(d: Spark) -> str:
     """Pixels of a surface that face up and that nothing on it covers, as runs as long as can be: by a sweep along each row."""
-    ends = lambda start, end, up, block: f"select scene_id, cam, surface, y, x0 as x, {up} as up, {block} as block from {start} union all select scene_id, cam, surface, y, x1 + 1, -{up}, -{block} from {end}"
+    ends = lambda runs, up, block: f"select scene_id, cam, surface, y, case when s.way = 1 then x0 else x1 + 1 end as x, s.way * {up} as up, s.way * {block} as block from {runs} cross join (values (1), (-1)) as s(way)"
     top = """(select s.scene_id, s.cam, s.id as surface, s.y, greatest(s.x0, u.x0) as x0, least(s.x1, u.x1) as x1 from surface_runs s
         join upward_runs u on u.scene_id = s.scene_id and u.cam = s.cam and u.y = s.y and u.x0 <= s.x1 and s.x0 <= u.x1) t"""
     line = "partition by scene_id, cam, surface, y order by x"
@@ -86,7 +86,7 @@ def empty_surface_runs(d: Spark) -> str:
         select *, case when x = lag(last_x) over ({line}) + 1 then 0 else 1 end as fresh from (
         select scene_id, cam, surface, y, x, next_x - 1 as last_x from (
         select scene_id, cam, surface, y, x, lead(x) over ({line}) as next_x, sum(up) over ({line}) as up, sum(block) over ({line}) as block from (
-        select scene_id, cam, surface, y, x, sum(up) as up, sum(block) as block from ({ends(top, top, 1, 0)} union all {ends('occupant_runs o', 'occupant_runs o', 0, 1)}) e group by scene_id, cam, surface, y, x) f) h
+        select scene_id, cam, surface, y, x, sum(up) as up, sum(block) as block from ({ends(top, 1, 0)} union all {ends('occupant_runs o', 0, 1)}) e group by scene_id, cam, surface, y, x) f) h
         where up > 0 and block = 0 and next_x is not null) j) k) l group by scene_id, cam, surface, y, island"""
 
 
@@ -129,7 +129,7 @@ def placement_runs(d: Spark) -> str:
     own = "scene_id, cam, surface, id, kh, y"
     return f"""select scene_id, cam, surface, id, cast(y as int) as y, x as x0, next_x - 1 as x1 from (
         select {own}, x, lead(x) over ({line}) as next_x, sum(n) over ({line}) as n from (
-        select {own}, x, sum(n) as n from (select {own}, x0 as x, 1 as n from {rows_} union all select {own}, x1 + 1, -1 from {rows_}) e group by {own}, x) f) h where n = kh and next_x is not null"""
+        select {own}, x, sum(n) as n from (select {own}, case when s.way = 1 then x0 else x1 + 1 end as x, s.way as n from {rows_} cross join (values (1), (-1)) as s(way)) e group by {own}, x) f) h where n = kh and next_x is not null"""
 
 
 @relation
