@@ -57,6 +57,18 @@ class Spark:
     def json_text(self, x: str, key: str) -> str:
         return f"get_json_object({x}, '$.{key}')"
 
+    def valid_json(self, x: str) -> str:
+        """The text where it is JSON, else null."""
+        return f"case when try_parse_json({x}) is not null then {x} end"
+
+    def before(self, x: str, mark: str) -> str:
+        """What stands before a mark of a text; all of it where there is none."""
+        return f"split_part({x}, '{mark}', 1)"
+
+    def extracted(self, x: str, pattern: str) -> str:
+        """The first group of a pattern."""
+        return f"regexp_extract({x}, {self.text(pattern)}, 1)"
+
 
 class Duck(Spark):
     """DuckDB, the oracle."""
@@ -102,5 +114,8 @@ class Duck(Spark):
     def json_text(self, x: str, key: str) -> str:
         return f"json_extract_string({x}, '$.{key}')"
 
+    def valid_json(self, x: str) -> str:
+        return f"case when json_valid({x}) then {x} end"
+
 
 SPARK, DUCK = Spark(), Duck()

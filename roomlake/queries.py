@@ -26,7 +26,8 @@ NAMES = (
     "wall_openings door_boxes door_frames window_boxes opening_cuts hinges plan_parts plan_routes door_pairs rotated_corners two_dots one_dot three_dots drawn_boxes box_edges view_results sharp_views picked_views kept_instances movable_types plausible_sizes "
     "splat_cameras camera_groups camera_axes_flipped box_axes_flipped camera_matrices look_targets question_records question_objects type_counts wordings "
     "view_cameras orbit_cameras room_corner_cameras floor_boxes wall_boxes axes_flipped palette rotation_angles merged_names integral_image eroded_cells small_masks merge_roots best_view interleaved direction_choices "
-    "surface_views empty_surface_runs empty_surfaces footprint_kernels placement_runs placement_pixels placement_views free_space_views hull_runs answer_masks answer_points point_answers context_views splat_visible movable_prims scene_pick view_detections detection_pairs touching_runs instance_sums merge_verdicts remapped_masks"
+    "surface_views empty_surface_runs empty_surfaces footprint_kernels placement_runs placement_pixels placement_views free_space_views hull_runs answer_masks answer_points point_answers context_views splat_visible movable_prims scene_pick view_detections detection_pairs touching_runs instance_sums merge_verdicts remapped_masks "
+    "stage_rooms stage_objects stage_room_objects judged_views judged_cameras judged_counts mesh_corners mesh_bounds"
 ).split()
 
 

@@ -91,3 +91,42 @@ def openings(d: Spark) -> str:
     """Doors, windows and plain openings of walls; some doors stand twice, a few millimetres apart."""
     return """select scene_id, wall_id, v.ord, v.kind, cast(v.position as double) as position, cast(v.width as double) as width, cast(v.height as double) as height, cast(v.sill as double) as sill from walls
         join (values ('south', 0, 'door', 0.3, 0.9, 2.0, 0.0), ('south', 1, 'door', 0.3004, 0.9, 2.0, 0.0), ('south', 2, 'door', 0.31, 0.9, 2.0, 0.0), ('east', 3, 'window', 0.5, 1.2, 1.1, 0.9), ('north', 4, 'opening', 0.6, 1.5, 2.2, 0.0), ('west', 5, 'door', 0.25, 0.8, 2.1, 0.0), ('west', 6, 'window', 0.75, 0.6, 0.9, 1.0)) as v(wall, ord, kind, position, width, height, sill) on v.wall = wall_id"""
+
+
+@relation
+def prims(d: Spark) -> str:
+    """Prims of exported stages: rooms with the colliders of their floors and walls, and objects; one stage has no geometry prim."""
+    none = ", ".join(f"cast(null as double) as {c}" for c in ("x_min", "y_min", "z_min", "x_max", "y_max", "z_max"))
+    inner = "(values ('bedroom', 2.0, 2.0, 2.0, 2.0), ('hallway', 6.0, 2.0, 2.0, 1.5), ('kitchen', 4.0, 6.0, 4.0, 2.0), ('attic', 4.0, 4.0, null, null)) as v(room, x, y, scale_x, scale_y)"
+    room = "concat('/World/scene/', v.room, '_room_geometry_0')"
+    parts = (("'/World/scene'", "concat(v.room, '_room_geometry_0')", "null"), (room, "'body_link'", "null"), (f"concat({room}, '/body_link')", "concat(v.room, '_floor_collision')", "v."), (f"concat({room}, '/body_link')", "'wall_collision_1'", "v."))
+    built = " union all ".join(
+        f"""select r.scene_id, concat({parent}, '/', {name}) as path, {parent} as parent, {name} as name, true as active, cast(v.x as double) as x, cast(v.y as double) as y,
+        cast({'null' if scale == 'null' else 'v.scale_x'} as double) as scale_x, cast({'null' if scale == 'null' else 'v.scale_y'} as double) as scale_y, {none} from rooms r cross join {inner}"""
+        for parent, name, scale in parts
+    )
+    bound = lambda x, low, high: f"case when ord % 29 <> 8 then {x} - {low} end as {x}_min, case when ord % 29 <> 8 then {x} + {high} end as {x}_max"
+    return f"""{built} union all select scene_id, '/World/scene/Geometry', '/World/scene', 'Geometry', true, 0.0, 0.0, null, null, {none} from rooms where scene_id <> 'scene_3'
+        union all select scene_id, concat(parent, '/', name), parent, name, ord % 19 <> 4, x, y, null, null, x_min, y_min, z_min, x_max, y_max, z_max from (
+        select scene_id, ord, x, y, case when scene_id = 'scene_3' then '/World/scene' else '/World/scene/Geometry' end as parent,
+        case when ord % 11 = 7 then concat('East_Wall_', cast(ord as string)) when ord % 13 = 5 then concat('floor_lamp_', cast(ord as string)) when ord % 17 = 3 then concat(type, '_left') else type end as name,
+        {bound('x', 'width / 2', 'width / 2')}, {bound('y', 'length / 2', 'length / 2')}, {bound('z', '0', 'height * 0.5')} from objects) o"""
+
+
+@relation
+def view_replies(d: Spark) -> str:
+    """What a judge of views replied, in and out of fences, whole and in part; some views were judged more than once."""
+    say = lambda *parts: f"concat({', '.join(('chr(123)', *parts, 'chr(125)'))})"
+    quality = """'"quality": "', case when l.quality = 1 then 'good' else 'Bad' end, '"'"""
+    flags = """', "poor_lighting": ', case when l.toxic = 1 then 'true' else 'false' end, ', "large_occlusion": ', case when l.doc_id % 3 = 0 then '1' else '0' end"""
+    reason = """', "reason": "view ', cast(l.doc_id as string), '"'"""
+    return f"""select c.scene_id, c.name as cam, c.ord, l.doc_id as nth, case l.doc_id % 7 when 0 then concat('My verdict:', chr(10), '```json', chr(10), {say(quality, flags, reason)}, chr(10), '```', chr(10), '```later```')
+        when 1 then {say(quality, flags, reason)} when 2 then concat('```', {say(quality, flags)}, '```') when 3 then {say(quality)} when 4 then 'too dark to tell' when 5 then concat('  ', {say(quality, flags)}, chr(10)) else {say(reason.replace(', ', '', 1))} end as reply
+        from (select *, row_number() over (partition by scene_id order by ord, name) - 1 as place from cameras where kind <> 'step') c
+        join labels l on c.scene_id = concat('scene_', cast(l.doc_id % 10 as string)) and c.place = cast(floor(l.doc_id / 10) as bigint) % 12"""
+
+
+@relation
+def mesh_poses(d: Spark) -> str:
+    """Objects with turns about all three axes."""
+    return "select scene_id, id, x, y, z, width, length, height, cast(ord % 4 * 30 as double) as rx, cast(ord % 5 * 20 - 40 as double) as ry, cast(ord % 12 * 30 as double) as rz from objects"

@@ -188,3 +188,18 @@ def write_scenes(objects: DataFrame, cameras: DataFrame, rooms: DataFrame, path:
     c = one(cameras, "name", F.array("px", "py", "pz").alias("position"), F.array("lx", "ly", "lz").alias("look_at"), F.col("hfov").alias("horizontal_fov_deg"), "edge_direction", "step_direction", "step_from").withColumnRenamed("list", "cameras")
     r = rooms.select("scene_id", F.array("x_min", "y_min", "x_max", "y_max", "z_max").alias("room_bounds"))
     r.join(o, "scene_id", "left").join(c, "scene_id", "left").write.mode("overwrite").json(path)
+
+
+def write_view_filter(verdicts: DataFrame, path: str) -> None:
+    """Verdicts (of view_filter) as one JSON list for each scene, in the order of its cameras."""
+    view = F.struct(F.col("cam").alias("camera_name"), "quality", "poor_lighting", "large_occlusion", "reason")
+    line = F.transform(F.array_sort(F.collect_list(F.struct("ord", "cam", view.alias("v")))), lambda x: x.v)
+    lists = verdicts.groupBy("scene_id").agg(F.to_json(line, {"ignoreNullFields": "false"}).alias("value"))
+    lists.write.mode("overwrite").partitionBy("scene_id").text(path)
+
+
+def read_view_filter(spark: SparkSession, path: str) -> DataFrame:
+    """(scene_id, cam, quality, poor_lighting, large_occlusion, reason) of what write_view_filter writes, or of such lists in folders scene_id=..."""
+    schema = "camera_name string, quality string, poor_lighting boolean, large_occlusion boolean, reason string, scene_id string"
+    found = spark.read.schema(schema).json(path, multiLine=True)
+    return found.select("scene_id", F.col("camera_name").alias("cam"), F.upper(F.coalesce("quality", F.lit("UNKNOWN"))).alias("quality"), "poor_lighting", "large_occlusion", "reason")

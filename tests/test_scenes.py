@@ -423,3 +423,55 @@ def test_masks_after_merges(spark):
     votes = spark.createDataFrame([("s", 2, 1)], "scene_id string, node int, target int")
     got = evaluate(spark, "remapped_masks", mask_runs=masks, merge_votes=votes)
     assert rows(got, "scene_id", "y", "x0", "x1", "iid") == [("s", 0, 0, 5, 1), ("s", 0, 7, 8, 1), ("s", 1, 0, 1, 3), ("t", 0, 0, 1, 2)]
+
+
+def test_stages_become_rooms_and_objects(spark):
+    schema = "scene_id string, path string, parent string, name string, active boolean, x double, y double, scale_x double, scale_y double, x_min double, y_min double, z_min double, x_max double, y_max double, z_max double"
+    root, room, none = "/World/scene", "/World/scene/guest_bedroom_room_geometry_2", (None,) * 6
+
+    def prim(scene, parent, name, active=True, at=(None, None), scale=(None, None), box=none):
+        return (scene, f"{parent}/{name}", parent, name, active, *at, *scale, *box)
+
+    box = (1.0, 2.0, 0.5, 2.0, 2.5, 1.0)
+    prims = [prim("s", root, "guest_bedroom_room_geometry_2", at=(2.0, 3.0)), prim("s", room, "body_link"), prim("s", f"{room}/body_link", "a_floor_collision", scale=(2.0, 1.5)), prim("s", f"{room}/body_link", "wall_collision", scale=(9.0, 9.0))]
+    prims += [prim("s", root, "Geometry"), prim("s", f"{root}/Geometry", "chair_1_2", box=box), prim("s", f"{root}/Geometry", "Desk", box=(5.0, *box[1:3], 6.0, *box[4:])), prim("s", f"{root}/Geometry", "Floor_lamp_1", box=box)]
+    prims += [prim("s", f"{root}/Geometry", "off_1", active=False, box=box), prim("s", f"{root}/Geometry", "thin_1", box=(1.0, 2.0, 0.5, 2.0, 2.5, 0.54)), prim("s", f"{root}/Geometry", "empty_1"), prim("s", root, "stray_1", box=box)]
+    prims += [prim("bare", root, "sofa_12", box=box)]
+    given = {"prims": spark.createDataFrame(prims, schema)}
+    assert rows(evaluate(spark, "stage_rooms", **given), "scene_id", "room", "x_min", "y_min", "x_max", "y_max", "z_max") == [("s", "guest_bedroom", 0.0, 1.5, 4.0, 4.5, 2.7)]
+    assert rows(evaluate(spark, "stage_objects", **given), "scene_id", "id", "type", "x", "y", "z", "width", "length", "height") == [
+        ("bare", "sofa_12", "sofa", 1.5, 2.25, 0.5, 1.0, 0.5, 0.5), ("s", "Desk", "Desk", 5.5, 2.25, 0.5, 1.0, 0.5, 0.5), ("s", "chair_1_2", "chair_1", 1.5, 2.25, 0.5, 1.0, 0.5, 0.5)]
+    assert rows(evaluate(spark, "stage_room_objects", **given), "room", "id") == [("guest_bedroom", "chair_1_2")]
+    none = {"prims": spark.createDataFrame([], schema)}
+    assert evaluate(spark, "stage_room_objects", **none).count() == 0
+
+
+def test_replies_become_verdicts(spark, tiny, tmp_path):
+    replies = [("s", "cam0", 0, 1, '{"quality": "good"}'), ("s", "cam0", 0, 2, 'Well:\n```json\n{"quality": "bad", "poor_lighting": true, "large_occlusion": 0, "reason": "dim"}\n```\nor ```none```'), ("s", "cam1", 1, 1, "no idea {"), ("s", "cam2", 2, 1, '``` {"reason": "x"}```'), ("t", "cam0", 0, 1, ""), ("t", "cam1", 1, 1, None)]
+    given = {"view_replies": spark.createDataFrame(replies, "scene_id string, cam string, ord int, nth long, reply string")}
+    verdicts = evaluate(spark, "view_filter", **given)
+    want = [("s", "cam0", "BAD", True, False, "dim"), ("s", "cam1", "UNKNOWN", None, None, ""), ("s", "cam2", "UNKNOWN", None, None, "x"), ("t", "cam0", "UNKNOWN", None, None, ""), ("t", "cam1", "UNKNOWN", None, None, "")]
+    columns = ("scene_id", "cam", "quality", "poor_lighting", "large_occlusion", "reason")
+    assert rows(verdicts, *columns) == want
+    files.write_view_filter(verdicts, str(tmp_path / "views"))
+    listed = json.loads(next((tmp_path / "views" / "scene_id=s").glob("part-*")).read_text())
+    assert [v["camera_name"] for v in listed] == ["cam0", "cam1", "cam2"] and listed[1]["poor_lighting"] is None
+    assert rows(files.read_view_filter(spark, str(tmp_path / "views")), *columns) == want
+    assert evaluate(spark, "judged_cameras", **given, cameras=tiny["cameras"]).count() == 0
+    assert rows(evaluate(spark, "judged_counts", **given), "scene_id", "views", "good", "bad", "dark", "hidden")[0] == ("s", 3, 0, 1, 1, 0)
+
+
+def test_meshes_turn_about_x_then_y_then_z(spark):
+    poses = [("s", "a", 1.0, 2.0, 3.0, 0.4, 0.6, 0.8, 30.0, -20.0, 150.0), ("s", "b", 0.0, 0.0, 0.0, 2.0, 4.0, 1.0, 0.0, 0.0, 90.0)]
+    given = {"mesh_poses": spark.createDataFrame(poses, "scene_id string, id string, x double, y double, z double, width double, length double, height double, rx double, ry double, rz double")}
+
+    def turn(axis, degrees):
+        c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+        return np.array({"x": [[1, 0, 0], [0, c, -s], [0, s, c]], "y": [[c, 0, s], [0, 1, 0], [-s, 0, c]], "z": [[c, -s, 0], [s, c, 0], [0, 0, 1]]}[axis])
+
+    want = set()
+    for _, id_, x, y, z, w, l, h, rx, ry, rz in poses:
+        for corner in itertools.product((-w / 2, w / 2), (-l / 2, l / 2), (0, h)):
+            want.add((id_, *(float(v) for v in np.round(turn("z", rz) @ turn("y", ry) @ turn("x", rx) @ np.array(corner) + (x, y, z), 5) + 0.0)))
+    assert {(r.id, *(round(v, 5) + 0.0 for v in (r.x, r.y, r.z))) for r in evaluate(spark, "mesh_corners", **given).collect()} == want
+    assert rows(evaluate(spark, "mesh_bounds", **given), "id", "x_min", "y_min", "z_min", "x_max", "y_max", "z_max")[1] == ("b", -2.0, -1.0, 0.0, 2.0, 1.0, 1.0)
