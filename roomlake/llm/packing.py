@@ -27,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .minhash import near_duplicates
+from .store import Store
+
 CAPACITY = 16_384  # bytes of a bin
 PART_BYTES = 64 << 20  # of documents packed together, about
 RUN = 64  # bins of a run; longer runs are halved
@@ -169,3 +172,17 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """(id, size, source, cluster): cluster is a hash of the text in lower case with single spaces; null and blank texts have none."""
     plain = F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"\s+", " "))
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("size"), F.col(source_col).alias("source"), F.when(plain != "", F.md5(plain.cast("binary"))).alias("cluster"))
+
+
+def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, size, source, cluster): cluster is the class of near duplicates, by five-word shingles at 0.8.
+
+    Rows are told apart by a key of this run, written once, so rows without an id and rows that repeat one
+    are clustered like any others.  Texts without words have a class of their own.
+    """
+    store = Store(docs.sparkSession, "packing")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    rows = store.put(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    classes = store.put(near_duplicates(rows, "row", shingle=5, percent=80).select("row", F.col("component_id").alias("cluster")), "classes")
+    sizes = rows.select("row", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "source")
+    return sizes.join(classes, "row").select("doc_id", "size", "source", "cluster")

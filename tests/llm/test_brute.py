@@ -145,6 +145,18 @@ def test_op1(rows, docs):
     assert got == named
 
 
+def test_op1_keeps_near_copies_apart(rows, docs):
+    capacity = 900
+    got = sorted((r.bin_id, r.slot, -1 if r.doc_id is None else r.doc_id, r.start, r.length) for r in packing.packed(packing.clustered(docs), capacity=capacity).collect())
+    comp = near_groups([(k, r[1]) for k, r in enumerate(rows)], 5)[1]
+    items = [(r[0], len((r[1] or "").encode()), r[3], comp[k]) for k, r in enumerate(rows)]
+    items.sort(key=lambda x: (x[0] or 0, x[0] is None, x[1], x[2] or ""))
+    want = naive_pack([((i or 0), *rest) for i, *rest in items], capacity)
+    assert got == sorted((n, slot, -1 if items[k][0] is None else items[k][0], start, length) for n, slot, k, start, length in want)
+    plain = [t for *_, t in sized_rows([(r[0], r[1], r[3]) for r in rows])]
+    assert len({comp[k] for k, t in enumerate(plain) if t}) < len(set(plain) - {None})  # near copies count as one cluster
+
+
 def test_op3(rows, docs):
     held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
     train = [(r[1], r[2]) for r in rows if r[0] is not None and not held(r[0]) and r[1] and r[2]]
