@@ -36,7 +36,7 @@ def occluders(d: Spark) -> str:
     span = lambda low, high, n: (f"case when depth - radius <= 0.01 then -1 else {_tile(f'({low}) - 1e-6', n)} end", f"case when depth - radius <= 0.01 then {n} else {_tile(f'({high}) + 1e-6', n)} end")
     u0, u1 = span(_reach("across", "-", flat), _reach("across", "+", flat), WIDE)
     v0, v1 = span(_reach("upward", "+", tall, "-"), _reach("upward", "-", tall, "-"), HIGH)
-    every = "scene_id, kind, cam, id, cx, cy, cz, width, length, height"
+    every = "scene_id, kind, cam, id, cx, cy, cz, width, length, height" + (", px, py, pz" if d.name == "spark" else "")
     return f"""select {every}, (i.i - 1) * 100 + j.j - 1 as tile from (select *, {u0} as u0, {u1} as u1, {v0} as v0, {v1} as v1 from (
         select *, {g.norm('coalesce(width, 0)', 'coalesce(length, 0)', 'coalesce(height, 0)')} / 2 + 1e-6 as radius from cam_obj where kind <> 'step' and ({big})) a where depth + radius > 0) b
         join {d.sequence(WIDE + 2, 'i')} i on i.i - 1 between u0 and u1 join {d.sequence(HIGH + 2, 'j')} j on j.j - 1 between v0 and v1
@@ -49,13 +49,36 @@ def sight_points(d: Spark) -> str:
     s = ("sx", "sy", "sz")
     ahead = g.dot(s, ("fx", "fy", "fz"))
     u, v = f"0.5 + {g.dot(s[:2], ('rx', 'ry'))} / ahead / (2 * tan_h)", f"0.5 - {g.dot(s, ('ux', 'uy', 'uz'))} / ahead / (2 * tan_h / {g.ASPECT!r})"
-    return f"""select /*+ repartition(64, scene_id, cam, tile) */ * from (
+    keys = "scene_id, kind, cam, tile" if d.name == "spark" else "scene_id, cam, tile"
+    return f"""select /*+ repartition(64, {keys}) */ * from (
         select scene_id, kind, cam, id, px, py, pz, k, sx, sy, sz, target, case when ahead > 0.01 then {_tile(u, WIDE)} * 100 + {_tile(v, HIGH)} else {NOWHERE} end as tile from (
         select *, {g.norm(*s)} as target, {ahead} as ahead from (
         select f.*, p.k, f.cx + p.i * coalesce(f.width, 0) / 2 - f.px as sx, f.cy + p.j * coalesce(f.length, 0) / 2 - f.py as sy, f.cz + p.l * coalesce(f.height, 0) / 2 - f.pz as sz
         from frustum f cross join (values (0, 0, 0, 0), (1, -1, -1, -1), (2, -1, -1, 1), (3, -1, 1, -1), (4, -1, 1, 1), (5, 1, -1, -1), (6, 1, -1, 1), (7, 1, 1, -1), (8, 1, 1, 1)) as p(k, i, j, l)) a) b) c"""
 
 
+def _first_block() -> str:
+    """The engine's form of blocked_points: a join that leaves a point at the first occluder that blocks it.
+
+    What belongs to an occluder or a ray alone is found before they meet.  A box whose sphere the ray's line misses is
+    passed over by that; a parallel ray's direction is all but zero, so that it is inside a slab always or never.
+    """
+    axes = (("x", "width"), ("y", "length"), ("z", "height"))
+    low, high = (lambda a, s, sign=sign: f"(c{a} {sign} coalesce({s}, 0) / 2 * :shrink)" for sign in "-+")
+    sides = ", ".join(f"least({low(a, s)}, {high(a, s)}) - p{a} as {a}0, greatest({low(a, s)}, {high(a, s)}) - p{a} as {a}1, c{a} - p{a} as w{a}" for a, s in axes)
+    half = f"{g.norm('coalesce(width, 0)', 'coalesce(length, 0)', 'coalesce(height, 0)')} / 2"
+    away = g.dot(("cx - px", "cy - py", "cz - pz"), ("cx - px", "cy - py", "cz - pz"))
+    boxes = f"select scene_id, kind, cam, tile, id, {sides}, {away} as w2, {g.norm('cx - px', 'cy - py', 'cz - pz')} - {half} as gap, {half} * {half} * greatest(1, :shrink * :shrink) + 1e-6 * (1 + {away}) as reach2 from occluders"
+    flat = {a: f"abs(s{a} / target) < 1e-12" for a, _ in axes}
+    rays = "select scene_id, kind, cam, tile, id, k, target, " + ", ".join(f"case when {flat[a]} then 1e-300 else s{a} / target end as d{a}, case when {flat[a]} then 1e-200 else cast(0 as double) end as f{a}" for a, _ in axes) + " from sight_points where target >= 1e-9"
+    enter = "greatest(" + ", ".join(f"if(t.d{a} > 0, o.{a}0 - t.f{a}, o.{a}1) / t.d{a}" for a, _ in axes) + ")"
+    leave = "least(" + ", ".join(f"if(t.d{a} > 0, o.{a}1 + t.f{a}, o.{a}0) / t.d{a}" for a, _ in axes) + ")"
+    along = g.dot(("o.wx", "o.wy", "o.wz"), ("t.dx", "t.dy", "t.dz"))
+    return f"""select distinct scene_id, kind, cam, id, k from (select /*+ shuffle_hash(o) */ t.scene_id, t.kind, t.cam, t.id, t.k from ({rays}) t left semi join ({boxes}) o
+        on t.scene_id = o.scene_id and t.kind = o.kind and t.cam = o.cam and t.tile = o.tile and t.id <> o.id and o.gap < t.target
+        and o.w2 - {along} * {along} <= o.reach2 and {leave} >= greatest({enter}, 0) and ({enter} >= 0 or {leave} < t.target - 1e-3) and {enter} < t.target - 1e-3) a"""
+
+
 @relation
 def blocked_points(d: Spark) -> str:
     parts = []
@@ -64,6 +87,8 @@ def blocked_points(d: Spark) -> str:
         parts.append(g.axis_range(f"(o.{c} - {half})", f"(o.{c} + {half})", f"t.p{a}", f"(t.s{a} / t.target)"))
     enter, leave = (f"{f}({', '.join(p[i] for p in parts)})" for i, f in enumerate(("greatest", "least")))
     near = f"sqrt((o.cx - t.px) * (o.cx - t.px) + (o.cy - t.py) * (o.cy - t.py) + (o.cz - t.pz) * (o.cz - t.pz)) - {g.norm('coalesce(o.width, 0)', 'coalesce(o.length, 0)', 'coalesce(o.height, 0)')} / 2 < t.target"
+    if d.name == "spark":
+        return _first_block()
     return f"""select distinct scene_id, kind, cam, id, k from (
         select t.scene_id, t.kind, t.cam, t.id, t.k, t.target, {enter} as enter, {leave} as leave from sight_points t
         join occluders o on t.scene_id = o.scene_id and t.kind = o.kind and t.cam = o.cam and t.tile = o.tile and t.id <> o.id

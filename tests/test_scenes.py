@@ -203,6 +203,21 @@ def test_visibility_by_hand(spark, tiny):
     assert got == want and 0 < sum(v[0] < 1 for v in want.values()) < len(want)
 
 
+def test_crowds_block_points_once(spark, tiny):
+    """Rows of boxes behind each other, some of their rays parallel to axes or along faces; a point leaves the join at its first occluder."""
+    rnd = np.random.default_rng(5)
+    boxes = {f"o{i}": (0.5 + 0.1 * i, float(rnd.choice([0.0, 0.25, 0.5, -0.25])), 1.0, 0.05 + 0.02 * (i % 3), 0.5, 0.5 * (1 + i % 2)) for i in range(120)}
+    views = {"c0": (0.0, 0.0, 1.25, 10.0, 0.0, 1.25, 90.0), "c1": (0.0, 0.25, 1.0, 10.0, 0.25, 1.0, 90.0)}
+    objects = spark.createDataFrame([("s", k, n, "box", *map(float, v), 0.0) for n, (k, v) in enumerate(boxes.items())], tiny["objects"].schema)
+    cameras = spark.createDataFrame([("s", k, n, "corner", *map(float, v), None, None, None) for n, (k, v) in enumerate(views.items())], tiny["cameras"].schema)
+    own = {"objects": objects, "cameras": cameras, "rooms": tiny["rooms"]}
+    got = {(r.cam, r.id): (r.fraction, r.centre_clear) for r in evaluate(spark, "visible_fraction", {"min_thickness": 0.01}, **own).collect()}
+    want = {(c, i): v for c, view in views.items() for i, v in seen_by_hand(view, boxes, 0.01).items()}
+    assert got == want and sum(v[0] < 0.5 for v in want.values()) > 100
+    plan = evaluate(spark, "blocked_points", **own)._jdf.queryExecution().toString()
+    assert "ShuffledHashJoin" in plan and "LeftSemi" in plan
+
+
 def test_walls_by_hand(spark, tiny):
     """A wall along X, one along Y and an oblique one; a door that two rooms list."""
     walls = spark.createDataFrame([("s", "a", 0.0, 0.0, 4.0, 0.0, 2.5, 0.2, 2.0, 2.0), ("s", "b", 4.0, 0.0, 4.0, 4.0, 2.5, 0.2, 2.0, 2.0), ("s", "c", 0.0, 1.0, 1.0, 0.0, 2.5, 0.2, 2.0, 2.0)], "scene_id string, wall_id string, x0 double, y0 double, x1 double, y1 double, height double, thickness double, room_x double, room_y double")
