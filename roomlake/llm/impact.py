@@ -3,8 +3,9 @@
 Vectors are integers, floor(256 x).  For every dimension the index keeps the rows ordered by the size of
 their component, cut into segments of equal quantised size (STEP levels up to the dimension's largest).
 For a query q the impact of a segment is the most that it can change a score, |q_d| times its level's
-size.  Segments are processed by descending impact over all dimensions together, in rounds; a posting
-adds its exact product to its row's accumulator.  What a row still lacks is bounded by Cauchy and Schwarz:
+size.  Segments are processed by descending impact over all dimensions together, in rounds, for a part of
+queries at once (their impact on a part is that on the query they change most); a round's postings
+add their exact products to the rows' accumulators, as one matrix product.  What a row still lacks is bounded by Cauchy and Schwarz:
 the lengths of what is left of the row and of the query in the row's open dimensions.  That gives each
 row a lower and an upper bound.  Processing stops only on proof: when the rows whose upper bound reaches
 the k-th best lower bound are few.  They are all the possible members, and they are rescored exactly.
@@ -43,6 +44,8 @@ TASKS = 32  # least tasks that blocks and parts are dealt to, if there are as ma
 READ = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.75, 1.0)  # rounds end when this share of the postings is read, about
 FEW = 0.02  # of a block's rows may be left to rescore
 MOST = 100_000  # tasks, at most; more pairs of blocks and shares are queued in them
+PROBES = 8  # queries of a part that tell in which round proofs succeed
+GROUPS = 256  # of rows, whose best give a bound on the k-th best
 EXACT = float(1 << 53)
 
 
@@ -97,33 +100,82 @@ class Index:
 
     def top(self, query: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, list[int]]:
         """(ids, scores) of the k best rows but those of the id ``skip``."""
+        return self.tops(query[None, :], k, np.array([skip]))[0]
+
+    def tops(self, queries: np.ndarray, k: int, skips: np.ndarray) -> list[tuple[np.ndarray, list[int]]]:
+        """(ids, scores) for each query of a part: its k best rows but those of its id in ``skips``.
+
+        The part's first queries tell in which round proofs succeed; the others' rounds start there.
+        """
+        first = 0
+        if len(queries) > 4 * PROBES:
+            first = self._rounds(queries[:PROBES], k, skips[:PROBES], 0)[1]
+        return self._rounds(queries, k, skips, first)[0]
+
+    def _rounds(self, queries: np.ndarray, k: int, skips: np.ndarray, first: int) -> tuple[list[tuple[np.ndarray, list[int]]], int]:
+        """The answers, and the round in which half of the queries had theirs."""
         n, dims = self.values.shape
-        out = self.ids != skip
-        if int(out.sum()) <= k:
-            return self._scored(np.flatnonzero(out), query, k)
-        whole, query = query, query * self._moderate(query)
-        score, x2, q2 = np.zeros(n), np.zeros(n), np.zeros(n)
+        low, high = np.searchsorted(self.ids, skips, "left"), np.searchsorted(self.ids, skips, "right")
+        answers: list = [None] * len(queries)
+        for i in np.flatnonzero(n - (high - low) <= k):
+            answers[i] = self._scored(np.concatenate([np.arange(low[i]), np.arange(high[i], n)]), queries[i], k)
+        left = np.flatnonzero(n - (high - low) > k)
+        middle, half = first, len(left) / 2
+        if not len(left):
+            return answers, middle
+        q = queries[left] * np.array([self._moderate(queries[i]) for i in left])[:, None]
+        whole2, length2 = (q * q).sum(axis=1), self.length2
+        most = np.sqrt(whole2 * length2.max())
+        # small integers are exact in single precision
+        f = np.float32 if most.max() < 1 << 22 and self.scale == 1 and np.abs(q).max() < 1 << 12 else np.float64
+        slack = (1e-9 if f is np.float64 else 1e-5) * (most + 1)
+        peak = np.abs(q).max(axis=0)  # the impact of a segment on a part is that on the query that it changes most
+        score = np.zeros((len(left), n), f)
+        met = np.zeros((n, dims), f)  # the postings that are read
         done = np.zeros(dims, np.int64)
-        whole2, length2 = float(query @ query), self.length2
-        slack = 1e-9 * (np.sqrt(whole2 * length2.max()) + 1)
-        for limit in self._limits(query):
-            ends = self._ends(query, limit) if limit > 0 else self.upto[:, 0]
+        for nth, limit in enumerate(self._limits(peak)):
+            if nth < first:
+                continue
+            ends = self._ends(peak, limit) if limit > 0 else self.upto[:, 0]
             some = np.flatnonzero(ends > done)
             if len(some):
-                ids = np.concatenate([self.order[d, done[d] : ends[d]] for d in some])
-                x = np.concatenate([self.sorted[d, done[d] : ends[d]] for d in some])
-                q = np.repeat(query[some], (ends - done)[some])
-                self.read += len(ids)
-                score += np.bincount(ids, x * q, n)
-                x2 += np.bincount(ids, x * x, n)
-                q2 += np.bincount(ids, q * q, n)
+                fresh = np.zeros((len(some), n), f)
+                for c, d in enumerate(some):
+                    fresh[c, self.order[d, done[d] : ends[d]]] = self.sorted[d, done[d] : ends[d]]
+                    if limit > 0:
+                        met[self.order[d, done[d] : ends[d]], d] = 1
+                self.read += int((ends - done)[some].sum()) * len(left)
+                score += q[:, some].astype(f) @ fresh
                 done = np.maximum(done, ends)
-            lacks = np.sqrt(np.maximum(0, length2 - x2) * np.maximum(0, whole2 - q2)) if limit > 0 else 0.0
-            bar = np.partition((score - lacks)[out], -k)[-k]
-            possible = np.flatnonzero(out & (score + lacks >= bar - slack))
-            if len(possible) <= max(FEW * n, 4 * k):
+            if limit > 0:
+                rest = length2 - ((self.values * self.scale) ** 2 * met).sum(axis=1)
+                lacks = np.sqrt(np.maximum(0, rest)).astype(f) * np.sqrt(np.maximum(0, whole2.astype(f)[:, None] - (q * q).astype(f) @ met.T))
+            else:
+                lacks = f(0)
+            lower = score - lacks
+            for i, j in enumerate(left):
+                lower[i, low[j] : high[j]] = -np.inf
+            upper = score + lacks
+            possible = upper >= (self._bar(lower, k) - slack)[:, None]
+            for i, j in enumerate(left):
+                possible[i, low[j] : high[j]] = False
+            proved = np.count_nonzero(possible, axis=1) <= max(FEW * n, 4 * k) if limit > 0 else np.ones(len(left), bool)
+            for i in np.flatnonzero(proved):
+                answers[left[i]] = self._scored(np.flatnonzero(possible[i]), queries[left[i]], k)
+            left, q, score, whole2, slack = left[~proved], q[~proved], score[~proved], whole2[~proved], slack[~proved]
+            if len(left) >= half:
+                middle = nth + 1
+            if not len(left):
                 break
-        return self._scored(possible, whole, k)
+        return answers, min(middle, len(READ) - 1)
+
+    @staticmethod
+    def _bar(lower: np.ndarray, k: int) -> np.ndarray:
+        """What k rows of each query reach: the k-th best, or that of the best of GROUPS groups of rows, which is no more."""
+        m, n = lower.shape
+        if n >= 16 * GROUPS and k <= GROUPS // 4:
+            lower = lower[:, : n // GROUPS * GROUPS].reshape(m, GROUPS, -1).max(axis=2)
+        return np.partition(lower, -k, axis=1)[:, -k].astype(np.float64)
 
     def _scored(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
         """The best k of rows by exact scores, ties to the smaller id."""
@@ -177,7 +229,7 @@ def _answers(k: int):
                     index = None  # the former block goes before the next is built
                     index = Index(ids, vecs)
                     continue
-                found = [(q, *index.top(v, k, q)) for q, v in zip(ids.tolist(), vecs)]
+                found = [(q, *best) for q, best in zip(ids.tolist(), index.tops(vecs, k, ids))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat([q for q, _, _ in found], [len(s) for _, _, s in found]).astype(np.int64)),

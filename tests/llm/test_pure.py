@@ -110,6 +110,27 @@ def test_index_stops_before_all_postings_are_read():
     assert index.read < 0.7 * 10 * values.size
 
 
+def test_index_answers_a_part_at_once():
+    """Over 4096 rows, with ties, a hot dimension and an id that two rows share; half the queries stop early."""
+    rnd = np.random.default_rng(8)
+    values = np.floor(256 * rnd.normal(size=(6000, 32)) / np.sqrt(32))
+    values[:, 3] *= 1 + 3 * (rnd.random(6000) < 0.1)
+    values[100:130] = values[:30]
+    values[5000:5040] = values[40:80] + rnd.integers(-9, 9, (40, 32))
+    ids = np.arange(6000)
+    ids[61] = 60
+    index = impact.Index(ids, values)
+    got = index.tops(values[:80], 5, ids[:80])
+    for q in range(80):
+        s = values @ values[q]
+        keep = np.flatnonzero(ids != ids[q])
+        best = keep[np.lexsort((ids[keep], -s[keep]))][:5]
+        assert got[q][0].tolist() == ids[best].tolist() and got[q][1] == s[best].astype(int).tolist()
+    assert index.read < 80 * values.size
+    few = impact.Index(ids[:4], values[:4]).tops(values[:80], 5, ids[:80])
+    assert len(few[0][0]) == 3 and len(few[79][0]) == 4
+
+
 def unit(x):
     return x / np.linalg.norm(x, axis=1)[:, None]
 
