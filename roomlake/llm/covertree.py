@@ -39,8 +39,9 @@ PIVOTS = 64  # sampled centres of a cell; a bound on what the driver holds for e
 BLOCK = 4096  # rows of a block, at most, where centres can divide them
 ROUNDS = 12  # of division; cells that are larger then are divided by their order
 LEAF = 16  # points that are compared directly
-TASKS = 32  # least tasks that pairs of blocks are dealt to, if there are as many pairs
-MOST = 100_000  # tasks, at most
+BUNDLES = 16  # of blocks, if there are as many; a bundle's blocks meet others together, each of which is sent to it once
+SHARES = 4  # tasks of a bundle, each with its share of the others
+HELD = 64 << 20  # bytes of vectors of a bundle, at most, if it has several blocks
 SLACK = 1e-7  # of distance bounds, for rounding
 
 
@@ -358,27 +359,68 @@ def _tree(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, Tree]:
 
 
 def _met(cosine: float):
-    """Tasks' rows (ord, block): a block at ord -1, then those it is compared with (at ord 0 itself)."""
+    """Tasks' rows (task, ord, block, meets): a bundle's blocks at ord -1, then those that some of them (``meets``) are compared with (at ord 0 themselves)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r1 = w1 = one = None
+        held: dict[int, tuple[np.ndarray, np.ndarray, Tree]] = {}
+        task = None
         for batch in batches:
             for i in range(batch.num_rows):
+                if batch.column("task")[i].as_py() != task:
+                    task, held = batch.column("task")[i].as_py(), {}
                 order = batch.column("ord")[i].as_py()
                 if order < 0:
-                    r1, w1, one = _tree(batch, i)
+                    held[batch.column("g")[i].as_py()] = _tree(batch, i)
                     continue
-                r2, w2, two = (r1, w1, one) if order == 0 else _tree(batch, i)
-                n1, n2, links = dual(one, w1, two, w2, cosine)
-                ids = r1 if order == 0 else np.concatenate([r1, r2])
-                n = n1 if order == 0 else np.concatenate([n1, n2])
-                at = np.flatnonzero(n)
-                e = links.forest()
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[at], ids[e[:, 0]]])), pa.array(np.concatenate([np.full(len(at), -1), ids[e[:, 1]]])), pa.array(np.concatenate([n[at], np.zeros(len(e), np.int64)]))], names=["a", "b", "n"])
+                other = _tree(batch, i) if order else None
+                for g in batch.column("meets")[i].as_py():
+                    r1, w1, one = held[g]
+                    r2, w2, two = other or held[g]
+                    n1, n2, links = dual(one, w1, two, w2, cosine)
+                    ids = r1 if order == 0 else np.concatenate([r1, r2])
+                    n = n1 if order == 0 else np.concatenate([n1, n2])
+                    at = np.flatnonzero(n)
+                    e = links.forest()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[at], ids[e[:, 0]]])), pa.array(np.concatenate([np.full(len(at), -1), ids[e[:, 1]]])), pa.array(np.concatenate([n[at], np.zeros(len(e), np.int64)]))], names=["a", "b", "n"])
 
     return lean(run)
 
 
+def _dealt(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (task, ord, block, meets) for _met: blocks (g, size, ...) and the ``pairs`` (g, h) of them that meet.
+
+    Blocks are bundled in an order of their own.  Of two bundles one holds its blocks and gets each block of the
+    other once for all that it meets there, so what is sent are about BUNDLES / 2 + SHARES copies of the vectors.
+    What the driver holds are two numbers for each block.
+    """
+    spark = blocks.sparkSession
+    sizes = blocks.select("g", "size").orderBy("g").collect()
+    target = max(1, min(HELD, -(-sum(r["size"] for r in sizes) // BUNDLES)))
+    bundled, bundle, room = [], -1, 0
+    for nth, r in enumerate(sizes):
+        if room < r["size"] / 2:
+            bundle, room = bundle + 1, room + target if bundle >= 0 else target
+        room -= r["size"]
+        bundled.append((int(r["g"]), bundle, nth))
+    shares = SHARES if len(sizes) > 1 else 1
+    known = F.broadcast(spark.createDataFrame(bundled, "g long, bundle long, nth long"))
+    other = F.broadcast(spark.createDataFrame(bundled, "h long, bundle2 long, nth2 long"))
+    rest = [c for c in blocks.columns if c not in ("g", "size")]
+    nothing = F.array().cast("array<long>").alias("meets")
+    held = blocks.join(known, "g").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    first = held.select((F.col("bundle") * shares + F.col("share")).alias("task"), F.lit(-1).alias("ord"), "g", nothing, *rest)
+    empty = [(F.lit(0.0) if c == "scale" else F.lit(b"")).alias(c) for c in rest]
+    itself = known.select((F.col("bundle") * shares + F.col("nth") % shares).alias("task"), F.lit(0).alias("ord"), "g", F.array("g").alias("meets"), *empty)
+    # bundles take turns in holding
+    turn = F.when(F.col("bundle") == F.col("bundle2"), F.col("nth") < F.col("nth2")).otherwise(((F.col("bundle") + F.col("bundle2")) % 2 == 1) == (F.col("bundle") < F.col("bundle2")))
+    both = pairs.join(known, "g").join(other, "h").withColumn("turn", turn)
+    which = lambda a, b, name: F.when(F.col("turn"), F.col(a)).otherwise(F.col(b)).alias(name)
+    asked = both.select(which("bundle", "bundle2", "b"), which("g", "h", "own"), which("h", "g", "sent"), which("nth2", "nth", "n")).groupBy("b", "sent", "n").agg(F.collect_list("own").alias("meets"))
+    second = asked.join(blocks.withColumnRenamed("g", "sent"), "sent").select((F.col("b") * shares + F.col("n") % shares).alias("task"), F.lit(1).alias("ord"), F.col("sent").alias("g"), "meets", *rest)
+    tasks = max(1, (bundle + 1) * shares)
+    return first.union(itself).union(second).repartitionById(tasks, F.col("task").cast("int")).sortWithinPartitions("task", "ord")
+
+
 def _near_blocks(limit: float):
     """Which pairs (radius, centre, other radius, other centre) of blocks may hold a link."""
 
@@ -413,24 +455,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, *, id_col: str = "
     close = heads.join(others, (F.col("dims") == F.col("dims2")) & (F.col("g") < F.col("h"))).select("g", "radius", "centre", "h", "radius2", "centre2")
     limit = float(np.sqrt(2 - 2 * cosine)) + SLACK
     pairs = store.put(close.mapInArrow(_near_blocks(limit), "g long, h long"), "pairs")
-    n_blocks, n_pairs = blocks.count(), pairs.count()
     body = ("scale", "reps", "w", "units", "starts", "radii")
-    own = blocks.select("g", *body)
-    shares = max(1, min(8, -(-TASKS // max(1, n_blocks)), -(-n_pairs // max(1, n_blocks))))
-    # a block meets those it is compared with in so many tasks
-    share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
-    first = own.select("g", share, F.lit(-1).alias("ord"), *body)
-    itself = own.select("g", F.lit(0).alias("share"), F.lit(0).alias("ord"), F.lit(0.0).alias("scale"), *(F.lit(b"").alias(c) for c in body[1:]))
-    second = pairs.select("g", "h", F.pmod(F.xxhash64("h"), F.lit(shares)).cast("int").alias("share")).join(own.withColumnRenamed("g", "h"), "h").select("g", "share", F.lit(1).alias("ord"), *body)
-    tasks = min(MOST, max(1, n_blocks * shares))
-    numbered = blocks.select("g").join(F.broadcast(spark.createDataFrame([(int(r["g"]), i) for i, r in enumerate(blocks.select("g").orderBy("g").collect())], "g long, nth int")), "g") if 0 < n_blocks <= MOST else None
-    rows = first.union(itself).union(second)
-    if numbered is not None:
-        rows = rows.join(F.broadcast(numbered), "g").withColumn("task", F.col("nth") * shares + F.col("share"))
-    else:
-        rows = rows.withColumn("task", F.pmod(F.xxhash64("g", "share"), F.lit(tasks)).cast("int"))
-    dealt = rows.repartitionById(tasks, F.pmod("task", F.lit(tasks)).cast("int")).sortWithinPartitions("g", "share", "ord")
-    met = store.put(dealt.select("ord", *body).mapInArrow(_met(cosine), "a long, b long, n long"), "met")
+    dealt = _dealt(blocks.select("g", F.length("units").alias("size"), *body), pairs)
+    met = store.put(dealt.mapInArrow(_met(cosine), "a long, b long, n long"), "met")
     # a point meets itself (all its copies) once
     counted = met.filter("n > 0").groupBy(F.col("a").alias("rep")).agg((F.sum("n") - 1).alias("n_links"))
     found = components(met.filter("n = 0").select("a", "b"), store)

@@ -271,6 +271,20 @@ def test_op2_and_op7(spark, monkeypatch):
         assert top[q] == [(k + 1, i, -v) for k, (v, i) in enumerate(best)]
 
 
+def test_op2_sends_each_block_a_few_times(spark):
+    """All 2,016 pairs of 64 blocks meet once, and blocks are sent a few times each, not once a pair."""
+    body = ("scale", "reps", "w", "units", "starts", "radii")
+    blocks = spark.createDataFrame([(7 * i - 50, 100 + i % 3, 1.0, *[b"x"] * 5) for i in range(64)], "g long, size int, " + ", ".join(f"{c} {'double' if c == 'scale' else 'binary'}" for c in body))
+    pairs = blocks.select("g").crossJoin(blocks.selectExpr("g as h")).filter("g < h")
+    sent = covertree._dealt(blocks, pairs).select("task", "ord", "g", "meets").collect()
+    held = {(r.task, r.g) for r in sent if r.ord < 0}
+    met = [tuple(sorted((r.g, m))) for r in sent for m in r.meets or [] if r.ord == 1]
+    assert all((r.task, m) in held for r in sent for m in r.meets or [])
+    assert sorted(met) == sorted((r.g, r.h) for r in pairs.collect()) and len(met) == 2016
+    assert sorted(r.g for r in sent if r.ord == 0) == sorted(r.g for r in blocks.collect())
+    assert sum(r.ord != 0 for r in sent) <= 64 * (covertree.SHARES + covertree.BUNDLES / 2 + 2)
+
+
 def test_op9(rows, docs):
     got = defaultdict(list)
     for r in suffix.digest(suffix.repeated_spans(docs)).collect():
