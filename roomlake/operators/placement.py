@@ -81,9 +81,30 @@ def compatibility_probes(d: Spark) -> str:
         where not (v.s * t.along > 1.5) and not (v.s * (t.ua - t.ub) > 0.03)"""
 
 
+ROOM_INSIDE = "p.nx - p.aw / 2 >= r.x_min and p.nx + p.aw / 2 <= r.x_max and p.ny - p.aw / 2 >= r.y_min and p.ny + p.aw / 2 <= r.y_max"
+CELL = 0.5  # width of the cells of a floor by which places and what may touch them meet
+
+
+@relation
+def touched_probes(d: Spark) -> str:
+    """Places inside the room that a third object touches: both are in all cells of the floor that they may reach, and a place leaves the join at the first that touches it."""
+    cell = lambda x: f"cast(floor(({x}) / {CELL}) as int)"
+    span = lambda c, half, low, high, n: f"explode(sequence({cell(f'greatest({c} - {half}, {low}) - 1e-6')}, {cell(f'least({c} + {half}, {high}) + 1e-6')})) as {n}"
+    places = f"select p.*, r.x_min, r.x_max, r.y_min, r.y_max from compatibility_probes p join rooms r on p.scene_id = r.scene_id where {ROOM_INSIDE}"
+    things = "select * from (select o.scene_id, o.id, o.cx, o.cy, greatest(o.width, o.length) / 2 as reach, r.x_min, r.x_max, r.y_min, r.y_max from solid o join rooms r on o.scene_id = r.scene_id) t where cx + reach >= x_min - 1e-6 and cx - reach <= x_max + 1e-6 and cy + reach >= y_min - 1e-6 and cy - reach <= y_max + 1e-6"
+    in_cells = lambda source, columns, x, y, half: f"select {columns}, kx, {span(y, half, 'y_min', 'y_max', 'ky')} from (select *, {span(x, half, 'x_min', 'x_max', 'kx')} from ({source}) s) t"
+    return f"""select distinct scene_id, cam, moved, target, side, extra from (select /*+ shuffle_hash(o) */ p.scene_id, p.cam, p.moved, p.target, p.side, p.extra
+        from ({in_cells(places, 'scene_id, cam, moved, target, side, extra, nx, ny, aw', 'nx', 'ny', 'aw / 2')}) p left semi join ({in_cells(things, 'scene_id, id, cx, cy, reach', 'cx', 'cy', 'reach')}) o
+        on o.scene_id = p.scene_id and o.kx = p.kx and o.ky = p.ky and o.id <> p.moved and o.id <> p.target and {g.norm('o.cx - p.nx', 'o.cy - p.ny')} < o.reach + p.aw / 2) a"""
+
+
 @relation
 def spatial_compatibility(d: Spark) -> str:
     """Whether an object can move to one side of another inside the room without touching a third: all ordered pairs of a view."""
+    if d.name == "spark":
+        return f"""select scene_id, cam, moved, target, side, case when max(case when inside and touched is null then 1 else 0 end) = 1 then 'Yes' else 'No' end as answer from (
+            select p.scene_id, p.cam, p.moved, p.target, p.side, {ROOM_INSIDE} as inside, t.extra as touched from compatibility_probes p join rooms r on p.scene_id = r.scene_id
+            left join touched_probes t on t.scene_id = p.scene_id and t.cam = p.cam and t.moved = p.moved and t.target = p.target and t.side = p.side and t.extra = p.extra) a group by scene_id, cam, moved, target, side"""
     return f"""select scene_id, cam, moved, target, side, case when max(case when inside and touched = 0 then 1 else 0 end) = 1 then 'Yes' else 'No' end as answer from (
         select p.scene_id, p.cam, p.moved, p.target, p.side, p.extra, p.nx - p.aw / 2 >= r.x_min and p.nx + p.aw / 2 <= r.x_max and p.ny - p.aw / 2 >= r.y_min and p.ny + p.aw / 2 <= r.y_max as inside,
         sum(case when o.id is null then 0 else 1 end) as touched from compatibility_probes p join rooms r on p.scene_id = r.scene_id

@@ -218,6 +218,26 @@ def test_crowds_block_points_once(spark, tiny):
     assert "ShuffledHashJoin" in plan and "LeftSemi" in plan
 
 
+def test_places_leave_at_the_first_that_touches(spark, tiny):
+    """Cells of the floor find what a comparison of every place with every object finds."""
+    rnd = np.random.default_rng(11)
+    sizes = [(float(w), float(n)) for w, n in rnd.choice([0.05, 0.2, 0.6, 1.5], (40, 2))]
+    boxes = {f"o{i}": (float(rnd.uniform(0.2, 3.8)), float(rnd.uniform(0.2, 3.8)), 0.0, *sizes[i], 0.4) for i in range(40)}
+    objects = spark.createDataFrame([("s", k, n, "box", *map(float, v), 0.0) for n, (k, v) in enumerate(boxes.items())], tiny["objects"].schema)
+    own = {"objects": objects, "cameras": tiny["cameras"], "rooms": tiny["rooms"]}
+    places = evaluate(spark, "compatibility_probes", {"min_visible": 0.0}, **own).collect()
+    room = tiny["rooms"].first()
+    want = set()
+    for p in places:
+        inside = p.nx - p.aw / 2 >= room.x_min and p.nx + p.aw / 2 <= room.x_max and p.ny - p.aw / 2 >= room.y_min and p.ny + p.aw / 2 <= room.y_max
+        if inside and any(k not in (p.moved, p.target) and np.hypot(v[0] - p.nx, v[1] - p.ny) < max(v[3], v[4]) / 2 + p.aw / 2 for k, v in boxes.items()):
+            want.add((p.cam, p.moved, p.target, p.side, p.extra))
+    found = evaluate(spark, "touched_probes", {"min_visible": 0.0}, **own)
+    assert {tuple(r)[1:] for r in found.collect()} == want and len(want) > 5
+    plan = evaluate(spark, "spatial_compatibility", {"min_visible": 0.0}, **own)._jdf.queryExecution().toString()
+    assert "LeftSemi" in plan and "ShuffledHashJoin" in plan
+
+
 def test_walls_by_hand(spark, tiny):
     """A wall along X, one along Y and an oblique one; a door that two rooms list."""
     walls = spark.createDataFrame([("s", "a", 0.0, 0.0, 4.0, 0.0, 2.5, 0.2, 2.0, 2.0), ("s", "b", 4.0, 0.0, 4.0, 4.0, 2.5, 0.2, 2.0, 2.0), ("s", "c", 0.0, 1.0, 1.0, 0.0, 2.5, 0.2, 2.0, 2.0)], "scene_id string, wall_id string, x0 double, y0 double, x1 double, y1 double, height double, thickness double, room_x double, room_y double")
