@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import RELATIONS, composed, evaluate, over_tables
@@ -66,12 +66,15 @@ def split_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.selectExpr("scene_id", "iid", "component", "points", "case when rn = 1 then iid else 1000 * (iid + 1) + rn end as new_iid")
 
 
-def _merged(spark: SparkSession, points: DataFrame) -> DataFrame:
-    """(scene_id, gid, iid): points with the instance that theirs is merged into, chains followed to their ends."""
+def _key(scene: str, iid: str, category: str) -> Column:
+    return F.concat_ws("/", scene, F.col(iid).cast("string"), category)
+
+
+def _chains(spark: SparkSession, points: DataFrame) -> DataFrame:
+    """(node, target, to): instances of points that are merged and where their chains end."""
     near = evaluate(spark, "spatial_merge", points=points)
-    key = lambda s, i, c: F.concat_ws("/", s, F.col(i).cast("string"), c)
     pick = Window.partitionBy("scene_id", "small", "category").orderBy(F.desc("share"), "large", "other")
-    links = near.withColumn("rn", F.row_number().over(pick)).filter("rn = 1").select(key("scene_id", "small", "category").alias("node"), key("scene_id", "large", "other").alias("target"), F.col("large").alias("to"))
+    links = near.withColumn("rn", F.row_number().over(pick)).filter("rn = 1").select(_key("scene_id", "small", "category").alias("node"), _key("scene_id", "large", "other").alias("target"), F.col("large").alias("to"))
     folder = f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}"
     now = written(links, f"{folder}/0")
     for i in range(1, 64):  # pointers double: chains of up to 2^63
@@ -80,12 +83,19 @@ def _merged(spark: SparkSession, points: DataFrame) -> DataFrame:
         now = after.select("node", "target", "to")
         if not after.filter("moved").limit(1).count():
             break
-    return points.withColumn("node", key("scene_id", "iid", "category")).join(now, "node", "left").select("scene_id", "gid", F.coalesce("to", "iid").alias("iid"))
+    return now
+
+
+def _merged(spark: SparkSession, points: DataFrame) -> DataFrame:
+    """(scene_id, gid, iid): points with the instance that theirs is merged into, chains followed to their ends."""
+    return points.withColumn("node", _key("scene_id", "iid", "category")).join(_chains(spark, points), "node", "left").select("scene_id", "gid", F.coalesce("to", "iid").alias("iid"))
 
 
 def merged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of every instance after instances nearly inside others are merged: (scene_id, iid, points)."""
-    return _merged(spark, over_tables(spark, sf_dir, "points")).groupBy("scene_id", "iid").agg(F.count("*").alias("points"))
+    points = over_tables(spark, sf_dir, "points")
+    instances = points.groupBy("scene_id", "iid", "category").agg(F.count("*").alias("n")).withColumn("node", _key("scene_id", "iid", "category"))
+    return instances.join(_chains(spark, points), "node", "left").groupBy("scene_id", F.coalesce("to", "iid").alias("iid")).agg(F.sum("n").alias("points"))
 
 
 def parts_of_masks(runs: DataFrame) -> DataFrame:

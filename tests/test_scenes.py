@@ -238,6 +238,19 @@ def test_places_leave_at_the_first_that_touches(spark, tiny):
     assert "LeftSemi" in plan and "ShuffledHashJoin" in plan
 
 
+def test_near_samples_by_hand(spark):
+    """Cells four times as wide find all near points, also on their borders, and each sampled point is in eight of them at most."""
+    rnd = np.random.default_rng(3)
+    at = np.concatenate([rnd.integers(0, 12, (300, 3)) * 0.05, rnd.uniform(-0.3, 0.3, (300, 3))]).round(3)
+    rows = [("s", i, float(x), float(y), float(z), i % 7, f"kind_{i % 3}") for i, (x, y, z) in enumerate(at)]
+    points = spark.createDataFrame(rows, "scene_id string, gid long, x double, y double, z double, iid long, category string")
+    near = ((at[:, None, :] - at[None, :, :]) ** 2).sum(axis=2) <= 0.05 * 0.05 + 1e-12
+    want = {(i, rows[i][5], rows[i][6], rows[j][5], rows[j][6]) for i, j in zip(*np.nonzero(near)) if rows[i][6] != rows[j][6]}
+    found = evaluate(spark, "near_samples", points=points)
+    assert {(r.gid, r.small, r.category, r.large, r.other) for r in found.collect()} == want and len(want) > 100
+    assert "ShuffledHashJoin" in found._jdf.queryExecution().toString()
+
+
 def test_walls_by_hand(spark, tiny):
     """A wall along X, one along Y and an oblique one; a door that two rooms list."""
     walls = spark.createDataFrame([("s", "a", 0.0, 0.0, 4.0, 0.0, 2.5, 0.2, 2.0, 2.0), ("s", "b", 4.0, 0.0, 4.0, 4.0, 2.5, 0.2, 2.0, 2.0), ("s", "c", 0.0, 1.0, 1.0, 0.0, 2.5, 0.2, 2.0, 2.0)], "scene_id string, wall_id string, x0 double, y0 double, x1 double, y1 double, height double, thickness double, room_x double, room_y double")
