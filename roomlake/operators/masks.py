@@ -164,6 +164,18 @@ def pixel_labels(d: Spark) -> str:
         select m.scene_id, m.cam, m.y, m.x0 + n.i as x, m.mask, m.score - case when m.ambiguous then 0.15 else 0 end as score from scored_masks m join {d.sequence(64, 'i')} n on m.x0 + n.i <= m.x1) a where score >= 0.35) b where rn = 1"""
 
 
+@relation
+def pixel_segments(d: Spark) -> str:
+    """pixel_labels as runs between ends of masks: all pixels of such a run have the same masks."""
+    runs = "(select scene_id, cam, y, x0, x1, mask, round(score, 9) as score from (select scene_id, cam, y, x0, x1, mask, score - case when ambiguous then 0.15 else 0 end as score from scored_masks) a where score >= 0.35 and x0 <= x1)"
+    line = "partition by scene_id, cam, y order by x"
+    return f"""select scene_id, cam, y, x0, x1, max_by(mask, struct(score, -mask)) as mask from (
+        select s.scene_id, s.cam, s.y, s.x0, s.x1, r.mask, r.score from (select scene_id, cam, y, x as x0, lead(x) over ({line}) - 1 as x1 from (select distinct scene_id, cam, y, explode(array(x0, x1 + 1)) as x from {runs} e) f) s
+        join {runs} r on r.scene_id = s.scene_id and r.cam = s.cam and r.y = s.y and r.x0 <= s.x0 and s.x1 <= r.x1) t group by scene_id, cam, y, x0, x1"""
+
+
 @relation
 def mask_argmax(d: Spark) -> str:
+    if d.name == "spark":  # no pixels are made
+        return "select scene_id, cam, mask, cast(sum(x1 - x0 + 1) as bigint) as px, min(x0) as x0, max(x1) as x1 from pixel_segments group by scene_id, cam, mask"
     return "select scene_id, cam, mask, count(*) as px, min(x) as x0, max(x) as x1 from pixel_labels group by scene_id, cam, mask"

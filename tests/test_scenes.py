@@ -251,6 +251,21 @@ def test_near_samples_by_hand(spark):
     assert "ShuffledHashJoin" in found._jdf.queryExecution().toString()
 
 
+def test_wide_masks_keep_all_pixels(spark):
+    """Masks of more than 64 pixels in a row; the better mask wins where two meet."""
+    runs = spark.createDataFrame([("s", "cam_0", 5, 0, 150, 1), ("s", "cam_0", 5, 151, 300, 2), ("s", "cam_0", 6, 10, 20, 4)], "scene_id string, cam string, y long, x0 long, x1 long, iid long")
+    pixels: dict[tuple, tuple] = {}
+    for r in evaluate(spark, "scored_masks", mask_runs=runs).collect():
+        score = round(r.score - (0.15 if r.ambiguous else 0), 9)
+        for x in range(r.x0, r.x1 + 1) if score >= 0.35 else ():
+            pixels[r.y, x] = max(pixels.get((r.y, x), (-1.0, 0)), (score, -r.mask))
+    want = {}
+    for (_, x), (_, mask) in pixels.items():
+        n, low, high = want.get(-mask, (0, 999, -1))
+        want[-mask] = (n + 1, min(low, x), max(high, x))
+    assert {r.mask: (r.px, r.x0, r.x1) for r in evaluate(spark, "mask_argmax", mask_runs=runs).collect()} == want
+
+
 def test_walls_by_hand(spark, tiny):
     """A wall along X, one along Y and an oblique one; a door that two rooms list."""
     walls = spark.createDataFrame([("s", "a", 0.0, 0.0, 4.0, 0.0, 2.5, 0.2, 2.0, 2.0), ("s", "b", 4.0, 0.0, 4.0, 4.0, 2.5, 0.2, 2.0, 2.0), ("s", "c", 0.0, 1.0, 1.0, 0.0, 2.5, 0.2, 2.0, 2.0)], "scene_id string, wall_id string, x0 double, y0 double, x1 double, y1 double, height double, thickness double, room_x double, room_y double")
