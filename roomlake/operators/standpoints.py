@@ -12,6 +12,7 @@ from ..plans.catalog import over_tables
 
 # Heights over the floor, part of the hull, least distance and most alike direction, field of view.
 HEIGHTS, HULL, APART, ALIKE, FOV = (0.7, 1.75), 0.7, 0.3, 0.85, 82.0
+PAIRS = 1 << 20  # pairs of objects that are looked at at once, so that a scene's objects need memory in proportion to their number
 COUNT = 64  # cameras of a scene; five times as many are drawn at most
 
 
@@ -69,7 +70,8 @@ def best_target(place: np.ndarray, middles: np.ndarray, draw: Draws) -> np.ndarr
         return None
     one = classes[int(draw() * len(classes))]
     unit = to[ok] / far[ok, None]
-    seen = ((to[one] / far[one, None]) @ unit.T >= np.cos(np.radians(FOV / 2))).sum(axis=1)
+    ahead, rows = to[one] / far[one, None], max(1, PAIRS // len(ok))
+    seen = np.concatenate([(ahead[i : i + rows] @ unit.T >= np.cos(np.radians(FOV / 2))).sum(axis=1) for i in range(0, len(one), rows)])
     x, y, z = middles[one[int(seen.argmax())]]
     return np.array([x + 0.05 * draw.normal(), y + 0.05 * draw.normal(), max(place[2] - 1.0, min(z, place[2] - 0.1)) + 0.02 * draw.normal()])
 

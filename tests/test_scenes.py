@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -266,6 +267,16 @@ def test_wide_masks_keep_all_pixels(spark):
     assert {r.mask: (r.px, r.x0, r.x1) for r in evaluate(spark, "mask_argmax", mask_runs=runs).collect()} == want
 
 
+def test_targets_need_little_memory():
+    """A scene of 6,000 objects: their pairs are looked at in parts."""
+    middles = np.random.default_rng(1).uniform(0, 8, (6000, 3))
+    tracemalloc.start()
+    standpoints.best_target(np.array([4.0, 4.0, 1.5]), middles, standpoints.Draws("s"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+
+
 def test_walls_by_hand(spark, tiny):
     """A wall along X, one along Y and an oblique one; a door that two rooms list."""
     walls = spark.createDataFrame([("s", "a", 0.0, 0.0, 4.0, 0.0, 2.5, 0.2, 2.0, 2.0), ("s", "b", 4.0, 0.0, 4.0, 4.0, 2.5, 0.2, 2.0, 2.0), ("s", "c", 0.0, 1.0, 1.0, 0.0, 2.5, 0.2, 2.0, 2.0)], "scene_id string, wall_id string, x0 double, y0 double, x1 double, y1 double, height double, thickness double, room_x double, room_y double")
