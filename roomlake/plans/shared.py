@@ -41,6 +41,12 @@ def state(spark: SparkSession, paths: list[str]) -> tuple:
     return tuple(found)
 
 
+def length(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of files and folders."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    return sum(path.getFileSystem(conf).getContentSummary(path).getLength() for path in map(jvm.org.apache.hadoop.fs.Path, paths))
+
+
 def once(spark: SparkSession, name: str, paths: list[str], make) -> DataFrame:
     """The table ``name`` over the files ``paths``: ``make()``, written the first time it is asked for."""
     key = (spark.sparkContext.applicationId, name, state(spark, paths))

@@ -11,6 +11,7 @@ import pytest
 
 from roomlake import queries
 from roomlake.operators import graph, standpoints
+from roomlake.plans import catalog
 from roomlake.plans.catalog import TABLES, composed, evaluate, over_tables
 from roomlake.plans.dialect import SPARK
 from roomlake.sources import files
@@ -267,6 +268,15 @@ def test_wide_masks_keep_all_pixels(spark):
     assert {r.mask: (r.px, r.x0, r.x1) for r in evaluate(spark, "mask_argmax", mask_runs=runs).collect()} == want
 
 
+def test_partitions_follow_the_sources(spark):
+    """Shuffles begin with a partition for each megabyte of the sources, and hints ask for as many."""
+    copy = catalog.planner(spark)
+    assert catalog._tasks(copy, "repartition(64, a)", 100 << 20) == "repartition(100, a)"
+    assert copy.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "100"
+    assert catalog._tasks(copy, "repartition(64, a)", 0) == f"repartition({max(2 * spark.sparkContext.defaultParallelism, 4)}, a)"
+    assert copy.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum") == "4"
+
+
 def test_targets_need_little_memory():
     """A scene of 6,000 objects: their pairs are looked at in parts."""
     middles = np.random.default_rng(1).uniform(0, 8, (6000, 3))
