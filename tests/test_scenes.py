@@ -559,3 +559,30 @@ def test_meshes_turn_about_x_then_y_then_z(spark):
             want.add((id_, *(float(v) for v in np.round(turn("z", rz) @ turn("y", ry) @ turn("x", rx) @ np.array(corner) + (x, y, z), 5) + 0.0)))
     assert {(r.id, *(round(v, 5) + 0.0 for v in (r.x, r.y, r.z))) for r in evaluate(spark, "mesh_corners", **given).collect()} == want
     assert rows(evaluate(spark, "mesh_bounds", **given), "id", "x_min", "y_min", "z_min", "x_max", "y_max", "z_max")[1] == ("b", -2.0, -1.0, 0.0, 2.0, 1.0, 1.0)
+
+
+def scans(df, column):
+    """How often a plan reads what holds a column."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(column in leaves.apply(i).toString() for i in range(leaves.size()))
+
+
+def test_points_tell_their_cells_masks(spark):
+    """Points are read once; a depth image and masks that are given count as before."""
+    import random
+
+    rnd = random.Random(3)
+    points = [("s", g, rnd.choice((None, 1, 2, 3)), 0, rnd.randrange(0, 40), rnd.randrange(0, 40), rnd.choice((1.0, 1.1, 1.2, 2.0))) for g in range(200)]
+    frame = spark.createDataFrame(points, "scene_id string, gid long, iid long, view long, px int, py int, depth double")
+    nearest = {}
+    for _, _, i, _, x, y, z in points:
+        nearest.setdefault((x // 16, y // 16), []).append((z, i is None, i))
+    nearest = {c: min(v, key=lambda t: (t[0], t[1], t[2] or 0)) for c, v in nearest.items()}
+    want = sorted((g, nearest[x // 16, y // 16][2]) for _, g, _, _, x, y, z in points if abs(z - (m := nearest[x // 16, y // 16][0])) / m < 0.15)
+    assert sorted((r.gid, r.iid) for r in evaluate(spark, "point_mask", projected_points=frame).collect()) == want
+    assert {(r.cx, r.cy): r.iid for r in evaluate(spark, "backprojected", projected_points=frame).collect()} == {c: m[2] for c, m in nearest.items()}
+    given = {"projected_points": frame.filter("px < 16 and py < 16"), "depth_cells": spark.sql("select 's' as scene_id, 0L as view, 0 as cx, 0 as cy, 2.0D as depth"), "mask_cells_of_views": spark.sql("select 's' as scene_id, 0L as view, 0 as cy, 0 as cx0, 80 as cx1, 9L as iid")}
+    assert {r.iid for r in evaluate(spark, "point_mask", **given).collect()} == {9}
+    assert [(r.iid, r.z) for r in evaluate(spark, "backprojected", **given).collect()] == [(9, 2.16)]
+    for name in ("point_mask", "backprojected"):
+        assert scans(over_tables(spark, SF, name), "l_orderkey") == 1
