@@ -586,3 +586,18 @@ def test_points_tell_their_cells_masks(spark):
     assert [(r.iid, r.z) for r in evaluate(spark, "backprojected", **given).collect()] == [(9, 2.16)]
     for name in ("point_mask", "backprojected"):
         assert scans(over_tables(spark, SF, name), "l_orderkey") == 1
+
+
+def test_voxels_meet_by_blocks(spark):
+    """Every pair of neighbours once, also over the ends of blocks and below zero; voxels are in one or two blocks along an axis, not in thirteen places."""
+    import random
+
+    rnd = random.Random(7)
+    found = {(i, *(rnd.randrange(-10, 11) for _ in "xyz")) for i in (1, 2) for _ in range(1500)}
+    at = {v: n for n, v in enumerate(sorted(found))}
+    frame = spark.createDataFrame([("s", *v, 1, n) for v, n in at.items()], "scene_id string, iid long, vx long, vy long, vz long, n long, first_point long")
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=3) if s > (0, 0, 0)]
+    want = sorted((i, *sorted((n, m))) for (i, x, y, z), n in at.items() for a, b, c in steps if (m := at.get((i, x + a, y + b, z + c))) is not None)
+    got = evaluate(spark, "voxel_neighbours", voxels=frame)
+    assert rows(got, "iid", "a", "b") == want
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
