@@ -17,13 +17,18 @@ MERGE_ROUNDS = 3
 
 
 def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over ``edges`` (a, b); repeated nodes count once.
+    """(node, component): the smallest node reachable over ``edges`` (a, b); repeated nodes count once."""
+    labels = _labels(edges)
+    return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """(node, label) of the nodes that have edges: the smallest node reachable.
 
     Each round takes the smallest label of the neighbours and then the label of that label, so long
-    chains halve; a round is a written table in the folder of spark.checkpoint.dir.  Only nodes with
-    edges take part, the others are components of their own.
+    chains halve; a round is a written table in the folder of spark.checkpoint.dir.
     """
-    spark = nodes.sparkSession
+    spark = edges.sparkSession
     folder = f"{shared_dir(spark)}/components-{uuid.uuid4().hex}"
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), f"{folder}/edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), f"{folder}/labels0")
@@ -38,7 +43,7 @@ def label_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+    return labels
 
 
 def components_of(voxels: DataFrame) -> DataFrame:
@@ -49,8 +54,8 @@ def components_of(voxels: DataFrame) -> DataFrame:
     keyed = voxels.withColumnRenamed("first_point", "least").withColumn("first_point", F.monotonically_increasing_id())
     keyed = written(keyed, f"{shared_dir(voxels.sparkSession)}/voxels-{uuid.uuid4().hex}")
     edges = evaluate(keyed.sparkSession, "voxel_neighbours", voxels=keyed)
-    found = label_components(keyed.select(F.col("first_point").alias("node")), edges)
-    parts = keyed.join(found, keyed.first_point == found.node).groupBy("scene_id", "iid", F.col("component").alias("part"))
+    labels = _labels(edges)
+    parts = keyed.join(labels, keyed.first_point == labels.node, "left").groupBy("scene_id", "iid", F.coalesce("label", "first_point").alias("part"))
     return parts.agg(F.min("least").alias("component"), F.count("*").alias("voxels"), F.sum("n").alias("points")).select("scene_id", "iid", "component", "voxels", "points")
 
 
