@@ -71,7 +71,13 @@ def merged_names(d: Spark) -> str:
 
 @relation
 def mask_cells(d: Spark) -> str:
-    """Pixels of each cell of a 20 x 20 grid of a view, empty cells too."""
+    """Pixels of each cell of a 20 x 20 grid of a view, empty cells too; the engine reads the runs once and adds each view's empty grid."""
+    if d.name == "spark":
+        grid = "flatten(transform(sequence(0L, 19L), i -> transform(sequence(0L, 19L), j -> struct(i as cy, j as cx, 0L as px))))"
+        return f"""select scene_id, cam, c.cy, c.cx, sum(c.px) as px from (select scene_id, cam, explode(concat(cells, {grid})) as c from (
+            select scene_id, cam, collect_list(case when cy between 0 and 19 and cx between 0 and 19 and px > 0 then struct(cy, cx, px) end) as cells from (
+            select scene_id, cam, cast(floor(y / {HEIGHT / 20}) as bigint) as cy, cast(floor((x0 + x1) / 2 / {WIDTH / 20}) as bigint) as cx, sum(case when x1 >= x0 then cast(x1 - x0 + 1 as bigint) else 0L end) as px
+            from mask_runs group by 1, 2, 3, 4) a group by scene_id, cam) b) e group by scene_id, cam, c.cy, c.cx"""
     return f"""select c.scene_id, c.cam, i.i as cy, j.j as cx, coalesce(m.px, 0) as px from (select distinct scene_id, cam from mask_runs) c cross join {d.sequence(20, 'i')} i cross join {d.sequence(20, 'j')} j
         left join (select scene_id, cam, cast(floor(y / {HEIGHT / 20}) as int) as cy, cast(floor((x0 + x1) / 2 / {WIDTH / 20}) as int) as cx, sum(x1 - x0 + 1) as px from mask_runs where x1 >= x0 group by 1, 2, 3, 4) m on m.scene_id = c.scene_id and m.cam = c.cam and m.cy = i.i and m.cx = j.j"""
 

@@ -38,7 +38,16 @@ def _scene(key: str) -> str:
 
 @relation
 def mask_runs(d: Spark) -> str:
-    """Runs of pixels of instances in views; where runs overlap in a row the first in line wins."""
+    """Runs of pixels of instances in views; where runs overlap in a row the first in line wins.
+
+    The engine deals views out once and goes through a view's rows in line; what comes after keeps a view's runs together.
+    """
+    if d.name == "spark":
+        line = "over (partition by scene_id, cam order by y, x0, quantity desc, iid)"
+        return f"""select scene_id, cam, y, x0, least(x0 + cast(quantity as int), coalesce(case when lead(y) {line} <=> y then lead(x0) {line} end - 1, 319)) as x1, iid from (
+            select *, lag(true) {line} is null or not (lag(y) {line} <=> y and lag(x0) {line} <=> x0) as first_there from (
+            select /*+ repartition(64, scene_id, cam) */ {_scene('l_orderkey')} as scene_id, case when l_suppkey % 97 = 96 then 'cam_9' else concat('cam_', cast(l_suppkey % 8 as string)) end as cam, l_orderkey % 200 as y, l_partkey % 280 as x0, l_quantity as quantity,
+            (l_partkey + 3 * l_linenumber + l_suppkey) % 20 as iid from lineitem) a) b where first_there"""
     return f"""select scene_id, cam, y, x0, least(x0 + cast(quantity as int), coalesce(lead(x0) over (partition by scene_id, cam, y order by x0) - 1, 319)) as x1, iid from (
         select scene_id, cam, y, x0, quantity, iid, row_number() over (partition by scene_id, cam, y, x0 order by quantity desc, iid, l_orderkey, l_linenumber) as rn from (
         select {_scene('l_orderkey')} as scene_id, case when l_suppkey % 97 = 96 then 'cam_9' else concat('cam_', cast(l_suppkey % 8 as string)) end as cam, l_orderkey % 200 as y, l_partkey % 280 as x0, l_quantity as quantity,

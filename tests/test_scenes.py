@@ -601,3 +601,14 @@ def test_voxels_meet_by_blocks(spark):
     got = evaluate(spark, "voxel_neighbours", voxels=frame)
     assert rows(got, "iid", "a", "b") == want
     assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_of_masks_are_dealt_out_once(spark):
+    """Of runs that begin at one pixel the longest counts, of equal ones the smaller instance; a row ends where the next run begins."""
+    lines = [(1, 10, 8, 1, 5.0), (1, 10, 8, 2, 9.0), (1, 13, 8, 3, 4.0), (201, 10, 0, 1, 9.0), (2, 12, 8, 1, 3.0), (2, 300, 8, 2, 50.0), (3, 279, 8, 1, 50.0)]
+    frame = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    want = [("cam_0", 1, 10, 12, 2), ("cam_0", 1, 13, 17, 10), ("cam_0", 2, 12, 15, 3), ("cam_0", 2, 20, 70, 14), ("cam_0", 3, 279, 319, 10)]
+    want[0] = ("cam_0", 1, 10, 12, min((10 + 3 * 2 + 8) % 20, (10 + 3 * 1 + 0) % 20))
+    assert rows(evaluate(spark, "mask_runs", lineitem=frame), "cam", "y", "x0", "x1", "iid") == want
+    for name in ("eroded_cells", "integral_image", "remapped_masks"):
+        assert scans(over_tables(spark, SF, name), "l_orderkey") == 1
