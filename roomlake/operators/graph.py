@@ -103,17 +103,27 @@ def merged_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instances.join(_chains(spark, points), "node", "left").groupBy("scene_id", F.coalesce("to", "iid").alias("iid")).agg(F.sum("n").alias("points"))
 
 
+MASK = ["scene_id", "cam", "iid"]
+
+
+def _numbered_parts(runs: DataFrame) -> DataFrame:
+    """Runs (scene_id, cam, iid, y, x0, x1) with their ``line`` in their mask, the mask's number and the ``component`` they are in, dealt out by mask.
+
+    Runs meet by their row and the next; they are numbered, so that what touches need not be looked up again.
+    """
+    line = Window.partitionBy(*MASK).orderBy("y", "x0")
+    runs = runs.filter("x1 >= x0 and iid > 0").select(*MASK, "y", "x0", "x1", F.monotonically_increasing_id().alias("node"))
+    runs = runs.withColumn("line", F.row_number().over(line)).withColumn("mask", F.first("node").over(line))
+    keyed = written(runs, f"{shared_dir(runs.sparkSession)}/runs-{uuid.uuid4().hex}")
+    upper = keyed.select("mask", F.col("x0").alias("xa"), F.col("x1").alias("za"), F.col("node").alias("a"), F.posexplode(F.array(F.col("y"), F.col("y") + 1)).alias("down", "y"))
+    lower = keyed.select("mask", "y", F.col("x0").alias("xb"), F.col("x1").alias("zb"), F.col("node").alias("b"))
+    edges = upper.join(lower, ["mask", "y"]).filter("case when down = 1 then xa <= zb and xb <= za else za + 1 = xb end").select("a", "b")
+    return keyed.join(_labels(edges), "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label", "node").repartition("mask")
+
+
 def parts_of_masks(runs: DataFrame) -> DataFrame:
     """Runs (scene_id, cam, iid, y, x0, x1) with ``part``: the number of the connected part of their mask they are in, its first in line."""
-    mask = Window.partitionBy("scene_id", "cam", "iid").orderBy("y", "x0")
-    runs = runs.filter("x1 >= x0 and iid > 0").select("scene_id", "cam", "iid", "y", "x0", "x1").withColumn("line", F.row_number().over(mask))
-    keyed = written(runs.withColumn("node", F.monotonically_increasing_id()), f"{shared_dir(runs.sparkSession)}/runs-{uuid.uuid4().hex}")
-    touch = evaluate(keyed.sparkSession, "touching_runs", mask_runs=keyed)
-    own = ["scene_id", "cam", "iid"]
-    node = lambda y, x, name: keyed.select(*own, F.col("y").alias(y), F.col("x0").alias(x), F.col("node").alias(name))
-    edges = touch.join(node("ya", "xa", "a"), [*own, "ya", "xa"]).join(node("yb", "xb", "b"), [*own, "yb", "xb"]).select("a", "b")
-    found = label_components(keyed.select("node"), edges)
-    return keyed.join(found, "node").withColumn("part", F.min("line").over(Window.partitionBy(*own, "component"))).select(*own, "y", "x0", "x1", "part")
+    return _numbered_parts(runs).withColumn("part", F.min("line").over(Window.partitionBy("mask", "component"))).select(*MASK, "y", "x0", "x1", "part")
 
 
 def mask_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,20 +132,23 @@ def mask_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     The middle is the mean pixel, cut to whole numbers; if the mask does not hold it, the part's nearest pixel
     is taken, the first in line of several.  Of parts of one size the first in line counts.
     """
-    own = ["scene_id", "cam", "iid"]
-    runs = parts_of_masks(over_tables(spark, sf_dir, "mask_runs"))
-    runs = written(runs, f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}")
-    size = F.col("x1") - F.col("x0") + 1
-    parts = runs.groupBy(*own, "part").agg(F.sum(size).alias("part_px"), F.sum((F.col("x0") + F.col("x1")) * size).alias("xx"), F.sum(F.col("y") * size).alias("yy"))
-    largest = parts.groupBy(*own).agg(F.max_by(F.struct("part", "part_px", "xx", "yy"), F.struct("part_px", -F.col("part"))).alias("p")).select(*own, "p.part", "p.part_px", F.expr("cast(p.xx div (2 * p.part_px) as int)").alias("mx"), F.expr("cast(p.yy div p.part_px as int)").alias("my"))
-    met = runs.withColumnRenamed("part", "of").join(largest, own)
+    return middles_of(over_tables(spark, sf_dir, "mask_runs"))
+
+
+def middles_of(runs: DataFrame) -> DataFrame:
+    """mask_middles of runs; a mask's parts are measured and compared in one pass over its runs."""
+    part, size = Window.partitionBy("mask", "component"), F.col("x1") - F.col("x0") + 1
+    sums = {"part": F.min("line"), "part_px": F.sum(size), "xx": F.sum((F.col("x0") + F.col("x1")) * size), "yy": F.sum(F.col("y") * size)}
+    parts = _numbered_parts(runs).select("*", *(total.over(part).alias(name) for name, total in sums.items()))
+    largest = F.max_by(F.struct("part", "part_px", "xx", "yy"), F.struct("part_px", -F.col("part"))).over(Window.partitionBy("mask"))
+    met = parts.withColumn("p", largest).select("mask", *MASK, "y", "x0", "x1", F.col("part").alias("of"), "p.part", "p.part_px", F.expr("cast(p.xx div (2 * p.part_px) as int)").alias("mx"), F.expr("cast(p.yy div p.part_px as int)").alias("my"))
     on = F.max((F.col("y") == F.col("my")) & F.col("mx").between(F.col("x0"), F.col("x1"))).alias("on_mask")
     near = F.greatest("x0", F.least("mx", "x1"))
     far = (F.col("y") - F.col("my")) * (F.col("y") - F.col("my")) + (near - F.col("mx")) * (near - F.col("mx"))
     first = F.min(F.when(F.col("of") == F.col("part"), F.struct(far.alias("far"), F.col("y").alias("y"), near.alias("x")))).alias("nearest")
-    out = met.groupBy(*own, "part_px", "mx", "my").agg(on, first)
+    out = met.groupBy("mask", *MASK, "part_px", "mx", "my").agg(on, first)
     pick = lambda own_, other: F.when(F.col("on_mask"), F.col(own_)).otherwise(F.col(other)).cast("int")
-    return out.select(*own, "part_px", pick("mx", "nearest.x").alias("x"), pick("my", "nearest.y").alias("y"), (~F.col("on_mask")).alias("snapped"))
+    return out.select(*MASK, "part_px", pick("mx", "nearest.x").alias("x"), pick("my", "nearest.y").alias("y"), (~F.col("on_mask")).alias("snapped"))
 
 
 def first_matches(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

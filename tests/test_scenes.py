@@ -612,3 +612,33 @@ def test_runs_of_masks_are_dealt_out_once(spark):
     assert rows(evaluate(spark, "mask_runs", lineitem=frame), "cam", "y", "x0", "x1", "iid") == want
     for name in ("eroded_cells", "integral_image", "remapped_masks"):
         assert scans(over_tables(spark, SF, name), "l_orderkey") == 1
+
+
+def test_middles_of_random_masks(spark):
+    """The largest part's middle against a flood fill of the image; runs that were cut in two touch side by side."""
+    rnd = np.random.default_rng(11)
+    runs, want = [], {}
+    for cam in range(12):
+        image = rnd.random((9, 14)) < 0.5
+        for y, row in enumerate(image):
+            for a, b in np.flatnonzero(np.diff(np.pad(row, 1).astype(np.int8))).reshape(-1, 2):
+                cut = (a + b) // 2 if b - a > 3 else b
+                runs += [("s", f"c{cam}", y, int(p), int(q) - 1, 1) for p, q in ((a, cut), (cut, b)) if q > p]
+        pixels, parts = {(int(y), int(x)) for y, x in np.argwhere(image)}, []
+        for at in sorted(pixels):
+            if any(at in p for p in parts):
+                continue
+            part, todo = {at}, [at]
+            while todo:
+                y, x = todo.pop()
+                for n in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                    if n in pixels and n not in part:
+                        part.add(n)
+                        todo.append(n)
+            parts.append(part)
+        best = max(parts, key=len)
+        my, mx = (sum(p[k] for p in best) // len(best) for k in (0, 1))
+        y, x = (my, mx) if (my, mx) in pixels else min(best, key=lambda p: ((p[0] - my) ** 2 + (p[1] - mx) ** 2, p))
+        want[f"c{cam}"] = (len(best), x, y, (my, mx) not in pixels)
+    frame = spark.createDataFrame(runs, "scene_id string, cam string, y int, x0 int, x1 int, iid int")
+    assert {r.cam: (r.part_px, r.x, r.y, r.snapped) for r in graph.middles_of(frame).collect()} == want
