@@ -642,3 +642,19 @@ def test_middles_of_random_masks(spark):
         want[f"c{cam}"] = (len(best), x, y, (my, mx) not in pixels)
     frame = spark.createDataFrame(runs, "scene_id string, cam string, y int, x0 int, x1 int, iid int")
     assert {r.cam: (r.part_px, r.x, r.y, r.snapped) for r in graph.middles_of(frame).collect()} == want
+
+
+def test_targets_by_cells_of_directions(spark):
+    """Cells wholly inside the field of view count at once; the counts are those of all pairs, directions that are no numbers among them."""
+    rnd = np.random.default_rng(2)
+    at = np.abs(rnd.normal(size=(600, 3)))
+    at /= np.linalg.norm(at, axis=1)[:, None]
+    at[7] = np.nan
+    kinds = [("near", "mid", "far")[i % 3] for i in range(len(at))]
+    lines = [("s", "c", f"o{i}", i, float(i), 1.0, 1.5, 2.0, *map(float, t), k) for i, (t, k) in enumerate(zip(at, kinds))]
+    frame = spark.createDataFrame(lines, "scene_id string, cam string, id string, ord long, cx double, cy double, cz double, pz double, tx double, ty double, tz double, class string")
+    n = (~(at @ at.T < round(np.cos(np.radians(41)), 12) - 1e-9)).sum(axis=1)
+    best = {k: min((i for i in range(len(at)) if kinds[i] == k), key=lambda i: (-n[i], i)) for k in ("near", "mid", "far")}
+    assert {r["class"]: (r.id, r.n) for r in evaluate(spark, "look_targets", directions=frame).collect()} == {k: (f"o{i}", n[i]) for k, i in best.items()}
+    cells = evaluate(spark, "direction_cells", directions=frame)
+    assert cells.count() < 600 and sum(r.n for r in cells.collect()) == 600
