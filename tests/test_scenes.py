@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from roomlake import queries
-from roomlake.operators import graph, standpoints
+from roomlake.operators import graph, records, standpoints
 from roomlake.plans import catalog
 from roomlake.plans.catalog import TABLES, composed, evaluate, over_tables
 from roomlake.plans.dialect import SPARK
@@ -658,3 +658,44 @@ def test_targets_by_cells_of_directions(spark):
     assert {r["class"]: (r.id, r.n) for r in evaluate(spark, "look_targets", directions=frame).collect()} == {k: (f"o{i}", n[i]) for k, i in best.items()}
     cells = evaluate(spark, "direction_cells", directions=frame)
     assert cells.count() < 600 and sum(r.n for r in cells.collect()) == 600
+
+
+def test_records_of_two_masks_by_hand(spark):
+    """Three views, one with a slash in its name, thirteen masks: each wording, answer and pair of views once, with three wrong choices by hash."""
+    views = ("cam_0", "cam_1", "x/cam_1")
+    masks = [("s", c, i, 300, 2 * 300 * (20 + 37 * ((i * 3 + k) % 7)), 300 * (10 + 23 * ((i * 5 + k) % 6))) for k, c in enumerate(views) for i in range(1, 14) if (i + k) % 5]
+    frame = spark.createDataFrame(masks, "scene_id string, cam string, iid bigint, px bigint, twice_x bigint, sum_y bigint")
+    pairs = evaluate(spark, "mask_pairs", mask_sums=frame)
+    at = {(c, i): (x / 600 / 320, y / 300 / 200) for _, c, i, _, x, y in masks}
+    md5 = lambda *x: hashlib.md5("".join(x).encode()).hexdigest()
+    number, wordings = next((t[0], t[8]) for t in records.TYPES if t[1] == "object_object_mv")
+    every, pool = {}, records.pools()
+    for ca, cb in itertools.product(views, repeat=2):
+        for i, j in itertools.combinations(range(1, 14), 2):
+            if ca < cb and {(ca, i), (cb, i), (ca, j), (cb, j)} <= set(at):
+                (u, v), (w, z) = at[cb, i], at[cb, j]
+                if abs(u - w) > 0.03 and abs(v - z) > 0.03:
+                    apart = ((u - w) ** 2 + (v - z) ** 2) ** 0.5
+                    every[ca, cb, i, j] = f"{'right' if u > w else 'left'}, {'above' if v < z else 'below'}" + (", near" if apart < 0.1 else ", far" if apart > 0.2 else "")
+    assert {(r.cam_a, r.cam_b, r.id_a, r.id_b): r.answer for r in pairs.collect()} == every
+    best = {}
+    for (ca, cb, i, j), answer in every.items():
+        key = f"object_object_mv/s/{ca}/{cb}////{i} {j}"
+        question = wordings[(int(md5(key)[-8:], 16) & 2147483647) % 3]
+        best[question + answer + ca + "/" + cb] = min(best.get(question + answer + ca + "/" + cb, ("z",)), (md5(key), key, ca, cb, question, answer))
+    want = set()
+    for _, key, ca, cb, question, answer in best.values():
+        wrong = sorted((c for p, c in pool if p == ("far_sides" if answer.count(",") == 2 else "mv_sides") and c != answer), key=lambda c: md5(key, c))[:3]
+        line = sorted([*wrong, answer], key=lambda c: md5("order", key, c))
+        want.add((number, ca, cb, question, "|".join(f"{'ABCD'[k]}. {c}" for k, c in enumerate(line)), "ABCD"[line.index(answer)], answer))
+    got = rows(evaluate(spark, "paired_records", mask_sums=frame), "number", "cam", "cam_b", "question", "choices", "letter", "answer")
+    assert len(got) == len(want) < len(every) and set(got) == want
+
+
+def test_what_points_at_objects_makes_no_answers_of_masks():
+    """Neither places in the image nor second views need the questions on two masks, and no query writes them all before it chooses."""
+    for name in ("hull_runs", "answer_masks", "answer_points", "point_answers", "context_views", "placement_views", "question_objects"):
+        text = composed(name, SPARK)
+        assert "mask_sums as (" not in text and "keyed_answers as (" not in text, name
+    for name in ("question_records", "type_counts"):
+        assert "keyed_answers as (" not in composed(name, SPARK)
