@@ -105,16 +105,21 @@ def frustum_filter(d: Spark) -> str:
     return "select scene_id, cam, id from frustum"
 
 
-@relation
-def box_corners(d: Spark) -> str:
-    """The eight corners of every box in every view; a missing or zero side counts as 0.3 m."""
+def corners(source: str, more: str = "") -> str:
+    """The eight corners of the boxes of rows of cam_obj."""
     w, l, h = (f"coalesce(nullif({x}, 0), 0.3) / 2" for x in ("width", "length", "height"))
     at = ("cx + i * hw - px", "cy + j * hl - py", "cz + k * hh - pz")
-    return f"""select scene_id, cam, kind, id, base_type, label, tan_h, (i + 1) * 2 + (j + 1) + cast((k + 1) / 2 as int) as k, {g.dot(at, ('fx', 'fy', 'fz'))} as ahead, {g.dot(at[:2], ('rx', 'ry'))} as side, {g.dot(at, ('ux', 'uy', 'uz'))} as rise from (
-        select o.*, c.i, c.j, c.k, {w} as hw, {l} as hl, {h} as hh from cam_obj o
+    return f"""select scene_id, cam, kind, id, base_type, label, tan_h, {more}(i + 1) * 2 + (j + 1) + cast((k + 1) / 2 as int) as k, {g.dot(at, ('fx', 'fy', 'fz'))} as ahead, {g.dot(at[:2], ('rx', 'ry'))} as side, {g.dot(at, ('ux', 'uy', 'uz'))} as rise from (
+        select o.*, c.i, c.j, c.k, {w} as hw, {l} as hl, {h} as hh from {source} o
         cross join (values (-1, -1, -1), (-1, -1, 1), (-1, 1, -1), (-1, 1, 1), (1, -1, -1), (1, -1, 1), (1, 1, -1), (1, 1, 1)) as c(i, j, k)) a"""
 
 
+@relation
+def box_corners(d: Spark) -> str:
+    """The eight corners of every box in every view; a missing or zero side counts as 0.3 m."""
+    return corners("cam_obj")
+
+
 @relation
 def bbox2d_raw(d: Spark) -> str:
     """Boxes in thousandths of the image; nothing where a corner is behind the camera."""

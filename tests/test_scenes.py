@@ -699,3 +699,27 @@ def test_what_points_at_objects_makes_no_answers_of_masks():
         assert "mask_sums as (" not in text and "keyed_answers as (" not in text, name
     for name in ("question_records", "type_counts"):
         assert "keyed_answers as (" not in composed(name, SPARK)
+
+
+def test_points_of_masks_read_once(spark):
+    """Sixteen points of wide, narrow and tiny masks and of hulls: as from the runs one by one."""
+    pointed = spark.createDataFrame([("s", "c", x) for x in "abcd"] + [("t", "c", "a")], "scene_id string, cam string, id string")
+    runs = [("s", "c", y, 5 + y, 5 + y * 4, i) for i in (1, 2) for y in range(3, 40, i)] + [("s", "c", 50, 7, 9, 3), ("s", "c", 50, 11, 11, 3), ("u", "c", 1, 1, 5, 1)]
+    masks = spark.createDataFrame(runs, "scene_id string, cam string, y int, x0 int, x1 int, iid int")
+    known = spark.createDataFrame([("s", i, x) for i, x in ((1, "a"), (2, "b"), (3, "c"))], "scene_id string, iid int, object_id string")
+    corners = spark.createDataFrame([("s", "c", x, k, 10 + 9 * k, 20 + 13 * k % 50) for x in "ad" for k in range(8)], "scene_id string, cam string, id string, k int, x int, y int")
+    given = {"pointed": pointed, "mask_runs": masks, "instance_map": known, "corner_pixels": corners}
+    columns = ("id", "k", "x", "y", "u", "v")
+    got, want = rows(evaluate(spark, "answer_points", **given), *columns), rows(evaluate(spark, "answer_points", object_runs=evaluate(spark, "object_runs", **given)), *columns)
+    assert got == want and [sum(r[0] == x for r in got) for x in "abcd"] == [16, 16, 4, 16]
+    assert "answer_masks as (" not in composed("answer_points", SPARK)
+
+
+def test_objects_of_one_footprint_share_its_runs(spark):
+    kernels = spark.createDataFrame([("s", "c", "t", f"o{i}", 3, 5 if i < 6 else 9) for i in range(8)] + [("s", "c", "t", "o7", 4, 2)], "scene_id string, cam string, surface string, id string, kh int, kw int")
+    empty = spark.createDataFrame([("s", "c", "t", y, 10 + y % 3, 60 + y) for y in range(20, 40)], "scene_id string, cam string, surface string, y int, x0 int, x1 int")
+    given = {"footprint_kernels": kernels, "empty_surface_runs": empty}
+    columns = ("id", "valid", "x", "y", "u", "v")
+    got = rows(evaluate(spark, "placement_pixels", **given), *columns)
+    assert got == rows(evaluate(spark, "placement_pixels", placement_runs=evaluate(spark, "placement_runs", **given)), *columns) and {r[0] for r in got} >= {f"o{i}" for i in range(7)}
+    assert len({r.shape for r in evaluate(spark, "shape_runs", **given).collect()}) <= 3
