@@ -134,11 +134,11 @@ def object_object_mv(d: Spark) -> str:
 def mask_pairs(d: Spark) -> str:
     """The engine's form of object_object_mv: masks meet once in the second view, and the first views are those that both have.
 
-    Rows are dealt out by scene and the last part of the second view's name.
+    Rows are dealt out by scene and the last part of the second view's name, in as many tasks as the sources ask for: pairs are many times the masks.
     """
     u, v = f"(twice_x / cast(2 * px as double) / {WIDTH})", f"(sum_y / cast(px as double) / {HEIGHT})"
     apart = "sqrt((ua - ub) * (ua - ub) + (va - vb) * (va - vb))"
-    seen = f"""select *, collect_set(cam) over (partition by scene_id, iid) as cams from (
+    seen = f"""select /*+ repartition(64, scene_id, tail) */ *, collect_set(cam) over (partition by scene_id, iid) as cams from (
         select scene_id, cam, iid, {u} as u, {v} as v, substring_index(cam, '/', -1) as tail from mask_sums where px >= {LEAST_SEEN}) s"""
     return f"""select scene_id, tail, cam_b, id_a, id_b, explode(cams) as cam_a, concat(case when ua > ub then 'right' else 'left' end, ', ', case when va < vb then 'above' else 'below' end, case when {apart} < 0.1 then ', near' when {apart} > 0.2 then ', far' else '' end) as answer from (
         select q.scene_id, q.tail, q.cam as cam_b, q.iid as id_a, r.iid as id_b, q.u as ua, r.u as ub, q.v as va, r.v as vb, filter(array_intersect(q.cams, r.cams), c -> c < q.cam) as cams
